@@ -4,19 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import packing, simhash, tiff, url_rules
 from .common import read_table
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(read_table(spark, sf_dir, "pages"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.text_media(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op3_url_rules, op6_best_fit_packing, op9_simhash_near_dedup, op10_tiff_media)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_rules": url_rules.ORACLE_SQL}
