@@ -7,20 +7,32 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, tiff, url_rules
+from . import langid, lbl_lm, packing, pii, simhash, tiff, url_rules
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(read_table(spark, sf_dir, "pages"))
 
 
+def op4_lbl_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl_lm.score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -29,8 +41,11 @@ def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(read_table(spark, sf_dir, "documents"))
 
 
+QUERIES = (op2_pii, op3_url_rules, op4_lbl_scoring, op6_best_fit_packing, op8_language_id, op9_simhash_near_dedup, op10_tiff_media)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_rules, op6_best_fit_packing, op9_simhash_near_dedup, op10_tiff_media)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
