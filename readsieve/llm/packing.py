@@ -20,7 +20,11 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from array import array
+from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -34,8 +38,17 @@ from .common import text_bytes
 
 CAPACITY = 4096
 END_ID = 1
+#: Latin letters that no normalization form changes, and at most one mark.
+PLAIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?").fullmatch
+MARKS = frozenset(".,;:!?")
+#: The letters by which byte-level vocabularies name bytes: printable Latin-1 stands for itself, the others follow from U+0100 on.
+BYTE_LETTERS = [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else "" for b in range(256)]
+for _i, _b in enumerate([b for b in range(256) if not BYTE_LETTERS[b]]):
+    BYTE_LETTERS[_b] = chr(256 + _i)
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 800_000
+#: Bytes of text that are split into words together.
+SPLIT_TOGETHER = 2_000_000
 #: Pieces of one length that one task ranks, about.
 RANKED_TOGETHER = 2000
 
@@ -96,6 +109,9 @@ class WordIds:
     """Packed ids (unsigned 32-bit, little-endian) of words, remembered.
 
     Only for tokenizers that drop white space: there a text's ids are those of its words in turn.
+    Plain words, Latin letters with at most one mark after them, go to the tokenizer's model
+    without its normalizer and splitter, which change only their case there; all others take the
+    full way.  Tokenizers for which this does not hold take the full way for all words.
     """
 
     def __init__(self, vocabulary: str):
@@ -104,24 +120,54 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.known: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.letters = dict(enumerate(BYTE_LETTERS))
+        self.plain = all(self._plain(w) == self._full([w])[0] for w in ("the", "Lyestion,", "Élève.", "straße;", "ÜBER", "a"))
+
+    def _full(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _model(self, run: str) -> bytes:
+        text = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+        return array("I", [x.id for x in self.tokenizer.model.tokenize(text)]).tobytes()
+
+    def _plain(self, word: str) -> bytes:
+        run, mark = word.lower(), b""
+        if run[-1] in MARKS:
+            run, mark = run[:-1], self.runs.get(run[-1]) or self._run(run[-1])
+        return (self.runs.get(run) or self._run(run)) + mark
+
+    def _run(self, run: str) -> bytes:
+        self.runs[run] = found = self._model(run)
+        return found
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for word, x in zip(part, found):
-                self.known[word] = np.array(x.ids, dtype="<u4").tobytes()
-
-    def __call__(self, data: bytes | None) -> bytes:
-        words = data.split() if data else []
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            self.learn(set(words))
-            return b"".join([self.known[w] for w in words])
+        if len(self.runs) > REMEMBERED_WORDS // 2:
+            self.runs.clear()
+        rest = []
+        for word in words - self.known.keys():
+            text = word.decode("utf-8", "replace")
+            if self.plain and PLAIN_WORD(text):
+                self.known[word] = self._plain(text)
+            else:
+                rest.append((word, text))
+        self.known.update(zip([w for w, _ in rest], self._full([t for _, t in rest])))
+
+    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """The packed ids of each text."""
+        at = 0
+        while at < len(texts):
+            split, held = [], 0
+            while at < len(texts) and held < SPLIT_TOGETHER:
+                held += len(texts[at] or b"")
+                split.append((texts[at] or b"").split())
+                at += 1
+            self.learn(set(chain.from_iterable(split)))
+            for words in split:
+                yield b"".join(map(self.known.__getitem__, words))
 
 
 _loaded: dict[int, WordIds] = {}
@@ -148,12 +194,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def cut(batches):
-        encode = word_ids(vocabulary.value)
+        encoder = word_ids(vocabulary.value)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, data in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))):
-                ids = encode(data) + end
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(text_bytes(batch.column("text")))):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4")] if with_ids else [])))
