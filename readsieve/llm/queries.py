@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lbl_lm, packing, pii, simhash, tiff, url_rules
+from . import decontam, langid, lbl_lm, packing, pii, simhash, tiff, url_rules
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def op4_lbl_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl_lm.score_texts(read_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -41,7 +45,7 @@ def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op2_pii, op3_url_rules, op4_lbl_scoring, op6_best_fit_packing, op8_language_id, op9_simhash_near_dedup, op10_tiff_media)
+QUERIES = (op2_pii, op3_url_rules, op4_lbl_scoring, op5_decontamination, op6_best_fit_packing, op8_language_id, op9_simhash_near_dedup, op10_tiff_media)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
