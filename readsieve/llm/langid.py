@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import Workspace
 from .common import crc_mod
@@ -29,6 +30,10 @@ ORDERS = (1, 2, 3)
 SAMPLE_ROWS = 6000
 #: More labels than this are taken for a mistake.
 MOST_LABELS = 1000
+#: One document in so many is left out of training.
+FOLDS = 5
+#: A pipeline keeps predictions from this calibrated score on; with four languages chance is 0.25.
+LEAST_SCORE = 0.4
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.1
 #: Odd multipliers for the hash of n-grams, one for each position.
 _FACTORS = np.array([2654435761, 2246822519, 3266489917], dtype=np.uint32)
@@ -190,10 +195,10 @@ def _gathered(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _KINDS)], names=["label", "at", "n", "docs", "seen"])
 
 
-def apply(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and score to a table with a text column; such columns of the table are replaced."""
+def apply(docs: DataFrame, model: Model, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds the predicted label and its score to a table with a text column; columns of these names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x labels
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(label, score)
     kept = docs.schema.fieldNames()
 
     def predict(batches):
@@ -201,16 +206,28 @@ def apply(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found = [model.predict(text) for text in batch.column("text").to_pylist()]
             new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*kept, label, score])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(predict, f"{schema}, lang_pred string, score double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(predict, schema)
 
 
-def identify(docs: DataFrame, folds: int = 5, work: Workspace | None = None) -> DataFrame:
+def learned_from(folds: int = FOLDS):
+    """Rows of fold 0, and rows without a doc_id, are not learned from."""
+    return F.coalesce(crc_mod("doc_id", folds) != 0, F.lit(False))
+
+
+def keep_known(docs: DataFrame, least_score: float = LEAST_SCORE, work: Workspace | None = None) -> DataFrame:
+    """The documents, with all their columns, whose language is known; text without letters is rejected."""
+    work = work or Workspace(docs.sparkSession, "langid")
+    model = train(docs.where(learned_from()), work)
+    label, score = "_lang_pred_", "_lang_score_"
+    return apply(docs, model, label, score).where((F.col(label) != "und") & (F.col(score) >= least_score)).select(*docs.columns)
+
+
+def identify(docs: DataFrame, folds: int = FOLDS, work: Workspace | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score. Rows of fold 0 are not learned from."""
     work = work or Workspace(docs.sparkSession, "langid")
-    learned = crc_mod("doc_id", folds) != 0
-    model = train(docs.where(learned), work)
-    rows = docs.select("doc_id", F.coalesce(~learned, F.lit(True)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    model = train(docs.where(learned_from(folds)), work)
+    rows = docs.select("doc_id", (~learned_from(folds)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return apply(rows, model).select("doc_id", "held_out", "lang_pred", "score")

@@ -213,7 +213,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
 def ranked(lengths: DataFrame, parts: int) -> DataFrame:
     """Adds ``rank``: 0, 1, ... within each length. Each length is ranked in ``parts`` parts."""
-    salted = lengths.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    salted = lengths.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     counts = salted.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -112,27 +112,27 @@ def _by_kind(values: dict, kind: Column) -> Column:
     return F.element_at(F.array(*(F.lit(values[k]) for k in KINDS)), kind + 1)
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``pii``: array of (start, kind, end, match, score) by start, then kind as listed in KINDS.
+def find(docs: DataFrame, text: str = "text", name: str = "pii") -> DataFrame:
+    """Adds a column: array of (start, kind, end, match, score) by start, then kind as listed in KINDS.
 
-    Any column of this name is replaced.
+    A column of this name is replaced, and so are ``_pii_clean`` and ``_pii_proposed``.
     """
     clean = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "\u0001\u0002", "\u0003\u0003")
-    has = lambda c: F.instr(F.col("_clean"), c) > 0
-    digit = F.col("_clean").rlike("[0-9]")
+    has = lambda c: F.instr(F.col("_pii_clean"), c) > 0
+    digit = F.col("_pii_clean").rlike("[0-9]")
     present = {"email": has("@"), "ip": digit, "card": digit, "phone": has("+"), "iban": digit, "local_phone": digit}
-    found = docs.withColumn("_clean", clean).withColumn("_proposed", F.concat(*(_matches(k, F.col("_clean"), present[k]) for k in KINDS)))
+    found = docs.withColumn("_pii_clean", clean).withColumn("_pii_proposed", F.concat(*(_matches(k, F.col("_pii_clean"), present[k]) for k in KINDS)))
 
     def scored(span: Column) -> Column:
-        before = F.lower(F.substring(F.col("_clean"), F.greatest(span.start - CONTEXT_CHARACTERS, F.lit(0)) + 1, F.least(span.start, F.lit(CONTEXT_CHARACTERS))))
+        before = F.lower(F.substring(F.col("_pii_clean"), F.greatest(span.start - CONTEXT_CHARACTERS, F.lit(0)) + 1, F.least(span.start, F.lit(CONTEXT_CHARACTERS))))
         near = F.lit(False)
         for i, kind in enumerate(KINDS):
             near = near | ((span.kind == i) & before.rlike(CONTEXT[kind]))
         score = F.round(_by_kind(SCORES, span.kind) + F.when(near, F.lit(CONTEXT_SCORE)).otherwise(F.lit(0.0)), 2)
         return F.struct(span.start.alias("start"), span.kind.alias("kind"), span.end.alias("end"), span.match.alias("match"), score.alias("score"))
 
-    kept = F.filter(F.transform("_proposed", scored), lambda s: (s.kind < len(BASE_KINDS)) | (s.score >= ACCEPTED))
-    return found.withColumn("pii", F.array_sort(kept)).drop("_clean", "_proposed")
+    kept = F.filter(F.transform("_pii_proposed", scored), lambda s: (s.kind < len(BASE_KINDS)) | (s.score >= ACCEPTED))
+    return found.withColumn(name, F.array_sort(kept)).drop("_pii_clean", "_pii_proposed")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -147,9 +147,10 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             F.when(span.start >= so_far.at, F.concat(so_far.out, F.array(before, tag))).otherwise(so_far.out).alias("out"),
         )
 
+    name = "_pii_spans"
     finish = lambda x: F.concat(F.array_join(x.out, ""), F.substring(F.col(text), x.at + 1, F.length(text)))
-    cleaned = F.when(F.size("pii") > 0, F.aggregate("pii", F.struct(at, out), step, finish)).otherwise(F.col(text))
-    return find(docs, text).withColumn(text, cleaned).drop("pii")
+    cleaned = F.when(F.size(name) > 0, F.aggregate(name, F.struct(at, out), step, finish)).otherwise(F.col(text))
+    return find(docs, text, name).withColumn(text, cleaned).select(*docs.columns)
 
 
 def _said(spans: Column) -> Column:

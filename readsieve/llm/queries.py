@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lbl_lm, packing, pii, simhash, tiff, url_rules
+from . import chat_tools, decontam, langid, lbl_lm, packing, phrases, pii, simhash, tiff, url_rules
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tools.format_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read_table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,18 @@ def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op2_pii, op3_url_rules, op4_lbl_scoring, op5_decontamination, op6_best_fit_packing, op8_language_id, op9_simhash_near_dedup, op10_tiff_media)
+QUERIES = (
+    op1_chat_tools,
+    op2_pii,
+    op3_url_rules,
+    op4_lbl_scoring,
+    op5_decontamination,
+    op6_best_fit_packing,
+    op7_repeated_phrases,
+    op8_language_id,
+    op9_simhash_near_dedup,
+    op10_tiff_media,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -53,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": url_rules.ORACLE_SQL}
+    return {"op1_chat_tools": chat_tools.ORACLE_SQL, "op3_url_rules": url_rules.ORACLE_SQL}

@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import Workspace
 from .common import text_bytes, words_of
@@ -166,14 +167,38 @@ def link_fingerprints(prints: DataFrame, work: Workspace) -> DataFrame:
     return dealt.mapInArrow(_links, "u long, v long").distinct()
 
 
+def _components(prints: DataFrame, chosen, work: Workspace) -> DataFrame:
+    """(fp, chosen): for each fingerprint the least value of ``chosen`` in its component."""
+    nodes = work.save(prints.groupBy("fp").agg(F.min(chosen).alias("own")))
+    member = connected_components(link_fingerprints(nodes.select("fp"), work), work)  # only of linked nodes
+    labelled = nodes.join(member, nodes.fp == member.node, "left").select("fp", "own", F.coalesce("component", "fp").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("own").alias("chosen"))
+    return labelled.join(least, "component").select("fp", "chosen")
+
+
 def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     work = work or Workspace(docs.sparkSession, "simhash")
     prints = work.save(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"))
-    nodes = work.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    links = link_fingerprints(nodes.select("fp"), work)
-    member = connected_components(links, work)  # node, component: only of linked nodes
-    labelled = nodes.join(member, nodes.fp == member.node, "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("component"))
-    first = labelled.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    by_print = labelled.join(first, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    first = _components(prints, F.col("doc_id"), work)
+    return prints.join(first, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("chosen").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """The documents with all their columns, one of each component: that of the smallest doc_id.
+
+    Rows without a doc_id come last; of repeated rows one stays.
+    """
+    work = work or Workspace(docs.sparkSession, "simhash")
+    names = [*docs.columns, "_fp"]
+
+    def add_print(batches):
+        for batch in batches:
+            prints = np.array([fingerprint(x) for x in text_bytes(batch.column("text"))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names=names)
+
+    printed = docs.mapInArrow(add_print, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    printed = work.save(printed.withColumn("_row", F.monotonically_increasing_id()))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
+    chosen = _components(printed.select(F.col("_fp").alias("fp"), "doc_id", "_row"), order, work)
+    return printed.join(chosen.select(F.col("chosen.row").alias("_row")).distinct(), "_row", "left_semi").select(*docs.columns)

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_bytes
 
@@ -311,11 +312,17 @@ def encode_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, n_bytes long, media binary")
 
 
-PAGE = "page int, width long, height long, samples int, bits int, compression int, predictor int, pixels binary, feature string, error string"
+_INT, _LONG, _STRING = T.IntegerType(), T.LongType(), T.StringType()
+_TYPES = {"page": _INT, "width": _LONG, "height": _LONG, "samples": _INT, "bits": _INT, "compression": _INT, "predictor": _INT, "pixels": T.BinaryType(), "feature": _STRING, "error": _STRING}
+PAGE = T.StructType([T.StructField(name, kind) for name, kind in _TYPES.items()])
 
 
 def read_pages(media: DataFrame, column: str = "media") -> DataFrame:
-    """The table with its media column read: one row per page (see the module for faulty media)."""
+    """The table with its media column read: one row per page (see the module for faulty media).
+
+    Columns named like those of PAGE are replaced.
+    """
+    media = media.drop(*(name for name in PAGE.names if name != column))
     kept = media.schema.fieldNames()
 
     def rows(data):
@@ -328,7 +335,7 @@ def read_pages(media: DataFrame, column: str = "media") -> DataFrame:
                 yield (-1, *[None] * 8, f"page {k}: {e}")
 
     kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.large_binary(), pa.string(), pa.string()]
-    names = [x.split()[0] for x in PAGE.split(", ")]
+    names = PAGE.names
 
     def decode(batches):
         for batch in batches:
@@ -337,8 +344,7 @@ def read_pages(media: DataFrame, column: str = "media") -> DataFrame:
             columns = list(zip(*[row for _, row in found])) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([*source.columns, *(pa.array(list(c), t) for c, t in zip(columns, kinds))], names=[*kept, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
-    return media.mapInArrow(decode, f"{schema}, {PAGE}")
+    return media.mapInArrow(decode, T.StructType([*media.schema.fields, *PAGE.fields]))
 
 
 def text_media(docs: DataFrame) -> DataFrame:
