@@ -31,14 +31,14 @@ CLOSED_ITERATIONS = 40
 
 
 def initial_weights(alignments: DataFrame) -> DataFrame:
-    """Adds ``p``: a score's share of all scores of its reference. Hot references are combined before the shuffle, and the join can be split."""
+    """Adds ``p``: a score's share of all scores of its reference, null if these are all 0. Hot references are combined before the shuffle, and the join can be split."""
     totals = alignments.groupBy("subjectId").agg(F.sum("bitScore").alias("total"))
-    return alignments.join(totals, "subjectId").withColumn("p", F.col("bitScore") / F.col("total")).select(*alignments.columns, "p")
+    return alignments.join(totals, "subjectId").withColumn("p", F.try_divide("bitScore", "total")).select(*alignments.columns, "p")
 
 
 def step(live: DataFrame, scale: float = SCALE) -> DataFrame:
     """One iteration over rows with p, n: new p, and n, the read's alignments before it; rows that go are left out."""
-    raised = live.withColumn("x", F.col("p") * F.col("p") / F.col("slen"))
+    raised = live.withColumn("x", F.try_divide(F.col("p") * F.col("p"), F.col("slen")))
     per_read = raised.groupBy("queryId").agg(F.sum("x").alias("sum_x"), F.max("x").alias("max_x"), F.count("*").alias("live"))
     rows = raised.join(per_read, "queryId").withColumn("p", F.try_divide("x", "sum_x"))
     kept = (F.col("live") == 1) | (F.col("x") >= F.col("max_x") * scale) & (F.col("max_x") > 0)
@@ -79,7 +79,7 @@ def _removal(rows, iterations: int, scale: float):
 def removal_iterations(alignments: DataFrame, iterations: int, scale: float, work: Workspace) -> DataFrame:
     """Adds ``gone``: the iteration in which an alignment would go if nothing stopped the loop; 0: never."""
     weighted = initial_weights(alignments)
-    logs = weighted.withColumn("b", F.log("slen")).withColumn("a", F.when(F.col("p") > 0, F.log("p") - F.log("slen")))
+    logs = weighted.withColumn("b", F.log("slen")).withColumn("a", F.when(F.col("p") > 0, F.log("p") - F.log("slen")))  # no weight: goes unless alone
     sizes = alignments.groupBy("queryId").agg(F.count("*").alias("_n"))
     c = F.col
     counted = work.save(logs.join(sizes, "queryId"))

@@ -50,15 +50,15 @@ def reference_stats(alignments: DataFrame, trim: bool = True) -> DataFrame:
     c = F.col
     zero = lambda name: F.coalesce(c(name), F.lit(0))
     rows = own.join(covered, "subjectId", "left")
-    rows = rows.withColumn("mean_coverage", zero("total") / c("L"))
-    rows = rows.withColumn("std_coverage", F.sqrt(F.greatest(F.lit(0.0), zero("squares") / c("L") - c("mean_coverage") * c("mean_coverage"))))
+    rows = rows.withColumn("mean_coverage", F.try_divide(zero("total"), c("L")))
+    rows = rows.withColumn("std_coverage", F.sqrt(F.greatest(F.lit(0.0), F.try_divide(zero("squares"), c("L")) - c("mean_coverage") * c("mean_coverage"))))
     return rows.select(
         "subjectId",
         *(x for x in ALIGNMENT_STATS if x != "std_alignment_length"),
         zero("covered").alias("total_covered_bases"),
         zero("total").alias("total_depth"),
         c("L").alias("subject_length"),
-        (zero("covered") / c("L")).alias("breadth"),
+        F.try_divide(zero("covered"), c("L")).alias("breadth"),
         ratio_or_zero(zero("total"), zero("covered")).alias("avg_depth"),
         "mean_coverage",
         "std_coverage",

@@ -1,0 +1,87 @@
+import bz2
+import csv
+import gzip
+
+import pytest
+
+from readsieve import cli
+from readsieve.operators.ingest import drop_duplicates
+from readsieve.sources import output_names, read_alignments, read_mapping, write_parquet, write_tsv
+
+LINE = "q{q}\ts{s}\t95.5\t30\t0\t0\t1\t90\t{a}\t{b}\t1e-20\t80.5\t90\t100"
+
+
+def lines(n=6):
+    return [LINE.format(q=i, s=i % 2, a=20 + i, b=60 + i) for i in range(n)]
+
+
+def test_plain_and_gzip(spark, tmp_path):
+    (tmp_path / "a.m8").write_text("\n".join(lines()) + "\n")
+    with gzip.open(tmp_path / "b.m8.gz", "wt") as f:
+        f.write("\n".join(lines()) + "\n")
+    a, b = (read_alignments(spark, str(tmp_path / n)) for n in ("a.m8", "b.m8.gz"))
+    assert a.drop("ordinal").collect() == b.drop("ordinal").collect() and a.count() == 6
+    assert read_alignments(spark, str(tmp_path / "b.m8.gz"), partitions=3).rdd.getNumPartitions() == 3
+    assert [r["queryId"] for r in b.orderBy("ordinal").collect()] == [f"q{i}" for i in range(6)]
+
+
+def test_wide(spark, tmp_path):
+    (tmp_path / "w.m8").write_text("\n".join(x + '\t10M\tAC"GT\tACGT' for x in lines()))
+    df = read_alignments(spark, str(tmp_path / "w.m8"))
+    assert df.columns[-4:] == ["cigar", "qaln", "taln", "ordinal"] and df.first()["qaln"] == 'AC"GT'
+
+
+def test_first_in_file_order(spark, tmp_path):
+    text = [LINE.format(q=q, s=1, a=20, b=60) for q in (9, 3, 5)]
+    (tmp_path / "d.m8").write_text("\n".join(text))
+    assert [r["queryId"] for r in drop_duplicates(read_alignments(spark, str(tmp_path / "d.m8"))).collect()] == ["q9"]
+
+
+def test_faulty_inputs(spark, tmp_path):
+    (tmp_path / "n.m8").write_text(lines()[0] + "\textra")
+    with pytest.raises(ValueError, match="14 or 17"):
+        read_alignments(spark, str(tmp_path / "n.m8"))
+    (tmp_path / "e.m8").write_text("")
+    with pytest.raises(ValueError, match="found 0"):
+        read_alignments(spark, str(tmp_path / "e.m8"))
+    (tmp_path / "z.m8").write_bytes(bz2.compress(b"x"))
+    with pytest.raises(ValueError, match="bz2"):
+        read_alignments(spark, str(tmp_path / "z.m8"))
+    (tmp_path / "g.m8").write_bytes(gzip.compress(b"x"))
+    with pytest.raises(ValueError, match="gz"):
+        read_alignments(spark, str(tmp_path / "g.m8"))
+    (tmp_path / "b.m8").write_text(lines()[0].replace("95.5", "many"))
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        read_alignments(spark, str(tmp_path / "b.m8")).collect()
+    with pytest.raises(FileNotFoundError):
+        read_alignments(spark, str(tmp_path / "missing.m8"))
+
+
+def test_writers(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.5), (None, None)], "x string, y double")
+    write_tsv(df, str(tmp_path / "o.tsv.gz"))
+    assert gzip.open(tmp_path / "o.tsv.gz", "rt").read().splitlines() == ["x\ty", "a\t1.5", "\t"]
+    assert not list(tmp_path.glob("*.parts"))
+    write_tsv(df, str(tmp_path / "parts.tsv"), single_file=False)
+    write_parquet(df, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+    assert output_names("/x/run.1.m8.gz")["coverage"] == "run_cov-stats.tsv.gz"
+    assert output_names("/x/run.m8.gz", "/y/p")["multimap"] == "/y/p_no-multimap.tsv.gz"
+
+
+def test_cli(spark, tmp_path, capsys):
+    (tmp_path / "run.m8").write_text("\n".join(lines(40)))
+    (tmp_path / "map.tsv").write_text("s0\tko:K1\ns1\tko:K2\ns1\tother\n")
+    prefix = str(tmp_path / "out")
+    assert read_mapping(spark, str(tmp_path / "map.tsv")).count() == 3
+    assert cli.main(["-i", str(tmp_path / "run.m8"), "-p", prefix, "-m", str(tmp_path / "map.tsv"), "--anvio", "--annotation-source", "KO", "--filters", "breadth=0.01", "--no-trim"]) == 0
+    table = lambda suffix: list(csv.DictReader(gzip.open(prefix + suffix, "rt"), delimiter="\t"))
+    assert len(table("_no-multimap.tsv.gz")) == 40
+    assert {r["reference"]: r["n_alns"] for r in table("_cov-stats.tsv.gz")} == {"s0": "20", "s1": "20"}
+    assert len(table("_group-abundances.tsv.gz")) == 3 == len(table("_group-abundances-agg.tsv.gz"))
+    assert {r["source"] for r in table("_group-abundances-anvio.tsv.gz")} == {"KO"}
+    assert cli.main([]) == 0 and "usage" in capsys.readouterr().out
+    for bad in (["-i", "x", "-s", "2"], ["-i", "x", "--filters", "nope=1"], ["-i", "x", "-t", "0"], ["-i", "x", "--max-memory", "1T"], ["-t", "1"]):
+        with pytest.raises(SystemExit):
+            cli.main(bad)
+    assert cli.parser().parse_args(["-i", "x", "--max-memory", "4G", "-b", "60.7"]).bitscore == 60
