@@ -32,3 +32,23 @@ def drop_duplicates(alignments: DataFrame) -> DataFrame:
         return alignments.groupBy(*content).agg(F.min("queryId").alias("queryId")).select(*alignments.columns)
     first = alignments.groupBy(*content).agg(F.min(F.struct(ORDINAL, "queryId")).alias("first"))
     return first.select(*content, "first.*").select(*alignments.columns)
+
+
+def retain_by_evalue(alignments: DataFrame, share: float) -> DataFrame:
+    """Per reference, the alignments with the best e-values: those whose -log10 is at least the (1-share) quantile.
+
+    Ties at the quantile all stay, so at least ``share`` of a reference's alignments do. An e-value
+    of 0 counts as 1e-300.
+    """
+    strength = -F.log10(F.greatest(F.col("eVal"), F.lit(1e-300)))
+    bound = alignments.groupBy("subjectId").agg(F.percentile(strength, F.lit(1 - share)).alias("bound"))
+    # the quantile is interpolated between two values, so equal values may differ in the last place
+    return alignments.join(bound, "subjectId").where(strength >= F.col("bound") - 1e-9).select(*alignments.columns)
+
+
+def union_alignments(tables: list[DataFrame]) -> DataFrame:
+    """All rows of several tables, with the columns of the first in its order."""
+    first, *rest = tables
+    for table in rest:
+        first = first.unionByName(table)
+    return first

@@ -83,3 +83,13 @@ def read_multiplicity(alignments: DataFrame) -> DataFrame:
         F.count_if(F.col("n") > 1).alias("multi_reads"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_alignments"),
     )
+
+
+def distinct_counts(alignments: DataFrame) -> DataFrame:
+    """One row: distinct reads and references."""
+    return alignments.agg(F.countDistinct("queryId").alias("n_reads"), F.countDistinct("subjectId").alias("n_references"))
+
+
+def by_breadth(stats: DataFrame) -> DataFrame:
+    """Statistics in ascending order of breadth, then of reference."""
+    return stats.orderBy("breadth", "subjectId")

@@ -216,5 +216,16 @@ def oracle_sql() -> dict[str, str]:
             "count(*) AS n_reads, count(*) FILTER (n = 1) AS unique_reads, count(*) FILTER (n > 1) AS multi_reads, CAST(sum(n) AS BIGINT) AS n_alignments",
             "(SELECT queryId, count(*) AS n FROM uniq GROUP BY queryId)",
         ),
+        "distinct_counts": _sql("dedup", "count(DISTINCT queryId) AS n_reads, count(DISTINCT subjectId) AS n_references"),
+        "stats_by_breadth": _stats_sql("stats_a", "subjectId, breadth"),
+        "evalue_retention": f"""WITH alignments AS MATERIALIZED ({ALIGNMENTS_SQL}), strong AS (SELECT *, -log10(greatest(eVal, 1e-300)) AS strength FROM alignments),
+            bound AS (SELECT subjectId, quantile_cont(strength, 0.6) AS bound FROM strong GROUP BY subjectId)
+            SELECT {COLUMNS} FROM strong JOIN bound USING (subjectId) WHERE strength >= bound - 1e-9""",
+        "union_alignments": _sql("dedup", "subjectId, n", "(SELECT subjectId, count(*) AS n FROM (SELECT subjectId FROM uniq UNION ALL SELECT subjectId FROM alignments) GROUP BY subjectId)"),
+        "all_filters": _stats_sql(
+            """stats_a WHERE avg_alignment_length >= 25 AND num_alignments >= 3 AND avg_read_length >= 95 AND avg_identity >= 90.5 AND breadth >= 0.2 AND mean_coverage >= 0.25
+            AND avg_depth >= 1 AND std_coverage >= 0.3 AND breadth / nullif(1 - exp(-mean_coverage), 0) >= 0.5 AND depth_evenness <= 2""",
+            "subjectId",
+        ),
         "breadth_expected": _stats_sql(with_expected, expected),
     }

@@ -9,13 +9,26 @@ from pyspark.sql import functions as F
 
 from ..operators import coverage, groups, stats
 from ..operators.filters import apply_filters, on_references
-from ..operators.ingest import analytic_columns, drop_duplicates, threshold_filter
+from ..operators.ingest import analytic_columns, drop_duplicates, retain_by_evalue, threshold_filter, union_alignments
 from ..operators.resolve import initial_weights, resolve, step
 from ..storage import Workspace
 from . import adapter, pipeline
 from .oracle import DOUBLES
 
 FILTERS = {"depthEvenness": 1.2, "breadth": 0.3}
+ALL_FILTERS = {
+    "avgAlnLength": 25,
+    "nAlns": 3,
+    "avgReadLength": 95,
+    "avgIdentity": 90.5,
+    "breadth": 0.2,
+    "covMean": 0.25,
+    "avgDepth": 1,
+    "covStd": 0.3,
+    "breadthExpectedRatio": 0.5,
+    "depthEvenness": 2,
+}
+RETAINED = 0.4
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -80,6 +93,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "group_abundances": lambda s, d: _run(s, d, True).group_abundances,
         "anvio_export": lambda s, d: _run(s, d, True).anvio,
         "read_multiplicity": lambda s, d: stats.read_multiplicity(_narrow(s, d)),
+        "distinct_counts": lambda s, d: stats.distinct_counts(_narrow(s, d)),
+        "stats_by_breadth": lambda s, d: stats.by_breadth(stats.reference_stats(_narrow(s, d))).select("subjectId", "breadth"),
+        "evalue_retention": lambda s, d: retain_by_evalue(adapter.alignments(s, d), RETAINED),
+        "union_alignments": lambda s, d: union_alignments([_unique(s, d), adapter.alignments(s, d)]).groupBy("subjectId").agg(F.count("*").alias("n")),
+        "all_filters": lambda s, d: apply_filters(stats.reference_stats(_narrow(s, d)), ALL_FILTERS).select("subjectId"),
         "breadth_expected": lambda s, d: stats.with_breadth_expected(stats.reference_stats(_narrow(s, d))).select(
             "subjectId", "breadth", "mean_coverage", "breadth_expected", "breadth_expected_ratio"
         ),
