@@ -10,6 +10,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows in a batch between the JVM and Python. Documents have kilobytes each; Spark's default of 10,000 would hold tens of MB on either side.
+BATCH_ROWS = 1000
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with batches for long rows, unless the session sets a size of its own."""
+    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if df.sparkSession.conf.get(name, default) == default:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the value as text, modulo n: the fold of a row."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import map_arrow, text_bytes
 
 SIMILARITY = 0.8
 RECALL = 0.99
@@ -47,7 +47,7 @@ KEYS_PER_WALK = 32
 WORD_GROUPS = 4096
 #: Edited items by which the repetitions are set.
 TRIALS = 400
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
 #: Cells of embeddings, and bytes of documents, at a time: bounds a worker's memory.
 CELLS_TOGETHER, BYTES_TOGETHER = 2_000_000, 8_000_000
 PADDING = 1
@@ -308,7 +308,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     for block in blocks(items):
         index = Index(block)
         if index.items:
-            out = out.union(docs.mapInArrow(_finder(spark.sparkContext.broadcast(index)), FOUND))
+            out = out.union(map_arrow(docs, _finder(spark.sparkContext.broadcast(index)), FOUND))
     return out
 
 
@@ -341,5 +341,5 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     for block in blocks(items):
         index = Index(block)
         if index.items:
-            docs = docs.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+            docs = map_arrow(docs, keeper(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
     return docs

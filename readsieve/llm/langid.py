@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import Workspace
-from .common import crc_mod
+from .common import crc_mod, map_arrow
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
@@ -178,10 +178,10 @@ def train(docs: DataFrame, work: Workspace, sample_rows: int = SAMPLE_ROWS) -> M
                 docs_read, seen = docs_read + n, seen + np.frombuffer(data, np.int64)
         yield _gathered([(None, None, None, docs_read, seen.tobytes())])
 
-    gathered = work.save(labelled.select(F.col("text").cast("string").alias("text"), "lang", chosen.alias("chosen")).mapInArrow(gather, GATHERED))
+    gathered = work.save(map_arrow(labelled.select(F.col("text").cast("string").alias("text"), "lang", chosen.alias("chosen")), gather, GATHERED))
     sample = gathered.where("label is not null").select("label", "at", "n").toArrow().to_pylist()
     # however many tasks there were, sixteen vectors reach the driver
-    sums = gathered.where("docs is not null").repartition(16).mapInArrow(added, GATHERED).select("docs", "seen").collect()
+    sums = map_arrow(gathered.where("docs is not null").repartition(16), added, GATHERED).select("docs", "seen").collect()
     n_docs = sum(r["docs"] for r in sums)
     seen = sum((np.frombuffer(r["seen"], np.int64) for r in sums), np.zeros(FEATURES, np.int64))
     idf = np.log((1 + n_docs) / (1 + seen)) + 1
@@ -209,7 +209,7 @@ def apply(docs: DataFrame, model: Model, label: str = "lang_pred", score: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*kept, label, score])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.mapInArrow(predict, schema)
+    return map_arrow(docs, predict, schema)
 
 
 def learned_from(folds: int = FOLDS):

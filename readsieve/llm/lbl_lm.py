@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
-from .common import crc_mod, text_bytes
+from .common import crc_mod, map_arrow, text_bytes
 
 #: Words whose counts are broadcast.
 HEAD_WORDS = 100_000
@@ -220,15 +220,15 @@ def score_texts(docs: DataFrame, folds: int = 7, left_out: int = 2, work: Worksp
     held_out = F.coalesce(crc_mod("doc_id", folds) == left_out, F.lit(True))
     rows = docs.select("doc_id", held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     learned = rows.where(~F.col("held_out")).select("text")
-    counts = work.save(learned.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
+    counts = work.save(map_arrow(learned, _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
     voc = learn_vocabulary(counts)
     vocabulary = spark.sparkContext.broadcast(voc)
-    found = learned.mapInArrow(_pair_counter(vocabulary), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = map_arrow(learned, _pair_counter(vocabulary), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(CLASSES * CLASSES)
     pairs[found.column("pair").to_numpy()] = found.column("n").to_numpy()
     log_p = spark.sparkContext.broadcast(train(pairs.reshape(CLASSES, CLASSES)))
 
-    head = work.save(rows.mapInArrow(_scorer(vocabulary, log_p), HEAD).withColumn("row", F.monotonically_increasing_id()))
+    head = work.save(map_arrow(rows, _scorer(vocabulary, log_p), HEAD).withColumn("row", F.monotonically_increasing_id()))
     each = head.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
     rest = each.join(counts.where(F.col("word") != F.lit(END)), "word").groupBy("row").agg(F.sum("n").alias("rest_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rest_logs"))
     c, zero = F.col, lambda x: F.coalesce(F.col(x), F.lit(0))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import Workspace
-from .common import text_bytes
+from .common import map_arrow, text_bytes
 
 CAPACITY = 4096
 END_ID = 1
@@ -46,7 +46,7 @@ BYTE_LETTERS = [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else ""
 for _i, _b in enumerate([b for b in range(256) if not BYTE_LETTERS[b]]):
     BYTE_LETTERS[_b] = chr(256 + _i)
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED_WORDS = 800_000
+REMEMBERED_WORDS = 600_000
 #: Bytes of text that are split into words together.
 SPLIT_TOGETHER = 2_000_000
 #: Pieces of one length that one task ranks, about.
@@ -208,7 +208,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=names)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECE + ", ids array<int>" * with_ids)
+    return map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), cut, PIECE + ", ids array<int>" * with_ids)
 
 
 def ranked(lengths: DataFrame, parts: int) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import Workspace
-from .common import text_bytes, words_of
+from .common import map_arrow, text_bytes, words_of
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -164,7 +164,7 @@ def link_fingerprints(prints: DataFrame, work: Workspace) -> DataFrame:
     )
     parted = filed.select("key", "start", "fp", F.explode(F.when(blocks > 1, part).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
     dealt = parted.repartition("key", "part").sortWithinPartitions("key", "part")
-    return dealt.mapInArrow(_links, "u long, v long").distinct()
+    return map_arrow(dealt, _links, "u long, v long").distinct()
 
 
 def _components(prints: DataFrame, chosen, work: Workspace) -> DataFrame:
@@ -179,7 +179,7 @@ def _components(prints: DataFrame, chosen, work: Workspace) -> DataFrame:
 def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     work = work or Workspace(docs.sparkSession, "simhash")
-    prints = work.save(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"))
+    prints = work.save(map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), _fingerprints, "doc_id long, fp long"))
     first = _components(prints, F.col("doc_id"), work)
     return prints.join(first, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("chosen").alias("component_id"))
 
@@ -197,7 +197,7 @@ def keep_one(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
             prints = np.array([fingerprint(x) for x in text_bytes(batch.column("text"))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names=names)
 
-    printed = docs.mapInArrow(add_print, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    printed = map_arrow(docs, add_print, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
     printed = work.save(printed.withColumn("_row", F.monotonically_increasing_id()))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
     chosen = _components(printed.select(F.col("_fp").alias("fp"), "doc_id", "_row"), order, work)

@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
+
 SPLIT = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Characters of urls that move together: bounds a worker's memory.
@@ -157,7 +159,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: tuple[str,
                 names=["page_id", "host", "path", "rule", "verdict", "pattern"],
             )
 
-    return pages.select("page_id", "url").mapInArrow(judged, "page_id long, host string, path string, rule string, verdict string, pattern string")
+    return map_arrow(pages.select("page_id", "url"), judged, "page_id long, host string, path string, rule string, verdict string, pattern string")
 
 
 def _like_sql() -> str:
