@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
 Executors come and go, so a step that must not be computed twice is written as Parquet to
-``spark.checkpoint.dir``.  The folder is read from the session; a local default is set only
+``spark.checkpoint.dir``.  The folder is read from the session; a local default is used only
 where the session names none (tests, ``local[*]``).
 """
 
@@ -16,12 +16,9 @@ DEFAULT_SHARED_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; sets the default where ``spark.checkpoint.dir`` is not set."""
+    """The folder in ``spark.checkpoint.dir``; a local default where that is not set."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    spark.conf.set("spark.checkpoint.dir", DEFAULT_SHARED_DIR)
-    return DEFAULT_SHARED_DIR
+    return (named or DEFAULT_SHARED_DIR).rstrip("/")
 
 
 class Workspace:
