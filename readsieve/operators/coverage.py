@@ -35,20 +35,26 @@ def changes(alignments: DataFrame, lengths: DataFrame) -> DataFrame:
     return placed.groupBy(*lengths.columns, "pos").agg(F.sum("change").alias("change"))
 
 
-def segments(alignments: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(subjectId, L, ..., pos, next_pos, depth): from pos up to next_pos the depth is the same."""
+def segments(alignments: DataFrame, lengths: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """(subjectId, L, ..., pos, next_pos, depth): from pos up to next_pos the depth is the same.
+
+    ``keep_empty`` keeps a row with a null pos for references without any change.
+    """
     along = Window.partitionBy("subjectId").orderBy("pos")
-    rows = changes(alignments, lengths).where("pos is not null")
+    rows = changes(alignments, lengths)
+    if not keep_empty:
+        rows = rows.where("pos is not null")
+    counted = F.when(F.col("pos").isNotNull(), F.col("change")).otherwise(0)
     return rows.select(
         *lengths.columns,
         "pos",
         F.coalesce(F.lead("pos").over(along), F.col("L")).alias("next_pos"),
-        F.sum("change").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"),
+        F.sum(counted).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"),
     )
 
 
 def trimmed(segmented: DataFrame, trim: bool = True) -> DataFrame:
     """Adds ``length``: the positions of each segment that lie between the trimmed ends."""
     t = trim_length(F.col("avg_alignment_length"), F.col("L")) if trim else F.lit(0)
-    length = F.least("next_pos", F.col("L") - t) - F.greatest("pos", t)
-    return segmented.withColumn("length", F.greatest(F.lit(0), length).cast("long"))
+    length = F.greatest(F.lit(0), F.least("next_pos", F.col("L") - t) - F.greatest("pos", t))
+    return segmented.withColumn("length", F.when(F.col("pos").isNull(), 0).otherwise(length).cast("long"))

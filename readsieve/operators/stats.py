@@ -39,17 +39,17 @@ def reference_stats(alignments: DataFrame, trim: bool = True) -> DataFrame:
     avg_depth is over covered positions, mean_coverage and std_coverage over all; breadth divides by
     the untrimmed length.  depth_evenness is std_coverage by mean_coverage, and null without coverage.
 
-    Everything after the two aggregates by reference stays in the partitions of subjectId.
+    The alignment statistics travel with the segments, so nothing is computed or joined twice, and
+    everything after the two aggregates by reference stays in the partitions of subjectId.
     """
     own = alignment_stats(alignments)
-    covered = trimmed(segments(alignments, own), trim).groupBy("subjectId").agg(
-        F.sum(F.when(F.col("depth") != 0, F.col("length")).otherwise(0)).alias("covered"),
-        F.sum(F.col("depth") * F.col("length")).alias("total"),
-        F.sum((F.col("depth") * F.col("depth") * F.col("length")).cast("double")).alias("squares"),
-    )
     c = F.col
+    rows = trimmed(segments(alignments, own, keep_empty=True), trim).groupBy(*own.columns).agg(
+        F.sum(F.when(c("depth") != 0, c("length")).otherwise(0)).alias("covered"),
+        F.sum(c("depth") * c("length")).alias("total"),
+        F.sum((c("depth") * c("depth") * c("length")).cast("double")).alias("squares"),
+    )
     zero = lambda name: F.coalesce(c(name), F.lit(0))
-    rows = own.join(covered, "subjectId", "left")
     rows = rows.withColumn("mean_coverage", F.try_divide(zero("total"), c("L")))
     rows = rows.withColumn("std_coverage", F.sqrt(F.greatest(F.lit(0.0), F.try_divide(zero("squares"), c("L")) - c("mean_coverage") * c("mean_coverage"))))
     return rows.select(
