@@ -7,16 +7,15 @@ input.
 1. Seeds.  Of the 8 runs of 6 words in a window, the one with the least hash is its seed; equal
    windows have equal seeds, and neighbouring windows mostly share theirs, so there are few.  Seeds
    that occur in one document only are dropped: no window with such a seed recurs.
-2. Recurring windows.  Only windows with a recurring seed are hashed (96 bits) and counted. For
-   each that occurs in two documents or more, its place in the smallest doc_id is its source.
-3. Passages.  The text of all sources is cut out of their documents; sources that follow on each
-   other form one passage.
+2. Recurring windows.  Only windows with a recurring seed are hashed (96 bits) and counted.  Of
+   each that occurs in two documents or more, the smallest doc_id is its source.
+3. Passages.  The text of all source windows is cut out of their documents; windows that follow on
+   each other form one passage.
 4. Automata.  Documents are dealt into shards of about ``SHARD_DOCUMENTS``. Each shard gets the
-   passages that some document of it may repeat, compiles their windows into an Aho-Corasick
-   automaton, and streams all its documents through it.  The automaton compares words, not hashes,
-   so what is removed really is repeated.
-
-Words are numbered within a shard and a window is a string of such numbers (as characters).
+   passages that some document of it may repeat, compiles their seeds into an Aho-Corasick
+   automaton, and streams all its documents through it.  The windows around each occurrence of a
+   seed are looked up among those of the passages.  Words are compared, not hashes, so what is
+   removed really is repeated.
 
 Hot passages: counting combines before the shuffle, joins on seeds and windows are plain
 equi-joins that adaptive execution splits, and a passage reaches a shard once, however many
@@ -38,13 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace, release_shuffles
-from .common import text_bytes, words_of
+from .common import map_arrow, text_bytes, words_of
 
 WINDOW = 13
 SEED_WORDS = 6
 SHARD_DOCUMENTS = 1000
-#: Word numbers of one automaton; characters above are left for none.
-MOST_WORDS = 1_000_000
+#: A word's number within an automaton has so many digits of this base.
+LETTERS, BASE = 3, 100
+MOST_WORDS = BASE**LETTERS - 200_000  # the last passage may add more
 _FACTORS = np.random.default_rng(13).integers(0, 1 << 62, (3, WINDOW), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -84,84 +84,110 @@ def _emit_seeds(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), docs.take(pa.array(rows))], names=["seed", "doc_id"])
 
 
+def _lists(column):
+    """A sorted array for each list of an Arrow column of lists of longs."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return (np.sort(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:]))
+
+
+def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where values are among the sorted ones, of which there is at least one."""
+    return np.flatnonzero(known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values)
+
+
 def _emit_windows(batches):
     for batch in batches:
-        lists, docs, parts = batch.column("seeds"), batch.column("doc_id"), []
-        values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        for i, data in enumerate(text_bytes(batch.column("text"))):
+        docs, parts = batch.column("doc_id"), []
+        for i, (data, seeds) in enumerate(zip(text_bytes(batch.column("text")), _lists(batch.column("seeds")))):
             words = words_of(data)
-            if len(words) < WINDOW:
-                continue
-            hashes = _hashes(words)
-            at = np.flatnonzero(np.isin(_seeds(hashes).view(np.int64), values[offsets[i] : offsets[i + 1]]))
-            high, low = (_runs(hashes, WINDOW, _FACTORS[k])[at] for k in (1, 2))
-            both, first = np.unique(np.stack([high, low >> np.uint64(32)], axis=1), axis=0, return_index=True)
-            parts.append((both[:, 0], both[:, 1], np.full(len(first), i), at[first]))
+            if len(words) >= WINDOW:
+                hashes = _hashes(words)
+                at = _within(_seeds(hashes).view(np.int64), seeds)
+                high, low = (_runs(hashes, WINDOW, _FACTORS[k])[at] for k in (1, 2))
+                high, once = np.unique(high, return_index=True)
+                parts.append((high, low[once] >> np.uint64(32), np.full(len(high), i)))
         if parts:
-            high, low, row, at = (np.concatenate(x) for x in zip(*parts))
+            high, low, row = (np.concatenate(x) for x in zip(*parts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(high.view(np.int64)), pa.array(low.astype(np.uint32).view(np.int32)), docs.take(pa.array(row)), pa.array(at.astype(np.int32))],
-                names=["w1", "w2", "doc_id", "at"],
+                [pa.array(high.view(np.int64)), pa.array(low.astype(np.uint32).view(np.int32)), docs.take(pa.array(row))], names=["w1", "w2", "doc_id"]
             )
 
 
 def _cut_passages(batches):
     for batch in batches:
         out, docs = [], []
-        for doc, data, starts in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), batch.column("starts").to_pylist()):
-            words, starts = words_of(data), sorted(set(starts))
-            first = 0
-            for k in range(1, len(starts) + 1):
-                if k == len(starts) or starts[k] != starts[k - 1] + 1:
-                    out.append(b" ".join(words[starts[first] : starts[k - 1] + WINDOW]))
+        for doc, data, sources in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), _lists(batch.column("sources"))):
+            words = words_of(data)
+            if len(words) < WINDOW:
+                continue
+            starts = _within(_runs(_hashes(words), WINDOW, _FACTORS[1]).view(np.int64), sources)
+            for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+                if len(part):
+                    out.append(b" ".join(words[part[0] : part[-1] + WINDOW]))
                     docs.append(doc)
-                    first = k
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
 
 
 class Automaton:
-    """The windows of passages, each with the smallest doc_id that it is known from."""
+    """Finds the seeds of passages in a text, and the passages' windows around them.
+
+    A word is written as LETTERS characters, as the automaton looks through a node's edges one by one.
+    """
 
     def __init__(self):
         self.numbers: dict[bytes, str] = {}
-        self.sources: dict[str, int] = {}
+        self.seeds: set[str] = set()
+        self.sources: dict[str, int] = {}  # window -> the smallest document that it is known from
         self.compiled = None
 
     def full(self) -> bool:
         return len(self.numbers) > MOST_WORDS
 
+    def _number(self, n: int) -> str:
+        return chr(1 + n // BASE**2) + chr(1 + n // BASE % BASE) + chr(1 + n % BASE)
+
     def add(self, source: int, words: list[bytes]) -> None:
         for word in words:
             if word not in self.numbers:
-                n = len(self.numbers) + 1
-                self.numbers[word] = chr(n + 0x800 if n >= 0xD800 else n)  # surrogates are left out
+                self.numbers[word] = self._number(len(self.numbers))
         text = "".join([self.numbers[w] for w in words])
-        for i in range(len(words) - WINDOW + 1):
-            window = text[i : i + WINDOW]
-            known = self.sources.get(window)
-            if known is None or source < known:
+        hashes, known = _hashes(words), self.sources.get
+        for i in _within(_runs(hashes, SEED_WORDS, _FACTORS[0]), np.unique(_seeds(hashes))).tolist():
+            self.seeds.add(text[LETTERS * i : LETTERS * (i + SEED_WORDS)])
+        for i in range(0, len(text) - LETTERS * WINDOW + 1, LETTERS):
+            window = text[i : i + LETTERS * WINDOW]
+            if known(window, source) >= source:
                 self.sources[window] = source
 
     def compile(self) -> None:
-        self.compiled = ahocorasick.Automaton()
-        for window, source in self.sources.items():
-            self.compiled.add_word(window, source)
+        self.compiled = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for seed in self.seeds:
+            self.compiled.add_word(seed, 1)
         self.compiled.make_automaton()
-        self.sources = {}
-
-    def ends(self, doc: int, words: list[bytes]) -> list[int]:
-        """Where windows end that start in a document smaller than doc."""
-        get = self.numbers.get
-        text = "".join([get(w, "\0") for w in words])
-        return [end for end, source in self.compiled.iter(text) if source < doc]
-
-
-def covered(n: int, ends: list[int]) -> np.ndarray:
+        self.seeds = set()
+
+    def starts(self, doc: int, words: list[bytes]) -> list[int]:
+        """Where windows start that a smaller document holds as well."""
+        get, known = self.numbers.get, self.sources.get
+        text = "".join([get(w, "\0" * LETTERS) for w in words])
+        found, looked, last_start = [], 0, len(words) - WINDOW
+        for end, _ in self.compiled.iter(text):
+            at, aside = divmod(end + 1 - LETTERS * SEED_WORDS, LETTERS)
+            if aside:
+                continue  # not at a word
+            # windows that hold this seed and no earlier one
+            for i in range(max(looked, at - WINDOW + SEED_WORDS), min(at, last_start) + 1):
+                if known(text[LETTERS * i : LETTERS * (i + WINDOW)], doc) < doc:
+                    found.append(i)
+            looked = max(looked, at + 1)
+        return found
+
+
+def covered(n: int, starts: list[int]) -> np.ndarray:
     """Which of n words the windows cover."""
     change = np.zeros(n + 1, dtype=np.int64)
-    ends = np.array(ends, dtype=np.int64)
-    np.add.at(change, ends - WINDOW + 1, 1)
-    np.add.at(change, ends + 1, -1)
+    change[starts] = 1
+    np.subtract.at(change, np.array(starts, dtype=np.int64) + WINDOW, 1)
     return np.cumsum(change[:n]) > 0
 
 
@@ -182,8 +208,8 @@ def _stream(batches):
             for a in automata:
                 if a.compiled is None:
                     a.compile()
-            ends = [e for a in automata for e in a.ends(doc, words)] if doc is not None and len(words) >= WINDOW else []
-            kept = [words[i] for i in np.flatnonzero(~covered(len(words), ends)).tolist()] if ends else words
+            found = sorted({i for a in automata for i in a.starts(doc, words)}) if doc is not None and len(words) >= WINDOW else []
+            kept = [words[i] for i in np.flatnonzero(~covered(len(words), found)).tolist()] if found else words
             out.append((doc, b" ".join(kept), len(words), len(words) - len(kept)))
         if out:
             columns = list(zip(*out))
@@ -201,17 +227,19 @@ def remove_repeats(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     named = docs.where("doc_id is not null")
     c = F.col
 
-    seeds = work.save(named.mapInArrow(_emit_seeds, "seed long, doc_id long"))
+    # shuffle files are let go after each step, so the disk holds those of one step at a time
+    seeds = work.save(map_arrow(named, _emit_seeds, "seed long, doc_id long"))
     recurring = seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed")
-    own = work.save(seeds.join(recurring, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")))
+    own = work.save(seeds.join(recurring, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds")))
     work.drop(seeds)
     release_shuffles(spark)
 
-    windows = work.save(named.join(own, "doc_id").mapInArrow(_emit_windows, "w1 long, w2 int, doc_id long, at int"))
+    windows = work.save(map_arrow(named.join(own, "doc_id"), _emit_windows, "w1 long, w2 int, doc_id long"))
     work.drop(own)
     release_shuffles(spark)
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "at")).alias("source"), F.max("doc_id").alias("high"))
-    sources = work.save(first.where("source.doc_id < high").select("w1", "w2", c("source.doc_id").alias("source"), c("source.at").alias("at")))
+    sources = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).where("source < high")
+    sources = work.save(sources.select("w1", "w2", "source"))
+    release_shuffles(spark)
     shards = max(1, -(-docs.count() // SHARD_DOCUMENTS))
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards))
     needed = windows.join(sources, ["w1", "w2"]).where("doc_id > source").select(shard.alias("shard"), c("source").alias("doc_id")).distinct()
@@ -219,16 +247,30 @@ def remove_repeats(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     work.drop(windows)
     release_shuffles(spark)
 
-    starts = sources.groupBy(c("source").alias("doc_id")).agg(F.collect_list("at").alias("starts"))
-    passages = work.save(named.join(starts, "doc_id").mapInArrow(_cut_passages, "doc_id long, text string"))
+    by_document = sources.groupBy(c("source").alias("doc_id")).agg(F.collect_list("w1").alias("sources"))
+    passages = work.save(map_arrow(named.join(by_document, "doc_id"), _cut_passages, "doc_id long, text string"))
     work.drop(sources)
     release_shuffles(spark)
 
     patterns = needed.join(passages, "doc_id").select("shard", F.lit(0).alias("kind"), "doc_id", "text")
     dealt = patterns.union(docs.select(F.when(c("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(shards))).otherwise(shard), F.lit(1), "doc_id", "text"))
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "kind")
-    return dealt.mapInArrow(_stream, "doc_id long, text string, n_words long, n_removed long")
+    return map_arrow(dealt, _stream, "doc_id long, text string, n_words long, n_removed long")
 
 
 def report(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     return remove_repeats(docs, work).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+# doc_id is unique in the tables
+ORACLE_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i+12], ' ') AS seq FROM (SELECT *, unnest(generate_series(1, len(words) - 12)) AS i FROM docs)),
+first AS (SELECT seq, min(doc_id) AS source FROM windows GROUP BY seq),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS place FROM windows JOIN first USING (seq) WHERE source < doc_id),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS place FROM docs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)"""

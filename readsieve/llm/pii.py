@@ -9,7 +9,7 @@ first replaced in the text by U+0003, which no pattern matches, so positions sta
 
 Base kinds are email, ip, card and phone.  They are kept whatever their score.  The method adds
 iban (confirmed by mod-97) and local_phone (a national number, accepted only near a context
-word).  Positions are code points from 0, the end exclusive.
+word), unless they overlap a base span.  Positions are code points from 0, the end exclusive.
 
 The patterns are written so that a match costs time in proportion to its length: a run of
 characters is tried from its start only (or from the end of the last match), and possessive
@@ -37,16 +37,16 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
-    "local_phone": r"(?<![0-9+().-])(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9_])",
+    "local_phone": r"(?<![A-Za-z0-9_])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9_])",
 }
 CONTEXT = {
     "email": r"mail|contact|write|address|correo|adresse",
-    "ip": r"\bip\b|host|server|address|login|adresse",
+    "ip": r"(?:^|[^a-z0-9_])ip(?:[^a-z0-9_]|$)|host|server|address|login|adresse",
     "card": r"card|visa|credit|payment|tarjeta|karte|carte",
     "phone": r"phone|call|tel|fax|mobile|contact|movil|anruf",
     "iban": r"iban|bank|account|konto|compte|cuenta",
-    "local_phone": r"phone|call|tel\b|tel\.|fax|mobile|telefon",
+    "local_phone": r"phone|call|tel(?:[^a-z]|$)|fax|mobile|telefon",
 }
 #: Score of a confirmed span without context; a context word adds CONTEXT_SCORE.
 SCORES = {"email": 0.8, "ip": 0.6, "card": 0.85, "phone": 0.65, "iban": 0.85, "local_phone": 0.4}
@@ -131,7 +131,9 @@ def find(docs: DataFrame, text: str = "text", name: str = "pii") -> DataFrame:
         score = F.round(_by_kind(SCORES, span.kind) + F.when(near, F.lit(CONTEXT_SCORE)).otherwise(F.lit(0.0)), 2)
         return F.struct(span.start.alias("start"), span.kind.alias("kind"), span.end.alias("end"), span.match.alias("match"), score.alias("score"))
 
-    kept = F.filter(F.transform("_pii_proposed", scored), lambda s: (s.kind < len(BASE_KINDS)) | (s.score >= ACCEPTED))
+    base = F.filter("_pii_proposed", lambda s: s.kind < len(BASE_KINDS))
+    apart = lambda s: ~F.exists(base, lambda b: (b.start < s.end) & (s.start < b.end))
+    kept = F.filter(F.transform("_pii_proposed", scored), lambda s: (s.kind < len(BASE_KINDS)) | (s.score >= ACCEPTED) & apart(s))
     return found.withColumn(name, F.array_sort(kept)).drop("_pii_clean", "_pii_proposed")
 
 
@@ -168,3 +170,62 @@ def report(docs: DataFrame) -> DataFrame:
         _said(F.col("pii")).alias("spans"),
         F.array_join(F.transform("pii", lambda s: s.score.cast("string")), ",").alias("scores"),
     )
+
+
+def _oracle_sql() -> str:
+    """The patterns in their plain forms: RE2 has neither look-behind nor possessive repeats, and needs none."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[ -]?[0-9])+",
+        "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
+        "local_phone": r"\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b",
+    }
+    cut = "string_split(regexp_replace(t, '({})', chr(1) || '\\1' || chr(2), 'g'), chr(1))"
+    split = " UNION ALL ".join(f"SELECT doc_id, t, {i} AS kind, {cut.format(plain[k])} AS parts FROM clean" for i, k in enumerate(KINDS))
+    by_kind = lambda f: "CASE kind " + " ".join(f"WHEN {i} THEN {f(k)}" for i, k in enumerate(KINDS)) + " END"
+    luhn = "list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(digits, -i, 1) AS INT) ELSE CAST(substr(digits, -i, 1) AS INT) * 2 - CASE WHEN CAST(substr(digits, -i, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+    moved = "substr(replace(match, ' ', ''), 5) || substr(replace(match, ' ', ''), 1, 4)"
+    number = "list_transform(string_split(" + moved + ", ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)"
+    mod97 = f"list_reduce(list_prepend(0, {number}), lambda r, x: CASE WHEN x > 9 THEN (r * 100 + x) % 97 ELSE (r * 10 + x) % 97 END) = 1"
+    valid = {
+        "email": "true",
+        "ip": "list_bool_and(list_transform(string_split(match, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND CAST('0' || right(ltrim(p, '0'), 3) AS INT) <= 255))",
+        "card": f"length(digits) BETWEEN 14 AND 19 AND {luhn}",
+        "phone": "length(digits) BETWEEN 10 AND 15",
+        "iban": f"length(replace(match, ' ', '')) BETWEEN 15 AND 34 AND {mod97}",
+        "local_phone": "true",
+    }
+    near = by_kind(lambda k: f"regexp_matches(before, '{CONTEXT[k]}')")
+    return f"""
+WITH clean AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS t FROM documents),
+split AS ({split}),
+parts AS (SELECT doc_id, kind, t, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM split WHERE len(parts) > 1),
+placed AS (
+  SELECT *, split_part(part, chr(2), 1) AS match, regexp_replace(split_part(part, chr(2), 1), '[^0-9]', '', 'g') AS digits,
+         coalesce(sum(length(part) - CASE WHEN i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+  FROM parts),
+confirmed AS (
+  SELECT doc_id, kind, CAST(first AS BIGINT) AS first, CAST(first AS BIGINT) + length(match) AS past,
+         lower(substr(t, greatest(CAST(first AS BIGINT) - {CONTEXT_CHARACTERS}, 0) + 1, least(CAST(first AS BIGINT), {CONTEXT_CHARACTERS}))) AS before
+  FROM placed WHERE i > 1 AND {by_kind(valid.get)}),
+scored AS (
+  SELECT *, round({by_kind(lambda k: f"CAST({SCORES[k]} AS DOUBLE)")} + CASE WHEN {near} THEN CAST({CONTEXT_SCORE} AS DOUBLE) ELSE 0 END, 2) AS score FROM confirmed),
+base AS (SELECT * FROM scored WHERE kind < {len(BASE_KINDS)}),
+kept AS (
+  SELECT * FROM base UNION ALL
+  SELECT * FROM scored s WHERE kind >= {len(BASE_KINDS)} AND score >= {ACCEPTED}
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND b.first < s.past AND s.first < b.past)),
+said AS (SELECT *, {by_kind(lambda k: f"'{k}'")} || ':' || first || ':' || past AS span FROM kept),
+found AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = {i}) AS n_{k}" for i, k in enumerate(BASE_KINDS))},
+         sha256(coalesce(string_agg(span, ',' ORDER BY first, kind) FILTER (kind < {len(BASE_KINDS)}), '')) AS base_sha256,
+         string_agg(span, ',' ORDER BY first, kind) AS spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY first, kind) AS scores
+  FROM said GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_KINDS)}, coalesce(base_sha256, sha256('')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM clean LEFT JOIN found USING (doc_id)"""
+
+
+ORACLE_SQL = _oracle_sql()

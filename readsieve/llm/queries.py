@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_tools": chat_tools.ORACLE_SQL, "op3_url_rules": url_rules.ORACLE_SQL}
+    return {"op1_chat_tools": chat_tools.ORACLE_SQL, "op2_pii": pii.ORACLE_SQL, "op7_repeated_phrases": phrases.ORACLE_SQL, "op3_url_rules": url_rules.ORACLE_SQL}
