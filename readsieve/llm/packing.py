@@ -19,6 +19,7 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -38,9 +39,9 @@ from .common import map_arrow, text_bytes
 
 CAPACITY = 4096
 END_ID = 1
-#: Latin letters that no normalization form changes, and at most one mark.
-PLAIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?").fullmatch
-MARKS = frozenset(".,;:!?")
+#: Plain words: Latin letters that no normalization form changes, and at most one mark.
+PLAIN_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+MARKS = frozenset(b".,;:!?")
 #: The letters by which byte-level vocabularies name bytes: printable Latin-1 stands for itself, the others follow from U+0100 on.
 BYTE_LETTERS = [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else "" for b in range(256)]
 for _i, _b in enumerate([b for b in range(256) if not BYTE_LETTERS[b]]):
@@ -109,9 +110,10 @@ class WordIds:
     """Packed ids (unsigned 32-bit, little-endian) of words, remembered.
 
     Only for tokenizers that drop white space: there a text's ids are those of its words in turn.
-    Plain words, Latin letters with at most one mark after them, go to the tokenizer's model
-    without its normalizer and splitter, which change only their case there; all others take the
-    full way.  Tokenizers for which this does not hold take the full way for all words.
+    Plain words, Latin letters with at most one mark after them, need none of the tokenizer's
+    normalizer and splitter but the lower case; their byte pairs are merged by tiktoken with the
+    tokenizer's own merges, the end of a word being written as the byte FF.  Whether that gives
+    the same ids is tried at the start; if not, and for all other words, the tokenizer does it all.
     """
 
     def __init__(self, vocabulary: str):
@@ -120,28 +122,52 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.known: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        self.letters = dict(enumerate(BYTE_LETTERS))
-        self.plain = all(self._plain(w) == self._full([w])[0] for w in ("the", "Lyestion,", "Élève.", "straße;", "ÜBER", "a"))
+        self.runs: dict[bytes, bytes] = {}
+        samples = ("the", "Lyestion,", "Élève.", "straße;", "ÜBER", "a", "enenreintion", "ñandúes!", "queeau:")
+        try:
+            self._merges(json.loads(vocabulary)["model"])
+            self.plain = [self._word(w.encode()) for w in samples] == self._full(list(samples))
+        except (KeyError, TypeError, ValueError):  # another kind of model
+            self.plain = False
+
+    def _merges(self, model: dict) -> None:
+        """Ranks of byte pairs: the end of a word joins the byte before it first, then the merges follow in order."""
+        import tiktoken
+
+        end, letters = model["end_of_word_suffix"], {c: bytes([b]) for b, c in enumerate(BYTE_LETTERS)}
+
+        def as_bytes(token: str) -> bytes:
+            whole = token.removesuffix(end)
+            return b"".join([letters[c] for c in whole]) + b"\xff" * (whole != token)
+
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        tokens = [c + end for c in BYTE_LETTERS] + merged + BYTE_LETTERS
+        ranks = {as_bytes(token): i for i, token in enumerate(tokens)}
+        self.id_of = [model["vocab"][token] for token in tokens]
+        self.pairs = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})
 
     def _full(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def _model(self, run: str) -> bytes:
-        text = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
-        return array("I", [x.id for x in self.tokenizer.model.tokenize(text)]).tobytes()
-
-    def _plain(self, word: str) -> bytes:
-        run, mark = word.lower(), b""
-        if run[-1] in MARKS:
-            run, mark = run[:-1], self.runs.get(run[-1]) or self._run(run[-1])
-        return (self.runs.get(run) or self._run(run)) + mark
-
-    def _run(self, run: str) -> bytes:
-        self.runs[run] = found = self._model(run)
+    def _run(self, run: bytes) -> bytes:
+        """The ids of lower-case letters or of one mark; remembered."""
+        self.runs[run] = found = array("I", [self.id_of[i] for i in self.pairs._encode_single_piece(run + b"\xff")]).tobytes()
         return found
 
+    def _word(self, word: bytes) -> bytes | None:
+        """The ids of a plain word; None for others."""
+        mark = word[-1:] if word[-1] in MARKS else b""
+        run = word[:-1] if mark else word
+        if run.isalpha():  # of bytes: ASCII letters only
+            run = run.lower()
+        elif PLAIN_LETTERS(run.decode("utf-8", "replace")):
+            run = run.decode().lower().encode()
+        else:
+            return None
+        found = self.runs.get(run) or self._run(run)
+        return found + (self.runs.get(mark) or self._run(mark)) if mark else found
+
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
@@ -149,12 +175,12 @@ class WordIds:
             self.runs.clear()
         rest = []
         for word in words - self.known.keys():
-            text = word.decode("utf-8", "replace")
-            if self.plain and PLAIN_WORD(text):
-                self.known[word] = self._plain(text)
+            found = self._word(word) if self.plain else None
+            if found is None:
+                rest.append(word)
             else:
-                rest.append((word, text))
-        self.known.update(zip([w for w, _ in rest], self._full([t for _, t in rest])))
+                self.known[word] = found
+        self.known.update(zip(rest, self._full([w.decode("utf-8", "replace") for w in rest])))
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """The packed ids of each text."""
