@@ -22,6 +22,11 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def id_and_text(docs: DataFrame, *more) -> DataFrame:
+    """doc_id as long, text as string, and other columns between them."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").cast("string").alias("text"))
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the value as text, modulo n: the fold of a row."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

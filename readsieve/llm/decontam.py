@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_bytes
+from .common import id_and_text, map_arrow, text_bytes
 
 SIMILARITY = 0.8
 RECALL = 0.99
@@ -303,7 +303,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     first_word is end_word less the item's length; the passage may be up to ``distance`` words shorter or longer.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = id_and_text(docs)
     out = spark.createDataFrame([], FOUND)
     for block in blocks(items):
         index = Index(block)

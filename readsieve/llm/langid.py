@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import Workspace
-from .common import crc_mod, map_arrow
+from .common import crc_mod, id_and_text, map_arrow
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
@@ -229,5 +229,5 @@ def identify(docs: DataFrame, folds: int = FOLDS, work: Workspace | None = None)
     """One row per document: doc_id, held_out, lang_pred, score. Rows of fold 0 are not learned from."""
     work = work or Workspace(docs.sparkSession, "langid")
     model = train(docs.where(learned_from(folds)), work)
-    rows = docs.select("doc_id", (~learned_from(folds)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = id_and_text(docs, (~learned_from(folds)).alias("held_out"))
     return apply(rows, model).select("doc_id", "held_out", "lang_pred", "score")

@@ -35,15 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
-from .common import crc_mod, map_arrow, text_bytes
+from .common import crc_mod, id_and_text, map_arrow, text_bytes
 
 #: Words whose counts are broadcast.
 HEAD_WORDS = 100_000
+LONGEST_HEAD = 100
 OWN_CLASSES, SUFFIX_CLASSES = 767, 256
 CLASSES = 1 + OWN_CLASSES + SUFFIX_CLASSES  # class 0: the end token
 DIMENSION, NOISE, STEPS, RATE = 32, 10, 150, 0.05
-#: Distinct words that a task counts before it hands them on.
-COUNTED_TOGETHER = 500_000
+#: Distinct words, and bytes of text, that a task counts before it hands them on.
+COUNTED_TOGETHER, BYTES_TOGETHER = 500_000, 128_000_000
 #: Counts are binned by eighths of a power of two to find the head.
 BINS_PER_DOUBLING = 8
 END = b" "  # no word holds a space
@@ -63,13 +64,16 @@ def _count_words(batches):
     def rows():
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
+    held = 0
     for batch in batches:
         for data in text_bytes(batch.column("text")):
             found.update(tokens(data))
             found[END] += 1
-            if len(found) > COUNTED_TOGETHER:
+            held += len(data or b"")
+            if len(found) > COUNTED_TOGETHER or held > BYTES_TOGETHER:
                 yield rows()
                 found.clear()
+                held = 0
     if found:
         yield rows()
 
@@ -121,7 +125,8 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
         if words > HEAD_WORDS:
             break
         least = b
-    head = counts.where((bin_of >= least) | (F.col("word") == F.lit(END))).select("word", "c").toArrow() if bins else None
+    short = F.length("word") <= LONGEST_HEAD  # longer ones are looked up by the join
+    head = counts.where((bin_of >= least) & short | (F.col("word") == F.lit(END))).select("word", "c").toArrow() if bins else None
     pairs = [] if head is None else sorted(zip(map(bytes, head.column("word").to_pylist()), head.column("c").to_pylist()), key=lambda x: (-x[1], x[0]))
     by_suffix: dict[int, tuple[int, int]] = {}
     for r in bins:
@@ -218,7 +223,7 @@ def score_texts(docs: DataFrame, folds: int = 7, left_out: int = 2, work: Worksp
     spark = docs.sparkSession
     work = work or Workspace(spark, "lbl")
     held_out = F.coalesce(crc_mod("doc_id", folds) == left_out, F.lit(True))
-    rows = docs.select("doc_id", held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = id_and_text(docs, held_out.alias("held_out"))
     learned = rows.where(~F.col("held_out")).select("text")
     counts = work.save(map_arrow(learned, _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
     voc = learn_vocabulary(counts)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import Workspace
-from .common import map_arrow, text_bytes
+from .common import id_and_text, map_arrow, text_bytes
 
 CAPACITY = 4096
 END_ID = 1
@@ -48,6 +48,8 @@ for _i, _b in enumerate([b for b in range(256) if not BYTE_LETTERS[b]]):
     BYTE_LETTERS[_b] = chr(256 + _i)
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
 REMEMBERED_WORDS = 600_000
+#: Longer words are forgotten with the texts that hold them.
+LONGEST_REMEMBERED = 100
 #: Bytes of text that are split into words together.
 SPLIT_TOGETHER = 2_000_000
 #: Pieces of one length that one task ranks, about.
@@ -123,6 +125,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.known: dict[bytes, bytes] = {}
         self.runs: dict[bytes, bytes] = {}
+        self.long: list[bytes] = []
         samples = ("the", "Lyestion,", "Élève.", "straße;", "ÜBER", "a", "enenreintion", "ñandúes!", "queeau:")
         try:
             self._merges(json.loads(vocabulary)["model"])
@@ -165,6 +168,8 @@ class WordIds:
             run = run.decode().lower().encode()
         else:
             return None
+        if len(run) > LONGEST_REMEMBERED:
+            return None
         found = self.runs.get(run) or self._run(run)
         return found + (self.runs.get(mark) or self._run(mark)) if mark else found
 
@@ -180,6 +185,8 @@ class WordIds:
                 rest.append(word)
             else:
                 self.known[word] = found
+            if len(word) > LONGEST_REMEMBERED:
+                self.long.append(word)
         self.known.update(zip(rest, self._full([w.decode("utf-8", "replace") for w in rest])))
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
@@ -194,6 +201,9 @@ class WordIds:
             self.learn(set(chain.from_iterable(split)))
             for words in split:
                 yield b"".join(map(self.known.__getitem__, words))
+            for word in self.long:
+                del self.known[word]
+            self.long.clear()
 
 
 _loaded: dict[int, WordIds] = {}
@@ -234,7 +244,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=names)
 
-    return map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), cut, PIECE + ", ids array<int>" * with_ids)
+    return map_arrow(id_and_text(docs), cut, PIECE + ", ids array<int>" * with_ids)
 
 
 def ranked(lengths: DataFrame, parts: int) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace, release_shuffles
-from .common import map_arrow, text_bytes, words_of
+from .common import id_and_text, map_arrow, text_bytes, words_of
 
 WINDOW = 13
 SEED_WORDS = 6
@@ -223,7 +223,7 @@ def remove_repeats(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """One row per document: doc_id, text (the words kept, joined by one space), n_words, n_removed."""
     spark = docs.sparkSession
     work = work or Workspace(spark, "phrases")
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = id_and_text(docs)
     named = docs.where("doc_id is not null")
     c = F.col
 

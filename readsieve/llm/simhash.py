@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import Workspace
-from .common import map_arrow, text_bytes, words_of
+from .common import id_and_text, map_arrow, text_bytes, words_of
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -179,7 +179,7 @@ def _components(prints: DataFrame, chosen, work: Workspace) -> DataFrame:
 def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     work = work or Workspace(docs.sparkSession, "simhash")
-    prints = work.save(map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), _fingerprints, "doc_id long, fp long"))
+    prints = work.save(map_arrow(id_and_text(docs), _fingerprints, "doc_id long, fp long"))
     first = _components(prints, F.col("doc_id"), work)
     return prints.join(first, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("chosen").alias("component_id"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, text_bytes
+from .common import id_and_text, map_arrow, text_bytes
 
 # Fixed values of the TIFF 6.0 specification and its technical notes: tags, types, compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -309,7 +309,7 @@ def encode_texts(docs: DataFrame) -> DataFrame:
             media = [write([payload(x)]) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x or b"") for x in texts], pa.int64()), pa.array(media, pa.large_binary())], names=["doc_id", "n_bytes", "media"])
 
-    return map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), encode, "doc_id long, n_bytes long, media binary")
+    return map_arrow(id_and_text(docs), encode, "doc_id long, n_bytes long, media binary")
 
 
 _INT, _LONG, _STRING = T.IntegerType(), T.LongType(), T.StringType()

@@ -24,6 +24,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_arrow
 
@@ -159,7 +160,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: tuple[str,
                 names=["page_id", "host", "path", "rule", "verdict", "pattern"],
             )
 
-    return map_arrow(pages.select("page_id", "url"), judged, "page_id long, host string, path string, rule string, verdict string, pattern string")
+    return map_arrow(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")), judged, "page_id long, host string, path string, rule string, verdict string, pattern string")
 
 
 def _like_sql() -> str:
