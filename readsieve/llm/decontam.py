@@ -27,6 +27,7 @@ texts are read whole; other columns are ignored by ``find`` and kept by ``clean`
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -271,7 +272,7 @@ class Index:
         return out
 
 
-def blocks(items: DataFrame) -> list[list[tuple[int, bytes | None]]]:
+def blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """The items, in blocks of at most about BLOCK_BYTES of text."""
     items = items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]

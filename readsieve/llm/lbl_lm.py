@@ -143,8 +143,8 @@ def train(pairs: np.ndarray) -> np.ndarray:
     observed, context = pairs / total, pairs.sum(axis=1, keepdims=True) / total
     rng = np.random.default_rng(0)
     own = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-    target, given, turn, bias = own(CLASSES, DIMENSION), own(CLASSES, DIMENSION), np.eye(DIMENSION, dtype=np.float32), np.log(noise).astype(np.float32)
-    given, parameters = given, None
+    target, given, turn = own(CLASSES, DIMENSION), own(CLASSES, DIMENSION), np.eye(DIMENSION, dtype=np.float32)
+    bias = np.log(noise).astype(np.float32)
     parameters = [target, given, turn, bias]
     first, second = ([np.zeros_like(p) for p in parameters] for _ in range(2))
     log_noise = np.log(NOISE * noise).astype(np.float32)
