@@ -8,6 +8,7 @@ where the session names none (tests, ``local[*]``).
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,10 @@ class Workspace:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner remove shuffle files of plans that nothing refers to."""
+    """Let the context cleaner remove shuffle files of plans that nothing refers to.
+
+    Listeners hold a plan until they have handled its last event, hence the wait.
+    """
     gc.collect()
+    time.sleep(1)
     spark.sparkContext._jvm.System.gc()
