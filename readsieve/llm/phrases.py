@@ -12,9 +12,9 @@ input.
 3. Passages.  The text of all source windows is cut out of their documents; windows that follow on
    each other form one passage.
 4. Automata.  Documents are dealt into shards of about ``SHARD_DOCUMENTS``. Each shard gets the
-   passages that some document of it may repeat, compiles their seeds into an Aho-Corasick
+   passages that some document of it may repeat, compiles phrases of them into an Aho-Corasick
    automaton, and streams all its documents through it.  The windows around each occurrence of a
-   seed are looked up among those of the passages.  Words are compared, not hashes, so what is
+   phrase are looked up among those of the passages.  Words are compared, not hashes, so what is
    removed really is repeated.
 
 Hot passages: counting combines before the shuffle, joins on seeds and windows are plain
@@ -129,14 +129,16 @@ def _cut_passages(batches):
 
 
 class Automaton:
-    """Finds the seeds of passages in a text, and the passages' windows around them.
+    """Finds phrases of passages in a text, and the passages' windows around them.
+
+    The phrases are every eighth run of 6 words of a passage, so each window holds one.
 
     A word is written as LETTERS characters, as the automaton looks through a node's edges one by one.
     """
 
     def __init__(self):
         self.numbers: dict[bytes, str] = {}
-        self.seeds: set[str] = set()
+        self.phrases: set[str] = set()
         self.sources: dict[str, int] = {}  # window -> the smallest document that it is known from
         self.compiled = None
 
@@ -151,9 +153,9 @@ class Automaton:
             if word not in self.numbers:
                 self.numbers[word] = self._number(len(self.numbers))
         text = "".join([self.numbers[w] for w in words])
-        hashes, known = _hashes(words), self.sources.get
-        for i in _within(_runs(hashes, SEED_WORDS, _FACTORS[0]), np.unique(_seeds(hashes))).tolist():
-            self.seeds.add(text[LETTERS * i : LETTERS * (i + SEED_WORDS)])
+        known = self.sources.get
+        for i in range(0, len(text) - LETTERS * SEED_WORDS + 1, LETTERS * (WINDOW - SEED_WORDS + 1)):
+            self.phrases.add(text[i : i + LETTERS * SEED_WORDS])
         for i in range(0, len(text) - LETTERS * WINDOW + 1, LETTERS):
             window = text[i : i + LETTERS * WINDOW]
             if known(window, source) >= source:
@@ -161,10 +163,10 @@ class Automaton:
 
     def compile(self) -> None:
         self.compiled = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for seed in self.seeds:
-            self.compiled.add_word(seed, 1)
+        for phrase in self.phrases:
+            self.compiled.add_word(phrase, 1)
         self.compiled.make_automaton()
-        self.seeds = set()
+        self.phrases = set()
 
     def starts(self, doc: int, words: list[bytes]) -> list[int]:
         """Where windows start that a smaller document holds as well."""
@@ -175,7 +177,7 @@ class Automaton:
             at, aside = divmod(end + 1 - LETTERS * SEED_WORDS, LETTERS)
             if aside:
                 continue  # not at a word
-            # windows that hold this seed and no earlier one
+            # windows that hold this phrase and no earlier one
             for i in range(max(looked, at - WINDOW + SEED_WORDS), min(at, last_start) + 1):
                 if known(text[LETTERS * i : LETTERS * (i + WINDOW)], doc) < doc:
                     found.append(i)
