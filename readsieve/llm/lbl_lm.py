@@ -2,20 +2,32 @@
 
 Tokens are the words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and one end token per text.
 
-Statistics cover all training documents: the count of every token, and the count of every pair of
-neighbouring token classes.  Classes bound the model: the ``OWN_CLASSES`` most frequent words have
-one each, the end token has one, and all other words share ``SUFFIX_CLASSES`` by a hash of their
-last two bytes.  A word's probability is that of its class after the class before it (at the
-start, the end token's), times its smoothed share (c+1)/(N+V+1) within the class, which leaves
-room for one unseen word.
+Statistics cover all training documents: the count of every token, of every pair of neighbouring
+token classes, and, for each word, of the classes before and after it.  The ``OWN_CLASSES`` most
+frequent words have a class each, the end token has one, and all other words share
+``SUFFIX_CLASSES`` by a hash of their last two bytes.  At the start the word before is the end token.
 
 The log-bilinear model predicts the embedding of the next class by a linear map of the embedding
 of the one before.  Noise-contrastive estimation tells the observed pairs from noise drawn from
 the class frequencies; as pairs are counted, the expectation over noise is taken exactly, by
 matrix products over all classes.  The trained scores are then normalised over all classes.
 
-Words beyond the ``HEAD_WORDS`` most frequent are looked up by a join, so nothing that grows with
-the vocabulary is broadcast.
+Every word of a shared class, however rare, then gets two embeddings of its own, so the model grows
+with the vocabulary.  With j and k the classes of the words h and w,
+
+    P(w | h) = P(k | j) exp(own input of h . k) / Z(h)  x  (c(w)+1) exp(own output of w . j) / Z(k, j)
+
+Both are fitted by NCE on the contexts observed of that word, against noise with the contexts of its
+class; a Gaussian prior draws the rare ones to their class.  Every word takes one step, which can't
+overshoot, and words seen ``MORE_STEPS_FROM`` times or more take ``OWN_STEPS`` accelerated steps.
+Z(h) sums over all classes and Z(k, j) over all words of class k and one unseen word, so
+probabilities of words add up to 1.
+
+What is still merged: an embedding of a word's own meets the class of its neighbour, not the neighbour
+itself, if that has no class of its own; the context is one word; an unseen word has its class's.
+
+Parameters of the ``HEAD_WORDS`` most frequent words are broadcast.  Those of all others are never
+stored: the occurrences of a word are gathered, and its embeddings fitted where they are used.
 
 Edge cases: null and empty texts consist of the end token; without training documents every count
 is 0 and classes are equally likely; repeated rows are scored each on its own; a null doc_id is
@@ -45,6 +57,11 @@ CLASSES = 1 + OWN_CLASSES + SUFFIX_CLASSES  # class 0: the end token
 DIMENSION, NOISE, STEPS, RATE = 32, 10, 150, 0.05
 #: Distinct words, and bytes of text, that a task counts before it hands them on.
 COUNTED_TOGETHER, BYTES_TOGETHER = 500_000, 128_000_000
+#: Precision of the prior of own embeddings, whose features have unit variance.
+PRIOR = 8.0
+MORE_STEPS_FROM, OWN_STEPS = 16, 12
+#: Words whose scores against all classes are held at once.
+FITTED_TOGETHER = 500
 #: Counts are binned by eighths of a power of two to find the head.
 BINS_PER_DOUBLING = 8
 END = b" "  # no word holds a space
@@ -138,6 +155,11 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
 
 def train(pairs: np.ndarray) -> np.ndarray:
     """pairs: how often class w (column) follows class h (row). Gives log10 P(w | h), normalised."""
+    return train_classes(pairs)[0]
+
+
+def train_classes(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``train``, and besides the predicted embedding after each class, and the target embeddings."""
     total = max(1.0, pairs.sum())
     noise = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * CLASSES)
     observed, context = pairs / total, pairs.sum(axis=1, keepdims=True) / total
@@ -164,30 +186,279 @@ def train(pairs: np.ndarray) -> np.ndarray:
     score = (given @ turn) @ target.T + bias
     score = score.astype(np.float64)
     score -= score.max(axis=1, keepdims=True)
-    return ((score - np.log(np.exp(score).sum(axis=1, keepdims=True))) / math.log(10)).astype(np.float32)
-
+    log_p = ((score - np.log(np.exp(score).sum(axis=1, keepdims=True))) / math.log(10)).astype(np.float32)
+    return log_p, given @ turn, target
+
+
+class Side:
+    """Fits own embeddings of words on one side: to the classes before them, or after them."""
+
+    def __init__(self, features: np.ndarray, reference: np.ndarray):
+        """features: of all classes as neighbours. reference: P(neighbour's class | own class), by row."""
+        weight = reference.mean(axis=0, dtype=np.float64)
+        x = features - weight @ features
+        values, axes = np.linalg.eigh((x * weight[:, None]).T @ x)
+        self.features = (x @ axes / np.sqrt(np.maximum(values, 0) + 1e-3 * max(float(values.mean()), 1e-12))).astype(np.float32)
+        self.reference = reference.astype(np.float32)
+        self.mean = self.reference @ self.features
+        self.spread = np.array([np.linalg.eigvalsh((self.features * r[:, None]).T @ self.features)[-1] for r in self.reference], dtype=np.float32)
+        self.length = (self.features**2).sum(axis=1)
+
+    def fit(self, kind: np.ndarray, starts: np.ndarray, near: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """kind: the words' classes. near, n: neighbours' classes and counts; those of word i begin at starts[i], at least one."""
+        n = n.astype(np.float32)
+        c = np.add.reduceat(n, starts)
+        real = 1 / (1 + NOISE)  # of a pair that scores as its class does
+        slope = (1 - real) * (np.add.reduceat(self.features[near] * n[:, None], starts) - c[:, None] * self.mean[kind])
+        # a logistic curve bends by a quarter at most: no step of this length overshoots
+        bend = (c / 4 * (NOISE * self.spread[kind] + np.maximum.reduceat(self.length[near], starts)) + PRIOR)[:, None]
+        own = slope / bend
+        often = np.flatnonzero(c >= MORE_STEPS_FROM)
+        ends = np.append(starts[1:], len(near))
+        for i in range(0, len(often), FITTED_TOGETHER):
+            some = often[i : i + FITTED_TOGETHER]
+            observed = np.zeros((len(some), len(self.features)), dtype=np.float32)
+            for row, word in zip(observed, some):
+                np.add.at(row, near[starts[word] : ends[word]], n[starts[word] : ends[word]])
+            noise = NOISE * c[some, None] * self.reference[kind[some]]
+            u = ahead = own[some]
+            for step in range(1, OWN_STEPS):
+                real = 1 / (1 + NOISE * np.exp(-np.clip(ahead @ self.features.T, -60, 60)))
+                new = ahead + ((observed * (1 - real) - noise * real) @ self.features - PRIOR * ahead) / bend[some]
+                ahead = new + (step - 1) / (step + 2) * (new - u)
+                u = new
+            own[some] = u
+        return own
+
+
+class Model:
+    """The classes' model, and what fits the words' own embeddings."""
+
+    def __init__(self, pairs: np.ndarray):
+        self.log_p, predicted, target = train_classes(pairs)
+        context = (pairs.sum(axis=1) + 0.5) / (pairs.sum() + 0.5 * CLASSES)
+        before = pairs.T + context
+        self.before = Side(predicted, before / before.sum(axis=1, keepdims=True))
+        after = 10.0 ** self.log_p.astype(np.float64)
+        self.after = Side(target, after / after.sum(axis=1, keepdims=True))
+
+    def inputs(self, kind: np.ndarray, starts: np.ndarray, near: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Own input embeddings, and ln Z(h)."""
+        own = self.after.fit(kind, starts, near, n)
+        log_z = np.empty(len(own))
+        for i in range(0, len(own), FITTED_TOGETHER):
+            some = slice(i, i + FITTED_TOGETHER)
+            score = own[some] @ self.after.features.T
+            top = score.max(axis=1, keepdims=True)
+            log_z[some] = np.log((self.after.reference[kind[some]] * np.exp(score - top)).sum(axis=1)) + top[:, 0]
+        return own, log_z
+
+    def add_outputs(self, z: np.ndarray, own: np.ndarray, kind: np.ndarray, c: np.ndarray) -> None:
+        """Adds the words to Z(k, j); z has a row for each shared class."""
+        order = np.argsort(kind, kind="stable")
+        for i in range(0, len(own), FITTED_TOGETHER):
+            some = order[i : i + FITTED_TOGETHER]
+            weight = (c[some, None] + 1) * np.exp(own[some].astype(np.float64) @ self.before.features.T)
+            k, first = np.unique(kind[some] - 1 - OWN_CLASSES, return_index=True)
+            z[k] += np.add.reduceat(weight, first)
+
+
+#: Three kinds of rows: counts of pairs of classes; a head word's neighbours, as side and class (int16) and counts (int64); an occurrence of another word.
+SEEN = "pair long, n long, i long, side binary, times binary, word binary, around int"
+_SEEN = {"pair": pa.int64(), "n": pa.int64(), "i": pa.int64(), "side": pa.binary(), "times": pa.binary(), "word": pa.binary(), "around": pa.int32()}
+
+
+def _seen(size: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in _SEEN.items()], names=list(_SEEN))
+
+
+def _around(kind: np.ndarray) -> np.ndarray:
+    """The classes before and after each token of a text, as one number."""
+    return np.concatenate([[0], kind])[:-1] * CLASSES + np.concatenate([kind, [0]])[1:]
+
+
+def _context_counter(vocabulary):
+    """Counts of pairs of classes and of the head's neighbours, and each occurrence of other words."""
 
-def _pair_counter(vocabulary):
     def count(batches):
+        voc = vocabulary.value
         found = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+        keys, counts, held = [], [], 0
+
+        def merged():
+            k, which = np.unique(np.concatenate(keys), return_inverse=True)
+            return [k], [np.bincount(which, np.concatenate(counts)).astype(np.int64)]
+
         for batch in batches:
+            words, around = [], []
             for data in text_bytes(batch.column("text")):
-                kind = vocabulary.value.encode(tokens(data))[1]
+                at, kind, rest = voc.encode(tokens(data))
                 np.add.at(found, np.concatenate([[0], kind]) * CLASSES + np.concatenate([kind, [0]]), 1)
+                near = _around(kind)
+                shared = at >= OWN_CLASSES
+                base = at[shared] * 2 * CLASSES
+                keys += [base + near[shared] // CLASSES, base + CLASSES + near[shared] % CLASSES]
+                counts += [np.ones(len(base), np.int64)] * 2
+                held += 2 * len(base)
+                words += rest
+                around.append(near[at < 0])
+            if held > 4_000_000:
+                keys, counts = merged()
+                if len(keys[0]) > 2_000_000:
+                    yield from _head_rows(keys[0], counts[0])
+                    keys, counts = [], []
+                held = sum(map(len, keys))
+            if words:
+                yield _seen(len(words), word=words, around=np.concatenate(around))
+        if keys:
+            yield from _head_rows(*(x[0] for x in merged()))
         at = np.flatnonzero(found)
         for i in range(0, len(at), 100_000):
             part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(found[part])], names=["pair", "n"])
+            yield _seen(len(part), pair=part, n=found[part])
 
     return count
 
 
-HEAD = "doc_id long, held_out boolean, n_tokens long, known long, logs double, within double, classes double, rest array<binary>"
+def _head_rows(keys: np.ndarray, n: np.ndarray):
+    """keys: in order. One row for each word of the head."""
+    if not len(keys):
+        return
+    i, first = np.unique(keys // (2 * CLASSES), return_index=True)
+    side, first = (keys % (2 * CLASSES)).astype(np.int16), np.append(first, len(keys)).tolist()
+    for k in range(0, len(i), 10_000):
+        spans = list(zip(first[k : k + 10_000], first[k + 1 : k + 10_001]))
+        yield _seen(len(spans), i=i[k : k + 10_000], side=[side[a:b].tobytes() for a, b in spans], times=[n[a:b].tobytes() for a, b in spans])
+
+
+def _lists(column) -> tuple[np.ndarray, pa.Array]:
+    """Where each row's list begins in the flat values, and these."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets = column.offsets.to_numpy()
+    return (offsets[:-1] - offsets[0]).astype(np.int64), column.flatten()
+
+
+FITTED = "i long, own_in binary, own_out binary, log_z double, z binary"
+_FITTED = [pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.binary()]
+
+
+def _z_row(z: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, z.tobytes()), _FITTED)], names=[x.split()[0] for x in FITTED.split(", ")])
+
+
+def _head_fitter(vocabulary, model):
+    """Rows i, near (list of side, times): embeddings of the head's words, and their part of Z."""
+
+    def fit(batches):
+        voc, m = vocabulary.value, model.value
+        z = np.zeros((SUFFIX_CLASSES, CLASSES))
+        for batch in batches:
+            i = batch.column("i").to_numpy()
+            if not len(i):
+                continue
+            starts, flat = _lists(batch.column("near"))
+            owner = np.repeat(np.arange(len(i)), np.diff(np.append(starts, len(flat))))
+            n = np.zeros((len(i), 2 * CLASSES), dtype=np.int64)
+            for word, side, times in zip(owner.tolist(), flat.field("side").to_pylist(), flat.field("times").to_pylist()):
+                n[word, np.frombuffer(side, np.int16)] += np.frombuffer(times, np.int64)
+            owner, side = np.nonzero(n)
+            n = n[owner, side]
+            sides = []
+            for which in (side < CLASSES, side >= CLASSES):  # each token has a neighbour on either side
+                sides.append((np.searchsorted(owner[which], np.arange(len(i))), side[which] % CLASSES, n[which]))
+            kind = voc.classes[i]
+            out = m.before.fit(kind, *sides[0])
+            own, log_z = m.inputs(kind, *sides[1])
+            m.add_outputs(z, out, kind, voc.counts[i])
+            rows = [pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in out], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(i), *rows, pa.array(log_z), pa.nulls(len(i), pa.binary())], names=[x.split()[0] for x in FITTED.split(", ")])
+        yield _z_row(z)
+
+    return fit
+
+
+def _rest_normaliser(model):
+    """Rows word, around (list): the part of Z of words beyond the head."""
+
+    def add(batches):
+        m = model.value
+        z = np.zeros((SUFFIX_CLASSES, CLASSES))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, around = _lists(batch.column("around"))
+            around = around.to_numpy()
+            kind = np.fromiter(map(suffix_class, batch.column("word").to_pylist()), np.int64, batch.num_rows)
+            out = m.before.fit(kind, starts, around // CLASSES, np.ones(len(around)))
+            m.add_outputs(z, out, kind, np.diff(np.append(starts, len(around))))
+        yield _z_row(z)
+
+    return add
+
+
+def _add_z(batches):
+    z = np.zeros((SUFFIX_CLASSES, CLASSES))
+    for batch in batches:
+        for data in batch.column("z").to_pylist():
+            z += np.frombuffer(data).reshape(z.shape)
+    yield _z_row(z)
+
+
+class Own:
+    """The head's own embeddings (zero for words with a class of their own), and log10 Z(k, j)."""
+
+    def __init__(self, words: int, fitted: pa.Table, z: np.ndarray):
+        self.inputs, self.outputs = (np.zeros((words, DIMENSION), dtype=np.float32) for _ in range(2))
+        self.log_z = np.zeros(words)
+        if fitted.num_rows:
+            i = fitted.column("i").to_numpy()
+            for name, where in (("own_in", self.inputs), ("own_out", self.outputs)):
+                where[i] = np.frombuffer(b"".join(map(bytes, fitted.column(name).to_pylist())), np.float32).reshape(len(i), DIMENSION)
+            self.log_z[i] = fitted.column("log_z").to_numpy()
+        self.log_total = np.zeros((CLASSES, CLASSES), dtype=np.float32)
+        self.log_total[1 + OWN_CLASSES :] = np.log10(1 + z)  # one unseen word
+
+
+CONTRIBUTED = "row long, rest_known long, rest_logs double, rest_score double"
 
 
-def _scorer(vocabulary, log_p):
+def _rest_scorer(model):
+    """Rows word, seen (list of row, around, held_out): what each occurrence adds to its text's score."""
+
+    def score(batches):
+        m = model.value
+        for batch in batches:
+            starts, flat = _lists(batch.column("seen"))
+            row, around = flat.field("row").to_numpy(), flat.field("around").to_numpy()
+            learned = ~flat.field("held_out").to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.append(starts, len(row))))
+            c = np.bincount(owner[learned], minlength=batch.num_rows)
+            met = np.flatnonzero(c)
+            if not len(met):
+                continue
+            place = np.cumsum(c > 0) - 1
+            kind = np.array([suffix_class(w) for w, n in zip(batch.column("word").to_pylist(), c) if n], dtype=np.int64)
+            first = np.concatenate([[0], np.cumsum(c[met])[:-1]])
+            near, one = around[learned], np.ones(int(c.sum()))
+            out = m.before.fit(kind, first, near // CLASSES, one)
+            own, log_z = m.inputs(kind, first, near % CLASSES, one)
+            known = c[owner] > 0
+            row, around, owner = row[known], around[known], owner[known]
+            logs, p = np.log10(c[owner] + 1), place[owner]
+            step = np.einsum("ij,ij->i", out[p], m.before.features[around // CLASSES]).astype(np.float64)
+            step += np.einsum("ij,ij->i", own[p], m.after.features[around % CLASSES]) - log_z[p]
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.ones(len(row), np.int64)), pa.array(logs), pa.array(logs + step / math.log(10))], names=[x.split()[0] for x in CONTRIBUTED.split(", ")])
+
+    return score
+
+
+HEAD = "doc_id long, held_out boolean, n_tokens long, known long, logs double, within double, classes double, rest array<binary>, around array<int>"
+
+
+def _scorer(vocabulary, model, own):
     def score(batches):
-        voc, table = vocabulary.value, log_p.value
+        voc, m, o = vocabulary.value, model.value, own.value
         log_count = np.log10(voc.counts + 1)
         end_log, end_known = math.log10(voc.end_count + 1), int(voc.end_count > 0)
         for batch in batches:
@@ -195,20 +466,26 @@ def _scorer(vocabulary, log_p):
             for data in text_bytes(batch.column("text")):
                 at, kind, rest = voc.encode(tokens(data))
                 head = at[at >= 0]
-                steps = table[np.concatenate([[0], kind]), np.concatenate([kind, [0]])]
+                steps = m.log_p[np.concatenate([[0], kind]), np.concatenate([kind, [0]])]
+                near = _around(kind)
+                shared = at >= OWN_CLASSES
+                i, before, after = at[shared], near[shared] // CLASSES, near[shared] % CLASSES
+                adjusted = float(np.vdot(o.outputs[i], m.before.features[before])) + float(np.vdot(o.inputs[i], m.after.features[after]))
+                adjusted -= o.log_z[i].sum()
                 rows.append(
                     (
                         len(at) + 1,
                         len(head) + end_known,
                         float(log_count[head].sum()) + end_log,
                         # words that share a class: their counts' logarithms, less the class's
-                        float(log_count[head[head >= OWN_CLASSES]].sum()) - float(voc.class_total[kind].sum()),
-                        float(steps.sum(dtype=np.float64)),
+                        float(log_count[i].sum()) - float(o.log_total[kind, near // CLASSES].sum(dtype=np.float64)),
+                        float(steps.sum(dtype=np.float64)) + float(adjusted) / math.log(10),
                         rest,
+                        near[at < 0],
                     )
                 )
-            columns = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 3, pa.list_(pa.binary())]
+            columns = list(zip(*rows)) or [[]] * 7
+            kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 3, pa.list_(pa.binary()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(list(c), t) for c, t in zip(columns, kinds))], names=[x.split()[0] for x in HEAD.split(", ")])
 
     return score
@@ -228,21 +505,36 @@ def score_texts(docs: DataFrame, folds: int = 7, left_out: int = 2, work: Worksp
     counts = work.save(map_arrow(learned, _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
     voc = learn_vocabulary(counts)
     vocabulary = spark.sparkContext.broadcast(voc)
-    found = map_arrow(learned, _pair_counter(vocabulary), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    seen = work.save(map_arrow(learned, _context_counter(vocabulary), SEEN))
+    work.drop(counts)
+    found = seen.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(CLASSES * CLASSES)
     pairs[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    log_p = spark.sparkContext.broadcast(train(pairs.reshape(CLASSES, CLASSES)))
-
-    head = work.save(map_arrow(rows, _scorer(vocabulary, log_p), HEAD).withColumn("row", F.monotonically_increasing_id()))
-    each = head.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
-    rest = each.join(counts.where(F.col("word") != F.lit(END)), "word").groupBy("row").agg(F.sum("n").alias("rest_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rest_logs"))
+    model = spark.sparkContext.broadcast(Model(pairs.reshape(CLASSES, CLASSES)))
+
+    # a task hands on a table of Z, so there are as many as there are cores, not partitions
+    tasks = max(12, 2 * spark.sparkContext.defaultParallelism)
+    near = seen.where("i is not null").groupBy("i").agg(F.collect_list(F.struct("side", "times")).alias("near"))
+    fitted = work.save(map_arrow(near.coalesce(tasks), _head_fitter(vocabulary, model), FITTED))
+    others = seen.where("word is not null").groupBy("word").agg(F.collect_list("around").alias("around")).coalesce(tasks)
+    parts = work.save(map_arrow(others, _rest_normaliser(model), FITTED)).unionByName(fitted).where("z is not null").select("z")
+    z = np.zeros((SUFFIX_CLASSES, CLASSES))
+    for r in map_arrow(parts.repartition(8), _add_z, FITTED).select("z").collect():  # however many tasks there were
+        z += np.frombuffer(r["z"]).reshape(z.shape)
+    own = spark.sparkContext.broadcast(Own(len(voc.words), fitted.where("i is not null").drop("z").toArrow(), z))
+    work.drop(seen)
+
+    head = work.save(map_arrow(rows, _scorer(vocabulary, model, own), HEAD).withColumn("row", F.monotonically_increasing_id()))
+    each = head.select("row", "held_out", F.explode(F.arrays_zip("rest", "around")).alias("x")).groupBy(F.col("x.rest").alias("word"))
+    each = each.agg(F.collect_list(F.struct("row", F.col("x.around").alias("around"), "held_out")).alias("seen"))
+    rest = map_arrow(each, _rest_scorer(model), CONTRIBUTED).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("rest_known", "rest_logs", "rest_score")))
     c, zero = F.col, lambda x: F.coalesce(F.col(x), F.lit(0))
-    return head.drop("rest").join(rest, "row", "left").select(
+    return head.drop("rest", "around").join(rest, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (c("known") + zero("rest_known")).alias("n_known"),
         F.lit(voc.total).cast("long").alias("train_tokens"),
         (c("logs") + zero("rest_logs") - c("n_tokens") * math.log10(voc.total + voc.distinct + 1)).alias("base_score"),
-        (c("classes") + c("within") + zero("rest_logs")).alias("score"),
+        (c("classes") + c("within") + zero("rest_score")).alias("score"),
     )

@@ -134,6 +134,40 @@ def test_lm_is_normalised(monkeypatch):
     assert 10 ** voc.class_total[shared] == pytest.approx((3 + 1) + 2 + 1)  # cc and xcc, and one unseen word
 
 
+def test_lm_rare_words_have_contexts_of_their_own(spark, monkeypatch):
+    """Words of one shared class are told apart by what stands before and after each."""
+    filler = [f"f{i}x{i % 7}" for i in range(780)]
+    said = ["kiwi qqab lime", "plum wwab pear"]
+    rows = [(i, " ".join(filler) + " kiwi plum lime pear" * 3) for i in range(40)] + [(100 + i, said[i % 2]) for i in range(30)]
+    held = itertools.islice((i for i in itertools.count(1000) if zlib.crc32(str(i).encode()) % 7 == 2), 4)
+    tests = dict(zip(held, ["kiwi qqab lime", "plum wwab pear", "kiwi wwab lime", "plum qqab pear"]))
+    df = frame(spark, [(*r, None, None, None) for r in [*rows, *tests.items()]])
+    found = []
+    for head in (lbl_lm.HEAD_WORDS, 786):  # by the broadcast, and by the gathered occurrences
+        monkeypatch.setattr(lbl_lm, "HEAD_WORDS", head)
+        score = {tests[r["doc_id"]]: r["score"] for r in lbl_lm.score_texts(df).where("doc_id >= 1000").collect()}
+        seen, unseen = (sum(score[t] for t in part) for part in (said, ["kiwi wwab lime", "plum qqab pear"]))
+        assert seen > unseen + 0.1
+        found.append([score[t] for t in tests.values()])
+    assert np.allclose(*found, atol=1e-3)
+
+
+def test_lm_own_embeddings_are_normalised():
+    rng = np.random.default_rng(1)
+    model = lbl_lm.Model(rng.integers(0, 9, (lbl_lm.CLASSES, lbl_lm.CLASSES)).astype(float))
+    n = np.array([1, 3, 40])
+    starts, near = np.array([0, 1, 4]), rng.integers(0, lbl_lm.CLASSES, 44)
+    kind = np.array([lbl_lm.CLASSES - 1, lbl_lm.CLASSES - 1, lbl_lm.CLASSES - 2])
+    own, log_z = model.inputs(kind, starts, near, np.ones(44))
+    p = model.after.reference[kind] * np.exp(own @ model.after.features.T - log_z[:, None])
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-4) and np.abs(own).max() > 0
+    out = model.before.fit(kind, starts, near, np.ones(44))
+    z = np.zeros((lbl_lm.SUFFIX_CLASSES, lbl_lm.CLASSES))
+    model.add_outputs(z, out, kind, n)
+    expected = (n[:2, None] + 1) * np.exp(out[:2].astype(float) @ model.before.features.T)
+    assert np.allclose(z[-1], expected.sum(axis=0)) and z[-2].min() > 0 and not z[:-2].any()
+
+
 def test_packing(documents):
     rows, df = documents
     path = public_tokenizers.path("word_bpe_49k.json")
