@@ -146,7 +146,9 @@ def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     A text that is a JSON object may hold ``tool_calls``, a list of {id, name, arguments, after}, or
     ``tool_call_id`` and ``content``.  Any other turn is dialogue: a user or system turn calls
     ``reply`` or ``configure`` by the id ``turn-<turn>``, with its text and turn as arguments, and an
-    assistant turn is the result of the turn before it.
+    assistant turn is the result of the turn before it.  So is a turn of any other role, or of none
+    (null).  A text with an empty list ``tool_calls`` and no ``tool_call_id`` makes no call and is
+    dialogue.  So every turn gives at least one call or result.
     """
     c = F.col
     call = "array<struct<id:string,name:string,arguments:variant,after:array<string>>>"
@@ -156,8 +158,9 @@ def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.try_variant_get("data", "$.tool_calls", call).alias("tool_calls"),
         F.try_variant_get("data", "$.tool_call_id", "string").alias("answers"),
     )
-    plain = c("tool_calls").isNull() & c("answers").isNull()
-    spoken = parsed.where(plain & c("role").isin("user", "system"))
+    plain = (c("tool_calls").isNull() | (F.size("tool_calls") == 0)) & c("answers").isNull()
+    asks = F.coalesce(c("role").isin("user", "system"), F.lit(False))
+    spoken = parsed.where(plain & asks)
     said = spoken.select(
         "conv_id",
         F.concat(F.lit("turn-"), c("turn").cast("string")).alias("call_id"),
@@ -170,7 +173,7 @@ def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv_id", c("t.id").alias("call_id"), "turn", c("t.name").alias("name"), F.to_json("t.arguments").alias("arguments"), c("t.after").alias("after")
     )
     answered = parsed.where("answers is not null").select("conv_id", c("answers").alias("call_id"), "turn", F.try_variant_get("data", "$.content", "string").alias("content"))
-    heard = parsed.where(plain & ~c("role").isin("user", "system")).select(
+    heard = parsed.where(plain & ~asks).select(
         "conv_id", F.concat(F.lit("turn-"), (c("turn") - 1).cast("string")).alias("call_id"), "turn", c("text").alias("content")
     )
     return said.unionByName(made), answered.unionByName(heard)

@@ -199,6 +199,24 @@ def test_tool_calls(spark):
     assert chat_tools.format_conversations(df.limit(0)).count() == 0
 
 
+def test_no_turn_vanishes(spark):
+    messages = [
+        (1, 0, "user", "asked"), (1, 1, None, "answered"), (2, 1, None, "alone"), (3, 0, None, None),
+        (4, 0, "user", json.dumps({"tool_calls": []})), (4, 1, "assistant", json.dumps({"tool_calls": [], "content": "x"})), (5, 1, None, json.dumps({"tool_calls": []})),
+        (6, 1, None, json.dumps({"tool_calls": [], "tool_call_id": "q", "content": "y"})),
+    ]
+    out = chat_tools.format_conversations(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r["conv_id"], r["call_id"], r["call_turn"], r["result_turn"], r["status"]) for r in out) == [
+        (1, "turn-0", 0, 1, "linked"),
+        (2, "turn-0", None, 1, "orphan_result"),
+        (3, "turn--1", None, 0, "orphan_result"),
+        (4, "turn-0", 0, 1, "linked"),
+        (5, "turn-0", None, 1, "orphan_result"),
+        (6, "q", None, 1, "orphan_result"),
+    ]
+    assert json.loads(next(r["json"] for r in out if r["conv_id"] == 1))["result"] == "answered"
+
+
 # -- decontamination
 
 
