@@ -9,7 +9,10 @@ first replaced in the text by U+0003, which no pattern matches, so positions sta
 
 Base kinds are email, ip, card and phone.  They are kept whatever their score.  The method adds
 iban (confirmed by mod-97) and local_phone (a national number, accepted only near a context
-word), unless they overlap a base span.  Positions are code points from 0, the end exclusive.
+word), unless they overlap a base span.  An IBAN may start at any word that looks like one, and
+ends at the last word of the longest run that mod-97 confirms, so upper-case words and numbers
+around it don't hide it; of overlapping ones the leftmost counts.  Countries and their lengths are not looked at: mod-97
+confirms one wrong run in 97, and such a run before an IBAN or beyond its end sets wrong bounds.  Positions are code points from 0, the end exclusive.
 
 The patterns are written so that a match costs time in proportion to its length: a run of
 characters is tried from its start only (or from the end of the last match), and possessive
@@ -37,7 +40,8 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9_])",
+    # proposes at each start, without going on behind it: what is put before the text is a copy
+    "iban": r"(?<![A-Za-z0-9_])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9_]))",
     "local_phone": r"(?<![A-Za-z0-9_])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9_])",
 }
 CONTEXT = {
@@ -87,7 +91,34 @@ def _valid(kind: str, match: Column) -> Column:
         return F.length(digits).between(14, 19) & _luhn(digits)
     if kind == "phone":
         return F.length(_digits(match)).between(10, 15)
-    return _mod97(match) if kind == "iban" else F.lit(True)
+    return F.lit(True)
+
+
+def _confirmed_iban(proposed: Column) -> Column:
+    """The longest run of words from the start that mod-97 confirms, or null."""
+    words = F.split(proposed, " ")
+    runs = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(words, 1, k), " "))
+    return F.get(F.filter(runs, _mod97), F.lit(0))
+
+
+def _ibans(text: Column, present: Column) -> Column:
+    """As ``_matches``; a part holds a copy of the proposal, then the text from its start on."""
+    none = F.array().cast(f"array<{SPAN}>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+
+    def step(so_far: Column, part: Column) -> Column:
+        marked = F.instr(part, "\u0002") > 0
+        proposed = F.substring_index(part, "\u0002", 1)
+        free = F.coalesce(F.array_max(F.transform(so_far.found, lambda s: s.end)), F.lit(0)) <= so_far.at
+        kept = F.filter(F.array(F.when(marked & free, _confirmed_iban(proposed))), lambda m: m.isNotNull())
+        spans = F.transform(kept, lambda m: F.struct(so_far.at.alias("start"), F.lit(KINDS.index("iban")).alias("kind"), (so_far.at + F.length(m)).alias("end"), m.alias("match")))
+        return F.struct(
+            (so_far.at + F.length(part) - F.when(marked, F.length(proposed) + 1).otherwise(F.lit(0))).alias("at"),
+            F.concat(so_far.found, spans).alias("found"),
+        )
+
+    parts = F.split(F.regexp_replace(text, PATTERNS["iban"], "\u0001$1\u0002"), "\u0001")
+    return F.when(present, F.aggregate(parts, start, step, lambda x: x.found)).otherwise(none)
 
 
 def _matches(kind: str, text: Column, present: Column) -> Column:
@@ -121,7 +152,7 @@ def find(docs: DataFrame, text: str = "text", name: str = "pii") -> DataFrame:
     has = lambda c: F.instr(F.col("_pii_clean"), c) > 0
     digit = F.col("_pii_clean").rlike("[0-9]")
     present = {"email": has("@"), "ip": digit, "card": digit, "phone": has("+"), "iban": digit, "local_phone": digit}
-    found = docs.withColumn("_pii_clean", clean).withColumn("_pii_proposed", F.concat(*(_matches(k, F.col("_pii_clean"), present[k]) for k in KINDS)))
+    found = docs.withColumn("_pii_clean", clean).withColumn("_pii_proposed", F.concat(*(_ibans(F.col("_pii_clean"), present[k]) if k == "iban" else _matches(k, F.col("_pii_clean"), present[k]) for k in KINDS)))
 
     def scored(span: Column) -> Column:
         before = F.lower(F.substring(F.col("_pii_clean"), F.greatest(span.start - CONTEXT_CHARACTERS, F.lit(0)) + 1, F.least(span.start, F.lit(CONTEXT_CHARACTERS))))

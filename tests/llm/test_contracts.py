@@ -103,6 +103,20 @@ def test_pii_added_kinds_and_redaction(spark):
     assert pii.redact(df).columns == df.columns
 
 
+def test_iban_among_upper_case_words_and_numbers(spark):
+    gb, de, no = "GB29NWBK60161331926819", "DE89 3704 0044 0532 0130 00", "NO9386011117947"
+    cases = [
+        (f"{gb} BIC: X", [gb]), (f"{de} BIC COBADEFF", [de]), ("DE89370400440532013000 EUR 500", ["DE89370400440532013000"]),
+        ("é GB29 NWBK 6016 1331 9268 19 I will", ["GB29 NWBK 6016 1331 9268 19"]), (f"{no} {no}", [no, no]), (f"ID99 ABC {de} 7", [de]),
+        (f"x{gb} {gb}x", []), ("GB29NWBK60161331926818 BIC", []),
+    ]
+    df = frame(spark, [(i, text, None, None, None) for i, (text, _) in enumerate(cases)])
+    spans = {r["doc_id"]: [s["match"] for s in r["pii"] if s["kind"] == pii.KINDS.index("iban")] for r in pii.find(df.drop("pii")).collect()}
+    places = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["pii"] if s["kind"] == pii.KINDS.index("iban")] for r in pii.find(df.drop("pii")).collect()}
+    assert spans == places == {i: expected for i, (_, expected) in enumerate(cases)}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}[1] == "[IBAN] BIC COBADEFF"
+
+
 def test_lm_base(documents):
     rows, df = documents
     tokens = lambda text: words(lower(text or "")) + [None]
