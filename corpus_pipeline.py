@@ -1,6 +1,7 @@
 """The corpus pipeline: each stage takes all documents that the one before has kept.
 
-1. Documents whose language is not known go.
+1. Documents whose language is not known go; without labels to learn from, only those without letters.
+   How sure the model must be follows the number of labels; more than 1,000 labels are an error.
 2. Of each group of near-duplicates one document stays.
 3. Documents that hold a benchmark item go.
 4. Personal data in the texts is replaced by its kind.

@@ -32,7 +32,7 @@ SAMPLE_ROWS = 6000
 MOST_LABELS = 1000
 #: One document in so many is left out of training.
 FOLDS = 5
-#: A pipeline keeps predictions from this calibrated score on; with four languages chance is 0.25.
+#: A pipeline keeps predictions from this calibrated score on with four languages, where chance is 0.25.
 LEAST_SCORE = 0.4
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.1
 #: Odd multipliers for the hash of n-grams, one for each position.
@@ -217,10 +217,29 @@ def learned_from(folds: int = FOLDS):
     return F.coalesce(crc_mod("doc_id", folds) != 0, F.lit(False))
 
 
-def keep_known(docs: DataFrame, least_score: float = LEAST_SCORE, work: Workspace | None = None) -> DataFrame:
-    """The documents, with all their columns, whose language is known; text without letters is rejected."""
+def least_known(labels: int) -> float:
+    """The bound of ``keep_known``: as far from chance to certainty as LEAST_SCORE is with four labels."""
+    chance = 1 / max(1, labels)
+    return chance + (1 - chance) * (LEAST_SCORE - 0.25) / 0.75
+
+
+def keep_known(docs: DataFrame, least_score: float | None = None, work: Workspace | None = None) -> DataFrame:
+    """The documents, with all their columns, whose language is known; text without letters is rejected.
+
+    If no labelled row can be learned from, only text without letters is rejected. The bound follows
+    the number of labels unless it is given. More than MOST_LABELS labels are an error.
+    """
     work = work or Workspace(docs.sparkSession, "langid")
     model = train(docs.where(learned_from()), work)
+    if not model.labels:
+
+        def lettered(batches):
+            for batch in batches:
+                yield batch.filter(pa.array([counts(text) is not None for text in batch.column("text").to_pylist()], pa.bool_()))
+
+        return map_arrow(docs, lettered, docs.schema)
+    if least_score is None:
+        least_score = least_known(len(model.labels)) - 1e-9  # the last digit is rounding
     label, score = "_lang_pred_", "_lang_score_"
     return apply(docs, model, label, score).where((F.col(label) != "und") & (F.col(score) >= least_score)).select(*docs.columns)
 

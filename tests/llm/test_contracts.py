@@ -182,6 +182,16 @@ def test_lm_own_embeddings_are_normalised():
     assert np.allclose(z[-1], expected.sum(axis=0)) and z[-2].min() > 0 and not z[:-2].any()
 
 
+def test_keep_known_without_labels(spark):
+    rows = [(d, t, None, s, n) for d, t, _, s, n in odd_documents()]
+    df = frame(spark, rows)
+    kept = langid.keep_known(df)
+    assert kept.columns == df.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r[0] for r in rows if any(c.isalpha() for c in r[1] or ""))
+    assert langid.least_known(4) == pytest.approx(langid.LEAST_SCORE)
+    assert langid.least_known(1) == pytest.approx(1) and 0.5 < langid.least_known(2) < 1 and langid.least_known(1000) < 0.25
+
+
 def test_packing(documents):
     rows, df = documents
     path = public_tokenizers.path("word_bpe_49k.json")
