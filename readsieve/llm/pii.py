@@ -1,7 +1,7 @@
 """Personal data in texts, with DataFrame functions only.
 
 Regular expressions propose spans, checksums confirm them (Luhn for cards, mod-97 for IBANs),
-and context words in the 40 characters before a span adjust its score.
+and context words in the 40 characters before or after a span adjust its score.
 
 Spark's regular expressions give no positions.  A pass therefore puts U+0001 before and U+0002
 after each match, cuts at U+0001, and adds up the lengths of the parts.  Both characters are
@@ -23,9 +23,12 @@ repeats never go back.  They find the same leftmost, non-overlapping matches as
     card   [0-9]([\\x20-]?[0-9])+
     phone  \\+[0-9][\\x20().0-9-]+[0-9]
 
+So does all else: spans are gathered in chunks instead of one growing array, context is cut from
+blocks of the text instead of the whole of it, and overlaps are found in one pass over sorted spans.
+
 Edge cases: a null text counts as empty and has no spans; texts are read whole; repeated rows give
 equal results; a null doc_id is kept; an empty table gives an empty result; other columns stay as
-they are in ``find`` and ``redact``.
+they are in ``find`` and ``redact``, whatever their names: no column is added for the time between.
 """
 
 from __future__ import annotations
@@ -58,8 +61,57 @@ CONTEXT_SCORE = 0.15
 #: Added kinds are kept from this score on.
 ACCEPTED = 0.5
 CONTEXT_CHARACTERS = 40
+#: Items that one array of a fold gathers, and characters of a block of text.
+CHUNK, BLOCK = 64, 512
 
 SPAN = "struct<start:int,kind:int,end:int,match:string>"
+SCORED_SPAN = SPAN.replace(">", ",score:double>")
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once (and what it gives copied once)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _folded(values: Column, state: Column, step, kind: str) -> Column:
+    """What ``step(state, value) -> (state, array)`` emits along an array, as one array<kind>.
+
+    A fold copies what it has gathered at each step. So the first pass keeps only the state (a number)
+    that each chunk begins with, and the second gathers within chunks.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(so_far: Column, value: Column) -> Column:
+        after, emitted = step(so_far.state, value)
+        return F.struct(after.alias("state"), F.concat(so_far.out, emitted).alias("out"))
+
+    def begun(states: Column, chunk: Column) -> Column:
+        return F.concat(states, F.array(F.aggregate(chunk, F.element_at(states, -1), lambda x, value: step(x, value)[0])))
+
+    def gathered(chunk: Column, begin: Column) -> Column:
+        return F.aggregate(chunk, F.struct(begin.alias("state"), none.alias("out")), one, lambda x: x.out)
+
+    def whole(chunks: Column) -> Column:
+        states = F.slice(F.aggregate(chunks, F.array(state), begun), F.lit(1), F.size(chunks))
+        return F.flatten(F.zip_with(chunks, states, gathered))
+
+    def cut(array: Column) -> Column:
+        last = F.floor(F.greatest(F.size(array) - 1, F.lit(0)) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(array, k * CHUNK + 1, CHUNK))
+
+    return _let(_let(values, cut), whole)
+
+
+def _blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from start up to end."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.slice(blocks, first + 1, F.floor((end - 1) / BLOCK).cast("int") - first + 1)
+    return F.when(end > start, F.substring(F.array_join(some, ""), start - first * BLOCK + 1, end - start)).otherwise("")
 
 
 def _digits(text: Column) -> Column:
@@ -103,87 +155,104 @@ def _confirmed_iban(proposed: Column) -> Column:
 
 def _ibans(text: Column, present: Column) -> Column:
     """As ``_matches``; a part holds a copy of the proposal, then the text from its start on."""
-    none = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+    none, kind = F.array().cast(f"array<{SPAN}>"), F.lit(KINDS.index("iban"))
 
-    def step(so_far: Column, part: Column) -> Column:
+    def step(at: Column, part: Column) -> tuple[Column, Column]:
         marked = F.instr(part, "\u0002") > 0
         proposed = F.substring_index(part, "\u0002", 1)
-        free = F.coalesce(F.array_max(F.transform(so_far.found, lambda s: s.end)), F.lit(0)) <= so_far.at
-        kept = F.filter(F.array(F.when(marked & free, _confirmed_iban(proposed))), lambda m: m.isNotNull())
-        spans = F.transform(kept, lambda m: F.struct(so_far.at.alias("start"), F.lit(KINDS.index("iban")).alias("kind"), (so_far.at + F.length(m)).alias("end"), m.alias("match")))
-        return F.struct(
-            (so_far.at + F.length(part) - F.when(marked, F.length(proposed) + 1).otherwise(F.lit(0))).alias("at"),
-            F.concat(so_far.found, spans).alias("found"),
-        )
+        kept = F.filter(F.array(F.when(marked, _confirmed_iban(proposed))), lambda m: m.isNotNull())
+        spans = F.transform(kept, lambda m: F.struct(at.alias("start"), kind.alias("kind"), (at + F.length(m)).alias("end"), m.alias("match")))
+        return at + F.length(part) - F.when(marked, F.length(proposed) + 1).otherwise(F.lit(0)), spans
+
+    def leftmost(free_from: Column, span: Column) -> tuple[Column, Column]:
+        free = span.start >= free_from
+        return F.when(free, span.end).otherwise(free_from), F.when(free, F.array(span)).otherwise(none)
 
     parts = F.split(F.regexp_replace(text, PATTERNS["iban"], "\u0001$1\u0002"), "\u0001")
-    return F.when(present, F.aggregate(parts, start, step, lambda x: x.found)).otherwise(none)
+    return F.when(present, _folded(_folded(parts, F.lit(0), step, SPAN), F.lit(0), leftmost, SPAN)).otherwise(none)
 
 
 def _matches(kind: str, text: Column, present: Column) -> Column:
     """The confirmed spans of a kind. ``present``: what a text with a match surely fulfils."""
     none = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
-    def step(so_far: Column, part: Column) -> Column:
+    def step(at: Column, part: Column) -> tuple[Column, Column]:
         match = F.substring_index(part, "\u0002", 1)
         marked = F.instr(part, "\u0002") > 0
-        span = F.struct(so_far.at.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (so_far.at + F.length(match)).alias("end"), match.alias("match"))
-        return F.struct(
-            (so_far.at + F.length(part) - marked.cast("int")).alias("at"),
-            F.when(marked & _valid(kind, match), F.concat(so_far.found, F.array(span))).otherwise(so_far.found).alias("found"),
-        )
+        span = F.struct(at.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (at + F.length(match)).alias("end"), match.alias("match"))
+        return at + F.length(part) - marked.cast("int"), F.when(marked & _valid(kind, match), F.array(span)).otherwise(none)
 
     parts = F.split(F.regexp_replace(text, PATTERNS[kind], "\u0001$0\u0002"), "\u0001")
-    return F.when(present, F.aggregate(parts, start, step, lambda x: x.found)).otherwise(none)
+    return F.when(present, _folded(parts, F.lit(0), step, SPAN)).otherwise(none)
 
 
 def _by_kind(values: dict, kind: Column) -> Column:
     return F.element_at(F.array(*(F.lit(values[k]) for k in KINDS)), kind + 1)
 
 
-def find(docs: DataFrame, text: str = "text", name: str = "pii") -> DataFrame:
-    """Adds a column: array of (start, kind, end, match, score) by start, then kind as listed in KINDS.
+def _scored(spans: Column, text: Column) -> Column:
+    """Adds the score to each span, by the context words before and after it."""
 
-    A column of this name is replaced, and so are ``_pii_clean`` and ``_pii_proposed``.
-    """
-    clean = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "\u0001\u0002", "\u0003\u0003")
-    has = lambda c: F.instr(F.col("_pii_clean"), c) > 0
-    digit = F.col("_pii_clean").rlike("[0-9]")
-    present = {"email": has("@"), "ip": digit, "card": digit, "phone": has("+"), "iban": digit, "local_phone": digit}
-    found = docs.withColumn("_pii_clean", clean).withColumn("_pii_proposed", F.concat(*(_ibans(F.col("_pii_clean"), present[k]) if k == "iban" else _matches(k, F.col("_pii_clean"), present[k]) for k in KINDS)))
-
-    def scored(span: Column) -> Column:
-        before = F.lower(F.substring(F.col("_pii_clean"), F.greatest(span.start - CONTEXT_CHARACTERS, F.lit(0)) + 1, F.least(span.start, F.lit(CONTEXT_CHARACTERS))))
+    def score(span: Column, blocks: Column) -> Column:
+        before = F.lower(_cut(blocks, F.greatest(span.start - CONTEXT_CHARACTERS, F.lit(0)), span.start))
+        after = F.lower(_cut(blocks, span.end, span.end + CONTEXT_CHARACTERS))
         near = F.lit(False)
         for i, kind in enumerate(KINDS):
-            near = near | ((span.kind == i) & before.rlike(CONTEXT[kind]))
-        score = F.round(_by_kind(SCORES, span.kind) + F.when(near, F.lit(CONTEXT_SCORE)).otherwise(F.lit(0.0)), 2)
-        return F.struct(span.start.alias("start"), span.kind.alias("kind"), span.end.alias("end"), span.match.alias("match"), score.alias("score"))
+            near = near | ((span.kind == i) & (before.rlike(CONTEXT[kind]) | after.rlike(CONTEXT[kind])))
+        value = F.round(_by_kind(SCORES, span.kind) + F.when(near, F.lit(CONTEXT_SCORE)).otherwise(F.lit(0.0)), 2)
+        return F.struct(span.start.alias("start"), span.kind.alias("kind"), span.end.alias("end"), span.match.alias("match"), value.alias("score"))
+
+    return _let(_blocks(text), lambda blocks: F.transform(spans, lambda s: score(s, blocks)))
+
+
+def _accepted(spans: Column) -> Column:
+    """Of spans by start and kind: the base kinds, and of the added ones those that score well and overlap none of these."""
+    base = lambda s: s.kind < len(BASE_KINDS)
+    reached = lambda end, s: (F.when(base(s), F.greatest(end, s.end)).otherwise(end), F.array(end))
+    coming = lambda start, s: (F.when(base(s), F.least(start, s.start)).otherwise(start), F.array(start))
+    before = _folded(spans, F.lit(0), reached, "int")
+    after = F.reverse(_folded(F.reverse(spans), F.lit(2**31 - 1), coming, "int"))
+    around = F.zip_with(before, after, lambda a, b: F.struct(a.alias("end"), b.alias("start")))
+    keep = lambda s, x: base(s) | ((s.score >= ACCEPTED) & (x.end <= s.start) & (x.start >= s.end))
+    marked = F.zip_with(spans, around, lambda s, x: F.when(keep(s, x), s))
+    return F.when(F.exists(spans, lambda s: ~base(s)), F.filter(marked, lambda s: s.isNotNull())).otherwise(spans)
 
-    base = F.filter("_pii_proposed", lambda s: s.kind < len(BASE_KINDS))
-    apart = lambda s: ~F.exists(base, lambda b: (b.start < s.end) & (s.start < b.end))
-    kept = F.filter(F.transform("_pii_proposed", scored), lambda s: (s.kind < len(BASE_KINDS)) | (s.score >= ACCEPTED) & apart(s))
-    return found.withColumn(name, F.array_sort(kept)).drop("_pii_clean", "_pii_proposed")
+
+def spans_of(text: Column) -> Column:
+    """Array of (start, kind, end, match, score) by start, then kind as listed in KINDS."""
+
+    def found(clean: Column) -> Column:
+        has = lambda c: F.instr(clean, c) > 0
+        digit = clean.rlike("[0-9]")
+        present = {"email": has("@"), "ip": digit, "card": digit, "phone": has("+"), "iban": digit, "local_phone": digit}
+        each = [_ibans(clean, present[k]) if k == "iban" else _matches(k, clean, present[k]) for k in KINDS]
+        none = F.array().cast(f"array<{SCORED_SPAN}>")
+        return _let(F.array_sort(F.concat(*each)), lambda spans: F.when(F.size(spans) > 0, _let(_scored(spans, clean), _accepted)).otherwise(none))
+
+    return _let(F.translate(F.coalesce(text.cast("string"), F.lit("")), "\u0001\u0002", "\u0003\u0003"), found)
+
+
+def find(docs: DataFrame, text: str = "text", name: str = "pii") -> DataFrame:
+    """Adds a column of spans (``spans_of``); a column of this name is replaced."""
+    return docs.withColumn(name, spans_of(F.col(text)))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replaces each span in the text by its kind in brackets; overlapping spans become one."""
-    at, out = F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")
 
-    def step(so_far: Column, span: Column) -> Column:
+    def step(at: Column, span: Column, blocks: Column) -> tuple[Column, Column]:
         tag = F.concat(F.lit("["), F.upper(_by_kind({k: k for k in KINDS}, span.kind)), F.lit("]"))
-        before = F.substring(F.col(text), so_far.at + 1, span.start - so_far.at)
-        return F.struct(
-            F.greatest(so_far.at, span.end).alias("at"),
-            F.when(span.start >= so_far.at, F.concat(so_far.out, F.array(before, tag))).otherwise(so_far.out).alias("out"),
-        )
+        pieces = F.when(span.start >= at, F.array(_cut(blocks, at, span.start), tag)).otherwise(F.array().cast("array<string>"))
+        return F.greatest(at, span.end), pieces
+
+    def joined(spans: Column, blocks: Column) -> Column:
+        rest = _cut(blocks, F.array_max(F.transform(spans, lambda s: s.end)), F.length(text))
+        return F.concat(F.array_join(_folded(spans, F.lit(0), lambda at, s: step(at, s, blocks), "string"), ""), rest)
+
+    def cleaned(spans: Column) -> Column:
+        return F.when(F.size(spans) > 0, _let(_blocks(F.col(text)), lambda blocks: joined(spans, blocks))).otherwise(F.col(text))
 
-    name = "_pii_spans"
-    finish = lambda x: F.concat(F.array_join(x.out, ""), F.substring(F.col(text), x.at + 1, F.length(text)))
-    cleaned = F.when(F.size(name) > 0, F.aggregate(name, F.struct(at, out), step, finish)).otherwise(F.col(text))
-    return find(docs, text, name).withColumn(text, cleaned).select(*docs.columns)
+    return docs.withColumn(text, _let(spans_of(F.col(text)), cleaned))
 
 
 def _said(spans: Column) -> Column:
@@ -214,7 +283,8 @@ def _oracle_sql() -> str:
         "local_phone": r"\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b",
     }
     cut = "string_split(regexp_replace(t, '({})', chr(1) || '\\1' || chr(2), 'g'), chr(1))"
-    split = " UNION ALL ".join(f"SELECT doc_id, t, {i} AS kind, {cut.format(plain[k])} AS parts FROM clean" for i, k in enumerate(KINDS))
+    starts = plain | {"iban": r"\b[A-Z]{2}[0-9]{2}"}
+    split = " UNION ALL ".join(f"SELECT doc_id, t, {i} AS kind, {cut.format(starts[k])} AS parts FROM clean" for i, k in enumerate(KINDS))
     by_kind = lambda f: "CASE kind " + " ".join(f"WHEN {i} THEN {f(k)}" for i, k in enumerate(KINDS)) + " END"
     luhn = "list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(digits, -i, 1) AS INT) ELSE CAST(substr(digits, -i, 1) AS INT) * 2 - CASE WHEN CAST(substr(digits, -i, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
     moved = "substr(replace(match, ' ', ''), 5) || substr(replace(match, ' ', ''), 1, 4)"
@@ -225,10 +295,13 @@ def _oracle_sql() -> str:
         "ip": "list_bool_and(list_transform(string_split(match, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND CAST('0' || right(ltrim(p, '0'), 3) AS INT) <= 255))",
         "card": f"length(digits) BETWEEN 14 AND 19 AND {luhn}",
         "phone": "length(digits) BETWEEN 10 AND 15",
-        "iban": f"length(replace(match, ' ', '')) BETWEEN 15 AND 34 AND {mod97}",
+        "iban": "true",
         "local_phone": "true",
     }
-    near = by_kind(lambda k: f"regexp_matches(before, '{CONTEXT[k]}')")
+    near = by_kind(lambda k: f"(regexp_matches(before, '{CONTEXT[k]}') OR regexp_matches(after, '{CONTEXT[k]}'))")
+    runs = "list_transform(range(len(words), 0, -1), lambda k: array_to_string(words[1:k], ' '))"
+    confirmed = f"list_filter(runs, lambda match: length(replace(match, ' ', '')) BETWEEN 15 AND 34 AND {mod97})[1]"
+    iban = KINDS.index("iban")
     return f"""
 WITH clean AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS t FROM documents),
 split AS ({split}),
@@ -237,10 +310,23 @@ placed AS (
   SELECT *, split_part(part, chr(2), 1) AS match, regexp_replace(split_part(part, chr(2), 1), '[^0-9]', '', 'g') AS digits,
          coalesce(sum(length(part) - CASE WHEN i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
   FROM parts),
+-- an IBAN may start wherever two letters and two digits start a word; it ends at the last word of the longest run that is confirmed
+proposed AS (
+  SELECT doc_id, t, CAST(first AS BIGINT) AS first, regexp_extract(substr(t, CAST(first AS BIGINT) + 1, 70), '^{plain["iban"]}') AS proposal
+  FROM placed WHERE i > 1 AND kind = {iban}),
+in_runs AS (SELECT doc_id, t, first, {runs.replace("words", "string_split(proposal, ' ')")} AS runs FROM proposed WHERE proposal <> ''),
+in_order AS (
+  SELECT doc_id, any_value(t) AS t, list([{{'first': first, 'past': first + length(match)}}] ORDER BY first) AS spans
+  FROM (SELECT doc_id, t, first, {confirmed} AS match FROM in_runs) WHERE match IS NOT NULL GROUP BY doc_id),
+leftmost AS (
+  SELECT doc_id, t, unnest(list_reduce(spans, lambda kept, next: CASE WHEN next[1].first >= kept[-1].past THEN list_concat(kept, next) ELSE kept END)) AS span FROM in_order),
+spans AS (
+  SELECT doc_id, kind, t, CAST(first AS BIGINT) AS first, CAST(first AS BIGINT) + length(match) AS past FROM placed WHERE i > 1 AND kind <> {iban} AND {by_kind(valid.get)}
+  UNION ALL SELECT doc_id, {iban}, t, span.first, span.past FROM leftmost),
 confirmed AS (
-  SELECT doc_id, kind, CAST(first AS BIGINT) AS first, CAST(first AS BIGINT) + length(match) AS past,
-         lower(substr(t, greatest(CAST(first AS BIGINT) - {CONTEXT_CHARACTERS}, 0) + 1, least(CAST(first AS BIGINT), {CONTEXT_CHARACTERS}))) AS before
-  FROM placed WHERE i > 1 AND {by_kind(valid.get)}),
+  SELECT doc_id, kind, first, past, lower(substr(t, greatest(first - {CONTEXT_CHARACTERS}, 0) + 1, least(first, {CONTEXT_CHARACTERS}))) AS before,
+         lower(substr(t, past + 1, {CONTEXT_CHARACTERS})) AS after
+  FROM spans),
 scored AS (
   SELECT *, round({by_kind(lambda k: f"CAST({SCORES[k]} AS DOUBLE)")} + CASE WHEN {near} THEN CAST({CONTEXT_SCORE} AS DOUBLE) ELSE 0 END, 2) AS score FROM confirmed),
 base AS (SELECT * FROM scored WHERE kind < {len(BASE_KINDS)}),

@@ -8,11 +8,17 @@ differencing and floating-point predictors.  Pixels come out row by row, samples
 Edge cases: null or empty media gives no pages; media that cannot be read gives one row with
 page -1 and the reason in ``error``; pages before the fault are kept; a directory that points back
 to an earlier one ends the walk; repeated rows are read each on its own; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns are kept by ``read_pages``, but for those named like its own, and
+ignored by ``text_media``.
+
+Faulty are also images and tiles without width or height, and sizes that the stored bytes can't
+fill however well they are packed (``EXPANSION``) or that exceed ``MOST_PAGE_BYTES``, which a row
+could not hold.  Both are known before any memory is taken, and no strip is unpacked beyond its size.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,6 +39,13 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 3
 TYPES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i"}
 PLAIN, LZW, DEFLATE, PACKBITS, DEFLATE_OLD = 1, 5, 8, 32773, 32946
 
+#: Bytes that one stored byte can stand for at most: 128 in two; a code of 12 bits names 3,839 at most; zlib's own bound.
+EXPANSION = {PLAIN: 1, PACKBITS: 64, LZW: 2560, DEFLATE: 1032, DEFLATE_OLD: 1032}
+#: Pixels of a page, in bytes; a value of a Spark row must stay below 2 GiB.
+MOST_PAGE_BYTES = 1 << 30
+#: Bytes of pixels that are handed on together.
+TOGETHER = 64_000_000
+
 #: Payloads are stored in rows of this many samples.
 ROW = 64
 ROWS_IN_STRIP = 256
@@ -48,10 +61,10 @@ class Page(NamedTuple):
     pixels: bytes
 
 
-def unpack_bits(data: bytes) -> bytes:
-    """PackBits: a count byte, then literals or one byte to repeat."""
+def unpack_bits(data: bytes, size: float = math.inf) -> bytes:
+    """PackBits: a count byte, then literals or one byte to repeat. Stops when it has ``size`` bytes."""
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and len(out) < size:
         n = data[at]
         if n < 128:
             out += data[at + 1 : at + 2 + n]
@@ -86,11 +99,13 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
-    """LZW with codes of 9 to 12 bits, high bits first; 256 clears the table, 257 ends."""
+def unpack_lzw(data: bytes, size: float = math.inf) -> bytes:
+    """LZW with codes of 9 to 12 bits, high bits first; 256 clears the table, 257 ends. Stops when it has ``size`` bytes."""
     out, table, last = bytearray(), [], b""
     width, held, have = 9, 0, 0
     for byte in data:
+        if len(out) >= size:
+            break
         held, have = held << 8 | byte, have + 8
         if have < width:
             continue
@@ -110,7 +125,7 @@ def unpack_lzw(data: bytes) -> bytes:
         else:
             raise ValueError(f"LZW code {code} is not in the table")
         out += found
-        if last:
+        if last and len(table) < 4096:
             table.append(last + found[:1])
         last = found
         # the writer widens its codes one entry early
@@ -159,16 +174,25 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _unpacked(data: bytes, compression: int) -> bytes:
+def _inflated(data: bytes, size: int) -> bytes:
+    stream = zlib.decompressobj()
+    out = stream.decompress(data, size)
+    if not stream.eof:
+        stream.decompress(stream.unconsumed_tail, 1)  # reads the checksum, if that is all that is left
+    return out
+
+
+def _unpacked(data: bytes, compression: int, size: int) -> bytes:
+    """The first ``size`` bytes of a strip or tile."""
     if compression == PLAIN:
-        return data
-    if compression in (DEFLATE, DEFLATE_OLD):
-        return zlib.decompress(data)
-    if compression == PACKBITS:
-        return unpack_bits(data)
-    if compression == LZW:
-        return unpack_lzw(data)
-    raise ValueError(f"compression {compression} is not supported")
+        out = data[:size]
+    elif compression in (DEFLATE, DEFLATE_OLD):
+        out = _inflated(data, size)
+    else:
+        out = (unpack_bits if compression == PACKBITS else unpack_lzw)(data, size)
+    if len(out) < size:
+        raise ValueError(f"a strip or tile has {len(out)} bytes instead of {size}")
+    return out[:size]
 
 
 def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]], int]:
@@ -203,32 +227,47 @@ def _page(data: bytes, tags: dict[int, list[int]], order: str) -> Page:
     one = lambda tag, default=None: tags[tag][0] if tag in tags else default
     width, height = one(WIDTH), one(HEIGHT)
     samples, bits = one(SAMPLES, 1), one(BITS, 1)
-    if width is None or height is None:
+    if not width or not height or samples < 1:
         raise ValueError("the image has no size")
     if bits not in (1, 8, 16, 32) or any(b != bits for b in tags.get(BITS, [])):
         raise ValueError(f"samples of {tags.get(BITS)} bits are not supported")
     compression, predictor, planar = one(COMPRESSION, PLAIN), one(PREDICTOR, 1), one(PLANAR, 1) == 2 and samples > 1
     if predictor not in (1, 2, 3) or predictor == 2 and bits == 1 or predictor == 3 and bits < 16:
         raise ValueError(f"predictor {predictor} of {bits}-bit samples is not supported")
+    if compression not in EXPANSION:
+        raise ValueError(f"compression {compression} is not supported")
     tiled = TILE_OFFSETS in tags
-    tall = one(TILE_HEIGHT) if tiled else min(one(ROWS_PER_STRIP, height), height) or 1
+    tall = one(TILE_HEIGHT) if tiled else min(one(ROWS_PER_STRIP, height), height)
     wide = one(TILE_WIDTH) if tiled else width
+    if not tall or not wide:
+        raise ValueError("strips or tiles have no size")
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
     across, down = -(-width // wide), -(-height // tall)
     own = 1 if planar else samples  # samples in a strip or tile
     size = max(1, bits // 8)
     row_bytes = lambda w: -(-w * own // 8) if bits == 1 else w * own * size
+    if planar and bits == 1:
+        raise ValueError("planar 1-bit images are not supported")
+    n_planes = samples if planar else 1
+    if n_planes * height * row_bytes(width) > MOST_PAGE_BYTES:
+        raise ValueError(f"{width} x {height} pixels are more than a row can hold")
+    if min(len(offsets), len(counts)) < n_planes * across * down:
+        raise ValueError("strips or tiles are missing")
+    for i in range(n_planes * across * down):
+        n = tall if tiled else min(tall, height - i % (across * down) * tall)
+        if offsets[i] + counts[i] > len(data):
+            raise ValueError("a strip or tile lies outside the file")
+        if n * row_bytes(wide) > counts[i] * EXPANSION[compression]:
+            raise ValueError(f"{counts[i]} bytes can't hold {n * row_bytes(wide)}")
     planes = []
-    for plane in range(samples if planar else 1):
+    for plane in range(n_planes):
         out = np.zeros((height, row_bytes(width)), dtype=np.uint8)
         for k in range(across * down):
             i = plane * across * down + k
             y, x = k // across * tall, k % across * wide
-            if offsets[i] + counts[i] > len(data):
-                raise ValueError("a strip or tile lies outside the file")
-            part = _unpacked(data[offsets[i] : offsets[i] + counts[i]], compression)
             n = tall if tiled else min(tall, height - y)
-            rows = np.frombuffer(part, np.uint8, n * row_bytes(wide)).reshape(n, row_bytes(wide))
+            part = _unpacked(data[offsets[i] : offsets[i] + counts[i]], compression, n * row_bytes(wide))
+            rows = np.frombuffer(part, np.uint8).reshape(n, row_bytes(wide))
             if bits > 1:
                 rows = _unpredicted(rows, predictor, wide, own, size, order)
             n, w = min(n, height - y), row_bytes(min(wide, width - x))
@@ -236,8 +275,6 @@ def _page(data: bytes, tags: dict[int, list[int]], order: str) -> Page:
             out[y : y + n, left : left + w] = rows[:n, :w]
         planes.append(out)
     if planar:
-        if bits == 1:
-            raise ValueError("planar 1-bit images are not supported")
         out = np.stack([p.reshape(height, width, size) for p in planes], axis=2)
     return Page(width, height, samples, bits, compression, predictor, out.tobytes())
 
@@ -331,18 +368,28 @@ def read_pages(media: DataFrame, column: str = "media") -> DataFrame:
             try:
                 for k, page in enumerate(read(data), 1):
                     yield (k - 1, *page, features(page) if page.bits == 8 else None, None)
-            except (ValueError, KeyError, IndexError, struct.error, zlib.error, OverflowError) as e:
-                yield (-1, *[None] * 8, f"page {k}: {e}")
+            except (ValueError, LookupError, ArithmeticError, TypeError, MemoryError, struct.error, zlib.error) as e:
+                yield (-1, *[None] * 8, f"page {k}: {type(e).__name__}: {e}")
 
     kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.large_binary(), pa.string(), pa.string()]
     names = PAGE.names
 
+    def gathered(batch, found):
+        source = batch.take(pa.array([i for i, _ in found], pa.int64()))
+        columns = list(zip(*[row for _, row in found])) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([*source.columns, *(pa.array(list(c), t) for c, t in zip(columns, kinds))], names=[*kept, *names])
+
     def decode(batches):
         for batch in batches:
-            found = [(i, row) for i, data in enumerate(batch.column(column).to_pylist()) for row in rows(data)]
-            source = batch.take(pa.array([i for i, _ in found], pa.int64()))
-            columns = list(zip(*[row for _, row in found])) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([*source.columns, *(pa.array(list(c), t) for c, t in zip(columns, kinds))], names=[*kept, *names])
+            found, held = [], 0
+            for i, data in enumerate(batch.column(column).to_pylist()):
+                for row in rows(data):
+                    found.append((i, row))
+                    held += len(data) + len(row[names.index("pixels")] or b"")
+                    if held > TOGETHER:
+                        yield gathered(batch, found)
+                        found, held = [], 0
+            yield gathered(batch, found)
 
     return map_arrow(media, decode, T.StructType([*media.schema.fields, *PAGE.fields]))
 

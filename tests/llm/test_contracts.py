@@ -103,6 +103,31 @@ def test_pii_added_kinds_and_redaction(spark):
     assert pii.redact(df).columns == df.columns
 
 
+def test_pii_in_texts_with_very_many_spans(spark):
+    """100,000 addresses, and IBANs between them: a fold that copied what it has found would take hours."""
+    iban = "DE89 3704 0044 0532 0130 00"
+    text = " ".join(f"u{i}@x.org, {iban};" if i % 10_000 == 0 else f"é{i}: u{i}@x.org" for i in range(100_000))
+    df = frame(spark, [(1, text, None, None, 3)])
+    out = pii.report(df).first()
+    spans = [s.split(":") for s in out["spans"].split(",")]
+    assert out["n_email"] == 100_000 and sum(k == "iban" for k, *_ in spans) == 10
+    emails = [f"email:{m.start()}:{m.end()}" for m in re.finditer("u[0-9]+@x.org", text)]
+    assert out["base_sha256"] == hashlib.sha256(",".join(emails).encode()).hexdigest()
+    assert all(text[int(a) : int(b)] == iban for k, a, b in spans if k == "iban")
+    assert pii.redact(df).first()["text"] == re.sub("u[0-9]+@x.org", "[EMAIL]", text).replace(iban, "[IBAN]")
+
+
+def test_pii_context_after_a_span(spark):
+    df = frame(spark, [(1, "212-555-0199 is my phone", None, None, 3), (2, "212-555-0199 is a number", None, None, 3), (3, "212-555-0199 " + "x" * 40 + " phone", None, None, 3)])
+    assert {r["doc_id"]: r["spans"] for r in pii.report(df).collect()} == {1: "local_phone:0:12", 2: "", 3: ""}
+
+
+def test_pii_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a@b.cc", "x", "y", "z")], "doc_id long, text string, _pii_spans string, _pii_clean string, `a.b` string")
+    assert tuple(pii.redact(df).first()) == (1, "[EMAIL]", "x", "y", "z") and pii.redact(df).columns == df.columns
+    assert tuple(pii.find(df).first())[:5] == (1, "a@b.cc", "x", "y", "z")
+
+
 def test_iban_among_upper_case_words_and_numbers(spark):
     gb, de, no = "GB29NWBK60161331926819", "DE89 3704 0044 0532 0130 00", "NO9386011117947"
     cases = [

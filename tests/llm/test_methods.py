@@ -152,6 +152,47 @@ def test_pages(spark):
     assert tiff.read_pages(df.limit(0)).count() == 0
 
 
+def test_codecs_of_the_specifications():
+    """The examples printed in TIFF 6.0 (LZW) and in the note that defines PackBits."""
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes).ljust(88, "0")
+    packed = int(bits, 2).to_bytes(11, "big")
+    assert tiff.unpack_lzw(packed) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    packed = bytes.fromhex("FE AA 02 80 00 2A FD AA 03 80 00 2A 22 F7 AA")
+    assert tiff.unpack_bits(packed) == bytes.fromhex("AA AA AA 80 00 2A AA AA AA AA 80 00 2A 22" + " AA" * 10)
+    assert tiff.unpack_bits(b"\x80\x00z") == b"z"  # 128 stands for nothing
+    # one 2 x 2 page, byte for byte
+    page = bytes.fromhex("4949 2A00 08000000 0700 0001 0300 01000000 02000000 0101 0300 01000000 02000000 0201 0300 01000000 08000000 0301 0300 01000000 01000000 1101 0400 01000000 62000000 1601 0300 01000000 02000000 1701 0400 01000000 04000000 00000000".replace("0001 0300", "0001 0300"))
+    assert [p.pixels for p in tiff.read(page + b"abcd")] == [b"abcd"]
+
+
+def test_faulty_media(spark):
+    good = ({256: 4, 257: 4, 258: 8, 259: 1, 278: 4}, [bytes(range(16))])
+    bomb = zlib.compress(bytes(50_000_000), 9)
+    cases = {
+        "width": ({**good[0], 256: 0}, good[1]),
+        "height": ({**good[0], 257: 0}, good[1]),
+        "samples": ({**good[0], 277: 0}, good[1]),
+        "strip": ({**good[0], 278: 0}, good[1]),
+        "tile": ({256: 4, 257: 4, 258: 8, 259: 1, 322: 0, 323: 0}, good[1]),
+        "no tile height": ({256: 4, 257: 4, 258: 8, 259: 1, 322: 4}, good[1]),
+        "huge": ({**good[0], 256: 200_000, 257: 200_000, 278: 200_000}, good[1]),
+        "wide": ({**good[0], 256: 30_000, 257: 30_000, 259: 8, 278: 30_000}, [zlib.compress(b"x")]),
+        "missing strips": ({**good[0], 278: 1}, good[1]),
+        "deflate": ({**good[0], 259: 8}, [b"no deflate stream"]),
+        "cut": ({**good[0], 259: 8}, [zlib.compress(bytes(range(16)))[:9]]),
+        "lzw": ({**good[0], 259: 5}, [b"\xff" * 9]),
+        "kind": ({**good[0], 259: 7}, good[1]),
+        "no strips": ({256: 4, 257: 4, 258: 8}, []),
+    }
+    media = [(name, tiff_file([page])) for name, page in cases.items()] + [("good then bad", tiff_file([good, cases["width"]])), ("bomb", tiff_file([({**good[0], 259: 8}, [bomb])])), ("good", tiff_file([good]))]
+    out = tiff.read_pages(spark.createDataFrame(media, "name string, media binary")).collect()
+    assert sorted((r["name"], r["page"]) for r in out) == sorted([(name, -1) for name in cases] + [("good then bad", 0), ("good then bad", -1), ("bomb", 0), ("good", 0)])
+    assert all((r["error"] is None) == (r["page"] >= 0) for r in out)
+    assert {bytes(r["pixels"]) for r in out if r["name"] in ("good", "good then bad") and r["page"] == 0} == {bytes(range(16))}
+    assert next(bytes(r["pixels"]) for r in out if r["name"] == "bomb") == bytes(16)
+
+
 # -- chat
 
 
