@@ -9,11 +9,15 @@ conversation that must come first).  ``results``: conv_id, call_id, turn, conten
   result of its id (by turn, then content).
 * Order.  A call stands at its turn; within a turn by its level, 0 if it waits for no call and else
   one above the highest it waits for; then by call_id.  Levels are found in rounds, each of which
-  frees the calls whose prerequisites are free: as many rounds as the longest chain.  Calls on a
-  cycle, or behind one, are never freed; their level is null.
+  frees the calls whose prerequisites are free: as many rounds as the longest chain.  The rounds of
+  a conversation run within its row; one of more than ``GATHERED`` prerequisites is not gathered,
+  and there each round is a join.  Calls on a cycle, or behind one, are never freed; their level is null.
 * A schema maps a tool to its parameters: name -> (type, required), the type being one of string,
   integer, number, boolean, array, object.
-* Canonical JSON has keys in order, no spaces and no repeated keys (VARIANT sorts them).
+* Canonical JSON has keys in order, no spaces and no repeated keys (VARIANT sorts them).  A number is
+  written exactly, by its digits without exponent, leading or trailing zeros: 1e2, 100 and 100.0 are
+  100, and -0 is 0.  A number of more than 38 digits or places can't be held exactly; arguments
+  with one are the problem ``arguments``.  (So are those with a string that begins with U+0001.)
 
 Status: ``linked``; ``no_result``; ``cycle``; for rows of results ``orphan_result`` (no call has the id)
 and ``extra_result`` (a later, different result of an id).
@@ -31,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
+from .common import let
 
 # What schema_of_variant calls the types of JSON values. Whole numbers are BIGINT or a decimal without places.
 VARIANT_TYPES = {
@@ -43,6 +48,12 @@ VARIANT_TYPES = {
 }
 Schemas = dict[str, dict[str, tuple[str, bool]]]
 KEY = ["conv_id", "call_id"]
+#: Prerequisites of one conversation whose order is found within a row.
+GATHERED = 2000
+#: Digits and places of the numbers that VARIANT holds exactly.
+MOST_DIGITS = 38
+#: How a number that it can't hold is written for the time between: as a string that begins so.
+_TOO_LONG = '"\\u0001'
 
 #: The tools that plain turns of a conversation stand for.
 DIALOGUE: Schemas = {
@@ -66,14 +77,70 @@ def _problems(arguments: Column, name: Column, schemas: Schemas) -> Column:
     return F.coalesce(checks, F.array().cast("array<string>"))
 
 
-def levels(calls: DataFrame, work: Workspace) -> DataFrame:
-    """(conv_id, call_id, level, missing) of the calls that wait for others; level is null on a cycle."""
-    waits = calls.select(*KEY, "turn", F.explode("after").alias("before")).distinct()
-    present = calls.select("conv_id", F.col("call_id").alias("before"), F.col("turn").alias("before_turn")).distinct()
-    edges = work.save(waits.join(present, ["conv_id", "before"], "left"))
-    missing = edges.groupBy(*KEY).agg(F.max(F.col("before_turn").isNull()).alias("missing"))
-    # a call of an earlier turn comes first anyway
-    inner = work.save(edges.where("before_turn >= turn").select(*KEY, "before").distinct())
+def _exact(number: Column) -> Column:
+    """A JSON number by its digits; one of too many as a string."""
+    part = lambda pattern: F.regexp_extract(number, pattern, 1)
+    frac, exponent = part(r"\.([0-9]+)"), part("[eE]([+-]?[0-9]+)$")
+    shift = F.when(exponent == "", F.lit(0)).otherwise(exponent.try_cast("int")).cast("long")
+    all_digits = F.ltrim(F.concat(part("^-?([0-9]+)"), frac), F.lit("0"))
+    digits = F.rtrim(all_digits, F.lit("0"))
+    n = F.length(digits)
+    places = F.length(frac) - shift - (F.length(all_digits) - n)
+    fill = lambda k: F.repeat(F.lit("0"), k.cast("int"))
+    whole = F.concat(digits, fill(-places))
+    split = F.concat(F.substring(digits, F.lit(1), (n - places).cast("int")), F.lit("."), F.substring(digits, (n - places + 1).cast("int"), n))
+    value = F.when((places <= 0) & (n - places <= MOST_DIGITS), whole)
+    value = value.when((places > 0) & (places < n) & (n <= MOST_DIGITS), split)
+    value = value.when((places >= n) & (places <= MOST_DIGITS), F.concat(F.lit("0."), fill(places - n), digits))
+    sign = F.when(number.startswith("-"), "-").otherwise("")
+    return F.when(digits == "", "0").otherwise(F.coalesce(F.concat(sign, value), F.concat(F.lit(_TOO_LONG), number, F.lit('"'))))
+
+
+def exact_numbers(text: Column) -> Column:
+    """JSON with its numbers by their digits, so that VARIANT holds all of them exactly, or as strings that begin with U+0001."""
+    # an escaped backslash or quote is one character, so that a string ends at the next quote
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\u0003")), F.lit('\\"'), F.lit("\u0004"))
+    marked = F.regexp_replace(plain, r'("[^"]*+")|(-?[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?)', "$1\u0001$2\u0002")
+
+    def fixed(part: Column) -> Column:
+        number = F.substring_index(part, "\u0002", 1)
+        rest = F.substring(part, F.length(number) + 2, F.length(part))
+        return F.when(F.instr(part, "\u0002") == 0, part).when(number == "", rest).otherwise(F.concat(_exact(number), rest))
+
+    joined = F.array_join(F.transform(F.split(marked, "\u0001"), fixed), "")
+    back = F.replace(F.replace(joined, F.lit("\u0004"), F.lit('\\"')), F.lit("\u0003"), F.lit("\\\\"))
+    control = text.rlike("[\u0001-\u0004]")  # not in valid JSON
+    return F.when(control, F.lit(None).cast("string")).when(text.rlike("[0-9][.eE]|[0-9]{19}"), back).otherwise(text)
+
+
+def _levels_in_rows(inner: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level): the calls of a conversation, and what each waits for, meet in one row."""
+    waits = inner.groupBy(*KEY).agg(F.collect_list("before").alias("before"))
+    rows = waits.groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "before")).alias("calls"))
+
+    def rounds(before: Column) -> Column:
+        """before: of each call, the places of those it waits for, of calls that wait themselves."""
+
+        def one(so_far: Column, _: Column) -> Column:
+            level = lambda k: F.get(so_far.level, k)
+            freed = lambda own: F.when(~F.exists(own, lambda k: level(k).isNull()), F.coalesce(F.array_max(F.transform(own, level)), F.lit(0)) + 1)
+            after = F.transform(before, lambda own, i: F.coalesce(level(i), freed(own)))
+            left = F.size(F.filter(so_far.level, lambda x: x.isNull()))
+            return F.when(so_far.left == left, so_far).otherwise(F.struct(after.alias("level"), left.alias("left")))
+
+        start = F.struct(F.transform(before, lambda _: F.lit(None).cast("int")).alias("level"), F.lit(-1).alias("left"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(before)), start, one, lambda x: x.level)
+
+    def places(calls: Column, ids: Column) -> Column:
+        return F.transform(calls, lambda c: F.filter(F.transform(c.before, lambda b: (F.array_position(ids, b) - 1).cast("int")), lambda k: k >= 0))
+
+    level = let(let(F.transform("calls", lambda c: c.call_id), lambda ids: places(F.col("calls"), ids)), rounds)
+    both = F.arrays_zip(F.transform("calls", lambda c: c.call_id).alias("call_id"), level.alias("level"))
+    return rows.select("conv_id", F.inline(both).alias("call_id", "level"))
+
+
+def _levels_by_joins(inner: DataFrame, work: Workspace) -> DataFrame:
+    """The same for conversations of any size; a round is a join."""
     level = work.save(inner.select(*KEY).distinct().withColumn("level", F.lit(None).cast("int")))
     waiting, n = level.count(), 1
     while waiting:
@@ -86,6 +153,22 @@ def levels(calls: DataFrame, work: Workspace) -> DataFrame:
         if left == waiting:
             break
         waiting, n = left, n + 1
+    return level
+
+
+def levels(calls: DataFrame, work: Workspace) -> DataFrame:
+    """(conv_id, call_id, level, missing) of the calls that wait for others; level is null on a cycle."""
+    waits = calls.select(*KEY, "turn", F.explode("after").alias("before")).distinct()
+    present = calls.select("conv_id", F.col("call_id").alias("before"), F.col("turn").alias("before_turn")).distinct()
+    edges = work.save(waits.join(present, ["conv_id", "before"], "left"))
+    missing = edges.groupBy(*KEY).agg(F.max(F.col("before_turn").isNull()).alias("missing"))
+    # a call of an earlier turn comes first anyway
+    inner = work.save(edges.where("before_turn >= turn").select(*KEY, "before").distinct())
+    large = inner.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > GATHERED).select("conv_id")
+    level = _levels_in_rows(inner.join(large, "conv_id", "left_anti"))
+    hot = work.save(inner.join(large, "conv_id", "left_semi"))
+    if hot.limit(1).count():
+        level = level.unionByName(_levels_by_joins(hot, work))
     return missing.join(level.withColumn("inner", F.lit(True)), KEY, "left").select(
         *KEY, F.when(F.col("inner").isNull(), F.lit(0)).otherwise(F.col("level")).alias("level"), "missing"
     )
@@ -96,10 +179,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas, work: Workspace
     work = work or Workspace(calls.sparkSession, "chat")
     c = F.col
     after = F.coalesce(c("after"), F.array().cast("array<string>"))
-    calls = calls.select(*KEY, "turn", "name", F.try_parse_json("arguments").alias("arguments"), after.alias("after"))
-    results = results.select(*KEY, "turn", "content").distinct()
+    calls = work.save(calls.select(*KEY, "turn", "name", exact_numbers(c("arguments")).alias("arguments"), after.alias("after")))
+    arguments = F.when(F.instr("arguments", _TOO_LONG) == 0, F.try_parse_json("arguments"))
+    results = work.save(results.select(*KEY, "turn", "content").distinct())
     first = results.groupBy(*KEY).agg(F.min(F.struct("turn", "content")).alias("first"), F.count("*").alias("n_results"))
-    linked = calls.join(first, KEY, "left")
+    linked = calls.withColumn("arguments", arguments).join(first, KEY, "left")
     if calls.where(F.size("after") > 0).limit(1).count():
         linked = linked.join(levels(calls, work), KEY, "left")
         level = F.when(c("missing").isNull(), F.lit(0)).otherwise(c("level"))
@@ -152,11 +236,11 @@ def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     c = F.col
     call = "array<struct<id:string,name:string,arguments:variant,after:array<string>>>"
-    data = F.when(F.substring(F.ltrim("text"), 1, 1) == "{", F.try_parse_json("text"))
+    data = F.when(F.substring(F.ltrim("text"), 1, 1) == "{", F.try_parse_json(exact_numbers(c("text"))))
     parsed = messages.select("conv_id", c("turn").cast("long").alias("turn"), "role", "text", data.alias("data")).select(
         "*",
         F.try_variant_get("data", "$.tool_calls", call).alias("tool_calls"),
-        F.try_variant_get("data", "$.tool_call_id", "string").alias("answers"),
+        F.ltrim(F.try_variant_get("data", "$.tool_call_id", "string"), F.lit("\u0001")).alias("answers"),
     )
     plain = (c("tool_calls").isNull() | (F.size("tool_calls") == 0)) & c("answers").isNull()
     asks = F.coalesce(c("role").isin("user", "system"), F.lit(False))
@@ -172,7 +256,7 @@ def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     made = parsed.where("tool_calls is not null").select("conv_id", "turn", F.explode("tool_calls").alias("t")).select(
         "conv_id", c("t.id").alias("call_id"), "turn", c("t.name").alias("name"), F.to_json("t.arguments").alias("arguments"), c("t.after").alias("after")
     )
-    answered = parsed.where("answers is not null").select("conv_id", c("answers").alias("call_id"), "turn", F.try_variant_get("data", "$.content", "string").alias("content"))
+    answered = parsed.where("answers is not null").select("conv_id", c("answers").alias("call_id"), "turn", F.ltrim(F.try_variant_get("data", "$.content", "string"), F.lit("\u0001")).alias("content"))
     heard = parsed.where(plain & ~asks).select(
         "conv_id", F.concat(F.lit("turn-"), (c("turn") - 1).cast("string")).alias("call_id"), "turn", c("text").alias("content")
     )

@@ -22,6 +22,24 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def let(value, body):
+    """``body(value)``, with the value computed once (and what it gives copied once). Both are columns."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def free_name(docs: DataFrame, wanted: str) -> str:
+    """A column name that the table doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
+def own_columns(docs: DataFrame) -> list:
+    """The table's columns; names may hold dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def id_and_text(docs: DataFrame, *more) -> DataFrame:
     """doc_id as long, text as string, and other columns between them."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").cast("string").alias("text"))

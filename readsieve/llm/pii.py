@@ -36,6 +36,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "local_phone")
 PATTERNS = {
@@ -68,11 +70,6 @@ SPAN = "struct<start:int,kind:int,end:int,match:string>"
 SCORED_SPAN = SPAN.replace(">", ",score:double>")
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)``, with the value computed once (and what it gives copied once)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _folded(values: Column, state: Column, step, kind: str) -> Column:
     """What ``step(state, value) -> (state, array)`` emits along an array, as one array<kind>.
 
@@ -99,7 +96,7 @@ def _folded(values: Column, state: Column, step, kind: str) -> Column:
         last = F.floor(F.greatest(F.size(array) - 1, F.lit(0)) / CHUNK).cast("int")
         return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(array, k * CHUNK + 1, CHUNK))
 
-    return _let(_let(values, cut), whole)
+    return let(let(values, cut), whole)
 
 
 def _blocks(text: Column) -> Column:
@@ -202,7 +199,7 @@ def _scored(spans: Column, text: Column) -> Column:
         value = F.round(_by_kind(SCORES, span.kind) + F.when(near, F.lit(CONTEXT_SCORE)).otherwise(F.lit(0.0)), 2)
         return F.struct(span.start.alias("start"), span.kind.alias("kind"), span.end.alias("end"), span.match.alias("match"), value.alias("score"))
 
-    return _let(_blocks(text), lambda blocks: F.transform(spans, lambda s: score(s, blocks)))
+    return let(_blocks(text), lambda blocks: F.transform(spans, lambda s: score(s, blocks)))
 
 
 def _accepted(spans: Column) -> Column:
@@ -227,9 +224,9 @@ def spans_of(text: Column) -> Column:
         present = {"email": has("@"), "ip": digit, "card": digit, "phone": has("+"), "iban": digit, "local_phone": digit}
         each = [_ibans(clean, present[k]) if k == "iban" else _matches(k, clean, present[k]) for k in KINDS]
         none = F.array().cast(f"array<{SCORED_SPAN}>")
-        return _let(F.array_sort(F.concat(*each)), lambda spans: F.when(F.size(spans) > 0, _let(_scored(spans, clean), _accepted)).otherwise(none))
+        return let(F.array_sort(F.concat(*each)), lambda spans: F.when(F.size(spans) > 0, let(_scored(spans, clean), _accepted)).otherwise(none))
 
-    return _let(F.translate(F.coalesce(text.cast("string"), F.lit("")), "\u0001\u0002", "\u0003\u0003"), found)
+    return let(F.translate(F.coalesce(text.cast("string"), F.lit("")), "\u0001\u0002", "\u0003\u0003"), found)
 
 
 def find(docs: DataFrame, text: str = "text", name: str = "pii") -> DataFrame:
@@ -250,9 +247,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.concat(F.array_join(_folded(spans, F.lit(0), lambda at, s: step(at, s, blocks), "string"), ""), rest)
 
     def cleaned(spans: Column) -> Column:
-        return F.when(F.size(spans) > 0, _let(_blocks(F.col(text)), lambda blocks: joined(spans, blocks))).otherwise(F.col(text))
+        return F.when(F.size(spans) > 0, let(_blocks(F.col(text)), lambda blocks: joined(spans, blocks))).otherwise(F.col(text))
 
-    return docs.withColumn(text, _let(spans_of(F.col(text)), cleaned))
+    return docs.withColumn(text, let(spans_of(F.col(text)), cleaned))
 
 
 def _said(spans: Column) -> Column:

@@ -4,6 +4,7 @@ import fnmatch
 import json
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -240,6 +241,69 @@ def test_tool_calls(spark):
     assert chat_tools.format_conversations(df.limit(0)).count() == 0
 
 
+def test_numbers_keep_type_and_value(spark):
+    tool = {"add": {"x": ("integer", True)}}
+    forms = {
+        "1e2": "100", "100": "100", "100.0": "100", "1.0E+2": "100", "-0": "0", "-0.0e5": "0", "0.10": "0.1", "1.5e-3": "0.0015", "-12.340": "-12.34",
+        "12345678901234567890123456789012345678": "12345678901234567890123456789012345678", "123456789012345678901e-3": "123456789012345678.901",
+        "1e37": "1" + "0" * 37, "1e38": None, "1e400": None, "12345678901234567890123456789012345678901": None, "1e-39": None, "1e99999999999": None, "0e99999999999": "0",
+    }
+    calls = [(1, str(i), 1, "add", '{"s" : "a\\\\ 1e2 \\" 1.50", "x": %s}' % n, None) for i, n in enumerate(forms)]
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    text = r'"a\\ 1e2 \" 1.50"'
+    whole = {True: "", False: "x", None: "arguments"}
+    said = [json.dumps({"tool_calls": [{"id": i, "name": "add", "arguments": 0}]}).replace('"arguments": 0', '"arguments": ' + a) for _, i, _, _, a, _ in calls]
+    messages = spark.createDataFrame([(1, 1, "assistant", t) for t in said] + [(1, 2, "tool", '{"tool_call_id": 1e400, "content": 1.50}')], "conv_id long, turn long, role string, text string")
+    for out in (chat_tools.link(df, results, tool), chat_tools.format_conversations(messages, tool)):
+        found = {r["call_id"]: r for r in out.collect()}
+        for i, form in enumerate(forms.values()):
+            r, kind = found[str(i)], None if form is None else "." not in form
+            assert r["problems"] == whole[kind]
+            assert r["json"].startswith('{"arguments":' + (f'{{"s":{text},"x":{form}}}' if form else "null") + ',"id"')
+    assert (found["1e400"]["status"], json.loads(found["1e400"]["json"])["result"]) == ("orphan_result", "1.5")
+
+
+def slow_levels(calls):
+    """calls: conv, id, turn, after. Level of each (conv, id) by repeated passes; None on or behind a cycle."""
+    turns = {}
+    for conv, call, turn, _ in calls:
+        turns.setdefault((conv, call), set()).add(turn)
+    waits = {}
+    for conv, call, turn, after in calls:
+        waits.setdefault((conv, call), set())
+        waits[conv, call] |= {(conv, b) for b in after if any(t >= turn for t in turns.get((conv, b), ()))}
+    level = {k: 0 for k, own in waits.items() if not own}
+    while new := {k: 1 + max(level[b] for b in own) for k, own in waits.items() if k not in level and all(b in level for b in own)}:
+        level |= new
+    return {k: level.get(k) for k in waits}
+
+
+@pytest.mark.parametrize("gathered", [2000, 5])
+def test_levels(spark, monkeypatch, gathered):
+    monkeypatch.setattr(chat_tools, "GATHERED", gathered)
+    rng = random.Random(6)
+    calls = [(conv, f"c{rng.randrange(8)}", rng.randrange(3), [f"c{rng.randrange(9)}" for _ in range(rng.randrange(3))]) for conv in range(40) for _ in range(10)]
+    df = spark.createDataFrame([(c, i, t, "x", "{}", a) for c, i, t, a in calls], "conv_id long, call_id string, turn long, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    out = chat_tools.link(df, results, {"x": {}}).collect()
+    assert len(out) == len(calls)
+    expected = slow_levels(calls)
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in out} == expected
+    assert {None, 0, 1, 2} <= set(expected.values())
+    assert all((r["status"] == "cycle") == (r["level"] is None) for r in out)
+
+
+def test_long_chain_of_calls(spark):
+    calls = [(1, f"c{i}", 1, "x", json.dumps({"text": "y" * (100_000 if i == 3 else 1)}), [f"c{i - 1}"] if i else []) for i in range(1000)]
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    began = time.monotonic()
+    out = chat_tools.link(df, results, {"x": {}}).collect()
+    assert {r["call_id"]: r["level"] for r in out} == {f"c{i}": i for i in range(1000)}
+    assert time.monotonic() - began < 30 and max(len(r["json"]) for r in out) > 100_000
+
+
 def test_no_turn_vanishes(spark):
     messages = [
         (1, 0, "user", "asked"), (1, 1, None, "answered"), (2, 1, None, "alone"), (3, 0, None, None),
