@@ -10,16 +10,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows in a batch between the JVM and Python. Documents have kilobytes each; Spark's default of 10,000 would hold tens of MB on either side.
+#: Rows that a function gets together. Documents have kilobytes each, and Spark's batches 10,000 rows.
 BATCH_ROWS = 1000
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with batches for long rows, unless the session sets a size of its own."""
-    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-    if df.sparkSession.conf.get(name, default) == default:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    """``mapInArrow`` with batches cut for long rows; the session's settings stay as they are."""
+    names = df.columns
+    if any("." in c for c in names):  # mapInArrow takes a dot for access to a field
+        df = df.toDF(*(free_name(df, f"_{i}") if "." in c else c for i, c in enumerate(names)))
+
+    def cut(batches):
+        for batch in batches:
+            for at in range(0, max(1, batch.num_rows), BATCH_ROWS):
+                yield batch.slice(at, BATCH_ROWS).rename_columns(names)
+
+    return df.mapInArrow(lambda batches: function(cut(batches)), schema)
 
 
 def let(value, body):

@@ -12,11 +12,13 @@ floor((1 - SIMILARITY) * n) word edits away.
    Hamming distance.
 3. Bit-sampling LSH.  Each repetition takes ``SAMPLED`` positions of the embedding as a key and
    looks it up among the items' keys.  Repetitions are added until ``RECALL`` of randomly edited
-   items (at the largest distance allowed) are found.
+   items (at the largest distance allowed) are found in the windows that they really give.  Items of
+   lengths for which ``MOST_REPETITIONS`` don't do are compared with every window of their length.
 4. Candidates are confirmed by the exact edit distance of the item to the best passage around
    the window.
 
-Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text; all documents pass each block.
+Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text; all documents pass each block.  Of
+several blocks one is in memory at a time: its results are saved before the next one is sent.
 
 Edge cases: items without words match nothing, and items of up to four words match only
 themselves; null and empty texts hold nothing; repeated documents and items each give their own
@@ -26,14 +28,16 @@ texts are read whole; other columns are ignored by ``find`` and kept by ``clean`
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Workspace
 from .common import id_and_text, map_arrow, text_bytes
 
 SIMILARITY = 0.8
@@ -156,6 +160,9 @@ class Index:
             first = np.cumsum([0, *map(len, places)])
             self.runs[q] = codes, first, np.array([x for p in places for x in p], dtype=np.int64).reshape(-1, 2)
         self.lsh = Lsh(max(map(len, self.items), default=1))
+        #: by length of items: trials, and those found; lengths in ``exact`` are compared without keys
+        self.trials: dict[int, tuple[int, int]] = {}
+        self.exact: dict[int, np.ndarray] = {}
         self.repetitions = self._enough()
         self.tables = []
         if self.items:
@@ -183,16 +190,33 @@ class Index:
             for _ in range(most_edits(n)):
                 where, kind = int(rng.integers(0, len(edited))), int(rng.integers(0, 3))
                 edited[where : where + (kind != 1)] = [] if kind == 2 else [0]
-            changed.append(np.array((edited + [0] * n)[:n], dtype=np.int64))
-        (a, lengths), (b, _) = _padded([self.items[k] for k in chosen]), _padded(changed)
-        missed = np.ones(len(a), dtype=bool)
-        for number in range(MOST_REPETITIONS // KEYS_PER_WALK):
-            x, y = self.lsh.walk(a, lengths, number), self.lsh.walk(b, lengths, number)
-            for r in range(number * KEYS_PER_WALK, (number + 1) * KEYS_PER_WALK):
-                missed &= self.lsh.keys(x, lengths, r) != self.lsh.keys(y, lengths, r)
-                if missed.mean() <= 1 - RECALL:
-                    return r + 1
-        return MOST_REPETITIONS
+            changed.append(np.array(edited, dtype=np.int64))
+        # the windows that the edited items give among words of no item
+        owner, rows = [], []
+        for t, (k, edited) in enumerate(zip(chosen, changed)):
+            n = len(self.items[k])
+            text = np.concatenate([np.zeros(n, np.int64), edited, np.zeros(n, np.int64)])
+            sizes, starts = self.windows(text)
+            mine = starts[sizes == n]
+            owner += [t] * len(mine)
+            rows.append(self._cut({0: text}, np.zeros(len(mine), np.int64), mine, np.full(len(mine), n))[:, :-1])
+        (a, lengths), (b, sizes) = _padded([self.items[k] for k in chosen]), _padded([r for part in rows for r in part])
+        owner, missed = np.array(owner, dtype=np.int64), np.ones(len(a), dtype=bool)
+        enough = MOST_REPETITIONS
+        for r in range(MOST_REPETITIONS):
+            if r % KEYS_PER_WALK == 0:
+                x, y = (self.lsh.walk(*part, r // KEYS_PER_WALK) for part in ((a, lengths), (b, sizes)))
+            hit = self.lsh.keys(y, sizes, r) == self.lsh.keys(x, lengths, r)[owner]
+            missed[owner[hit]] = False
+            if missed.mean() <= 1 - RECALL:
+                enough = r + 1
+                break
+        for n in np.unique(lengths).tolist():
+            self.trials[n] = int((lengths == n).sum()), int((~missed[lengths == n]).sum())
+        if missed.mean() > 1 - RECALL:
+            for n in np.unique(lengths[missed]).tolist():
+                self.exact[n] = np.array([k for k, item in enumerate(self.items) if len(item) == n])
+        return enough
 
     def windows(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and starts of the windows that line up with a run of some item. A start may be negative."""
@@ -256,6 +280,9 @@ class Index:
             while (more := np.flatnonzero(low < high)).size:
                 pairs.append(np.stack([items[low[more]], more], axis=1))
                 low[more] += 1
+        for n, same in self.exact.items():
+            at = np.flatnonzero(length == n)
+            pairs.append(np.stack([np.tile(same, len(at)), np.repeat(at, len(same))], axis=1))
         item, row = np.unique(np.concatenate(pairs), axis=0).T
         same = np.array([len(self.items[k]) for k in item.tolist()], dtype=np.int64) == length[row]  # else hashes met by chance
         item, row, out = item[same], row[same], []
@@ -298,18 +325,42 @@ def _in_parts(batches, *columns: str):
 FOUND = "doc_id long, item_id long, first_word long, end_word long, distance int, similarity double"
 
 
-def find(docs: DataFrame, items: DataFrame) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, work: Workspace | None = None) -> DataFrame:
     """One row per document and item that it holds: the best passage and its distance in words.
 
     first_word is end_word less the item's length; the passage may be up to ``distance`` words shorter or longer.
     """
     spark = docs.sparkSession
     docs = id_and_text(docs)
-    out = spark.createDataFrame([], FOUND)
+    found = _each_block(items, lambda sent, _: map_arrow(docs, _finder(sent), FOUND), work or Workspace(spark, "decontam"))
+    return reduce(DataFrame.union, found, spark.createDataFrame([], FOUND))
+
+
+def recall(items: DataFrame) -> list[tuple[int, int, int]]:
+    """(words, trials, found): of items of a length, edited as much as is allowed, how many share a key with a window."""
+    total: Counter = Counter()
+    for block in blocks(items):
+        for n, (trials, found) in Index(block).trials.items():
+            total[n, "trials"] += trials
+            total[n, "found"] += found
+    return [(n, total[n, "trials"], total[n, "found"]) for n in sorted({n for n, _ in total})]
+
+
+def _each_block(items: DataFrame, search, work: Workspace) -> list[DataFrame]:
+    """``search(broadcast index, result so far)`` of each block; all but a single one are saved before the next block is sent."""
+    spark, out, sent = items.sparkSession, [], None
     for block in blocks(items):
         index = Index(block)
-        if index.items:
-            out = out.union(map_arrow(docs, _finder(spark.sparkContext.broadcast(index)), FOUND))
+        if not index.items:
+            continue
+        if sent is not None:
+            out[-1] = work.save(out[-1])
+            sent.destroy()
+        sent = spark.sparkContext.broadcast(index)
+        out.append(search(sent, out[-1] if out else None))
+    if len(out) > 1:
+        out[-1] = work.save(out[-1])
+        sent.destroy()
     return out
 
 
@@ -327,7 +378,7 @@ def _finder(sent):
     return search
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, work: Workspace | None = None) -> DataFrame:
     """The documents that hold no item, with all their columns."""
 
     def keeper(sent):
@@ -339,8 +390,5 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         return keep
 
-    for block in blocks(items):
-        index = Index(block)
-        if index.items:
-            docs = map_arrow(docs, keeper(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
-    return docs
+    kept = _each_block(items, lambda sent, so_far: map_arrow(docs if so_far is None else so_far, keeper(sent), docs.schema), work or Workspace(docs.sparkSession, "decontam"))
+    return kept[-1] if kept else docs

@@ -10,7 +10,10 @@ the sample is left out to calibrate the temperature of the softmax.
 Edge cases: null, empty and letterless texts are `und` with score 0; null labels are not learned
 from; without any labelled row all is `und`; repeated rows give equal results; a null doc_id is
 never learned from and counts as held out; an empty table gives an empty result; texts are read
-whole; other columns are ignored.
+whole; other columns are ignored by ``identify`` and kept as they are by ``keep_known``.  Only the
+``MOST_LABELS`` most frequent labels are learned (of equally frequent ones the first by name), and
+none of fewer than ``LEAST_ROWS`` rows unless these are ``LEAST_SHARE`` of all, so a noisy label column
+neither fails nor needs more memory; an id that very many rows share can't exceed four times the bound.
 """
 
 from __future__ import annotations
@@ -22,14 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import Workspace
-from .common import crc_mod, id_and_text, map_arrow
+from .common import crc_mod, free_name, id_and_text, map_arrow, own_columns
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
 #: Labelled rows that the weights are fitted on; an expected bound, as rows are chosen by hash.
 SAMPLE_ROWS = 6000
-#: More labels than this are taken for a mistake.
-MOST_LABELS = 1000
+#: Labels that are learned: bounds the model, which has FEATURES weights for each.
+MOST_LABELS = 300
+#: A label of fewer rows is learned only if it has this share of all labelled rows.
+LEAST_ROWS, LEAST_SHARE = 5, 1e-3
 #: One document in so many is left out of training.
 FOLDS = 5
 #: A pipeline keeps predictions from this calibrated score on with four languages, where chance is 0.25.
@@ -147,13 +152,13 @@ _KINDS = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
 def train(docs: DataFrame, work: Workspace, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits on rows with text and lang; only these are read."""
     labelled = docs.where("text is not null and lang is not null and doc_id is not null")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
-    if len(sizes) > MOST_LABELS:
-        raise ValueError(f"lang has more than {MOST_LABELS} values")
+    found = work.save(labelled.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")))
+    total = found.agg(F.sum("n").alias("n")).first()["n"] or 0
+    frequent = found.where(F.col("n") >= min(LEAST_ROWS, LEAST_SHARE * total)).orderBy(F.desc("n"), "lang").limit(MOST_LABELS)
+    sizes = {r["lang"]: r["n"] for r in frequent.collect()}
     each = sample_rows / max(1, len(sizes))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(share)
+    shares = [F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))]
+    share = F.coalesce(F.try_element_at(F.create_map(*shares), F.col("lang").cast("string")), F.lit(0.0)) if shares else F.lit(0.0)
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)
 
     def gather(batches):
@@ -178,8 +183,9 @@ def train(docs: DataFrame, work: Workspace, sample_rows: int = SAMPLE_ROWS) -> M
                 docs_read, seen = docs_read + n, seen + np.frombuffer(data, np.int64)
         yield _gathered([(None, None, None, docs_read, seen.tobytes())])
 
-    gathered = work.save(map_arrow(labelled.select(F.col("text").cast("string").alias("text"), "lang", chosen.alias("chosen")), gather, GATHERED))
-    sample = gathered.where("label is not null").select("label", "at", "n").toArrow().to_pylist()
+    gathered = work.save(map_arrow(labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), chosen.alias("chosen")), gather, GATHERED))
+    # chosen by a hash of doc_id: only an id that very many rows share can exceed the bound
+    sample = gathered.where("label is not null").select("label", "at", "n").limit(4 * sample_rows).toArrow().to_pylist()
     # however many tasks there were, sixteen vectors reach the driver
     sums = map_arrow(gathered.where("docs is not null").repartition(16), added, GATHERED).select("docs", "seen").collect()
     n_docs = sum(r["docs"] for r in sums)
@@ -227,7 +233,7 @@ def keep_known(docs: DataFrame, least_score: float | None = None, work: Workspac
     """The documents, with all their columns, whose language is known; text without letters is rejected.
 
     If no labelled row can be learned from, only text without letters is rejected. The bound follows
-    the number of labels unless it is given. More than MOST_LABELS labels are an error.
+    the number of labels unless it is given.
     """
     work = work or Workspace(docs.sparkSession, "langid")
     model = train(docs.where(learned_from()), work)
@@ -240,8 +246,8 @@ def keep_known(docs: DataFrame, least_score: float | None = None, work: Workspac
         return map_arrow(docs, lettered, docs.schema)
     if least_score is None:
         least_score = least_known(len(model.labels)) - 1e-9  # the last digit is rounding
-    label, score = "_lang_pred_", "_lang_score_"
-    return apply(docs, model, label, score).where((F.col(label) != "und") & (F.col(score) >= least_score)).select(*docs.columns)
+    label, score = free_name(docs, "_lang_pred"), free_name(docs, "_lang_score")
+    return apply(docs, model, label, score).where((F.col(label) != "und") & (F.col(score) >= least_score)).select(*own_columns(docs))
 
 
 def identify(docs: DataFrame, folds: int = FOLDS, work: Workspace | None = None) -> DataFrame:

@@ -8,8 +8,8 @@
    of ranks within a length goes to a range of sequences at one offset.  A length either uses up
    a group or splits it, so the number of runs depends on the capacity, not on the corpus.
 4. Pieces get a rank within their length and take the planned slot by a join on it.  Ranks come
-   from counts of salted parts of each length, so a length that many documents share is ranked
-   by many tasks.
+   from counts of parts of each length, dealt by the row's number in the saved table, so a length
+   that many documents share, or one document many times repeated, is ranked by many tasks.
 
 Edge cases: a null text counts as empty; an empty text is one piece that holds only the end
 token; repeated documents are packed each on its own; a null doc_id is kept; an empty table gives
@@ -48,12 +48,16 @@ for _i, _b in enumerate([b for b in range(256) if not BYTE_LETTERS[b]]):
     BYTE_LETTERS[_b] = chr(256 + _i)
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
 REMEMBERED_WORDS = 600_000
+#: Runs of letters that the tokenizer gets as one text.
+JOINED = 500
 #: Longer words are forgotten with the texts that hold them.
 LONGEST_REMEMBERED = 100
 #: Bytes of text that are split into words together.
 SPLIT_TOGETHER = 2_000_000
 #: Pieces of one length that one task ranks, about.
 RANKED_TOGETHER = 2000
+#: A plan of more runs is joined by a shuffle. A capacity of 4,096 gives some tens of thousands at most.
+BROADCAST_RUNS = 200_000
 
 
 class Run(NamedTuple):
@@ -109,13 +113,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
 
 
 class WordIds:
-    """Packed ids (unsigned 32-bit, little-endian) of words, remembered.
+    """Packed ids (unsigned 32-bit, little-endian) of words, remembered. All come from ``tokenizers``.
 
     Only for tokenizers that drop white space: there a text's ids are those of its words in turn.
-    Plain words, Latin letters with at most one mark after them, need none of the tokenizer's
-    normalizer and splitter but the lower case; their byte pairs are merged by tiktoken with the
-    tokenizer's own merges, the end of a word being written as the byte FF.  Whether that gives
-    the same ids is tried at the start; if not, and for all other words, the tokenizer does it all.
+    Plain words, Latin letters with at most one mark after them, need nothing of the tokenizer's
+    normalizer and splitter but the lower case.  So they go to the same model without these two, many
+    as one text; the tokens that end a word tell where each one's ids end.  Whether that gives the same
+    ids is tried at the start; if not, and for all other words, the whole tokenizer is asked.
     """
 
     def __init__(self, vocabulary: str):
@@ -126,40 +130,41 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
         self.runs: dict[bytes, bytes] = {}
         self.long: list[bytes] = []
-        samples = ("the", "Lyestion,", "Élève.", "straße;", "ÜBER", "a", "enenreintion", "ñandúes!", "queeau:")
-        try:
-            self._merges(json.loads(vocabulary)["model"])
-            self.plain = [self._word(w.encode()) for w in samples] == self._full(list(samples))
-        except (KeyError, TypeError, ValueError):  # another kind of model
-            self.plain = False
-
-    def _merges(self, model: dict) -> None:
-        """Ranks of byte pairs: the end of a word joins the byte before it first, then the merges follow in order."""
-        import tiktoken
-
-        end, letters = model["end_of_word_suffix"], {c: bytes([b]) for b, c in enumerate(BYTE_LETTERS)}
-
-        def as_bytes(token: str) -> bytes:
-            whole = token.removesuffix(end)
-            return b"".join([letters[c] for c in whole]) + b"\xff" * (whole != token)
-
-        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        tokens = [c + end for c in BYTE_LETTERS] + merged + BYTE_LETTERS
-        ranks = {as_bytes(token): i for i, token in enumerate(tokens)}
-        self.id_of = [model["vocab"][token] for token in tokens]
-        self.pairs = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})
+        self.plain = False
+        content = json.loads(vocabulary)
+        model = content["model"]
+        if model.get("type") == "BPE" and model.get("end_of_word_suffix"):
+            content |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}
+            self.model = Tokenizer.from_str(json.dumps(content))
+            self.ends = np.zeros(1 + max(model["vocab"].values()), dtype=bool)
+            self.ends[[i for token, i in model["vocab"].items() if token.endswith(model["end_of_word_suffix"])]] = True
+            samples = [w.encode() for w in ("the", "Lyestion,", "Élève.", "straße;", "ÜBER", "a", "enenreintion", "ñandúes!", "queeau:")]
+            self.plain = True
+            self.learn(set(samples))
+            self.plain = [self.known[w] for w in samples] == self._full([w.decode() for w in samples])
+            self.known.clear()
 
     def _full(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def _run(self, run: bytes) -> bytes:
-        """The ids of lower-case letters or of one mark; remembered."""
-        self.runs[run] = found = array("I", [self.id_of[i] for i in self.pairs._encode_single_piece(run + b"\xff")]).tobytes()
-        return found
-
-    def _word(self, word: bytes) -> bytes | None:
-        """The ids of a plain word; None for others."""
+    def _learn_runs(self, runs: list[bytes]) -> None:
+        """Runs of lower-case letters, or single marks."""
+        for i in range(0, len(runs), JOINED):
+            some = runs[i : i + JOINED]
+            # byte-level vocabularies name each byte by a letter; ASCII ones stand for themselves
+            text = " ".join([r.decode() if r.isascii() else "".join([BYTE_LETTERS[b] for b in r]) for r in some])
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) == len(some):
+                packed = ids.tobytes()
+                self.runs.update(zip(some, [packed[a:b] for a, b in zip([0, *stops], stops)]))
+            else:  # another kind of vocabulary
+                self.runs.update(zip(some, self._full([r.decode() for r in some])))
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, bytes] | None:
+        """The letters of a plain word in lower case, and its mark; None for other words."""
         mark = word[-1:] if word[-1] in MARKS else b""
         run = word[:-1] if mark else word
         if run.isalpha():  # of bytes: ASCII letters only
@@ -168,25 +173,25 @@ class WordIds:
             run = run.decode().lower().encode()
         else:
             return None
-        if len(run) > LONGEST_REMEMBERED:
-            return None
-        found = self.runs.get(run) or self._run(run)
-        return found + (self.runs.get(mark) or self._run(mark)) if mark else found
+        return (run, mark) if len(run) <= LONGEST_REMEMBERED else None
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
         if len(self.runs) > REMEMBERED_WORDS // 2:
             self.runs.clear()
-        rest = []
+        rest, plain = [], []
         for word in words - self.known.keys():
-            found = self._word(word) if self.plain else None
-            if found is None:
-                rest.append(word)
-            else:
-                self.known[word] = found
             if len(word) > LONGEST_REMEMBERED:
                 self.long.append(word)
+            parts = self._parts(word) if self.plain else None
+            if parts is None:
+                rest.append(word)
+            else:
+                plain.append((word, *parts))
+        self._learn_runs([r for r in {x for _, *parts in plain for x in parts} - self.runs.keys() if r])
+        runs = self.runs
+        self.known.update((word, runs[run] + runs[mark] if mark else runs[run]) for word, run, mark in plain)
         self.known.update(zip(rest, self._full([w.decode("utf-8", "replace") for w in rest])))
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
@@ -248,14 +253,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
 
 def ranked(lengths: DataFrame, parts: int) -> DataFrame:
-    """Adds ``rank``: 0, 1, ... within each length. Each length is ranked in ``parts`` parts."""
-    salted = lengths.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
-    counts = salted.groupBy("length", "part").agg(F.count("*").alias("n"))
+    """Adds ``rank``: 0, 1, ... within each length. Each length is ranked in ``parts`` parts by the column ``row``."""
+    dealt = lengths.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
+    counts = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "part").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "part").orderBy("row")
     return (
-        salted.withColumn("own", F.row_number().over(within) - 1)
+        dealt.withColumn("own", F.row_number().over(within) - 1)
         .join(base, ["length", "part"])
         .withColumn("rank", F.col("base") + F.col("own"))
         .drop("part", "own", "base")
@@ -266,24 +271,25 @@ RUNS = T.StructType([T.StructField(f"run_{name}", T.LongType()) for name in Run.
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to saved pieces."""
+    """Adds sequence_id and offset to saved pieces; their column ``row`` numbers them and is left out."""
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    runs = spark.createDataFrame(plan(histogram, capacity), RUNS)
+    planned = plan(histogram, capacity)
+    runs = spark.createDataFrame(planned, RUNS)
+    runs = F.broadcast(runs) if len(planned) <= BROADCAST_RUNS else runs
     parts = max(16, -(-max(histogram.values(), default=0) // RANKED_TOGETHER))
     c = F.col
     slot = c("rank") - c("run_first")
     return (
         ranked(cut, parts)
-        # the plan's size is bounded by the capacity
-        .join(F.broadcast(runs), (c("length") == c("run_length")) & (c("rank") >= c("run_first")) & (c("rank") < c("run_last")))
+        .join(runs, (c("length") == c("run_length")) & (c("rank") >= c("run_first")) & (c("rank") < c("run_last")))
         .withColumn("sequence_id", c("run_sequence") + F.floor(slot / c("run_per_sequence")).cast("long"))
         .withColumn("offset", c("run_offset") + F.pmod(slot, c("run_per_sequence")) * c("length"))
-        .drop("rank", *RUNS.names)
+        .select(*(x for x in cut.columns if x != "row"), "sequence_id", "offset")
     )
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, work: Workspace | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
     work = work or Workspace(docs.sparkSession, "packing")
-    return place(work.save(pieces(docs, tokenizer, capacity, end_id, with_ids)), capacity)
+    return place(work.save(pieces(docs, tokenizer, capacity, end_id, with_ids).withColumn("row", F.monotonically_increasing_id())), capacity)

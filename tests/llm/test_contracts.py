@@ -267,6 +267,29 @@ def test_word_ids_equal_the_tokenizer():
     assert list(encoder.encode([t.encode() for t in texts])) == expected
 
 
+def test_packing_repeated_rows(spark):
+    """A document that is repeated very often is ranked by many tasks."""
+    cut = spark.range(100_000).selectExpr("cast(null as long) doc_id", "0 piece", "0L start", "1L length", "0L ids_crc32", "id row")
+    ranks = packing.ranked(cut, 50).selectExpr("count(distinct rank) n", "min(rank) a", "max(rank) b").first()
+    assert tuple(ranks) == (100_000, 0, 99_999)
+    out = packing.place(cut)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert out.select("sequence_id", "offset").distinct().count() == 100_000 and out.agg({"sequence_id": "max"}).first()[0] == -(-100_000 // 4096) - 1
+
+
+def test_word_ids_of_another_kind_of_vocabulary():
+    """Without word ends, or if the quick way gives other ids, the whole tokenizer is asked."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        content = f.read()
+    texts = ["The end, of étés.", "x"]
+    slow = packing.WordIds(content)
+    slow.plain = False
+    assert list(packing.WordIds(content).encode([t.encode() for t in texts])) == list(slow.encode([t.encode() for t in texts]))
+    upper = packing.WordIds(content.replace('{"type": "Lowercase"}', '{"type": "Strip", "strip_left": true, "strip_right": true}').replace('{"type":"Lowercase"}', '{"type":"Strip","strip_left":true,"strip_right":true}'))
+    assert not upper.plain
+    assert list(upper.encode([b"The"])) == upper._full(["The"])
+
+
 def test_phrases(documents):
     rows, df = documents
     first = {}
@@ -356,6 +379,27 @@ def test_simhash(documents):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    names = "_fp _row _file _FILE2 _lang_pred _lang_score _pii_spans a.b n".split()
+    rows = [(d, t, "en" if d and d % 2 else "de", *(f"{c}{i}" for c in names)) for i, (d, t, *_) in enumerate(odd_documents())]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", *names])
+    df.write.parquet(str(tmp_path / "t"))
+    for table in (df, spark.read.parquet(str(tmp_path / "t"))):
+        for stage in (simhash.keep_one, langid.keep_known):
+            kept = stage(table)
+            assert kept.columns == df.columns and set(map(tuple, kept.collect())) < set(rows)
+        least = {r["component_id"] for r in simhash.near_duplicates(table).collect()}
+        assert sorted(r["doc_id"] for r in simhash.keep_one(table).collect()) == sorted(least)
+
+
+def test_language_with_very_many_labels(spark):
+    rows = [(i, f"{'abc abd' if i % 2 else 'xyz xyw'} q{i}", ("one" if i % 2 else "two") if i % 3 else f"noise{i}", None, 3) for i in range(4000)]
+    out = langid.identify(frame(spark, rows)).collect()
+    lang = {r[0]: r[2] for r in rows}
+    held = [r for r in out if r["held_out"] and lang[r["doc_id"]] in ("one", "two")]
+    assert len(out) == len(rows) and sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) > 0.9 * len(held)
+
+
 @pytest.mark.parametrize("block", [4096, 40])
 def test_dense_fingerprints(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)

@@ -354,7 +354,7 @@ def test_decontamination(spark):
         at = rng.randrange(len(text) + 1)
         text[at:at] = edited(rng, [w.decode() for w in own], rng.randrange(0, int(0.3 * len(own)) + 1))
         docs.append((10_000 + k, " ".join(text).upper() if k % 2 else ", ".join(text), None, None, None))
-    docs += [(700, "say JUST, four words here!", None, None, None), (701, "just five words here", None, None, None), *odd_documents()[:6]]
+    docs += [(700, "say JUST, four words here!", None, None, None), (701, "just five words here", None, None, None), *odd_documents()]
     expected = set()
     for doc, text, *_ in docs:
         own = decontam.words_of(text.encode()) if text else []
@@ -388,6 +388,35 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert exact <= set(whole)
 
 
+@pytest.mark.parametrize("most", [512, 1])
+def test_no_bound_on_repetitions_loses_items(monkeypatch, most):
+    """Items that no number of repetitions finds are compared with every window."""
+    monkeypatch.setattr(decontam, "MOST_REPETITIONS", most)
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(10 + i % 30)).encode()) for i in range(60)]
+    index = decontam.Index(items)
+    assert bool(index.exact) == (most == 1) and sum(n for n, _ in index.trials.values()) == decontam.TRIALS
+    texts, truth = [], []
+    for t in range(300):
+        own = items[rng.randrange(60)]
+        n = len(own[1].split())
+        texts.append(" ".join(["x"] * rng.randrange(20) + edited(rng, own[1].decode().split(), decontam.most_edits(n)) + ["y"] * 9).encode())
+        truth.append((t, own[0]))
+    found = {(t, items[k][0]) for t, k, *_ in index.search(texts)}
+    assert len(found & set(truth)) >= (1 if most == 1 else 0.97) * len(truth)
+
+
+def test_clashing_columns_and_recall(spark):
+    items = spark.createDataFrame([(i, " ".join(f"w{i * 20 + k}" for k in range(20)), 1) for i in range(30)], "item_id long, text string, distance int")
+    docs = spark.createDataFrame([(i, "so " + " ".join(f"w{i * 20 + k}" for k in range(20)), 7, "x", 0.5) for i in range(40)], "doc_id long, text string, distance int, item_id string, similarity double")
+    out = decontam.find(docs, items)
+    assert out.columns == ["doc_id", "item_id", "first_word", "end_word", "distance", "similarity"]
+    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in out.collect()) == [(i, i, 0) for i in range(30)]
+    assert sorted(map(tuple, decontam.clean(docs, items).collect())) == sorted(map(tuple, docs.where("doc_id >= 30").collect()))
+    ((words, trials, found),) = decontam.recall(items)
+    assert words == 20 and trials == decontam.TRIALS and found >= decontam.RECALL * trials
+
+
 # -- components
 
 
