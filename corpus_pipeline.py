@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage takes all documents that the one before has kept.
 
 1. Documents whose language is not known go; without labels to learn from, only those without letters.
-   How sure the model must be follows the number of labels; more than 1,000 labels are an error.
+   How sure the model must be follows the number of labels.
 2. Of each group of near-duplicates one document stays.
 3. Documents that hold a benchmark item go.
 4. Personal data in the texts is replaced by its kind.
@@ -10,6 +10,12 @@
 All stages but the last return the columns of documents, and their results are written as Parquet
 to the shared folder and read again.  No SQL expresses the whole; the stages are tested against
 brute force.
+
+Edge cases: null and empty texts, and such without letters, go in the first stage; a null doc_id is
+kept, and comes last where one of a group stays; repeated rows are one group, of which one stays; ties go to
+the smallest doc_id, then to the first row; very long texts are read whole; a null lang is not learned
+from; an empty table gives an empty result, and an empty benchmark takes nothing away; more columns
+pass all stages but the last unchanged, whatever their names, but for n_chars, which follows the redacted text.
 """
 
 from __future__ import annotations
