@@ -2,29 +2,33 @@
 
 Tokens are the words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, and one end token per text.
 
-Statistics cover all training documents: the count of every token, of every pair of neighbouring
-token classes, and, for each word, of the classes before and after it.  The ``OWN_CLASSES`` most
-frequent words have a class each, the end token has one, and all other words share
-``SUFFIX_CLASSES`` by a hash of their last two bytes.  At the start the word before is the end token.
-
-The log-bilinear model predicts the embedding of the next class by a linear map of the embedding
-of the one before.  Noise-contrastive estimation tells the observed pairs from noise drawn from
-the class frequencies; as pairs are counted, the expectation over noise is taken exactly, by
-matrix products over all classes.  The trained scores are then normalised over all classes.
+Statistics cover all training documents: the count of every token, of every pair of token classes
+one, two and three places apart, and, for each word, of the classes before and after it.  The
+``OWN_CLASSES`` most frequent words have a class each, the end token has one, and all other words
+share ``SUFFIX_CLASSES`` by a hash of their last two bytes.  What is before a text is the end token.
+
+The log-bilinear model predicts the embedding of the next class from three places of context, each
+with a linear map of its own.  Noise-contrastive estimation tells the observed classes from noise; as
+contexts are counted, the expectation over noise is taken exactly, by matrix products over all
+classes.  First the place before is fitted, against noise of the classes' frequencies; then the two
+places before that, against noise of what has been fitted.  For these two the classes are clustered
+by the embeddings they have there (``GROUPS`` learned groups for each place), so that the sum over
+classes that normalises a prediction can be kept in tables: of word or class, and pair of groups.
 
 Every word of a shared class, however rare, then gets two embeddings of its own, so the model grows
-with the vocabulary.  With j and k the classes of the words h and w,
+with the vocabulary.  With h the word before w, j and k their classes, and g, g' the groups before h,
 
-    P(w | h) = P(k | j) exp(own input of h . k) / Z(h)  x  (c(w)+1) exp(own output of w . j) / Z(k, j)
+    P(w | h, g, g') = P(k | j) exp((own input of h + g + g') . k) / Z(h, g, g')  x  (c(w)+1) exp(own output of w . j) / Z(k, j)
 
 Both are fitted by NCE on the contexts observed of that word, against noise with the contexts of its
 class; a Gaussian prior draws the rare ones to their class.  Every word takes one step, which can't
 overshoot, and words seen ``MORE_STEPS_FROM`` times or more take ``OWN_STEPS`` accelerated steps.
-Z(h) sums over all classes and Z(k, j) over all words of class k and one unseen word, so
+Z(h, g, g') sums over all classes and Z(k, j) over all words of class k and one unseen word, so
 probabilities of words add up to 1.
 
 What is still merged: an embedding of a word's own meets the class of its neighbour, not the neighbour
-itself, if that has no class of its own; the context is one word; an unseen word has its class's.
+itself, if that has no class of its own; two and three places back only groups of classes count; an
+unseen word has its class's.
 
 Parameters of the ``HEAD_WORDS`` most frequent words are broadcast.  Those of all others are never
 stored: the occurrences of a word are gathered, and its embeddings fitted where they are used.
@@ -40,6 +44,8 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +58,13 @@ from .common import crc_mod, id_and_text, map_arrow, text_bytes
 #: Words whose counts are broadcast.
 HEAD_WORDS = 100_000
 LONGEST_HEAD = 100
-OWN_CLASSES, SUFFIX_CLASSES = 767, 256
+OWN_CLASSES, SUFFIX_CLASSES = 383, 128
 CLASSES = 1 + OWN_CLASSES + SUFFIX_CLASSES  # class 0: the end token
 DIMENSION, NOISE, STEPS, RATE = 32, 10, 150, 0.05
+#: Groups of classes at the second and at the third place back, and the steps that fit these places.
+GROUPS, FAR_STEPS = 6, 100
+#: Bytes of text that are encoded together.
+ENCODED_TOGETHER = 2_000_000
 #: Distinct words, and bytes of text, that a task counts before it hands them on.
 COUNTED_TOGETHER, BYTES_TOGETHER = 500_000, 128_000_000
 #: Precision of the prior of own embeddings, whose features have unit variance.
@@ -116,15 +126,59 @@ class Vocabulary:
         #: log10 of N+V+1 within a class; 0 where the class is one word
         self.class_total = np.where(np.arange(CLASSES) > OWN_CLASSES, np.log10(np.maximum(1, totals.sum(axis=1) + 1)), 0)
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Positions in the head (-1: not there), classes, and the words not there."""
-        get = self.words.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        missing = np.flatnonzero(at < 0)
-        rest = [words[i] for i in missing.tolist()]
-        kind = self.classes[at] if len(self.classes) else np.zeros(len(at), np.int64)
-        kind[missing] = [suffix_class(w) for w in rest]
-        return at, kind, rest
+    def encode(self, texts: list[bytes | None]):
+        """Encoded tokens of some texts at a time."""
+        at = 0
+        while at < len(texts):
+            words, sizes, held = [], [], 0
+            while at < len(texts) and held < ENCODED_TOGETHER:
+                own = tokens(texts[at])
+                words += own
+                words.append(END)
+                sizes.append(len(own) + 1)
+                held += len(texts[at] or b"")
+                at += 1
+            yield Encoded(self, words, np.array(sizes))
+
+
+class Encoded:
+    """Tokens of texts one after the other, each text with its end token.
+
+    at: position in the head, -1 elsewhere. kind: class. ends, missing: places of end tokens, and of
+    words beyond the head, which are ``rest``. starts: where each text begins.
+    """
+
+    def __init__(self, voc: Vocabulary, words: list[bytes], sizes: np.ndarray):
+        self.sizes, self.starts = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.ends = self.starts + sizes - 1
+        self.at = np.fromiter(map(voc.words.get, words, repeat(-1)), np.int64, len(words))
+        missing = self.at < 0
+        missing[self.ends] = False
+        self.missing = np.flatnonzero(missing)
+        self.rest = [words[i] for i in self.missing.tolist()]
+        self.kind = voc.classes[self.at] if len(voc.classes) else np.zeros(len(words), np.int64)
+        self.kind[self.ends] = 0
+        self.kind[self.missing] = [suffix_class(w) for w in self.rest]
+        self.place = np.arange(len(words)) - np.repeat(self.starts, sizes)
+
+    def before(self, places: int) -> np.ndarray:
+        """The classes so many places back; 0 before a text."""
+        return self.earlier(self.kind, places, 0)
+
+    def earlier(self, values: np.ndarray, places: int, other: int) -> np.ndarray:
+        out = np.full(len(values), other, dtype=values.dtype)
+        out[places:] = values[:-places]
+        out[self.place < places] = other
+        return out
+
+    def after(self) -> np.ndarray:
+        return np.append(self.kind[1:], 0)
+
+    def by_text(self, values: np.ndarray, where=slice(None)) -> np.ndarray:
+        """Sums by text of values of the tokens ``where``."""
+        whole = np.zeros(len(self.at))
+        whole[where] = values
+        return np.add.reduceat(whole, self.starts)
 
 
 def _suffix_column():
@@ -153,6 +207,11 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(pairs, sum(r["n"] for r in bins), sum(r["words"] for r in bins), by_suffix)
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """Without overflow: beyond 60 either way it is 0 or 1 in float32."""
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
 def train(pairs: np.ndarray) -> np.ndarray:
     """pairs: how often class w (column) follows class h (row). Gives log10 P(w | h), normalised."""
     return train_classes(pairs)[0]
@@ -175,7 +234,7 @@ def train_classes(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     for step in range(1, STEPS + 1):
         predicted = given @ turn
         score = predicted @ target.T + bias
-        real = 1 / (1 + np.exp(log_noise - score))  # probability that a pair is data, not noise
+        real = _logistic(score - log_noise)  # probability that a pair is data, not noise
         slope = (observed * (1 - real) - contrast * real) * weight
         back = slope @ target
         slopes = [slope.T @ predicted, back @ turn.T, given.T @ back, slope.sum(axis=0)]
@@ -221,36 +280,86 @@ class Side:
             for row, word in zip(observed, some):
                 np.add.at(row, near[starts[word] : ends[word]], n[starts[word] : ends[word]])
             noise = NOISE * c[some, None] * self.reference[kind[some]]
-            u = ahead = own[some]
-            for step in range(1, OWN_STEPS):
-                real = 1 / (1 + NOISE * np.exp(-np.clip(ahead @ self.features.T, -60, 60)))
-                new = ahead + ((observed * (1 - real) - noise * real) @ self.features - PRIOR * ahead) / bend[some]
-                ahead = new + (step - 1) / (step + 2) * (new - u)
-                u = new
-            own[some] = u
+            own[some] = self.steps(own[some], observed, noise, bend[some], OWN_STEPS)
         return own
 
+    def steps(self, own: np.ndarray, observed: np.ndarray, noise: np.ndarray, bend: np.ndarray, n: int) -> np.ndarray:
+        """n accelerated steps; rows of observed and of noise: counts of neighbours' classes."""
+        u = ahead = own
+        for step in range(1, n):
+            real = _logistic(ahead @ self.features.T - math.log(NOISE))
+            new = ahead + ((observed * (1 - real) - noise * real) @ self.features - PRIOR * ahead) / bend
+            ahead = new + (step - 1) / (step + 2) * (new - u)
+            u = new
+        return u
+
+    def fit_counts(self, observed: np.ndarray, noise: np.ndarray) -> np.ndarray:
+        """Embeddings from dense counts; the rows of noise add up to NOISE times those of observed."""
+        count = observed.sum(axis=1, keepdims=True)
+        bend = count / 4 * (1 + NOISE) * self.length.max() + PRIOR
+        return self.steps(np.zeros((len(observed), DIMENSION), np.float32), observed, noise, bend, FAR_STEPS)
+
+
+def grouped(points: np.ndarray, weight: np.ndarray, n: int = GROUPS) -> np.ndarray:
+    """The group of each point, by weighted k-means; it begins with points far from each other."""
+    centres = points[[int(weight.argmax())]]
+    while len(centres) < n:
+        far = ((points[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
+        centres = np.concatenate([centres, points[[int((far * weight).argmax())]]])
+    for _ in range(20):
+        own = ((points[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for k in range(n):
+            if weight[own == k].sum() > 0:
+                centres[k] = np.average(points[own == k], axis=0, weights=weight[own == k])
+    return own
+
 
 class Model:
     """The classes' model, and what fits the words' own embeddings."""
 
-    def __init__(self, pairs: np.ndarray):
+    def __init__(self, pairs: np.ndarray, second: np.ndarray | None = None, third: np.ndarray | None = None):
+        """Counts of class w (column) so many places after class h (row); without the last two these places say nothing."""
         self.log_p, predicted, target = train_classes(pairs)
         context = (pairs.sum(axis=1) + 0.5) / (pairs.sum() + 0.5 * CLASSES)
         before = pairs.T + context
         self.before = Side(predicted, before / before.sum(axis=1, keepdims=True))
         after = 10.0 ** self.log_p.astype(np.float64)
         self.after = Side(target, after / after.sum(axis=1, keepdims=True))
+        #: of the second and third place: the group of each class there, and what each group adds to the score of each class
+        self.group, self.far = zip(*(self._place(seen, between) for seen, between in ((second, pairs), (third, second))))
+        both = np.repeat(self.far[0], GROUPS, axis=0) + np.tile(self.far[1], (GROUPS, 1))
+        self.shift = both.astype(np.float32)  # by pair of groups
+        self.lifted = np.exp(both).T.astype(np.float32)
+        self.class_z = np.log(self.after.reference @ self.lifted).astype(np.float32)
+
+    def _place(self, seen: np.ndarray | None, between: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """seen: the classes after a class at this place. between: those that then stand just before them."""
+        if seen is None or not seen.sum():
+            return np.zeros(CLASSES, np.int64), np.zeros((GROUPS, CLASSES))
+        # what the place before predicts, whose class is 0 at the beginning of a text only
+        expected = between[:, 1:] @ self.after.reference[1:].astype(np.float64)
+        expected[0] += seen[:, 0].sum() * self.after.reference[0]
+        expected *= seen.sum(axis=1, keepdims=True) / np.maximum(1e-9, expected.sum(axis=1, keepdims=True))
+        weight = seen.sum(axis=1)
+        group = grouped(self.after.fit_counts(seen, NOISE * expected), weight)
+        observed, noise = np.zeros((GROUPS, CLASSES)), np.zeros((GROUPS, CLASSES))
+        np.add.at(observed, group, seen)
+        np.add.at(noise, group, NOISE * expected)
+        return group, self.after.fit_counts(observed, noise) @ self.after.features.T.astype(np.float64)
+
+    def pair_of_groups(self, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+        """second, third: classes two and three places back."""
+        return self.group[0][second] * GROUPS + self.group[1][third]
 
     def inputs(self, kind: np.ndarray, starts: np.ndarray, near: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Own input embeddings, and ln Z(h)."""
+        """Own input embeddings, and ln Z(h, g, g') by pair of groups."""
         own = self.after.fit(kind, starts, near, n)
-        log_z = np.empty(len(own))
+        log_z = np.empty((len(own), GROUPS * GROUPS), dtype=np.float32)
         for i in range(0, len(own), FITTED_TOGETHER):
             some = slice(i, i + FITTED_TOGETHER)
             score = own[some] @ self.after.features.T
             top = score.max(axis=1, keepdims=True)
-            log_z[some] = np.log((self.after.reference[kind[some]] * np.exp(score - top)).sum(axis=1)) + top[:, 0]
+            log_z[some] = np.log((self.after.reference[kind[some]] * np.exp(score - top)) @ self.lifted) + top
         return own, log_z
 
     def add_outputs(self, z: np.ndarray, own: np.ndarray, kind: np.ndarray, c: np.ndarray) -> None:
@@ -263,7 +372,7 @@ class Model:
             z[k] += np.add.reduceat(weight, first)
 
 
-#: Three kinds of rows: counts of pairs of classes; a head word's neighbours, as side and class (int16) and counts (int64); an occurrence of another word.
+#: Three kinds of rows: counts of pairs of classes (by place, then pair); a head word's neighbours, as side and class (int16) and counts (int64); an occurrence of another word.
 SEEN = "pair long, n long, i long, side binary, times binary, word binary, around int"
 _SEEN = {"pair": pa.int64(), "n": pa.int64(), "i": pa.int64(), "side": pa.binary(), "times": pa.binary(), "word": pa.binary(), "around": pa.int32()}
 
@@ -272,17 +381,12 @@ def _seen(size: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in _SEEN.items()], names=list(_SEEN))
 
 
-def _around(kind: np.ndarray) -> np.ndarray:
-    """The classes before and after each token of a text, as one number."""
-    return np.concatenate([[0], kind])[:-1] * CLASSES + np.concatenate([kind, [0]])[1:]
-
-
 def _context_counter(vocabulary):
     """Counts of pairs of classes and of the head's neighbours, and each occurrence of other words."""
 
     def count(batches):
         voc = vocabulary.value
-        found = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+        found = np.zeros((3, CLASSES * CLASSES), dtype=np.int64)
         keys, counts, held = [], [], 0
 
         def merged():
@@ -290,28 +394,26 @@ def _context_counter(vocabulary):
             return [k], [np.bincount(which, np.concatenate(counts)).astype(np.int64)]
 
         for batch in batches:
-            words, around = [], []
-            for data in text_bytes(batch.column("text")):
-                at, kind, rest = voc.encode(tokens(data))
-                np.add.at(found, np.concatenate([[0], kind]) * CLASSES + np.concatenate([kind, [0]]), 1)
-                near = _around(kind)
-                shared = at >= OWN_CLASSES
-                base = at[shared] * 2 * CLASSES
-                keys += [base + near[shared] // CLASSES, base + CLASSES + near[shared] % CLASSES]
+            for x in voc.encode(text_bytes(batch.column("text"))):
+                for places in range(3):
+                    found[places] += np.bincount(x.before(places + 1) * CLASSES + x.kind, minlength=CLASSES * CLASSES)
+                before, after = x.before(1), x.after()
+                shared = np.flatnonzero(x.at >= OWN_CLASSES)
+                base = x.at[shared] * 2 * CLASSES
+                keys += [base + before[shared], base + CLASSES + after[shared]]
                 counts += [np.ones(len(base), np.int64)] * 2
                 held += 2 * len(base)
-                words += rest
-                around.append(near[at < 0])
-            if held > 4_000_000:
-                keys, counts = merged()
-                if len(keys[0]) > 2_000_000:
-                    yield from _head_rows(keys[0], counts[0])
-                    keys, counts = [], []
-                held = sum(map(len, keys))
-            if words:
-                yield _seen(len(words), word=words, around=np.concatenate(around))
+                if held > 4_000_000:
+                    keys, counts = merged()
+                    if len(keys[0]) > 2_000_000:
+                        yield from _head_rows(keys[0], counts[0])
+                        keys, counts = [], []
+                    held = sum(map(len, keys))
+                if x.rest:
+                    yield _seen(len(x.rest), word=x.rest, around=before[x.missing] * CLASSES + after[x.missing])
         if keys:
             yield from _head_rows(*(x[0] for x in merged()))
+        found = found.ravel()
         at = np.flatnonzero(found)
         for i in range(0, len(at), 100_000):
             part = at[i : i + 100_000]
@@ -339,8 +441,8 @@ def _lists(column) -> tuple[np.ndarray, pa.Array]:
     return (offsets[:-1] - offsets[0]).astype(np.int64), column.flatten()
 
 
-FITTED = "i long, own_in binary, own_out binary, log_z double, z binary"
-_FITTED = [pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.binary()]
+FITTED = "i long, own_in binary, own_out binary, log_z binary, z binary"
+_FITTED = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def _z_row(z: np.ndarray) -> pa.RecordBatch:
@@ -371,8 +473,8 @@ def _head_fitter(vocabulary, model):
             out = m.before.fit(kind, *sides[0])
             own, log_z = m.inputs(kind, *sides[1])
             m.add_outputs(z, out, kind, voc.counts[i])
-            rows = [pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in out], pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(i), *rows, pa.array(log_z), pa.nulls(len(i), pa.binary())], names=[x.split()[0] for x in FITTED.split(", ")])
+            rows = [pa.array([x.tobytes() for x in part], pa.binary()) for part in (own, out, log_z - m.class_z[kind])]
+            yield pa.RecordBatch.from_arrays([pa.array(i), *rows, pa.nulls(len(i), pa.binary())], names=[x.split()[0] for x in FITTED.split(", ")])
         yield _z_row(z)
 
     return fit
@@ -406,16 +508,18 @@ def _add_z(batches):
 
 
 class Own:
-    """The head's own embeddings (zero for words with a class of their own), and log10 Z(k, j)."""
+    """The head's own embeddings (zero for words with a class of their own), and log10 Z(k, j).
+
+    log_z: ln Z(h, g, g') less that of the word's class.
+    """
 
     def __init__(self, words: int, fitted: pa.Table, z: np.ndarray):
         self.inputs, self.outputs = (np.zeros((words, DIMENSION), dtype=np.float32) for _ in range(2))
-        self.log_z = np.zeros(words)
+        self.log_z = np.zeros((words, GROUPS * GROUPS), dtype=np.float32)
         if fitted.num_rows:
             i = fitted.column("i").to_numpy()
-            for name, where in (("own_in", self.inputs), ("own_out", self.outputs)):
-                where[i] = np.frombuffer(b"".join(map(bytes, fitted.column(name).to_pylist())), np.float32).reshape(len(i), DIMENSION)
-            self.log_z[i] = fitted.column("log_z").to_numpy()
+            for name, where in (("own_in", self.inputs), ("own_out", self.outputs), ("log_z", self.log_z)):
+                where[i] = np.frombuffer(b"".join(fitted.column(name).to_pylist()), np.float32).reshape(len(i), -1)
         self.log_total = np.zeros((CLASSES, CLASSES), dtype=np.float32)
         self.log_total[1 + OWN_CLASSES :] = np.log10(1 + z)  # one unseen word
 
@@ -431,6 +535,7 @@ def _rest_scorer(model):
         for batch in batches:
             starts, flat = _lists(batch.column("seen"))
             row, around = flat.field("row").to_numpy(), flat.field("around").to_numpy()
+            groups, around = around // CLASSES**2, around % CLASSES**2
             learned = ~flat.field("held_out").to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(np.append(starts, len(row))))
             c = np.bincount(owner[learned], minlength=batch.num_rows)
@@ -444,10 +549,10 @@ def _rest_scorer(model):
             out = m.before.fit(kind, first, near // CLASSES, one)
             own, log_z = m.inputs(kind, first, near % CLASSES, one)
             known = c[owner] > 0
-            row, around, owner = row[known], around[known], owner[known]
+            row, around, groups, owner = row[known], around[known], groups[known], owner[known]
             logs, p = np.log10(c[owner] + 1), place[owner]
             step = np.einsum("ij,ij->i", out[p], m.before.features[around // CLASSES]).astype(np.float64)
-            step += np.einsum("ij,ij->i", own[p], m.after.features[around % CLASSES]) - log_z[p]
+            step += np.einsum("ij,ij->i", own[p], m.after.features[around % CLASSES]) - (log_z - m.class_z[kind])[p, groups]
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.ones(len(row), np.int64)), pa.array(logs), pa.array(logs + step / math.log(10))], names=[x.split()[0] for x in CONTRIBUTED.split(", ")])
 
     return score
@@ -457,72 +562,98 @@ HEAD = "doc_id long, held_out boolean, n_tokens long, known long, logs double, w
 
 
 def _scorer(vocabulary, model, own):
+    """Rest: the words beyond the head of each text; around: the groups, and the classes before and after, where they stand."""
+
     def score(batches):
         voc, m, o = vocabulary.value, model.value, own.value
         log_count = np.log10(voc.counts + 1)
         end_log, end_known = math.log10(voc.end_count + 1), int(voc.end_count > 0)
+        dot = lambda a, b: np.einsum("ij,ij->i", a, b).astype(np.float64)
         for batch in batches:
-            rows = []
-            for data in text_bytes(batch.column("text")):
-                at, kind, rest = voc.encode(tokens(data))
-                head = at[at >= 0]
-                steps = m.log_p[np.concatenate([[0], kind]), np.concatenate([kind, [0]])]
-                near = _around(kind)
-                shared = at >= OWN_CLASSES
-                i, before, after = at[shared], near[shared] // CLASSES, near[shared] % CLASSES
-                adjusted = float(np.vdot(o.outputs[i], m.before.features[before])) + float(np.vdot(o.inputs[i], m.after.features[after]))
-                adjusted -= o.log_z[i].sum()
-                rows.append(
-                    (
-                        len(at) + 1,
-                        len(head) + end_known,
-                        float(log_count[head].sum()) + end_log,
-                        # words that share a class: their counts' logarithms, less the class's
-                        float(log_count[i].sum()) - float(o.log_total[kind, near // CLASSES].sum(dtype=np.float64)),
-                        float(steps.sum(dtype=np.float64)) + float(adjusted) / math.log(10),
-                        rest,
-                        near[at < 0],
-                    )
+            parts = []
+            for x in voc.encode(text_bytes(batch.column("text"))):
+                before, groups = x.before(1), m.pair_of_groups(x.before(2), x.before(3))
+                head, shared = np.flatnonzero(x.at >= 0), np.flatnonzero(x.at >= OWN_CLASSES)
+                i, last = x.at[shared], x.earlier(x.at, 1, -1)
+                given = np.flatnonzero(last >= OWN_CLASSES)  # tokens after a word with an input embedding of its own
+                logs = log_count[x.at[head]]
+                step = m.log_p[before, x.kind].astype(np.float64) + (m.shift[groups, x.kind] - m.class_z[before, groups]) / math.log(10)
+                step[shared] += dot(o.outputs[i], m.before.features[before[shared]]) / math.log(10)
+                adjusted = dot(o.inputs[last[given]], m.after.features[x.kind[given]]) - o.log_z[last[given], groups[given]]
+                step[given] += adjusted / math.log(10)
+                # words that share a class: their counts' logarithms, less the class's
+                within = x.by_text(log_count[i], shared) - x.by_text(o.log_total[x.kind, before])
+                counted = np.cumsum(np.bincount(np.searchsorted(x.starts, x.missing, "right") - 1, minlength=len(x.sizes)))
+                offsets = pa.array(np.concatenate([[0], counted]), pa.int32())
+                around = (np.append(groups[1:], 0) * CLASSES + before) * CLASSES + x.after()
+                parts.append(
+                    [
+                        pa.array(x.sizes, pa.int64()),
+                        pa.array(x.by_text(np.ones(len(head)), head).astype(np.int64) + end_known),
+                        pa.array(x.by_text(logs, head) + end_log),
+                        pa.array(within),
+                        pa.array(x.by_text(step)),
+                        pa.ListArray.from_arrays(offsets, pa.array(x.rest, pa.binary())),
+                        pa.ListArray.from_arrays(offsets, pa.array(around[x.missing], pa.int32())),
+                    ]
                 )
-            columns = list(zip(*rows)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 3, pa.list_(pa.binary()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(list(c), t) for c, t in zip(columns, kinds))], names=[x.split()[0] for x in HEAD.split(", ")])
+            if parts:
+                columns = [pa.concat_arrays(c) for c in zip(*parts)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns], names=[x.split()[0] for x in HEAD.split(", ")])
 
     return score
 
 
-def score_texts(docs: DataFrame, folds: int = 7, left_out: int = 2, work: Workspace | None = None) -> DataFrame:
-    """One row per document; those of fold ``left_out`` are not learned from.
+class Trained(NamedTuple):
+    vocabulary: Vocabulary
+    model: Model
+    own: Own
 
-    doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram), score (the
-    model's log10 probability of the whole text).
-    """
-    spark = docs.sparkSession
-    work = work or Workspace(spark, "lbl")
-    held_out = F.coalesce(crc_mod("doc_id", folds) == left_out, F.lit(True))
-    rows = id_and_text(docs, held_out.alias("held_out"))
-    learned = rows.where(~F.col("held_out")).select("text")
-    counts = work.save(map_arrow(learned, _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
+
+def learn(texts: DataFrame, work: Workspace) -> Trained:
+    """The model of a table with a column ``text``."""
+    spark = texts.sparkSession
+    counts = work.save(map_arrow(texts, _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
     voc = learn_vocabulary(counts)
     vocabulary = spark.sparkContext.broadcast(voc)
-    seen = work.save(map_arrow(learned, _context_counter(vocabulary), SEEN))
+    seen = work.save(map_arrow(texts, _context_counter(vocabulary), SEEN))
     work.drop(counts)
     found = seen.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(CLASSES * CLASSES)
+    pairs = np.zeros(3 * CLASSES * CLASSES)
     pairs[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    model = spark.sparkContext.broadcast(Model(pairs.reshape(CLASSES, CLASSES)))
+    model = Model(*pairs.reshape(3, CLASSES, CLASSES))
+    sent = spark.sparkContext.broadcast(model)
 
-    # a task hands on a table of Z, so there are as many as there are cores, not partitions
-    tasks = max(12, 2 * spark.sparkContext.defaultParallelism)
     near = seen.where("i is not null").groupBy("i").agg(F.collect_list(F.struct("side", "times")).alias("near"))
-    fitted = work.save(map_arrow(near.coalesce(tasks), _head_fitter(vocabulary, model), FITTED))
-    others = seen.where("word is not null").groupBy("word").agg(F.collect_list("around").alias("around")).coalesce(tasks)
-    parts = work.save(map_arrow(others, _rest_normaliser(model), FITTED)).unionByName(fitted).where("z is not null").select("z")
+    fitted = work.save(map_arrow(near, _head_fitter(vocabulary, sent), FITTED))
+    others = seen.where("word is not null").groupBy("word").agg(F.collect_list("around").alias("around"))
+    rest = work.save(map_arrow(others, _rest_normaliser(sent), FITTED))
+    parts = rest.unionByName(fitted).where("z is not null").select("z")
     z = np.zeros((SUFFIX_CLASSES, CLASSES))
     for r in map_arrow(parts.repartition(8), _add_z, FITTED).select("z").collect():  # however many tasks there were
         z += np.frombuffer(r["z"]).reshape(z.shape)
-    own = spark.sparkContext.broadcast(Own(len(voc.words), fitted.where("i is not null").drop("z").toArrow(), z))
-    work.drop(seen)
+    own = Own(len(voc.words), fitted.where("i is not null").drop("z").toArrow(), z)
+    for table in (seen, fitted, rest):
+        work.drop(table)
+    for broadcast in (vocabulary, sent):
+        broadcast.destroy()
+    return Trained(voc, model, own)
+
+
+def score_texts(docs: DataFrame, folds: int = 7, left_out: int = 2, work: Workspace | None = None) -> DataFrame:
+    """One row per document; those of fold ``left_out`` are not learned from.
+
+    doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram), score (the
+    model's log10 probability of the whole text).
+    """
+    spark = docs.sparkSession
+    work = work or Workspace(spark, "lbl")
+    held_out = F.coalesce(crc_mod("doc_id", folds) == left_out, F.lit(True))
+    rows = id_and_text(docs, held_out.alias("held_out"))
+    learned = rows.where(~F.col("held_out")).select("text")
+    trained = learn(learned, work)
+    voc = trained.vocabulary
+    vocabulary, model, own = (spark.sparkContext.broadcast(x) for x in trained)
 
     head = work.save(map_arrow(rows, _scorer(vocabulary, model, own), HEAD).withColumn("row", F.monotonically_increasing_id()))
     each = head.select("row", "held_out", F.explode(F.arrays_zip("rest", "around")).alias("x")).groupBy(F.col("x.rest").alias("word"))

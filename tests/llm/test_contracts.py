@@ -15,6 +15,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from readsieve.llm import langid, lbl_lm, packing, phrases, pii, simhash, tiff
+from readsieve.storage import Workspace
 
 from ..oracles import assert_same
 from .data import frame, lower, odd_documents, small, words
@@ -175,14 +176,14 @@ def test_lm_is_normalised(monkeypatch):
 
 def test_lm_rare_words_have_contexts_of_their_own(spark, monkeypatch):
     """Words of one shared class are told apart by what stands before and after each."""
-    filler = [f"f{i}x{i % 7}" for i in range(780)]
+    filler = [f"f{i}x{i % 7}" for i in range(lbl_lm.OWN_CLASSES + 13)]
     said = ["kiwi qqab lime", "plum wwab pear"]
     rows = [(i, " ".join(filler) + " kiwi plum lime pear" * 3) for i in range(40)] + [(100 + i, said[i % 2]) for i in range(30)]
     held = itertools.islice((i for i in itertools.count(1000) if zlib.crc32(str(i).encode()) % 7 == 2), 4)
     tests = dict(zip(held, ["kiwi qqab lime", "plum wwab pear", "kiwi wwab lime", "plum qqab pear"]))
     df = frame(spark, [(*r, None, None, None) for r in [*rows, *tests.items()]])
     found = []
-    for head in (lbl_lm.HEAD_WORDS, 786):  # by the broadcast, and by the gathered occurrences
+    for head in (lbl_lm.HEAD_WORDS, lbl_lm.OWN_CLASSES + 19):  # by the broadcast, and by the gathered occurrences
         monkeypatch.setattr(lbl_lm, "HEAD_WORDS", head)
         score = {tests[r["doc_id"]]: r["score"] for r in lbl_lm.score_texts(df).where("doc_id >= 1000").collect()}
         seen, unseen = (sum(score[t] for t in part) for part in (said, ["kiwi wwab lime", "plum qqab pear"]))
@@ -193,13 +194,14 @@ def test_lm_rare_words_have_contexts_of_their_own(spark, monkeypatch):
 
 def test_lm_own_embeddings_are_normalised():
     rng = np.random.default_rng(1)
-    model = lbl_lm.Model(rng.integers(0, 9, (lbl_lm.CLASSES, lbl_lm.CLASSES)).astype(float))
+    model = lbl_lm.Model(*rng.integers(0, 9, (3, lbl_lm.CLASSES, lbl_lm.CLASSES)).astype(float))
     n = np.array([1, 3, 40])
     starts, near = np.array([0, 1, 4]), rng.integers(0, lbl_lm.CLASSES, 44)
     kind = np.array([lbl_lm.CLASSES - 1, lbl_lm.CLASSES - 1, lbl_lm.CLASSES - 2])
     own, log_z = model.inputs(kind, starts, near, np.ones(44))
-    p = model.after.reference[kind] * np.exp(own @ model.after.features.T - log_z[:, None])
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4) and np.abs(own).max() > 0
+    for groups in range(lbl_lm.GROUPS**2):
+        p = model.after.reference[kind] * np.exp(own @ model.after.features.T + model.shift[groups] - log_z[:, [groups]])
+        assert np.allclose(p.sum(axis=1), 1, atol=1e-4) and np.abs(own).max() > 0
     out = model.before.fit(kind, starts, near, np.ones(44))
     z = np.zeros((lbl_lm.SUFFIX_CLASSES, lbl_lm.CLASSES))
     model.add_outputs(z, out, kind, n)
@@ -207,6 +209,65 @@ def test_lm_own_embeddings_are_normalised():
     assert np.allclose(z[-1], expected.sum(axis=0)) and z[-2].min() > 0 and not z[:-2].any()
 
 
+def test_lm_places_far_back_count(spark):
+    """What follows a filler word is told by the word two, or three, places back only."""
+    rows = []
+    for i in range(120):
+        a, b = ("red", "wine") if i % 2 else ("blue", "sea")
+        rows += [(3 * i, " ".join([a, "and", b] * 10)), (3 * i + 1, " ".join([a, "so", "so", b] * 10)), (3 * i + 2, f"w{i}")]
+    held = list(itertools.islice((i for i in itertools.count(10_000) if zlib.crc32(str(i).encode()) % 7 == 2), 4))
+    said = ["red and wine", "red and sea", "blue so so sea", "blue so so wine"]
+    out = lbl_lm.score_texts(frame(spark, [(*r, None, None, None) for r in [*rows, *zip(held, said)]])).where("doc_id >= 10000").collect()
+    score = {said[held.index(r["doc_id"])]: r["score"] for r in out}
+    assert score["red and wine"] > score["red and sea"] + 0.3 and score["blue so so sea"] > score["blue so so wine"] + 0.3
+
+
+def test_lm_equals_slow_evaluation(spark):
+    """Scores are the probabilities of the definition, summed word by word, and those of all words add up to 1."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"v{i}x{i % 9}" for i in range(600)]
+    texts = [" ".join(rng.choice(vocabulary, int(rng.integers(0, 60)), p=(p := 1 / np.arange(1, 601)) / p.sum())) for _ in range(300)]
+    df = frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    learned = df.where("crc32(cast(doc_id as string)) % 7 <> 2").select("text")
+    voc, m, o = lbl_lm.learn(learned, Workspace(spark, "test"))
+    assert len(voc.words) > lbl_lm.OWN_CLASSES + 50
+    kind = lambda w: 0 if w is None else int(voc.classes[voc.words[w]]) if w in voc.words else lbl_lm.suffix_class(w)
+
+    def p_class(context):
+        """Of all classes, after the last three tokens."""
+        h, j = context[-1], kind(context[-1])
+        logit = m.log_p[j].astype(float) * math.log(10)
+        for place in (0, 1):
+            logit = logit + m.far[place][m.group[place][kind(context[-2 - place])]]
+        if h in voc.words:
+            logit = logit + m.after.features @ o.inputs[voc.words[h]]
+        e = np.exp(logit - logit.max())
+        return e / e.sum()
+
+    def p_words(context):
+        """Of all known words, the end, and one unseen word of each shared class."""
+        classes, j = p_class(context), kind(context[-1])
+        out, total = {None: classes[0]}, np.ones(lbl_lm.CLASSES)
+        weight = {w: (voc.counts[i] + 1) * math.exp(m.before.features[j] @ o.outputs[i]) for w, i in voc.words.items()}
+        for w, x in weight.items():
+            total[kind(w)] += x if voc.words[w] >= lbl_lm.OWN_CLASSES else 0
+        for w, x in weight.items():
+            out[w] = classes[kind(w)] * (x / total[kind(w)] if voc.words[w] >= lbl_lm.OWN_CLASSES else 1)
+        unseen = {k: classes[k] / total[k] for k in range(1 + lbl_lm.OWN_CLASSES, lbl_lm.CLASSES)}
+        return out, unseen
+
+    scores = {r["doc_id"]: r["score"] for r in lbl_lm.score_texts(df).collect()}
+    for doc in (0, 7, 8, 50, 123):
+        context, expected = [None] * 3, 0.0
+        for w in [t.encode() for t in texts[doc].split()] + [None]:
+            known, unseen = p_words(context)
+            empty = sum(p_class(context)[1 + i] for i in range(len(voc.words), lbl_lm.OWN_CLASSES))
+            assert abs(sum(known.values()) + sum(unseen.values()) + empty - 1) < 1e-3
+            expected += math.log10(known[w] if w in known else unseen[kind(w)])
+            context = [*context[1:], w]
+        assert scores[doc] == pytest.approx(expected, abs=1e-3)
+
+
 def test_keep_known_without_labels(spark):
     rows = [(d, t, None, s, n) for d, t, _, s, n in odd_documents()]
     df = frame(spark, rows)
