@@ -12,6 +12,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows that a function gets together. Documents have kilobytes each, and Spark's batches 10,000 rows.
 BATCH_ROWS = 1000
+#: For tables that are saved, batches between the JVM and Python are made so small to begin with.
+LONG_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:

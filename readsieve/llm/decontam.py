@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
-from .common import id_and_text, map_arrow, text_bytes
+from .common import LONG_ROWS, id_and_text, map_arrow, text_bytes
 
 SIMILARITY = 0.8
 RECALL = 0.99
@@ -332,7 +332,7 @@ def find(docs: DataFrame, items: DataFrame, work: Workspace | None = None) -> Da
     """
     spark = docs.sparkSession
     docs = id_and_text(docs)
-    found = _each_block(items, lambda sent, _: map_arrow(docs, _finder(sent), FOUND), work or Workspace(spark, "decontam"))
+    found = _each_block(items, lambda sent, _: map_arrow(docs, _finder(sent), FOUND), work or Workspace(spark, "decontam", LONG_ROWS))
     return reduce(DataFrame.union, found, spark.createDataFrame([], FOUND))
 
 
@@ -390,5 +390,5 @@ def clean(docs: DataFrame, items: DataFrame, work: Workspace | None = None) -> D
 
         return keep
 
-    kept = _each_block(items, lambda sent, so_far: map_arrow(docs if so_far is None else so_far, keeper(sent), docs.schema), work or Workspace(docs.sparkSession, "decontam"))
+    kept = _each_block(items, lambda sent, so_far: map_arrow(docs if so_far is None else so_far, keeper(sent), docs.schema), work or Workspace(docs.sparkSession, "decontam", LONG_ROWS))
     return kept[-1] if kept else docs

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import Workspace
-from .common import crc_mod, free_name, id_and_text, map_arrow, own_columns
+from .common import LONG_ROWS, crc_mod, free_name, id_and_text, map_arrow, own_columns
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
@@ -235,7 +235,7 @@ def keep_known(docs: DataFrame, least_score: float | None = None, work: Workspac
     If no labelled row can be learned from, only text without letters is rejected. The bound follows
     the number of labels unless it is given.
     """
-    work = work or Workspace(docs.sparkSession, "langid")
+    work = work or Workspace(docs.sparkSession, "langid", LONG_ROWS)
     model = train(docs.where(learned_from()), work)
     if not model.labels:
 
@@ -252,7 +252,7 @@ def keep_known(docs: DataFrame, least_score: float | None = None, work: Workspac
 
 def identify(docs: DataFrame, folds: int = FOLDS, work: Workspace | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score. Rows of fold 0 are not learned from."""
-    work = work or Workspace(docs.sparkSession, "langid")
+    work = work or Workspace(docs.sparkSession, "langid", LONG_ROWS)
     model = train(docs.where(learned_from(folds)), work)
     rows = id_and_text(docs, (~learned_from(folds)).alias("held_out"))
     return apply(rows, model).select("doc_id", "held_out", "lang_pred", "score")

@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
-from .common import crc_mod, id_and_text, map_arrow, text_bytes
+from .common import LONG_ROWS, crc_mod, id_and_text, map_arrow, text_bytes
 
 #: Words whose counts are broadcast.
 HEAD_WORDS = 100_000
@@ -64,9 +64,9 @@ DIMENSION, NOISE, STEPS, RATE = 32, 10, 150, 0.05
 #: Groups of classes at the second and at the third place back, and the steps that fit these places.
 GROUPS, FAR_STEPS = 6, 100
 #: Bytes of text that are encoded together.
-ENCODED_TOGETHER = 2_000_000
+ENCODED_TOGETHER = 1_000_000
 #: Distinct words, and bytes of text, that a task counts before it hands them on.
-COUNTED_TOGETHER, BYTES_TOGETHER = 500_000, 128_000_000
+COUNTED_TOGETHER, BYTES_TOGETHER = 300_000, 128_000_000
 #: Precision of the prior of own embeddings, whose features have unit variance.
 PRIOR = 8.0
 MORE_STEPS_FROM, OWN_STEPS = 16, 12
@@ -74,6 +74,8 @@ MORE_STEPS_FROM, OWN_STEPS = 16, 12
 FITTED_TOGETHER = 500
 #: Counts are binned by eighths of a power of two to find the head.
 BINS_PER_DOUBLING = 8
+#: Neighbours of the head's words that a task holds before it adds them up.
+NEIGHBOURS_TOGETHER = 2_000_000
 END = b" "  # no word holds a space
 
 
@@ -403,9 +405,9 @@ def _context_counter(vocabulary):
                 keys += [base + before[shared], base + CLASSES + after[shared]]
                 counts += [np.ones(len(base), np.int64)] * 2
                 held += 2 * len(base)
-                if held > 4_000_000:
+                if held > NEIGHBOURS_TOGETHER:
                     keys, counts = merged()
-                    if len(keys[0]) > 2_000_000:
+                    if len(keys[0]) > NEIGHBOURS_TOGETHER // 2:
                         yield from _head_rows(keys[0], counts[0])
                         keys, counts = [], []
                     held = sum(map(len, keys))
@@ -647,7 +649,7 @@ def score_texts(docs: DataFrame, folds: int = 7, left_out: int = 2, work: Worksp
     model's log10 probability of the whole text).
     """
     spark = docs.sparkSession
-    work = work or Workspace(spark, "lbl")
+    work = work or Workspace(spark, "lbl", LONG_ROWS)
     held_out = F.coalesce(crc_mod("doc_id", folds) == left_out, F.lit(True))
     rows = id_and_text(docs, held_out.alias("held_out"))
     learned = rows.where(~F.col("held_out")).select("text")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import Workspace
-from .common import id_and_text, map_arrow, text_bytes
+from .common import LONG_ROWS, id_and_text, map_arrow, text_bytes
 
 CAPACITY = 4096
 END_ID = 1
@@ -291,5 +291,5 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, work: Workspace | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
-    work = work or Workspace(docs.sparkSession, "packing")
+    work = work or Workspace(docs.sparkSession, "packing", LONG_ROWS)
     return place(work.save(pieces(docs, tokenizer, capacity, end_id, with_ids).withColumn("row", F.monotonically_increasing_id())), capacity)

@@ -7,11 +7,13 @@ input.
 1. Seeds.  Of the 8 runs of 6 words in a window, the one with the least hash is its seed; equal
    windows have equal seeds, and neighbouring windows mostly share theirs, so there are few.  Seeds
    that occur in one document only are dropped: no window with such a seed recurs.
-2. Recurring windows.  Only windows with a recurring seed are hashed (96 bits) and counted.  Of
-   each that occurs in two documents or more, the smallest doc_id is its source.
-3. Passages.  The text of all source windows is cut out of their documents; windows that follow on
+2. Recurring windows.  Only windows with a recurring seed are hashed (64 bits) and counted, and the
+   text around them is kept aside.  Of each window that occurs in two documents or more, the smallest
+   doc_id is its source.
+3. Passages.  The text of all source windows is cut out of what was kept aside; windows that follow on
    each other form one passage.
-4. Automata.  Documents are dealt into shards of about ``SHARD_DOCUMENTS``. Each shard gets the
+4. Automata.  Documents are dealt into shards of about ``SHARD_DOCUMENTS``, and as many tasks as these
+   ask for, whatever the session's number of partitions. Each shard gets the
    passages that some document of it may repeat, compiles phrases of them into an Aho-Corasick
    automaton, and streams all its documents through it.  The windows around each occurrence of a
    phrase are looked up among those of the passages.  Words are compared, not hashes, so what is
@@ -19,7 +21,7 @@ input.
 
 Hot passages: counting combines before the shuffle, joins on seeds and windows are plain
 equi-joins that adaptive execution splits, and a passage reaches a shard once, however many
-documents repeat it.
+documents repeat it.  Rows of one doc_id are dealt by their text as well.
 
 Edge cases: null and empty texts have no words; documents of less than ``WINDOW`` words keep all;
 rows of the same doc_id are one document for the comparison, so they don't shorten each other;
@@ -36,16 +38,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Workspace, release_shuffles
-from .common import id_and_text, map_arrow, text_bytes, words_of
+from ..storage import Workspace
+from .common import LONG_ROWS, id_and_text, map_arrow, text_bytes, words_of
 
 WINDOW = 13
 SEED_WORDS = 6
 SHARD_DOCUMENTS = 1000
+#: Shards that one task streams, one after the other, at most.
+SHARDS_IN_TASK = 16
 #: A word's number within an automaton has so many digits of this base.
 LETTERS, BASE = 3, 100
 MOST_WORDS = BASE**LETTERS - 200_000  # the last passage may add more
-_FACTORS = np.random.default_rng(13).integers(0, 1 << 62, (3, WINDOW), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(13).integers(0, 1 << 62, (2, WINDOW), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -95,22 +99,38 @@ def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.flatnonzero(known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values)
 
 
+#: Two kinds of rows: windows, and the text of windows that follow on each other.
+MET = "w long, doc_id long, shard int, text string"
+
+
+def _passages(words: list[bytes], starts: np.ndarray) -> list[bytes]:
+    """The text of windows that follow on each other."""
+    parts = np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else []
+    return [b" ".join(words[part[0] : part[-1] + WINDOW]) for part in parts]
+
+
 def _emit_windows(batches):
     for batch in batches:
-        docs, parts = batch.column("doc_id"), []
+        docs, shards = batch.column("doc_id"), batch.column("shard")
+        found, texts, owner = [], [], []
         for i, (data, seeds) in enumerate(zip(text_bytes(batch.column("text")), _lists(batch.column("seeds")))):
             words = words_of(data)
+            at = np.zeros(0, np.int64)
             if len(words) >= WINDOW:
                 hashes = _hashes(words)
                 at = _within(_seeds(hashes).view(np.int64), seeds)
-                high, low = (_runs(hashes, WINDOW, _FACTORS[k])[at] for k in (1, 2))
-                high, once = np.unique(high, return_index=True)
-                parts.append((high, low[once] >> np.uint64(32), np.full(len(high), i)))
-        if parts:
-            high, low, row = (np.concatenate(x) for x in zip(*parts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(high.view(np.int64)), pa.array(low.astype(np.uint32).view(np.int32)), docs.take(pa.array(row))], names=["w1", "w2", "doc_id"]
-            )
+                found.append(np.unique(_runs(hashes, WINDOW, _FACTORS[1])[at]))
+            else:
+                found.append(np.zeros(0, np.uint64))
+            own = _passages(words, at)
+            texts += own
+            owner += [i] * len(own)
+        if found:
+            rows = pa.array(np.concatenate([np.repeat(np.arange(len(found)), list(map(len, found))), np.array(owner, np.int64)]))
+            windows = np.concatenate(found).view(np.int64)
+            w = pa.concat_arrays([pa.array(windows), pa.nulls(len(texts), pa.int64())])
+            text = pa.concat_arrays([pa.nulls(len(windows), pa.string()), pa.array(texts, pa.binary()).cast(pa.string())])
+            yield pa.RecordBatch.from_arrays([w, docs.take(rows), shards.take(rows), text], names=["w", "doc_id", "shard", "text"])
 
 
 def _cut_passages(batches):
@@ -120,11 +140,9 @@ def _cut_passages(batches):
             words = words_of(data)
             if len(words) < WINDOW:
                 continue
-            starts = _within(_runs(_hashes(words), WINDOW, _FACTORS[1]).view(np.int64), sources)
-            for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                if len(part):
-                    out.append(b" ".join(words[part[0] : part[-1] + WINDOW]))
-                    docs.append(doc)
+            own = _passages(words, _within(_runs(_hashes(words), WINDOW, _FACTORS[1]).view(np.int64), sources))
+            out += own
+            docs += [doc] * len(own)
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
 
 
@@ -224,39 +242,35 @@ def _stream(batches):
 def remove_repeats(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """One row per document: doc_id, text (the words kept, joined by one space), n_words, n_removed."""
     spark = docs.sparkSession
-    work = work or Workspace(spark, "phrases")
+    work = work or Workspace(spark, "phrases", LONG_ROWS)
     docs = id_and_text(docs)
+    shards = max(1, -(-docs.count() // SHARD_DOCUMENTS))
+    docs = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), "text")
     named = docs.where("doc_id is not null")
     c = F.col
 
-    # shuffle files are let go after each step, so the disk holds those of one step at a time
-    seeds = work.save(map_arrow(named, _emit_seeds, "seed long, doc_id long"))
+    seeds = work.save(map_arrow(named.select("doc_id", "text"), _emit_seeds, "seed long, doc_id long"))
     recurring = seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed")
-    own = work.save(seeds.join(recurring, "seed").groupBy("doc_id").agg(F.collect_list("seed").alias("seeds")))
+    own = work.save(seeds.join(recurring, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")))
     work.drop(seeds)
-    release_shuffles(spark)
 
-    windows = work.save(map_arrow(named.join(own, "doc_id"), _emit_windows, "w1 long, w2 int, doc_id long"))
+    met = work.save(map_arrow(named.join(own, "doc_id"), _emit_windows, MET))
     work.drop(own)
-    release_shuffles(spark)
-    sources = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).where("source < high")
-    sources = work.save(sources.select("w1", "w2", "source"))
-    release_shuffles(spark)
-    shards = max(1, -(-docs.count() // SHARD_DOCUMENTS))
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards))
-    needed = windows.join(sources, ["w1", "w2"]).where("doc_id > source").select(shard.alias("shard"), c("source").alias("doc_id")).distinct()
+    windows = met.where("w is not null").select("w", "doc_id", "shard")
+    sources = windows.groupBy("w").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).where("source < high")
+    sources = work.save(sources.select("w", "source"))
+    needed = windows.join(sources, "w").where("doc_id > source").select("shard", c("source").alias("doc_id")).distinct()
     needed = work.save(needed)
-    work.drop(windows)
-    release_shuffles(spark)
-
-    by_document = sources.groupBy(c("source").alias("doc_id")).agg(F.collect_list("w1").alias("sources"))
-    passages = work.save(map_arrow(named.join(by_document, "doc_id"), _cut_passages, "doc_id long, text string"))
+    by_document = sources.groupBy(c("source").alias("doc_id")).agg(F.collect_list("w").alias("sources"))
+    kept = met.where("w is null").select("doc_id", "text")
+    passages = work.save(map_arrow(kept.join(by_document, "doc_id"), _cut_passages, "doc_id long, text string"))
+    work.drop(met)
     work.drop(sources)
-    release_shuffles(spark)
 
     patterns = needed.join(passages, "doc_id").select("shard", F.lit(0).alias("kind"), "doc_id", "text")
-    dealt = patterns.union(docs.select(F.when(c("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(shards))).otherwise(shard), F.lit(1), "doc_id", "text"))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "kind")
+    dealt = patterns.union(docs.select("shard", F.lit(1), "doc_id", "text"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_IN_TASK))
+    dealt = dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "kind")
     return map_arrow(dealt, _stream, "doc_id long, text string, n_words long, n_removed long")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
-from .common import free_name, id_and_text, map_arrow, own_columns, text_bytes, words_of
+from .common import LONG_ROWS, free_name, id_and_text, map_arrow, own_columns, text_bytes, words_of
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -153,7 +153,7 @@ def _ring_keys(fp):
 
 
 def link_fingerprints(prints: DataFrame, work: Workspace) -> DataFrame:
-    """Links (u, v), u < v, that span the components of the distinct values of ``fp``."""
+    """Links (u, v), u < v, that span the components of the distinct values of ``fp``; a saved table."""
     filed = prints.select("fp", F.explode(_ring_keys(F.col("fp"))).alias("k")).select("fp", "k.*")
     filed = work.save(filed.join(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     # a key of more than BLOCK rows: blocks by fingerprint, and each pair of blocks is a part
@@ -165,7 +165,9 @@ def link_fingerprints(prints: DataFrame, work: Workspace) -> DataFrame:
     )
     parted = filed.select("key", "start", "fp", F.explode(F.when(blocks > 1, part).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
     dealt = parted.repartition("key", "part").sortWithinPartitions("key", "part")
-    return map_arrow(dealt, _links, "u long, v long").distinct()
+    links = work.save(map_arrow(dealt, _links, "u long, v long").distinct())
+    work.drop(filed)
+    return links
 
 
 def _components(prints: DataFrame, chosen, work: Workspace) -> DataFrame:
@@ -179,7 +181,7 @@ def _components(prints: DataFrame, chosen, work: Workspace) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
-    work = work or Workspace(docs.sparkSession, "simhash")
+    work = work or Workspace(docs.sparkSession, "simhash", LONG_ROWS)
     prints = work.save(map_arrow(id_and_text(docs), _fingerprints, "doc_id long, fp long"))
     first = _components(prints, F.col("doc_id"), work)
     return prints.join(first, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("chosen").alias("component_id"))
@@ -205,7 +207,7 @@ def keep_one(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     Rows without a doc_id come last; of repeated rows one stays.  Texts are read twice and not moved:
     only fingerprints are saved, and the rows that go are left out of the second reading.
     """
-    work = work or Workspace(docs.sparkSession, "simhash")
+    work = work or Workspace(docs.sparkSession, "simhash", LONG_ROWS)
     numbered, (file, row) = _numbered(docs, work)
 
     def add_print(batches):
