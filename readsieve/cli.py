@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import re
 import sys
 
@@ -15,6 +16,7 @@ from .operators.ingest import BIT_SCORE, E_VALUE
 from .operators.resolve import ITERATIONS, SCALE
 from .plans import pipeline
 from .sources import output_names, read_alignments, read_mapping, write_tsv
+from .storage import Workspace
 
 log = logging.getLogger("readsieve")
 
@@ -58,12 +60,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-b", "--bitscore", type=bounded(int, 0, 1_000_000), default=BIT_SCORE)
     p.add_argument("-e", "--evalue", type=bounded(float, 0, 1_000_000), default=E_VALUE)
     p.add_argument("-n", "--n-iters", type=bounded(int, 1, 100_000), default=ITERATIONS)
-    p.add_argument("-m", "--mapping-file", help="headerless TSV: reference, group")
+    p.add_argument("-m", "--mapping-file", help="headerless file of two columns: reference, group")
+    p.add_argument("--retain", type=bounded(float, 0, 1), help="share of each reference's alignments that goes on, by e-value")
     p.add_argument("--no-trim", dest="trim", action="store_false", help="count coverage at the ends of references")
     p.add_argument("--anvio", action="store_true", help="write the table for anvi'o (with a mapping)")
     p.add_argument("--annotation-source", default="unknown")
-    p.add_argument("--max-memory", type=memory, help="memory of the driver, e.g. 8G")
-    p.add_argument("--tmp-dir", help="shared folder for intermediate tables")
+    p.add_argument("--max-memory", type=memory, help="memory of the driver, e.g. 8G; 80 %% of what is free by default")
+    p.add_argument("--tmp-dir", help="folder for intermediate tables, shared by all executors")
     p.add_argument("--keep-duplicates", action="store_true", help="keep alignments that differ in the read only")
     p.add_argument("--parts", action="store_true", help="write folders of parts instead of single files")
     p.add_argument("--debug", action="store_true")
@@ -71,15 +74,28 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def free_memory() -> str:
+    """80 % of the memory that is free, as Spark writes it."""
+    return f"{max(1024, int(0.8 * os.sysconf('SC_AVPHYS_PAGES') * os.sysconf('SC_PAGE_SIZE') / 2**20))}m"
+
+
 def session(args: argparse.Namespace) -> SparkSession:
-    builder = SparkSession.builder.appName("readsieve").config("spark.sql.adaptive.enabled", "true")
-    if not SparkSession.getActiveSession():
-        builder = builder.config("spark.master", f"local[{args.threads}]") if "spark.master" not in SparkSession.builder._options else builder
+    if running := SparkSession.getActiveSession():
         if args.max_memory:
-            builder = builder.config("spark.driver.memory", args.max_memory)
-        if args.tmp_dir:
-            builder = builder.config("spark.checkpoint.dir", args.tmp_dir)
-    return builder.getOrCreate()
+            log.warning("--max-memory is ignored: a session is running already")
+        return running
+    builder = SparkSession.builder.appName("readsieve").config("spark.sql.adaptive.enabled", "true")
+    if "spark.master" not in SparkSession.builder._options:
+        builder = builder.config("spark.master", f"local[{args.threads}]")
+    return builder.config("spark.driver.memory", args.max_memory or free_memory()).getOrCreate()
+
+
+def require(spark: SparkSession, path: str | None, what: str) -> None:
+    """Ends with a message if there is no such path."""
+    if path:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target):
+            raise SystemExit(f"readsieve: {what} {path} does not exist")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -90,6 +106,8 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if args.debug else logging.INFO)
     spark = session(args)
+    for path, what in ((args.input, "input"), (args.mapping_file, "mapping file"), (args.tmp_dir, "folder")):
+        require(spark, path, what)
     rows = read_alignments(spark, args.input)
     mapping = read_mapping(spark, args.mapping_file) if args.mapping_file else None
     results = pipeline.run(
@@ -104,7 +122,10 @@ def main(argv: list[str] | None = None) -> int:
         iterations=args.n_iters,
         scale=args.scale,
         keep_duplicates=args.keep_duplicates,
+        retain=args.retain,
+        work=Workspace(spark, "run", folder=args.tmp_dir),
     )
+    log.info("%d reads, of them %d with one alignment and %d with more; %d alignments", *results.multiplicity.first())
     names = output_names(args.input, args.prefix)
     outputs = {
         "multimap": results.no_multimap,

@@ -28,10 +28,9 @@ def changes(alignments: DataFrame, lengths: DataFrame) -> DataFrame:
     )
     raw = alignments.select("subjectId", F.explode(ends).alias("e")).groupBy("subjectId", "e.pos", "e.end").agg(F.count("*").alias("n"))
     placed = lengths.join(raw, "subjectId", "left")
-    pos = F.when(F.col("end"), F.least("pos", F.col("L") - 1)).otherwise(F.col("pos"))
     change = F.when(F.col("end"), -F.col("n")).otherwise(F.col("n"))
-    # a start beyond the reference changes nothing on it
-    placed = placed.withColumn("pos", F.when(pos < F.col("L"), pos)).withColumn("change", change)
+    # an alignment that starts beyond the reference begins and ends at its last position: it changes nothing
+    placed = placed.withColumn("pos", F.least("pos", F.col("L") - 1)).withColumn("change", change)
     return placed.groupBy(*lengths.columns, "pos").agg(F.sum("change").alias("change"))
 
 

@@ -61,6 +61,15 @@ def resolve_stepwise(alignments: DataFrame, iterations: int = ITERATIONS, scale:
     return live.select(*alignments.columns)
 
 
+def _log(scale: float):
+    return F.lit(math.log(scale) if scale > 0 else -math.inf)
+
+
+def _without(p, scale: float):
+    """Whether an alignment without a weight above 0 goes: at a scale of 0 only one without any."""
+    return F.lit(True) if scale > 0 else p.isNull()
+
+
 def _removal(rows, iterations: int, scale: float):
     """rows: array of structs with a, b (null weights: a is null). Adds to each the iteration in which it goes; 0: never."""
     marked = F.transform(rows, lambda x: x.withField("gone", F.lit(0)))
@@ -68,8 +77,8 @@ def _removal(rows, iterations: int, scale: float):
 
     def one(so_far, k):
         live = F.filter(so_far, lambda x: x.gone == 0)
-        least = F.array_max(F.transform(live, lambda x: value(x, k))) + math.log(scale)
-        goes = lambda x: (x.gone == 0) & F.coalesce(value(x, k) < least, F.lit(True))
+        least = F.array_max(F.transform(live, lambda x: value(x, k))) + _log(scale)
+        goes = lambda x: (x.gone == 0) & F.coalesce(value(x, k) < least, _without(x.p, scale))
         after = F.transform(so_far, lambda x: x.withField("gone", F.when(goes(x), k).otherwise(x.gone)))
         return F.when(F.size(live) > 1, after).otherwise(so_far)
 
@@ -92,8 +101,11 @@ def removal_iterations(alignments: DataFrame, iterations: int, scale: float, wor
         for k in range(1, iterations + 1):
             value = F.pow(F.lit(2.0), F.lit(k)) * c("a") + c("b")
             live = many.where("gone = 0").groupBy("queryId").agg(F.max(value).alias("best"), F.count("*").alias("live"))
-            goes = (c("gone") == 0) & (c("live") > 1) & F.coalesce(value < c("best") + math.log(scale), F.lit(True))
+            goes = (c("gone") == 0) & (c("live") > 1) & F.coalesce(value < c("best") + _log(scale), _without(c("p"), scale))
+            before = many
             many = work.save(many.join(live, "queryId", "left").withColumn("gone", F.when(goes, k).otherwise(c("gone"))).drop("best", "live"))
+            if k > 1:
+                work.drop(before)
         rows = rows.unionByName(many)
     return rows.select(*alignments.columns, "gone")
 

@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries: the same results by other formulations.
 
-Coverage is computed over positions of the run-length form in plain SQL, and the resolver as an
+Coverage is counted position by position, every covered position being a row, for the queries of
+coverage and of statistics; the queries behind these use the run-length form.  The resolver is an
 unrolled loop in linear space with an explicit freeze once an iteration removed nothing.
 """
 
@@ -84,7 +85,7 @@ class Steps:
         events = self.add(
             f"ev_{tag}",
             f"""SELECT subjectId, pos, sum(dl) AS dl FROM (
-                  SELECT subjectId, subjectStart AS pos, 1 AS dl FROM {source}
+                  SELECT s.subjectId, least(s.subjectStart, t.L - 1) AS pos, 1 AS dl FROM {source} s JOIN {lengths} t ON s.subjectId = t.subjectId
                   UNION ALL SELECT s.subjectId, least(s.subjectEnd, t.L - 1), -1 FROM {source} s JOIN {lengths} t ON s.subjectId = t.subjectId)
                 GROUP BY subjectId, pos""",
         )
@@ -95,8 +96,40 @@ class Steps:
                 FROM {events} JOIN {lengths} USING (subjectId) WHERE pos < L WINDOW w AS (PARTITION BY subjectId ORDER BY pos)""",
         )
 
-    def stats(self, source: str, tag: str) -> str:
-        segments = self.segments(source, tag)
+    def positions(self, source: str, tag: str) -> str:
+        """As ``segments``, by counting the alignments over each position."""
+        self.segments(source, tag)  # for the lengths
+        self.add(
+            f"over_{tag}",
+            f"""SELECT subjectId, pos, count(*) AS depth FROM (
+                  SELECT s.subjectId, unnest(range(CAST(s.subjectStart AS BIGINT), CAST(least(s.subjectEnd, t.L - 1) AS BIGINT))) AS pos
+                  FROM {source} s JOIN len_{tag} t ON s.subjectId = t.subjectId)
+                GROUP BY subjectId, pos""",
+        )
+        self.add(
+            f"point_{tag}",
+            f"""SELECT DISTINCT s.subjectId, t.L, t.avg_alignment_length, unnest([least(s.subjectStart, t.L - 1), least(s.subjectEnd, t.L - 1)]) AS pos
+                FROM {source} s JOIN len_{tag} t ON s.subjectId = t.subjectId""",
+        )
+        return self.add(
+            f"by_position_{tag}",
+            f"""SELECT p.subjectId, L, avg_alignment_length, p.pos, coalesce(lead(p.pos) OVER (PARTITION BY p.subjectId ORDER BY p.pos), L) AS next_pos, coalesce(depth, 0) AS depth
+                FROM point_{tag} p LEFT JOIN over_{tag} o ON p.subjectId = o.subjectId AND p.pos = o.pos""",
+        )
+
+    def position_stats(self, source: str, tag: str) -> str:
+        """As ``stats``, from single positions."""
+        self.positions(source, tag)
+        self.add(
+            f"sums_{tag}",
+            f"""SELECT subjectId, count(*) AS covered, sum(depth) AS total, CAST(sum(depth * depth) AS DOUBLE) AS squares
+                FROM over_{tag} JOIN (SELECT subjectId, L, CASE WHEN ceil(avg_alignment_length) + 10 >= L THEN 0 ELSE CAST(ceil(avg_alignment_length) AS BIGINT) + 10 END AS t FROM len_{tag})
+                USING (subjectId) WHERE pos >= t AND pos < L - t GROUP BY subjectId""",
+        )
+        return self.stats(source, tag, f"sums_{tag}")
+
+    def stats(self, source: str, tag: str, sums: str | None = None) -> str:
+        segments = f"seg_{tag}" if sums else self.segments(source, tag)
         self.add(
             f"trim_{tag}",
             f"""SELECT *, greatest(0, least(next_pos, L - t) - greatest(pos, t)) AS length FROM (
@@ -111,7 +144,7 @@ class Steps:
             f"mean_{tag}",
             f"""SELECT *, total / L AS mean_coverage, sqrt(greatest(CAST(0 AS DOUBLE), squares / L - (total / L) * (total / L))) AS std_coverage
                 FROM (SELECT n.*, CAST(coalesce(covered, 0) AS DOUBLE) AS covered, CAST(coalesce(total, 0) AS DOUBLE) AS total, coalesce(squares, 0) AS squares
-                      FROM len_{tag} n LEFT JOIN cov_{tag} USING (subjectId))""",
+                      FROM len_{tag} n LEFT JOIN {sums or f"cov_{tag}"} USING (subjectId))""",
         )
         return self.add(
             f"stats_{tag}",
@@ -174,7 +207,7 @@ def _sql(build: str, columns: str, source: str | None = None) -> str:
 def _stats_sql(tag_source: str, columns: str) -> str:
     steps = Steps()
     steps.dedup()
-    steps.stats("uniq", "a")
+    steps.position_stats("uniq", "a")
     return steps.select(f"SELECT {rounded(columns)} FROM {tag_source}")
 
 
@@ -197,7 +230,7 @@ def oracle_sql() -> dict[str, str]:
         "ingest_filter": _sql("ingest", COLUMNS),
         "dedup_alignments": _sql("dedup", COLUMNS),
         "align_stats": _stats_sql("len_a", "subjectId, L, avg_alignment_length, num_alignments, avg_read_length, std_read_length, avg_identity, std_identity, std_alignment_length"),
-        "coverage_segments": _stats_sql("seg_a", "subjectId, pos, next_pos, CAST(depth AS BIGINT) AS depth"),
+        "coverage_segments": _stats_sql("by_position_a", "subjectId, CAST(pos AS INTEGER) AS pos, CAST(next_pos AS INTEGER) AS next_pos, CAST(depth AS BIGINT) AS depth"),
         "coverage_trimmed": _stats_sql("trim_a", "subjectId, pos, next_pos, CAST(depth AS BIGINT) AS depth, CAST(length AS BIGINT) AS length"),
         "reference_stats": _stats_sql("stats_a", STATS),
         "reference_stats_filtered": _sql("first_pass", STATS),
@@ -228,4 +261,12 @@ def oracle_sql() -> dict[str, str]:
             "subjectId",
         ),
         "breadth_expected": _stats_sql(with_expected, expected),
+        "read_plain": _sql("ingest", COLUMNS, "alignments"),
+        "read_gzip": _sql("ingest", COLUMNS, "alignments"),
+        "read_wide": _sql("ingest", f"{COLUMNS}, cigar, qaln, taln", "(SELECT *, alnLength || 'M' AS cigar, 'AC\"GT' AS qaln, '' || slen AS taln FROM alignments)"),
+        "read_mapping_tab": MAPPING_SQL,
+        "read_mapping_comma": MAPPING_SQL,
+        "write_parts": _sql("cov_stats", cov),
+        "write_one_file": _sql("cov_stats", cov),
+        "filters_from_text": _stats_sql("stats_a WHERE breadth >= 0.25 AND num_alignments >= 2 AND depth_evenness <= 1.5", "subjectId"),
     }

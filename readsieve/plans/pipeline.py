@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators.filters import apply_filters, on_references, validate_filters
 from ..operators.groups import aggregate_groups, join_mapping, to_anvio
-from ..operators.ingest import BIT_SCORE, E_VALUE, analytic_columns, drop_duplicates, threshold_filter
+from ..operators.ingest import BIT_SCORE, E_VALUE, analytic_columns, drop_duplicates, retain_by_evalue, threshold_filter
 from ..operators.resolve import ITERATIONS, SCALE, resolve
-from ..operators.stats import reference_stats
+from ..operators.stats import read_multiplicity, reference_stats
 from ..schema import COV_STATS, ORDINAL
 from ..storage import Workspace
 
@@ -22,6 +22,7 @@ class Results(NamedTuple):
     gene_abundances: DataFrame | None = None
     group_abundances: DataFrame | None = None
     anvio: DataFrame | None = None
+    multiplicity: DataFrame | None = None
 
 
 def cov_stats(stats: DataFrame) -> DataFrame:
@@ -37,6 +38,7 @@ class Resolved(NamedTuple):
     surviving: DataFrame
     resolved: DataFrame
     rejoined: DataFrame
+    unique: DataFrame
 
 
 def resolve_alignments(
@@ -48,28 +50,31 @@ def resolve_alignments(
     scale: float = SCALE,
     trim: bool = True,
     keep_duplicates: bool = False,
+    retain: float | None = None,
     work: Workspace | None = None,
 ) -> Resolved:
     """Everything up to the second pass of statistics.
 
     Wide columns are hashed once and not moved until the survivors are joined back; that join is on
-    (queryId, hash of all other columns), so exact repeats of a row come back.
+    (queryId, hash of all other columns), so exact repeats of a row come back.  ``retain``: of each
+    reference only this share of alignments goes on, those with the best e-values.
     """
     work = work or Workspace(alignments.sparkSession, "run")
     filters = validate_filters(filters or {})
-    filtered = work.save(threshold_filter(alignments, evalue, bitscore))
+    filtered = threshold_filter(alignments, evalue, bitscore)
+    filtered = work.save(filtered if retain is None else retain_by_evalue(filtered, retain), codec="zstd")
     narrow = analytic_columns(filtered)
     unique = narrow.drop(ORDINAL) if keep_duplicates else drop_duplicates(narrow).drop(ORDINAL)
     unique = work.save(unique)
     first = apply_filters(reference_stats(unique, trim), filters)
     first = work.save(first)
-    surviving = on_references(unique, first)
-    resolved = work.save(resolve(surviving, iterations, scale, work))
+    surviving = work.save(on_references(unique, first))
+    resolved = resolve(surviving, iterations, scale, work)
     content = [c for c in filtered.columns if c not in ("queryId", ORDINAL)]
     keys = ["queryId", "hash_a", "hash_b"]
     hashed = filtered.select("*", F.xxhash64(*content).alias("hash_a"), F.xxhash64(F.lit("b"), *content).alias("hash_b"))
     rejoined = hashed.join(resolved.select(*keys).distinct(), keys, "left_semi").select(*[c for c in filtered.columns if c != ORDINAL])
-    return Resolved(filtered, first, surviving, resolved, work.save(rejoined))
+    return Resolved(filtered, first, surviving, resolved, work.save(rejoined), unique)
 
 
 def run(
@@ -84,9 +89,10 @@ def run(
 ) -> Results:
     """All outputs as DataFrames. Empty stages give empty outputs; a mapping without matches gives no group outputs."""
     work = work or Workspace(alignments.sparkSession, "run")
-    rejoined = resolve_alignments(alignments, filters=filters, trim=trim, work=work, **options).rejoined
+    steps = resolve_alignments(alignments, filters=filters, trim=trim, work=work, **options)
+    rejoined = steps.rejoined
     second = work.save(apply_filters(reference_stats(rejoined, trim), filters))
-    results = Results(cov_stats(second), on_references(rejoined, second))
+    results = Results(cov_stats(second), on_references(rejoined, second), multiplicity=read_multiplicity(steps.unique))
     if mapping is None:
         return results
     genes = work.save(join_mapping(results.cov_stats, mapping))

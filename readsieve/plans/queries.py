@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import coverage, groups, stats
-from ..operators.filters import apply_filters, on_references
+from ..operators.filters import apply_filters, on_references, parse_filters
 from ..operators.ingest import analytic_columns, drop_duplicates, retain_by_evalue, threshold_filter, union_alignments
 from ..operators.resolve import initial_weights, resolve, step
+from ..schema import ORDINAL
+from ..sources import read_alignments, read_mapping, write_tsv
 from ..storage import Workspace
 from . import adapter, pipeline
 from .oracle import DOUBLES
@@ -73,6 +75,32 @@ def _step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return step(initial_weights(_surviving(spark, sf_dir))).select("queryId", "subjectId", "p")
 
 
+def _tsv(df: DataFrame, codec: str, sep: str = "\t") -> str:
+    """A headerless file in the shared folder; its path."""
+    path = f"{Workspace(df.sparkSession, 'files').root}/input"
+    df.write.option("sep", sep).option("quote", "").option("compression", codec).csv(path)
+    return path
+
+
+def _wide(alignments: DataFrame) -> DataFrame:
+    return alignments.withColumns({"cigar": F.concat(F.col("alnLength").cast("string"), F.lit("M")), "qaln": F.lit('AC"GT'), "taln": F.col("slen").cast("string")})
+
+
+def _read_back(alignments: DataFrame, codec: str) -> DataFrame:
+    return read_alignments(alignments.sparkSession, _tsv(alignments, codec)).drop(ORDINAL)
+
+
+def _mapping_back(spark: SparkSession, sf_dir: str, sep: str) -> DataFrame:
+    return read_mapping(spark, _tsv(adapter.mapping(spark, sf_dir), "none", sep)).withColumnRenamed("group", "grp")
+
+
+def _written(df: DataFrame, single_file: bool) -> DataFrame:
+    """Written as TSV, packed, and read back."""
+    path = f"{Workspace(df.sparkSession, 'files').root}/output.tsv.gz"
+    write_tsv(df, path, single_file)
+    return df.sparkSession.read.schema(df.schema).option("sep", "\t").option("header", True).csv(path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "ingest_filter": _filtered,
@@ -85,7 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "surviving_alignments": _surviving,
         "resolver_init": lambda s, d: initial_weights(_surviving(s, d)).select("queryId", "subjectId", "p"),
         "resolver_one_step": _step,
-        "resolve_multimaps": lambda s, d: resolve(_surviving(s, d)),
+        "resolve_multimaps": lambda s, d: resolve(Workspace(s, "query").save(_surviving(s, d))),
         "rejoin_alignments": lambda s, d: pipeline.resolve_alignments(adapter.alignments(s, d), FILTERS).rejoined,
         "pipeline_cov_stats": lambda s, d: _run(s, d).cov_stats,
         "pipeline_no_multimap": lambda s, d: _run(s, d).no_multimap,
@@ -101,5 +129,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "breadth_expected": lambda s, d: stats.with_breadth_expected(stats.reference_stats(_narrow(s, d))).select(
             "subjectId", "breadth", "mean_coverage", "breadth_expected", "breadth_expected_ratio"
         ),
+        "read_plain": lambda s, d: _read_back(adapter.alignments(s, d), "none"),
+        "read_gzip": lambda s, d: _read_back(adapter.alignments(s, d), "gzip"),
+        "read_wide": lambda s, d: _read_back(_wide(adapter.alignments(s, d)), "gzip"),
+        "read_mapping_tab": lambda s, d: _mapping_back(s, d, "\t"),
+        "read_mapping_comma": lambda s, d: _mapping_back(s, d, ","),
+        "write_parts": lambda s, d: _written(_run(s, d).cov_stats, single_file=False),
+        "write_one_file": lambda s, d: _written(_run(s, d).cov_stats, single_file=True),
+        "filters_from_text": lambda s, d: apply_filters(stats.reference_stats(_narrow(s, d)), parse_filters("breadth=0.25, nAlns=2,depthEvenness=1.5")).select("subjectId"),
     }
     return {name: (lambda s, d, f=f: _rounded(f(s, d))) for name, f in found.items()}

@@ -12,6 +12,10 @@ from ..schema import BY_ARITY, MAPPING, ORDINAL
 
 # The first bytes of compressed files.
 MAGIC = {"gz": b"\x1f\x8b\x08", "bz2": b"BZh", "zip": b"PK\x03\x04"}
+#: Delimiters that a mapping may have.
+DELIMITERS = "\t,;| "
+#: Bytes of packed input for one partition.
+PACKED_PARTITION = 32_000_000
 
 
 def compression(spark: SparkSession, path: str) -> str:
@@ -27,16 +31,24 @@ def compression(spark: SparkSession, path: str) -> str:
 
 
 def _files(spark: SparkSession, path: str):
+    return [s.getPath() for s in _statuses(spark, path)]
+
+
+def _statuses(spark: SparkSession, path: str) -> list:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     found = fs.globStatus(target)
     if not found:
         raise FileNotFoundError(path)
+    files = []
     for status in found:
         if status.isDirectory():
-            yield from (s.getPath() for s in fs.listStatus(status.getPath()) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
+            files += [s for s in fs.listStatus(status.getPath()) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
         else:
-            yield status.getPath()
+            files.append(status)
+    if not files:
+        raise ValueError(f"{path}: no files")
+    return files
 
 
 def arity(spark: SparkSession, path: str) -> int:
@@ -48,7 +60,8 @@ def arity(spark: SparkSession, path: str) -> int:
 def read_alignments(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """A headerless TSV (plain or .gz) of 14 or 17 columns, with each row's place in ``ordinal``.
 
-    Malformed rows are errors.  A .gz file is read by one task; ``partitions`` deals its rows out.
+    Malformed rows are errors.  A .gz file is read by one task, which deals its rows out to ``partitions``
+    others; by default to as many as its size asks for, and to all cores at least.
     The ordinal is by file name, then by position in the file, so it does not depend on the order
     in which tasks run.  Empty input, and inputs of another arity, are errors.
     """
@@ -64,9 +77,28 @@ def read_alignments(spark: SparkSession, path: str, partitions: int | None = Non
     # position: file, then the block's offset in it, then the row within the task's part
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     rows = rows.select("*", place.alias(ORDINAL))
+    if kind == "gz" and not partitions:
+        sizes = [s.getLen() for s in _statuses(spark, path)]
+        wanted = max(spark.sparkContext.defaultParallelism, -(-sum(sizes) // PACKED_PARTITION))
+        partitions = wanted if wanted > len(sizes) else None
     return rows.repartition(partitions) if partitions else rows
 
 
-def read_mapping(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """A headerless file of references and their groups; a reference may be in several."""
+def delimiter(spark: SparkSession, path: str) -> str:
+    """What cuts the first line into two columns."""
+    _statuses(spark, path)
+    first = spark.read.text(path).limit(1).first()
+    line = first["value"] if first else ""
+    for sep in DELIMITERS:
+        if len(line.split(sep)) == 2:
+            return sep
+    raise ValueError(f"{path}: expected two columns, found {line!r}")
+
+
+def read_mapping(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """A headerless file of references and their groups; a reference may be in several.
+
+    The delimiter is found out by the first line unless it is given.
+    """
+    sep = sep or delimiter(spark, path)
     return spark.read.schema(MAPPING).option("sep", sep).option("quote", "").csv(path)

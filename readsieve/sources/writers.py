@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import os
 import uuid
 
@@ -27,25 +28,35 @@ def write_parquet(df: DataFrame, path: str, codec: str = "zstd") -> None:
     df.write.mode("overwrite").option("compression", codec).parquet(path)
 
 
-def write_tsv(df: DataFrame, path: str, single_file: bool = True) -> None:
+def write_tsv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """TSV with a header, gzipped if the path ends in .gz; missing values are empty.
 
-    ``single_file``: one file of just this name, written by one task that streams the rows; it is
-    the format that downstream tools read.  Otherwise a folder of parts, written by all tasks.
+    A folder of parts, each with the header. ``single_file``: one file of just this name, which is what
+    downstream tools read; all tasks write its parts, and these are put one after the other as they are
+    (gzip files are valid when joined).
     """
-    spark = df.sparkSession
-    writer = (df.coalesce(1) if single_file else df).write.mode("overwrite")
-    writer = writer.option("sep", "\t").option("header", True).option("nullValue", "").option("emptyValue", "").option("nanValue", "").option("quote", "")
-    writer = writer.option("compression", "gzip" if path.endswith(".gz") else "none")
+    spark, packed = df.sparkSession, path.endswith(".gz")
+    writer = df.write.mode("overwrite").option("sep", "\t").option("header", not single_file)
+    writer = writer.option("nullValue", "").option("emptyValue", "").option("nanValue", "").option("quote", "")
+    writer = writer.option("compression", "gzip" if packed else "none")
     if not single_file:
         writer.csv(path)
         return
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    target = hadoop(path)
-    folder = hadoop(f"{path}.{uuid.uuid4().hex}.parts")
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    target, folder = hadoop.fs.Path(path), hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.parts")
     writer.csv(folder.toString())
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    parts = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
-    fs.delete(target, True)
-    fs.rename(parts[0], target)
+    fs = target.getFileSystem(conf)
+    parts = sorted((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    header = ("\t".join(df.columns) + "\n").encode()
+    out = fs.create(target, True)
+    try:
+        out.write(gzip.compress(header) if packed else header)
+        for part in parts:
+            stream = fs.open(part)
+            try:
+                hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+            finally:
+                stream.close()
+    finally:
+        out.close()
     fs.delete(folder, True)

@@ -8,9 +8,7 @@ it would be lost with their executors, or be torn.
 
 from __future__ import annotations
 
-import gc
 import re
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -49,12 +47,12 @@ def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
 class Workspace:
     """Tables of one run, in a folder of their own; the JVM deletes what is left when it ends.
 
-    ``conf``: settings under which tables are written.
+    ``conf``: settings under which tables are written. ``folder``: where, instead of the session's folder.
     """
 
-    def __init__(self, spark: SparkSession, name: str, conf: dict[str, str] | None = None):
+    def __init__(self, spark: SparkSession, name: str, conf: dict[str, str] | None = None, folder: str | None = None):
         self.spark, self.conf = spark, CLEAN_UP | (conf or {})
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{folder.rstrip('/') if folder else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
         path = self._path(self.root)
         self._fs(path).deleteOnExit(path)
@@ -80,13 +78,3 @@ class Workspace:
         """Delete a table that nothing reads any more."""
         path = self._path(saved._saved_at)
         self._fs(path).delete(path, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner remove shuffle files of plans that nothing refers to.
-
-    Listeners hold a plan until they have handled its last event, hence the wait.
-    """
-    gc.collect()
-    time.sleep(1)
-    spark.sparkContext._jvm.System.gc()

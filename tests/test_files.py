@@ -4,9 +4,10 @@ import gzip
 
 import pytest
 
-from readsieve import cli
+from readsieve import cli, storage
 from readsieve.operators.ingest import drop_duplicates
 from readsieve.sources import output_names, read_alignments, read_mapping, write_parquet, write_tsv
+from readsieve.storage import Workspace, shared_dir
 
 LINE = "q{q}\ts{s}\t95.5\t30\t0\t0\t1\t90\t{a}\t{b}\t1e-20\t80.5\t90\t100"
 
@@ -20,7 +21,7 @@ def test_plain_and_gzip(spark, tmp_path):
     with gzip.open(tmp_path / "b.m8.gz", "wt") as f:
         f.write("\n".join(lines()) + "\n")
     a, b = (read_alignments(spark, str(tmp_path / n)) for n in ("a.m8", "b.m8.gz"))
-    assert a.drop("ordinal").collect() == b.drop("ordinal").collect() and a.count() == 6
+    assert a.orderBy("ordinal").drop("ordinal").collect() == b.orderBy("ordinal").drop("ordinal").collect() and a.count() == 6
     assert read_alignments(spark, str(tmp_path / "b.m8.gz"), partitions=3).rdd.getNumPartitions() == 3
     assert [r["queryId"] for r in b.orderBy("ordinal").collect()] == [f"q{i}" for i in range(6)]
 
@@ -59,22 +60,74 @@ def test_faulty_inputs(spark, tmp_path):
 
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.5), (None, None)], "x string, y double")
-    write_tsv(df, str(tmp_path / "o.tsv.gz"))
-    assert gzip.open(tmp_path / "o.tsv.gz", "rt").read().splitlines() == ["x\ty", "a\t1.5", "\t"]
+    write_tsv(df.repartition(3), str(tmp_path / "o.tsv.gz"), single_file=True)
+    lines = gzip.open(tmp_path / "o.tsv.gz", "rt").read().splitlines()
+    assert lines[0] == "x\ty" and sorted(lines[1:]) == ["\t", "a\t1.5"]
+    write_tsv(df.limit(0), str(tmp_path / "e.tsv"), single_file=True)
+    assert (tmp_path / "e.tsv").read_text() == "x\ty\n"
     assert not list(tmp_path.glob("*.parts"))
-    write_tsv(df, str(tmp_path / "parts.tsv"), single_file=False)
+    write_tsv(df, str(tmp_path / "parts.tsv"))
+    assert (tmp_path / "parts.tsv").is_dir()
     write_parquet(df, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
     assert output_names("/x/run.1.m8.gz")["coverage"] == "run_cov-stats.tsv.gz"
     assert output_names("/x/run.m8.gz", "/y/p")["multimap"] == "/y/p_no-multimap.tsv.gz"
 
 
+def test_gzip_is_dealt_out(spark, tmp_path):
+    with gzip.open(tmp_path / "b.m8.gz", "wt") as f:
+        f.write("\n".join(lines(100)) + "\n")
+    df = read_alignments(spark, str(tmp_path / "b.m8.gz"))
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert [r["queryId"] for r in df.orderBy("ordinal").collect()] == [f"q{i}" for i in range(100)]
+
+
+def test_mapping_delimiters(spark, tmp_path):
+    for sep in "\t,; |":
+        (tmp_path / "m").write_text(f"s0{sep}ko:K1\ns1{sep}ko:K2\n")
+        assert sorted(map(tuple, read_mapping(spark, str(tmp_path / "m")).collect())) == [("s0", "ko:K1"), ("s1", "ko:K2")]
+    (tmp_path / "m").write_text("alone\n")
+    with pytest.raises(ValueError, match="two columns"):
+        read_mapping(spark, str(tmp_path / "m"))
+    with pytest.raises(FileNotFoundError):
+        read_mapping(spark, str(tmp_path / "missing"))
+
+
+def test_workspace(spark, tmp_path, monkeypatch):
+    work = Workspace(spark, "test", {"spark.sql.execution.arrow.maxRecordsPerBatch": "7"}, str(tmp_path))
+    before = {k: spark.conf.get(k) for k in work.conf}
+    saved = work.save(spark.range(10).groupBy("id").count(), codec="zstd")
+    assert {k: spark.conf.get(k) for k in work.conf} == before != work.conf
+    assert saved.count() == 10 and list(tmp_path.rglob("*.zstd.parquet"))
+    work.drop(saved)
+    assert not list(tmp_path.rglob("*.parquet"))
+
+    class Elsewhere:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext, conf = Elsewhere, {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+    Elsewhere.master = "local[4]"
+    assert shared_dir(Session) == storage.DEFAULT_SHARED_DIR
+
+
+def test_cli_says_what_is_missing(spark, tmp_path):
+    (tmp_path / "run.m8").write_text("\n".join(lines()))
+    for more in (["-m", str(tmp_path / "nope")], ["--tmp-dir", str(tmp_path / "nope")], ["-i", str(tmp_path / "nope")]):
+        with pytest.raises(SystemExit, match="does not exist"):
+            cli.main(["-i", str(tmp_path / "run.m8"), *more])
+
+
 def test_cli(spark, tmp_path, capsys):
     (tmp_path / "run.m8").write_text("\n".join(lines(40)))
     (tmp_path / "map.tsv").write_text("s0\tko:K1\ns1\tko:K2\ns1\tother\n")
     prefix = str(tmp_path / "out")
     assert read_mapping(spark, str(tmp_path / "map.tsv")).count() == 3
-    assert cli.main(["-i", str(tmp_path / "run.m8"), "-p", prefix, "-m", str(tmp_path / "map.tsv"), "--anvio", "--annotation-source", "KO", "--filters", "breadth=0.01", "--no-trim"]) == 0
+    assert cli.main(["-i", str(tmp_path / "run.m8"), "-p", prefix, "-m", str(tmp_path / "map.tsv"), "--anvio", "--annotation-source", "KO", "--filters", "breadth=0.01", "--no-trim", "--tmp-dir", str(tmp_path)]) == 0
     table = lambda suffix: list(csv.DictReader(gzip.open(prefix + suffix, "rt"), delimiter="\t"))
     assert len(table("_no-multimap.tsv.gz")) == 40
     assert {r["reference"]: r["n_alns"] for r in table("_cov-stats.tsv.gz")} == {"s0": "20", "s1": "20"}

@@ -76,7 +76,10 @@ def test_segments_do_not_depend_on_length(spark):
 
 def test_start_beyond_the_reference(spark):
     r = stats.reference_stats(rows(spark, {"subjectStart": 150, "subjectEnd": 160}, slen=100), trim=False).first()
-    assert (r["total_covered_bases"], r["total_depth"]) == (1, -1)
+    assert (r["total_covered_bases"], r["total_depth"]) == (0, 0)
+    both = rows(spark, {"subjectStart": 150, "subjectEnd": 160}, {"subjectStart": 90, "subjectEnd": 160, "queryId": "r"}, slen=100)
+    r = stats.reference_stats(both, trim=False).first()
+    assert (r["total_covered_bases"], r["total_depth"]) == (9, 9)
 
 
 RESOLVER = {
@@ -132,6 +135,19 @@ def test_resolver_properties(spark, data):
     assert {r["queryId"] for r in kept} == {f"r{q}" for q, _, _ in data}
 
 
+def test_scale_and_iterations_change_the_result(spark):
+    df = rows(spark, *random_hits(7))
+    count = lambda **o: pipeline.run(df, trim=False, **o).no_multimap.count()
+    default, one, none = count(), count(iterations=1), count(scale=0.0)
+    assert default < one < none == df.where("bitScore >= 60").count()
+
+
+def test_best_alignments_only(spark):
+    df = rows(spark, *({"queryId": f"q{i}", "subjectStart": i + 1, "eVal": 10.0 ** -(20 + i)} for i in range(10)))
+    kept = pipeline.run(df, trim=False, retain=0.3).no_multimap
+    assert {r["queryId"] for r in kept.collect()} == {"q7", "q8", "q9"}
+
+
 def test_thresholds_are_inclusive(spark):
     df = rows(spark, {"eVal": 1e-10, "bitScore": 60.0}, {"eVal": 1.1e-10}, {"bitScore": 59.9}, {"eVal": None}, {"bitScore": None})
     assert threshold_filter(df).count() == 1
