@@ -12,6 +12,11 @@ least two are then equal, so each fingerprint is filed under 8 starts x 3 pairs
 equal bits.  Rows that share a key are compared only if the whole chain from that start keeps
 its budgets; the full Hamming check comes last.  The filter loses no link.
 
+A key of more than ``BLOCK`` fingerprints is extended first: the chain's budgets leave at most two
+differing bits in the remaining one of segments three to five, the sixth and the seventh, so one of
+these three is equal as well, and each row is filed again under three keys of 40 equal bits.  What is
+still larger is cut into blocks and block pairs.
+
 Within a key the links are walked breadth first over the fingerprints not yet reached, and only
 the links walked are kept (at most n-1 of n rows), so a dense group of near copies never becomes
 all its pairs.  Components follow from ``components.connected_components``.
@@ -42,7 +47,7 @@ MAX_BITS = 3
 SEGMENTS = 8
 #: Of the third to fifth segment of a chain, the pairs that may be the equal ones.
 PAIRS = ((2, 3), (2, 4), (3, 4))
-#: Rows of one key that one task compares; larger keys are cut into blocks and block pairs.
+#: Rows of one key that one task compares; larger keys are extended, and cut if that is not enough.
 BLOCK = 4096
 
 _BITS = np.array([[(byte >> bit) & 1 for bit in range(8)] for byte in range(256)], dtype=np.int64)
@@ -152,18 +157,29 @@ def _ring_keys(fp):
     return F.array(*keys)
 
 
+def _extensions(key, start, fp):
+    """1 to 768: which of the three further segments of the chain, and its value."""
+    pair = F.pmod(F.shiftright(key, 32), F.lit(len(PAIRS))).cast("int")
+    third = F.element_at(F.array(*(F.lit(9 - a - b) for a, b in PAIRS)), pair + 1)
+    value = lambda place: F.call_function("shiftrightunsigned", fp, (8 * F.pmod(start + place, F.lit(SEGMENTS))).cast("int")).bitwiseAND(F.lit(255))
+    return F.array(*(1 + 256 * i + value(place) for i, place in enumerate((third, F.lit(5), F.lit(6)))))
+
+
 def link_fingerprints(prints: DataFrame, work: Workspace) -> DataFrame:
     """Links (u, v), u < v, that span the components of the distinct values of ``fp``; a saved table."""
     filed = prints.select("fp", F.explode(_ring_keys(F.col("fp"))).alias("k")).select("fp", "k.*")
     filed = work.save(filed.join(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
-    # a key of more than BLOCK rows: blocks by fingerprint, and each pair of blocks is a part
+    usual = filed.where(F.col("n") <= BLOCK).select("key", F.lit(0).cast("long").alias("part"), "start", "fp")
+    # the part of an extended key, above those of its blocks: which segment it has besides, and that one's value
+    extended = filed.where(F.col("n") > BLOCK).select("key", F.explode(_extensions(F.col("key"), F.col("start"), F.col("fp"))).alias("more"), "start", "fp")
+    extended = extended.join(extended.groupBy("key", "more").agg(F.count("*").alias("n")).where("n > 1"), ["key", "more"])
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    part = F.transform(
+    pair = F.transform(
         F.sequence(F.lit(0), blocks - 1),
-        lambda other: (F.least(own, other).cast("long") * blocks + F.greatest(own, other)),
+        lambda other: F.shiftleft("more", 48) + (F.least(own, other).cast("long") * blocks + F.greatest(own, other)),
     )
-    parted = filed.select("key", "start", "fp", F.explode(F.when(blocks > 1, part).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
+    parted = usual.unionByName(extended.select("key", F.explode(pair).alias("part"), "start", "fp"))
     dealt = parted.repartition("key", "part").sortWithinPartitions("key", "part")
     links = work.save(map_arrow(dealt, _links, "u long, v long").distinct())
     work.drop(filed)

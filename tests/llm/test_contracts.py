@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -399,6 +400,76 @@ def test_language(spark, documents):
     assert {r["doc_id"] for r in kept.collect()} >= {r["doc_id"] for r in held}
 
 
+def slow_language(rows):
+    """The same model by dictionaries: n-grams one by one, a step of FTRL for each row, the temperature from a grid."""
+    mask = (1 << 32) - 1
+
+    def counts(text):
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        if not letters.strip():
+            return None
+        padded = " " + " ".join(letters.split()) + " "
+        found = Counter()
+        for order in langid.ORDERS:
+            for i in range(len(padded) - order + 1):
+                h = langid._SALTS[order]
+                for c, factor in zip(padded[i : i + order], langid._FACTORS.tolist()):
+                    h = (h ^ ord(c)) * factor & mask
+                    h ^= h >> 15
+                found[h % langid.FEATURES] += 1
+        return found
+
+    learned = [(lang, c) for doc, text, lang, *_ in rows if doc is not None and lang and zlib.crc32(str(doc).encode()) % 5 and (c := counts(text))]
+    met = Counter(k for _, c in learned for k in c)
+    idf = lambda k: math.log((1 + len(learned)) / (1 + met[k])) + 1
+
+    def row(c):
+        x = {k: math.log1p(n) * idf(k) for k, n in c.items()}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        return {k: v / length for k, v in x.items()}
+
+    packed = lambda c: (np.array(sorted(c), np.uint16).tobytes(), np.array([c[k] for k in sorted(c)], np.uint32).tobytes())
+    learned.sort(key=lambda x: (x[0], *packed(x[1])))
+    learned = [learned[i] for i in np.random.default_rng(0).permutation(len(learned))]
+    labels = sorted({lang for lang, _ in learned})
+    train = [x for i, x in enumerate(learned) if i % 5]
+    z, n = {}, {}
+
+    def weight(key):
+        a, b = z.get(key, 0.0), n.get(key, 0.0)
+        return 0.0 if abs(a) <= langid.L1 else -math.copysign(abs(a) - langid.L1, a) / ((langid.BETA + math.sqrt(b)) / langid.ALPHA + langid.L2)
+
+    def softmax(s, t=1.0):
+        e = [math.exp((x - max(s)) / t) for x in s]
+        return [x / sum(e) for x in e]
+
+    score = lambda x: [sum(v * weight((k, j)) for k, v in x.items()) for j in range(len(labels))]
+    for epoch in range(langid.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(len(train)):
+            x = row(train[i][1])
+            for j, p in enumerate(softmax(score(x))):
+                for k, v in x.items():
+                    g = v * (p - (labels[j] == train[i][0]))
+                    before, w = n.get((k, j), 0.0), weight((k, j))
+                    z[k, j] = z.get((k, j), 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / langid.ALPHA * w
+                    n[k, j] = before + g * g
+    rest = [(labels.index(lang), score(row(c))) for i, (lang, c) in enumerate(learned) if not i % 5]
+    loss = lambda t: -sum(math.log(max(1e-12, softmax(s, t)[truth])) for truth, s in rest)
+    temperature = min((math.exp(x / 50) for x in range(-150, 151)), key=loss)
+    out = {}
+    for doc, text, *_ in rows:
+        p = softmax(score(row(c)), temperature) if (c := counts(text)) else [0.0]
+        out[doc] = (labels[p.index(max(p))] if c else "und", max(p))
+    return out
+
+
+def test_language_equals_slow_version(spark):
+    rows = [(d, t if d % 9 else None, lang, s, n) for d, t, lang, s, n in small(columns="doc_id, left(text, 150), lang, source, n_chars")]
+    expected = slow_language(rows)
+    for r in langid.identify(frame(spark, rows)).collect():
+        assert r["lang_pred"] == expected[r["doc_id"]][0] and r["score"] == pytest.approx(expected[r["doc_id"]][1], abs=0.02)
+
+
 def test_language_without_labels(spark):
     df = frame(spark, [(1, "abc", None, None, 3), (2, None, "en", None, None)])
     assert {tuple(r)[2:] for r in langid.identify(df).collect()} == {("und", 0.0)}
@@ -478,6 +549,18 @@ def test_dense_fingerprints(spark, monkeypatch, block):
     assert links.count() < 40 * len(prints)
 
 
+def test_hot_key_is_extended(spark):
+    """100,000 fingerprints that share a key: they are filed under three keys each, and not compared in pairs of blocks."""
+    rng = np.random.default_rng(2)
+    prints = np.unique(rng.integers(0, 1 << 32, 100_000, dtype=np.uint64)) << np.uint64(32)  # the first four bytes are equal
+    near = prints[:50] ^ np.uint64(1 << 63 | 1 << 40)
+    df = spark.createDataFrame([(int(x),) for x in np.concatenate([prints, near]).view(np.int64)], "fp long").distinct()
+    work = simhash.Workspace(spark, "test")
+    links = {frozenset((r["u"], r["v"])) for r in simhash.link_fingerprints(df, work).collect()}
+    assert {frozenset((int(a), int(b))) for a, b in zip(prints[:50].view(np.int64), near.view(np.int64))} <= links
+    assert all((((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3) for a, b in map(tuple, links))
+
+
 def test_chain_filter_is_complete():
     rng = np.random.default_rng(0)
     for _ in range(3000):
@@ -498,3 +581,42 @@ def test_text_media(documents):
         assert page.pixels == full
         expected.append((doc, len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]), len(media), hashlib.sha256(media).hexdigest(), tiff.features(page)))
     same([tuple(r)[:8] for r in tiff.text_media(df).collect()], expected)
+
+
+def slow_pixels(media):
+    """One page of one or more deflated strips with horizontal differencing, read tag by tag."""
+    assert media[:4] == b"II*\0"
+    at = int.from_bytes(media[4:8], "little")
+    tags = {}
+    for i in range(int.from_bytes(media[at : at + 2], "little")):
+        tag, kind, count, value = struct.unpack_from("<HHII", media, at + 2 + 12 * i)
+        assert kind == 4
+        tags[tag] = [value] if count == 1 else list(struct.unpack_from(f"<{count}I", media, value))
+    data = b"".join(zlib.decompress(media[o : o + n]) for o, n in zip(tags[273], tags[279]))
+    (width,), (height,) = tags[256], tags[257]
+    assert len(data) == width * height and tags[259] == [8] and tags[317] == [2] and tags[258] == [8]
+    out = bytearray(data)
+    for i in range(len(out)):
+        if i % width:
+            out[i] = (out[i] + out[i - 1]) % 256
+    return bytes(out), width, height
+
+
+def test_text_media_by_another_reader(spark, documents):
+    rows, df = documents
+    stored = {r["doc_id"]: bytes(r["media"]) for r in tiff.encode_texts(df).collect() if r["doc_id"] is not None}
+    text = {r[0]: (r[1] or "").encode() for r in rows}
+    for r in tiff.text_media(df).collect():
+        if r["doc_id"] is None or r["doc_id"] == 2:  # more than one row
+            continue
+        media = stored[r["doc_id"]]
+        pixels, width, height = slow_pixels(media)
+        assert pixels.rstrip(b"\0") == text[r["doc_id"]].rstrip(b"\0") and len(pixels) % 64 == 0
+        assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(pixels), hashlib.sha256(pixels).hexdigest(), zlib.crc32(pixels[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        size, mean, spread, bins = r["feature"].split(";")
+        average = sum(pixels) / len(pixels)
+        deviation = math.sqrt(sum((x - average) ** 2 for x in pixels) / len(pixels))
+        assert size == f"{width}x{height}" and float(mean) == pytest.approx(average, abs=1e-3) and float(spread) == pytest.approx(deviation, abs=1e-3)
+        share = Counter(x // 16 for x in pixels)
+        assert all(abs(got - 255 * share[k] / len(pixels)) <= 0.51 for k, got in enumerate(bytes.fromhex(bins)))
