@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Workspace
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,6 +51,31 @@ def own_columns(docs: DataFrame) -> list:
     return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
 
 
+def numbered(docs: DataFrame, work: Workspace) -> tuple[DataFrame, list[str]]:
+    """The documents with columns that number their rows, the same at each reading, and these columns' names.
+
+    Rows of Parquet files are known by file and place; what comes of a plan is saved first.
+    """
+    file, row = free_name(docs, "_file"), free_name(docs, "_row")
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return docs.select(*own_columns(docs), F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)), [file, row]
+        except AnalysisException:  # another kind of source
+            pass
+    return work.save(docs.select(*own_columns(docs), F.lit(0).cast("long").alias(file), F.monotonically_increasing_id().alias(row))), [file, row]
+
+
+def without_rows(docs: DataFrame, lost, work: Workspace) -> DataFrame:
+    """The documents less some rows, which ``lost(file, row, text)`` finds; it keeps the first two columns.
+
+    Only the numbers of the lost rows are saved; the texts are read once more instead of being moved.
+    """
+    known, (file, row) = numbered(docs, work)
+    gone = lost(known.select(F.col(file).alias("file"), F.col(row).alias("row"), F.col("text").cast("string").alias("text")))
+    gone = work.save(gone.select(F.col("file").alias(file), F.col("row").alias(row)).distinct())
+    return known.join(gone, [file, row], "left_anti").select(*own_columns(docs))
+
+
 def id_and_text(docs: DataFrame, *more) -> DataFrame:
     """doc_id as long, text as string, and other columns between them."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").cast("string").alias("text"))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
-from .common import LONG_ROWS, id_and_text, map_arrow, text_bytes
+from .common import LONG_ROWS, id_and_text, map_arrow, text_bytes, without_rows
 
 SIMILARITY = 0.8
 RECALL = 0.99
@@ -332,7 +332,7 @@ def find(docs: DataFrame, items: DataFrame, work: Workspace | None = None) -> Da
     """
     spark = docs.sparkSession
     docs = id_and_text(docs)
-    found = _each_block(items, lambda sent, _: map_arrow(docs, _finder(sent), FOUND), work or Workspace(spark, "decontam", LONG_ROWS))
+    found = _each_block(items, lambda sent: map_arrow(docs, _finder(sent), FOUND), work or Workspace(spark, "decontam", LONG_ROWS))
     return reduce(DataFrame.union, found, spark.createDataFrame([], FOUND))
 
 
@@ -347,20 +347,14 @@ def recall(items: DataFrame) -> list[tuple[int, int, int]]:
 
 
 def _each_block(items: DataFrame, search, work: Workspace) -> list[DataFrame]:
-    """``search(broadcast index, result so far)`` of each block; all but a single one are saved before the next block is sent."""
-    spark, out, sent = items.sparkSession, [], None
+    """``search(broadcast index)`` of each block, saved before the next block is sent."""
+    out = []
     for block in blocks(items):
         index = Index(block)
-        if not index.items:
-            continue
-        if sent is not None:
-            out[-1] = work.save(out[-1])
+        if index.items:
+            sent = items.sparkSession.sparkContext.broadcast(index)
+            out.append(work.save(search(sent)))
             sent.destroy()
-        sent = spark.sparkContext.broadcast(index)
-        out.append(search(sent, out[-1] if out else None))
-    if len(out) > 1:
-        out[-1] = work.save(out[-1])
-        sent.destroy()
     return out
 
 
@@ -380,15 +374,19 @@ def _finder(sent):
 
 def clean(docs: DataFrame, items: DataFrame, work: Workspace | None = None) -> DataFrame:
     """The documents that hold no item, with all their columns."""
+    work = work or Workspace(docs.sparkSession, "decontam", LONG_ROWS)
 
-    def keeper(sent):
-        def keep(batches):
+    def holders(sent):
+        def hold(batches):
             index = sent.value
             for batch, texts in _in_parts(batches):
                 bad = {i for i, *_ in index.search(texts)}
-                yield batch.filter(pa.array([i not in bad for i in range(len(texts))], pa.bool_()))
+                yield batch.filter(pa.array([i in bad for i in range(len(texts))], pa.bool_())).select(["file", "row"])
 
-        return keep
+        return hold
 
-    kept = _each_block(items, lambda sent, so_far: map_arrow(docs if so_far is None else so_far, keeper(sent), docs.schema), work or Workspace(docs.sparkSession, "decontam", LONG_ROWS))
-    return kept[-1] if kept else docs
+    def lost(rows: DataFrame) -> DataFrame:
+        found = _each_block(items, lambda sent: map_arrow(rows, holders(sent), "file long, row long"), work)
+        return reduce(DataFrame.union, found, rows.select("file", "row").limit(0))
+
+    return without_rows(docs, lost, work)

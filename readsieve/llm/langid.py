@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import Workspace
-from .common import LONG_ROWS, crc_mod, free_name, id_and_text, map_arrow, own_columns
+from .common import LONG_ROWS, crc_mod, id_and_text, map_arrow, without_rows
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
@@ -238,16 +238,17 @@ def keep_known(docs: DataFrame, least_score: float | None = None, work: Workspac
     work = work or Workspace(docs.sparkSession, "langid", LONG_ROWS)
     model = train(docs.where(learned_from()), work)
     if not model.labels:
-
-        def lettered(batches):
-            for batch in batches:
-                yield batch.filter(pa.array([counts(text) is not None for text in batch.column("text").to_pylist()], pa.bool_()))
-
-        return map_arrow(docs, lettered, docs.schema)
+        return without_rows(docs, lambda rows: map_arrow(rows, _letterless, "file long, row long"), work)
     if least_score is None:
         least_score = least_known(len(model.labels)) - 1e-9  # the last digit is rounding
-    label, score = free_name(docs, "_lang_pred"), free_name(docs, "_lang_score")
-    return apply(docs, model, label, score).where((F.col(label) != "und") & (F.col(score) >= least_score)).select(*own_columns(docs))
+    unknown = (F.col("lang_pred") == "und") | (F.col("score") < least_score)
+    return without_rows(docs, lambda rows: apply(rows, model).where(unknown), work)
+
+
+def _letterless(batches):
+    for batch in batches:
+        kept = batch.filter(pa.array([counts(text) is None for text in batch.column("text").to_pylist()], pa.bool_()))
+        yield kept.select(["file", "row"])
 
 
 def identify(docs: DataFrame, folds: int = FOLDS, work: Workspace | None = None) -> DataFrame:
@@ -255,4 +256,4 @@ def identify(docs: DataFrame, folds: int = FOLDS, work: Workspace | None = None)
     work = work or Workspace(docs.sparkSession, "langid", LONG_ROWS)
     model = train(docs.where(learned_from(folds)), work)
     rows = id_and_text(docs, (~learned_from(folds)).alias("held_out"))
-    return apply(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+    return work.save(apply(rows, model).select("doc_id", "held_out", "lang_pred", "score"))

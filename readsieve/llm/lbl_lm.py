@@ -660,7 +660,7 @@ def score_texts(docs: DataFrame, folds: int = 7, left_out: int = 2, work: Worksp
     head = work.save(map_arrow(rows, _scorer(vocabulary, model, own), HEAD).withColumn("row", F.monotonically_increasing_id()))
     each = head.select("row", "held_out", F.explode(F.arrays_zip("rest", "around")).alias("x")).groupBy(F.col("x.rest").alias("word"))
     each = each.agg(F.collect_list(F.struct("row", F.col("x.around").alias("around"), "held_out")).alias("seen"))
-    rest = map_arrow(each, _rest_scorer(model), CONTRIBUTED).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("rest_known", "rest_logs", "rest_score")))
+    rest = work.save(map_arrow(each, _rest_scorer(model), CONTRIBUTED).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("rest_known", "rest_logs", "rest_score"))))
     c, zero = F.col, lambda x: F.coalesce(F.col(x), F.lit(0))
     return head.drop("rest", "around").join(rest, "row", "left").select(
         "doc_id",

@@ -41,7 +41,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Plain words: Latin letters that no normalization form changes, and at most one mark.
 PLAIN_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-MARKS = frozenset(b".,;:!?")
+MARK_BYTES = (b".", b",", b";", b":", b"!", b"?")
+MARKS = frozenset(b"".join(MARK_BYTES))
 #: The letters by which byte-level vocabularies name bytes: printable Latin-1 stands for itself, the others follow from U+0100 on.
 BYTE_LETTERS = [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else "" for b in range(256)]
 for _i, _b in enumerate([b for b in range(256) if not BYTE_LETTERS[b]]):
@@ -162,37 +163,47 @@ class WordIds:
             else:  # another kind of vocabulary
                 self.runs.update(zip(some, self._full([r.decode() for r in some])))
 
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, bytes] | None:
-        """The letters of a plain word in lower case, and its mark; None for other words."""
-        mark = word[-1:] if word[-1] in MARKS else b""
-        run = word[:-1] if mark else word
-        if run.isalpha():  # of bytes: ASCII letters only
-            run = run.lower()
-        elif PLAIN_LETTERS(run.decode("utf-8", "replace")):
-            run = run.decode().lower().encode()
-        else:
-            return None
-        return (run, mark) if len(run) <= LONGEST_REMEMBERED else None
+    def _plain(self, words: list[bytes], rest: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Each plain word with its letters in lower case, whose ids are known afterwards; ``rest`` gets the others."""
+        found, unknown, runs = [], set(), self.runs
+        for word in words:
+            run = word[:-1] if word[-1] in MARKS else word
+            if run.isalpha():  # of bytes: ASCII letters only
+                run = run.lower()
+            elif PLAIN_LETTERS(run.decode("utf-8", "replace")):
+                run = run.decode().lower().encode()
+            else:
+                rest.append(word)
+                continue
+            if len(run) > LONGEST_REMEMBERED:
+                rest.append(word)
+                continue
+            if run not in runs:
+                unknown.add(run)
+            found.append((word, run))
+        self._learn_runs([*unknown, *(m for m in MARK_BYTES if m not in runs)])
+        return found
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
         if len(self.runs) > REMEMBERED_WORDS // 2:
             self.runs.clear()
-        rest, plain = [], []
-        for word in words - self.known.keys():
-            if len(word) > LONGEST_REMEMBERED:
-                self.long.append(word)
-            parts = self._parts(word) if self.plain else None
-            if parts is None:
-                rest.append(word)
-            else:
-                plain.append((word, *parts))
-        self._learn_runs([r for r in {x for _, *parts in plain for x in parts} - self.runs.keys() if r])
-        runs = self.runs
-        self.known.update((word, runs[run] + runs[mark] if mark else runs[run]) for word, run, mark in plain)
-        self.known.update(zip(rest, self._full([w.decode("utf-8", "replace") for w in rest])))
+        known, runs = self.known, self.runs
+        new = [w for w in words if w not in known]  # a difference of sets would walk through all that are known
+        rest: list[bytes] = []
+        if self.plain:
+            for word, run in self._plain(new, rest):
+                known[word] = runs[run] if len(word) == len(run) else runs[run] + runs[word[-1:]]
+        else:
+            rest = new
+        known.update(zip(rest, self._full([w.decode("utf-8", "replace") for w in rest])))
+        self.long += [w for w in rest if len(w) > LONGEST_REMEMBERED]
+
+    def forget(self) -> None:
+        """A worker lives on after its task, and needn't hold the words."""
+        self.known.clear()
+        self.runs.clear()
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """The packed ids of each text."""
@@ -248,6 +259,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: 5 + with_ids]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=names)
+        encoder.forget()
 
     return map_arrow(id_and_text(docs), cut, PIECE + ", ids array<int>" * with_ids)
 

@@ -275,7 +275,8 @@ def remove_repeats(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
 
 
 def report(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
-    return remove_repeats(docs, work).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    work = work or Workspace(docs.sparkSession, "phrases", LONG_ROWS)
+    return work.save(remove_repeats(docs, work).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")))
 
 
 # doc_id is unique in the tables

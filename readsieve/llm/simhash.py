@@ -33,12 +33,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
-from .common import LONG_ROWS, free_name, id_and_text, map_arrow, own_columns, text_bytes, words_of
+from .common import LONG_ROWS, id_and_text, map_arrow, numbered, own_columns, text_bytes, words_of
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -203,20 +202,6 @@ def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame
     return prints.join(first, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("chosen").alias("component_id"))
 
 
-def _numbered(docs: DataFrame, work: Workspace) -> tuple[DataFrame, list[str]]:
-    """The documents with columns that number their rows, the same at each reading, and these columns' names.
-
-    Rows of Parquet files are known by file and place; what comes of a plan is saved first.
-    """
-    file, row = free_name(docs, "_file"), free_name(docs, "_row")
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
-        try:
-            return docs.select(*own_columns(docs), F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)), [file, row]
-        except AnalysisException:  # another kind of source
-            pass
-    return work.save(docs.select(*own_columns(docs), F.lit(0).cast("long").alias(file), F.monotonically_increasing_id().alias(row))), [file, row]
-
-
 def keep_one(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """The documents with all their columns, one of each component: that of the smallest doc_id.
 
@@ -224,17 +209,17 @@ def keep_one(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     only fingerprints are saved, and the rows that go are left out of the second reading.
     """
     work = work or Workspace(docs.sparkSession, "simhash", LONG_ROWS)
-    numbered, (file, row) = _numbered(docs, work)
+    known, (file, row) = numbered(docs, work)
 
     def add_print(batches):
         for batch in batches:
             prints = np.array([fingerprint(x) for x in text_bytes(batch.column("text"))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("file", "row", "doc_id")), pa.array(prints.view(np.int64))], names=["file", "row", "doc_id", "fp"])
 
-    narrow = numbered.select(F.col(file).alias("file"), F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = known.select(F.col(file).alias("file"), F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     printed = work.save(map_arrow(narrow, add_print, "file long, row long, doc_id long, fp long"))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "file", "row")
     chosen = _components(printed, order, work)
     lost = printed.join(chosen, "fp").where((F.col("chosen.file") != F.col("file")) | (F.col("chosen.row") != F.col("row")))
     lost = work.save(lost.select(F.col("file").alias(file), F.col("row").alias(row)))
-    return numbered.join(lost, [file, row], "left_anti").select(*own_columns(docs))
+    return known.join(lost, [file, row], "left_anti").select(*own_columns(docs))

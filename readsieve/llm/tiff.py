@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, map_arrow, text_bytes
+from ..storage import Workspace
+from .common import LONG_ROWS, id_and_text, map_arrow, text_bytes
 
 # Fixed values of the TIFF 6.0 specification and its technical notes: tags, types, compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -394,10 +395,11 @@ def read_pages(media: DataFrame, column: str = "media") -> DataFrame:
     return map_arrow(media, decode, T.StructType([*media.schema.fields, *PAGE.fields]))
 
 
-def text_media(docs: DataFrame) -> DataFrame:
+def text_media(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """One row per document: its payload's digests, read back from the stored TIFF."""
+    work = work or Workspace(docs.sparkSession, "tiff", LONG_ROWS)
     pages = read_pages(encode_texts(docs))
-    return pages.select(
+    digests = pages.select(
         "doc_id",
         "n_bytes",
         F.length("pixels").cast("long").alias("payload_bytes"),
@@ -409,3 +411,4 @@ def text_media(docs: DataFrame) -> DataFrame:
         "page",
         "error",
     )
+    return work.save(digests)
