@@ -10,8 +10,10 @@ conversation that must come first).  ``results``: conv_id, call_id, turn, conten
 * Order.  A call stands at its turn; within a turn by its level, 0 if it waits for no call and else
   one above the highest it waits for; then by call_id.  Levels are found in rounds, each of which
   frees the calls whose prerequisites are free: as many rounds as the longest chain.  The rounds of
-  a conversation run within its row; one of more than ``GATHERED`` prerequisites is not gathered,
-  and there each round is a join.  Calls on a cycle, or behind one, are never freed; their level is null.
+  a conversation run within its row; one of more than ``GATHERED`` prerequisites is not gathered.
+  There chains of calls that wait for one call each are shortened by doubling pointers, and only those
+  that wait for several take rounds, each of which is a join.  Calls on a cycle, or behind one, are never
+  freed; their level is null.
 * A schema maps a tool to its parameters: name -> (type, required), the type being one of string,
   integer, number, boolean, array, object.
 * Canonical JSON has keys in order, no spaces and no repeated keys (VARIANT sorts them).  A number is
@@ -139,21 +141,55 @@ def _levels_in_rows(inner: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.inline(both).alias("call_id", "level"))
 
 
+def _chains(inner: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Saved: nodes (conv_id, call_id, n, before), and chains (conv_id, call_id, anchor, steps).
+
+    n is how many waiting calls a call waits for.  Where it is one, the call follows that one in a chain, up to
+    the anchor, a call of which n isn't one; pointers double, so rounds are the logarithm of the longest
+    chain.  On a cycle the anchor stays within the cycle.
+    """
+    waiting = inner.select(*KEY).distinct()
+    edges = inner.join(waiting.withColumnRenamed("call_id", "before"), ["conv_id", "before"], "left_semi")
+    ahead = edges.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("before").alias("before"))
+    nodes = work.save(waiting.join(ahead, KEY, "left"))
+    chain = work.save(nodes.where("n = 1").select(*KEY, F.col("before").alias("anchor"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moved")))
+    for _ in range(chain.count().bit_length()):  # beyond these only cycles go on
+        further = chain.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("steps").alias("more"))
+        steps = F.col("steps") + F.coalesce("more", F.lit(0))
+        after = chain.join(further, ["conv_id", "anchor"], "left").select(*KEY, F.coalesce("next", "anchor").alias("anchor"), steps.alias("steps"), F.col("next").isNotNull().alias("moved"))
+        after = work.save(after)
+        work.drop(chain)
+        chain = after
+        if not chain.where("moved").limit(1).count():
+            break
+    return nodes, chain.drop("moved")
+
+
 def _levels_by_joins(inner: DataFrame, work: Workspace) -> DataFrame:
-    """The same for conversations of any size; a round is a join."""
-    level = work.save(inner.select(*KEY).distinct().withColumn("level", F.lit(None).cast("int")))
-    waiting, n = level.count(), 1
+    """The same for conversations of any size.
+
+    Chains, of calls that wait for one waiting call each, are followed to their ends at once; a call that waits
+    for several takes its level in a round, a join, when the ends of all its chains have theirs.
+    """
+    nodes, chain = _chains(inner, work)
+    ends = nodes.where("n is null or n > 1")
+    anchored = work.save(chain.unionByName(ends.select(*KEY, F.col("call_id").alias("anchor"), F.lit(0).cast("long").alias("steps"))))
+    several = inner.join(nodes.where("n > 1"), KEY, "left_semi").join(anchored.withColumnRenamed("call_id", "before"), ["conv_id", "before"])
+    several = work.save(several.select(*KEY, "anchor", "steps"))
+    level = work.save(ends.select(*KEY, F.when(F.col("n").isNull(), F.lit(1).cast("long")).alias("level")))
+    at_anchor = lambda: level.withColumnRenamed("call_id", "anchor")
+    waiting = level.where("level is null").count()
     while waiting:
-        blocked = inner.join(level.where("level is null").select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"]).select(*KEY).distinct()
-        freed = level.join(blocked.withColumn("blocked", F.lit(True)), KEY, "left")
-        now = F.when(F.col("level").isNull() & F.col("blocked").isNull(), F.lit(n)).otherwise(F.col("level"))
-        after = work.save(freed.select(*KEY, now.alias("level")))
+        freed = F.when(F.count("level") == F.count("*"), F.max(F.col("steps") + F.col("level")) + 1)
+        ready = several.join(at_anchor(), ["conv_id", "anchor"], "left").groupBy(*KEY).agg(freed.alias("freed"))
+        after = work.save(level.join(ready, KEY, "left").select(*KEY, F.coalesce("level", "freed").alias("level")))
         work.drop(level)
         level, left = after, after.where("level is null").count()
         if left == waiting:
             break
-        waiting, n = left, n + 1
-    return level
+        waiting = left
+    # the anchor of a chain that runs into a cycle has no level
+    return anchored.join(at_anchor(), ["conv_id", "anchor"], "left").select(*KEY, (F.col("level") + F.col("steps")).cast("int").alias("level"))
 
 
 def levels(calls: DataFrame, work: Workspace) -> DataFrame:

@@ -294,7 +294,9 @@ def test_levels(spark, monkeypatch, gathered):
     assert all((r["status"] == "cycle") == (r["level"] is None) for r in out)
 
 
-def test_long_chain_of_calls(spark):
+@pytest.mark.parametrize("gathered", [2000, 5])
+def test_long_chain_of_calls(spark, monkeypatch, gathered):
+    monkeypatch.setattr(chat_tools, "GATHERED", gathered)
     calls = [(1, f"c{i}", 1, "x", json.dumps({"text": "y" * (100_000 if i == 3 else 1)}), [f"c{i - 1}"] if i else []) for i in range(1000)]
     df = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, after array<string>")
     results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
