@@ -311,7 +311,7 @@ WITH calls AS (
   SELECT conv_id, 'turn-' || turn AS call_id, turn, text, CASE WHEN role = 'user' THEN 'reply' ELSE 'configure' END AS name
   FROM conversations WHERE role IN ('user', 'system')),
 results AS (
-  SELECT conv_id, 'turn-' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role NOT IN ('user', 'system')),
+  SELECT conv_id, 'turn-' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'system')),
 linked AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id,
          c.turn AS call_turn, r.turn AS result_turn, c.name, c.text AS asked, r.text AS answered,
