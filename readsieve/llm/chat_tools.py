@@ -7,6 +7,7 @@ conversation that must come first).  ``results``: conv_id, call_id, turn, conten
 
 * Linking is a join on (conv_id, call_id).  Each call, repeated ids included, is linked to the first
   result of its id (by turn, then content).
+  Contents move once, to their calls; only those of ids that have several results, or no call, move again.
 * Order.  A call stands at its turn; within a turn by its level, 0 if it waits for no call and else
   one above the highest it waits for; then by call_id.  Levels are found in rounds, each of which
   frees the calls whose prerequisites are free: as many rounds as the longest chain.  The rounds of
@@ -210,17 +211,37 @@ def levels(calls: DataFrame, work: Workspace) -> DataFrame:
     )
 
 
+def _repeated(calls: DataFrame, results: DataFrame, work: Workspace) -> DataFrame:
+    """Saved: the different results of ids that have several or no call, and whether there is a call (called).
+
+    Which ids these are is found by the ids alone. All other results are the only ones of a call's id, so their
+    contents move only where they are linked.
+    """
+    both = results.select(*KEY, F.lit(1).alias("n"), F.lit(False).alias("called")).unionByName(calls.select(*KEY, F.lit(0).alias("n"), F.lit(True).alias("called")))
+    ids = both.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("called").alias("called"))
+    ids = work.save(ids.where((F.col("n") > 1) | ((F.col("n") > 0) & ~F.col("called"))).drop("n"))
+    return work.save(results.join(ids, KEY).distinct())
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas, work: Workspace | None = None) -> DataFrame:
     """One row per call, and one per result without a call or beyond the first of its id."""
     work = work or Workspace(calls.sparkSession, "chat")
     c = F.col
     after = F.coalesce(c("after"), F.array().cast("array<string>"))
-    calls = work.save(calls.select(*KEY, "turn", "name", exact_numbers(c("arguments")).alias("arguments"), after.alias("after")))
+    calls = calls.select(*KEY, "turn", "name", exact_numbers(c("arguments")).alias("arguments"), after.alias("after"))
+    waits = calls.where(F.size("after") > 0).limit(1).count() > 0
+    if waits:
+        calls = work.save(calls)
+    known = c("conv_id").isNotNull() & c("call_id").isNotNull()
+    results = results.select(*KEY, "turn", "content")
+    keyed = results.where(known)
+    first = F.min(F.struct("turn", "content")).alias("first")
+    repeated = _repeated(calls.where(known), keyed, work)
+    of_repeated = repeated.groupBy(*KEY).agg(first, F.count("*").alias("n_results"))
     arguments = F.when(F.instr("arguments", _TOO_LONG) == 0, F.try_parse_json("arguments"))
-    results = work.save(results.select(*KEY, "turn", "content").distinct())
-    first = results.groupBy(*KEY).agg(F.min(F.struct("turn", "content")).alias("first"), F.count("*").alias("n_results"))
-    linked = calls.withColumn("arguments", arguments).join(first, KEY, "left")
-    if calls.where(F.size("after") > 0).limit(1).count():
+    linked = calls.withColumn("arguments", arguments).join(keyed.groupBy(*KEY).agg(first), KEY, "left")
+    linked = linked.join(of_repeated.select(*KEY, "n_results"), KEY, "left")
+    if waits:
         linked = linked.join(levels(calls, work), KEY, "left")
         level = F.when(c("missing").isNull(), F.lit(0)).otherwise(c("level"))
     else:
@@ -236,22 +257,22 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas, work: Workspace
         problems.alias("problems"),
         "arguments",
         c("first.content").alias("content"),
-        F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"),
+        F.when(c("first").isNull(), F.lit(0).cast("long")).otherwise(F.coalesce("n_results", F.lit(1).cast("long"))).alias("n_results"),
     )
-    known = calls.select(*KEY).distinct().withColumn("called", F.lit(True))
-    rest = results.join(first, KEY, "left").join(known, KEY, "left")
-    extra = (c("called")) & ~(c("turn").eqNullSafe(c("first.turn")) & c("content").eqNullSafe(c("first.content")))
-    others = rest.where(c("called").isNull() | extra).select(
+    is_first = c("turn").eqNullSafe(c("first.turn")) & c("content").eqNullSafe(c("first.content"))
+    rest = repeated.join(of_repeated, KEY).where(~c("called") | ~is_first).drop("first")
+    unknown = results.where(~known).distinct().withColumns({"called": F.lit(False), "n_results": F.lit(1).cast("long")})
+    others = rest.unionByName(unknown).select(
         *KEY,
         F.lit(None).cast("long").alias("call_turn"),
         F.lit(None).cast("string").alias("name"),
         c("turn").alias("result_turn"),
         F.lit(None).cast("int").alias("level"),
-        F.when(c("called").isNull(), "orphan_result").otherwise("extra_result").alias("status"),
+        F.when(c("called"), "extra_result").otherwise("orphan_result").alias("status"),
         F.array().cast("array<string>").alias("problems"),
         F.lit(None).cast("variant").alias("arguments"),
         "content",
-        F.coalesce("n_results", F.lit(1).cast("long")).alias("n_results"),
+        "n_results",
     )
     both = rows.unionByName(others)
     exchange = F.to_variant_object(F.struct("arguments", c("call_id").alias("id"), "name", c("content").alias("result"), "status"))

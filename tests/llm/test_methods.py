@@ -264,6 +264,35 @@ def test_numbers_keep_type_and_value(spark):
     assert (found["1e400"]["status"], json.loads(found["1e400"]["json"])["result"]) == ("orphan_result", "1.5")
 
 
+def test_results_of_repeated_and_unknown_ids(spark):
+    """Random calls and results, a hot id and nulls among them, against a plain version."""
+    rng = random.Random(11)
+    pick = lambda: (rng.choice([1, 2, None]), rng.choice(["hot", "hot", None, *"abcdefghij"]))
+    calls = [(*pick(), rng.randrange(3), "x", "{}", None) for _ in range(40)]
+    results = [(*pick(), rng.choice([0, 1, None]), rng.choice(["", "p", "q", None])) for _ in range(80)] + [(7, "only", 1, "z"), (8, "once", 1, "z")]
+    calls += [(8, "once", 0, "x", "{}", None), (8, "never", 0, "x", "{}", None)]
+    order = lambda r: tuple((v is not None, v) for v in r)
+    of = {}
+    for conv, call, *rest in results:
+        of.setdefault((conv, call), set()).add(tuple(rest))
+    called = {(c[0], c[1]) for c in calls if None not in c[:2]}
+    expected = []
+    for conv, call, turn, *_ in calls:
+        own = sorted(of.get((conv, call), ()), key=order) if (conv, call) in called else []
+        expected.append((conv, call, turn, own[0][0] if own else None, "linked" if own else "no_result", len(own), own[0][1] if own else None))
+    for key, own in of.items():
+        for i, (turn, content) in enumerate(sorted(own, key=order)):
+            if key not in called or i:
+                expected.append((*key, None, turn, "extra_result" if key in called else "orphan_result", 1 if None in key else len(own), content))
+    columns = "conv_id long, call_id string, turn long, "
+    out = chat_tools.link(
+        spark.createDataFrame(calls, columns + "name string, arguments string, after array<string>"), spark.createDataFrame(results, columns + "content string"), {"x": {}}
+    ).collect()
+    found = [(*(r[c] for c in ("conv_id", "call_id", "call_turn", "result_turn", "status", "n_results")), json.loads(r["json"]).get("result")) for r in out]
+    assert sorted(found, key=order) == sorted(expected, key=order)
+    assert {"linked", "no_result", "extra_result", "orphan_result"} == {r[4] for r in expected}
+
+
 def slow_levels(calls):
     """calls: conv, id, turn, after. Level of each (conv, id) by repeated passes; None on or behind a cycle."""
     turns = {}
