@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_tools, decontam, langid, lbl_lm, packing, phrases, pii, simhash, tiff, url_rules
+from . import byte_bpe, chat_tools, decontam, fim, langid, lbl_lm, packing, phrases, pii, runs, simhash, tiff, url_rules
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +54,18 @@ def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(read_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(read_table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.report(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_chat_tools,
     op2_pii,
@@ -64,6 +77,9 @@ QUERIES = (
     op8_language_id,
     op9_simhash_near_dedup,
     op10_tiff_media,
+    op11_fill_in_middle,
+    op12_byte_bpe,
+    op13_periodic_runs,
 )
 
 
@@ -72,4 +88,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_tools": chat_tools.ORACLE_SQL, "op2_pii": pii.ORACLE_SQL, "op7_repeated_phrases": phrases.ORACLE_SQL, "op3_url_rules": url_rules.ORACLE_SQL}
+    return {
+        "op1_chat_tools": chat_tools.ORACLE_SQL,
+        "op2_pii": pii.ORACLE_SQL,
+        "op3_url_rules": url_rules.ORACLE_SQL,
+        "op7_repeated_phrases": phrases.ORACLE_SQL,
+        "op11_fill_in_middle": fim.ORACLE_SQL,
+        "op13_periodic_runs": runs.ORACLE_SQL,
+    }
