@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import content_hash
 from ..schema import ANALYTIC, ORDINAL
+from ..storage import Workspace
+from .selection import quantiles
 
 E_VALUE, BIT_SCORE = 1e-10, 60
 
@@ -34,16 +36,16 @@ def drop_duplicates(alignments: DataFrame) -> DataFrame:
     return first.select(*content, "first.*").select(*alignments.columns)
 
 
-def retain_by_evalue(alignments: DataFrame, share: float) -> DataFrame:
+def retain_by_evalue(alignments: DataFrame, share: float, work: Workspace | None = None) -> DataFrame:
     """Per reference, the alignments with the best e-values: those whose -log10 is at least the (1-share) quantile.
 
     Ties at the quantile all stay, so at least ``share`` of a reference's alignments do. An e-value
-    of 0 counts as 1e-300.
+    of 0 counts as 1e-300. A reference may have any number of alignments: no task holds its e-values.
     """
     strength = -F.log10(F.greatest(F.col("eVal"), F.lit(1e-300)))
-    bound = alignments.groupBy("subjectId").agg(F.percentile(strength, F.lit(1 - share)).alias("bound"))
+    bound = quantiles(alignments, ["subjectId"], strength, 1 - share, work)
     # the quantile is interpolated between two values, so equal values may differ in the last place
-    return alignments.join(bound, "subjectId").where(strength >= F.col("bound") - 1e-9).select(*alignments.columns)
+    return alignments.join(bound, "subjectId").where(strength >= F.col("quantile") - 1e-9).select(*alignments.columns)
 
 
 def union_alignments(tables: list[DataFrame]) -> DataFrame:

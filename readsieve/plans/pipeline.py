@@ -62,7 +62,10 @@ def resolve_alignments(
     work = work or Workspace(alignments.sparkSession, "run")
     filters = validate_filters(filters or {})
     filtered = threshold_filter(alignments, evalue, bitscore)
-    filtered = work.save(filtered if retain is None else retain_by_evalue(filtered, retain), codec="zstd")
+    filtered = work.save(filtered, codec="zstd")
+    if retain is not None:
+        every, filtered = filtered, work.save(retain_by_evalue(filtered, retain, work), codec="zstd")
+        work.drop(every)
     narrow = analytic_columns(filtered)
     unique = narrow.drop(ORDINAL) if keep_duplicates else drop_duplicates(narrow).drop(ORDINAL)
     unique = work.save(unique)
@@ -101,6 +104,6 @@ def run(
     group = mapping.columns[1]
     return results._replace(
         gene_abundances=genes,
-        group_abundances=aggregate_groups(genes, group),
+        group_abundances=aggregate_groups(genes, group, work),
         anvio=to_anvio(genes, annotation_source, group) if anvio else None,
     )
