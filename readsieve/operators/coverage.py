@@ -5,7 +5,9 @@ last position it names is not counted, nor is the reference's last.  Only where
 changes is a row made, so the cost does not depend on the references' lengths.
 
 Changes are added up by position before they are gathered by reference: a reference with very many
-alignments has at most one row for each of its positions.
+alignments has at most one row for each of its positions.  Where some reference may have more than ``BLOCK`` of these,
+depths are added up in two levels: within blocks of so many positions, each the work of one task at a time, and
+over the blocks' totals, a row for each block.  So no task has a whole long reference.
 """
 
 from __future__ import annotations
@@ -14,6 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import trim_length
+from ..storage import Workspace
+
+#: Positions of a reference that one task takes in order.
+BLOCK = 1 << 16
 
 
 def changes(alignments: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -34,21 +40,52 @@ def changes(alignments: DataFrame, lengths: DataFrame) -> DataFrame:
     return placed.groupBy(*lengths.columns, "pos").agg(F.sum("change").alias("change"))
 
 
-def segments(alignments: DataFrame, lengths: DataFrame, keep_empty: bool = False) -> DataFrame:
+def segments(alignments: DataFrame, lengths: DataFrame, keep_empty: bool = False, work: Workspace | None = None) -> DataFrame:
     """(subjectId, L, ..., pos, next_pos, depth): from pos up to next_pos the depth is the same.
 
-    ``keep_empty`` keeps a row with a null pos for references without any change.
+    ``keep_empty`` keeps a row with a null pos for references without any change.  Whether a reference is too
+    long for one task is looked up in ``alignments`` first, so these are best a saved table.
     """
-    along = Window.partitionBy("subjectId").orderBy("pos")
     rows = changes(alignments, lengths)
     if not keep_empty:
         rows = rows.where("pos is not null")
+    if _most_changes(alignments) > BLOCK:
+        return _segments_by_block(rows, lengths.columns, work or Workspace(alignments.sparkSession, "segments"))
+    along = Window.partitionBy("subjectId").orderBy("pos")
+    return rows.select(*lengths.columns, "pos", F.coalesce(F.lead("pos").over(along), F.col("L")).alias("next_pos"), _running(along).alias("depth"))
+
+
+def _most_changes(alignments: DataFrame) -> int:
+    """A bound for the positions of a reference where its depth changes."""
+    longest = alignments.agg(F.max("slen")).first()[0] or 0
+    if longest <= BLOCK:
+        return longest
+    counted = alignments.groupBy("subjectId").agg(F.least(F.max("slen"), 2 * F.count("*")).alias("most"))
+    return counted.agg(F.max("most")).first()[0]
+
+
+def _running(along):
+    """The sum of changes so far; a reference without any has 0."""
     counted = F.when(F.col("pos").isNotNull(), F.col("change")).otherwise(0)
-    return rows.select(
-        *lengths.columns,
+    return F.sum(counted).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def _segments_by_block(rows: DataFrame, columns: list[str], work: Workspace) -> DataFrame:
+    key = ["subjectId", "block"]
+    rows = work.save(rows.withColumn("block", F.coalesce(F.floor(F.col("pos") / BLOCK), F.lit(-1)).cast("long")))
+    over = Window.partitionBy("subjectId").orderBy("block")
+    totals = rows.groupBy(*key).agg(F.sum("change").alias("total"), F.min("pos").alias("first_pos"))
+    bases = totals.select(
+        *key,
+        F.coalesce(F.sum("total").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
+        F.lead("first_pos").over(over).alias("next_block_pos"),
+    )
+    along = Window.partitionBy(*key).orderBy("pos")
+    return rows.join(bases, key).select(
+        *columns,
         "pos",
-        F.coalesce(F.lead("pos").over(along), F.col("L")).alias("next_pos"),
-        F.sum(counted).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"),
+        F.coalesce(F.lead("pos").over(along), "next_block_pos", "L").alias("next_pos"),
+        (F.col("base") + _running(along)).alias("depth"),
     )
 
 

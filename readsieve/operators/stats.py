@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import breadth_expected, ratio_or_zero
+from ..storage import Workspace
 from .coverage import segments, trimmed
 
 ALIGNMENT_STATS = [
@@ -33,18 +34,19 @@ def alignment_stats(alignments: DataFrame) -> DataFrame:
     )
 
 
-def reference_stats(alignments: DataFrame, trim: bool = True) -> DataFrame:
+def reference_stats(alignments: DataFrame, trim: bool = True, work: Workspace | None = None) -> DataFrame:
     """Alignment and coverage statistics.
 
     avg_depth is over covered positions, mean_coverage and std_coverage over all; breadth divides by
     the untrimmed length.  depth_evenness is std_coverage by mean_coverage, and null without coverage.
 
     The alignment statistics travel with the segments, so nothing is computed or joined twice, and
-    everything after the two aggregates by reference stays in the partitions of subjectId.
+    everything after the two aggregates by reference stays in the partitions of subjectId, unless
+    references are so long that their depths are added up in blocks.
     """
     own = alignment_stats(alignments)
     c = F.col
-    rows = trimmed(segments(alignments, own, keep_empty=True), trim).groupBy(*own.columns).agg(
+    rows = trimmed(segments(alignments, own, keep_empty=True, work=work), trim).groupBy(*own.columns).agg(
         F.sum(F.when(c("depth") != 0, c("length")).otherwise(0)).alias("covered"),
         F.sum(c("depth") * c("length")).alias("total"),
         F.sum((c("depth") * c("depth") * c("length")).cast("double")).alias("squares"),

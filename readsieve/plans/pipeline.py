@@ -69,7 +69,7 @@ def resolve_alignments(
     narrow = analytic_columns(filtered)
     unique = narrow.drop(ORDINAL) if keep_duplicates else drop_duplicates(narrow).drop(ORDINAL)
     unique = work.save(unique)
-    first = apply_filters(reference_stats(unique, trim), filters)
+    first = apply_filters(reference_stats(unique, trim, work), filters)
     first = work.save(first)
     surviving = work.save(on_references(unique, first))
     resolved = resolve(surviving, iterations, scale, work)
@@ -94,7 +94,7 @@ def run(
     work = work or Workspace(alignments.sparkSession, "run")
     steps = resolve_alignments(alignments, filters=filters, trim=trim, work=work, **options)
     rejoined = steps.rejoined
-    second = work.save(apply_filters(reference_stats(rejoined, trim), filters))
+    second = work.save(apply_filters(reference_stats(rejoined, trim, work), filters))
     results = Results(cov_stats(second), on_references(rejoined, second), multiplicity=read_multiplicity(steps.unique))
     if mapping is None:
         return results

@@ -48,8 +48,8 @@ def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without duplicates; only the columns that statistics read."""
-    return drop_duplicates(analytic_columns(_filtered(spark, sf_dir)))
+    """Without duplicates, saved; only the columns that statistics read."""
+    return Workspace(spark, "query").save(drop_duplicates(analytic_columns(_filtered(spark, sf_dir))))
 
 
 def _with_stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -74,6 +74,32 @@ def test_segments_do_not_depend_on_length(spark):
     assert coverage.segments(df, stats.alignment_stats(df)).count() == 2
 
 
+@pytest.mark.parametrize("block", [1, 7, 64])
+@pytest.mark.parametrize("trim", [True, False])
+def test_blocks_of_a_reference(spark, monkeypatch, block, trim):
+    rng = random.Random(block)
+    data = [{"queryId": f"q{i}", "subjectId": f"s{rng.randrange(6)}", "subjectStart": (a := rng.randrange(1, 110)), "subjectEnd": max(1, a + rng.randrange(-5, 40)), "alnLength": rng.randrange(5, 30), "slen": 95} for i in range(150)]
+    data += [{"subjectId": "empty", "subjectStart": 150, "subjectEnd": 160, "slen": 95}, {"subjectId": "short", "subjectStart": 1, "subjectEnd": 4, "slen": 5}]
+    df = rows(spark, *data)
+    key = lambda x: sorted(map(repr, x.collect()))
+    own = stats.alignment_stats(df)
+    at_once = key(coverage.segments(df, own)), key(stats.reference_stats(df, trim))
+    monkeypatch.setattr(coverage, "BLOCK", block)
+    assert (key(coverage.segments(df, own)), key(stats.reference_stats(df, trim))) == at_once
+
+
+def test_a_long_reference_is_the_work_of_many_tasks(spark):
+    """Half a million changes of one reference; no window is over all of them."""
+    n, length = 250_000, 300_000_000
+    place = lambda c: f"CAST({c} AS INT)"
+    df = spark.range(n).selectExpr("'q' || id AS queryId", "'chr' AS subjectId", "95.0D AS percIdentity", "100 AS alnLength", f"{place('1 + id * 1200')} AS subjectStart", f"{place('1 + id * 1200 + 600')} AS subjectEnd", "100 AS qlen", f"{length} AS slen")
+    segments = coverage.segments(df, stats.alignment_stats(df))
+    counts = segments.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert sum(r["count"] for r in counts) == 2 * n and len(counts) > 1
+    r = stats.reference_stats(df, trim=False).first()
+    assert (r["total_depth"], r["total_covered_bases"], r["breadth"]) == (600 * n, 600 * n, 0.5)
+
+
 def test_start_beyond_the_reference(spark):
     r = stats.reference_stats(rows(spark, {"subjectStart": 150, "subjectEnd": 160}, slen=100), trim=False).first()
     assert (r["total_covered_bases"], r["total_depth"]) == (0, 0)
