@@ -226,6 +226,8 @@ def oracle_sql() -> dict[str, str]:
     expected = "subjectId, breadth, mean_coverage, breadth_expected, breadth_expected_ratio"
     with_expected = """(SELECT *, breadth / nullif(breadth_expected, 0) AS breadth_expected_ratio FROM (SELECT *, 1 - exp(-mean_coverage) AS breadth_expected FROM stats_a))"""
     anvio = "reference AS gene_id, replace(grp, 'ko:', '') AS enzyme_accession, 'unknown' AS source, depth_mean AS coverage, breadth AS detection"
+    cov_stats, no_multimap = _sql("cov_stats", cov), _sql("cov_stats", COLUMNS, "rejoined WHERE subjectId IN (SELECT reference FROM cov_stats)")
+    genes, aggregated, exported = _sql("genes", f"reference, grp, {cov.removeprefix('reference, ')}"), _sql("genes", group_columns, f"({groups})"), _sql("genes", anvio)
     return {
         "ingest_filter": _sql("ingest", COLUMNS),
         "dedup_alignments": _sql("dedup", COLUMNS),
@@ -239,11 +241,16 @@ def oracle_sql() -> dict[str, str]:
         "resolver_one_step": _one_step(),
         "resolve_multimaps": _sql("resolved", COLUMNS),
         "rejoin_alignments": _sql("rejoined", COLUMNS),
-        "pipeline_cov_stats": _sql("cov_stats", cov),
-        "pipeline_no_multimap": _sql("cov_stats", COLUMNS, "rejoined WHERE subjectId IN (SELECT reference FROM cov_stats)"),
-        "gene_abundances": _sql("genes", f"reference, grp, {cov.removeprefix('reference, ')}"),
-        "group_abundances": _sql("genes", group_columns, f"({groups})"),
-        "anvio_export": _sql("genes", anvio),
+        "pipeline_cov_stats": cov_stats,
+        "pipeline_no_multimap": no_multimap,
+        "gene_abundances": genes,
+        "group_abundances": aggregated,
+        "anvio_export": exported,
+        "command_line_cov_stats": cov_stats,
+        "command_line_no_multimap": no_multimap,
+        "command_line_genes": genes,
+        "command_line_groups": aggregated,
+        "command_line_anvio": exported,
         "read_multiplicity": _sql(
             "dedup",
             "count(*) AS n_reads, count(*) FILTER (n = 1) AS unique_reads, count(*) FILTER (n > 1) AS multi_reads, CAST(sum(n) AS BIGINT) AS n_alignments",
@@ -266,7 +273,7 @@ def oracle_sql() -> dict[str, str]:
         "read_wide": _sql("ingest", f"{COLUMNS}, cigar, qaln, taln", "(SELECT *, alnLength || 'M' AS cigar, 'AC\"GT' AS qaln, '' || slen AS taln FROM alignments)"),
         "read_mapping_tab": MAPPING_SQL,
         "read_mapping_comma": MAPPING_SQL,
-        "write_parts": _sql("cov_stats", cov),
-        "write_one_file": _sql("cov_stats", cov),
+        "write_parts": cov_stats,
+        "write_one_file": cov_stats,
         "filters_from_text": _stats_sql("stats_a WHERE breadth >= 0.25 AND num_alignments >= 2 AND depth_evenness <= 1.5", "subjectId"),
     }

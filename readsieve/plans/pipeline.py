@@ -7,9 +7,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import content_hash
 from ..operators.filters import apply_filters, on_references, validate_filters
 from ..operators.groups import aggregate_groups, join_mapping, to_anvio
 from ..operators.ingest import BIT_SCORE, E_VALUE, analytic_columns, drop_duplicates, retain_by_evalue, threshold_filter
+from ..operators.membership import may_be_among
 from ..operators.resolve import ITERATIONS, SCALE, resolve
 from ..operators.stats import read_multiplicity, reference_stats
 from ..schema import COV_STATS, ORDINAL
@@ -56,7 +58,8 @@ def resolve_alignments(
     """Everything up to the second pass of statistics.
 
     Wide columns are hashed once and not moved until the survivors are joined back; that join is on
-    (queryId, hash of all other columns), so exact repeats of a row come back.  ``retain``: of each
+    (queryId, hash of all other columns), so exact repeats of a row come back.  A Bloom filter of the survivors
+    stands before it, so wide rows that won't come back are not moved.  ``retain``: of each
     reference only this share of alignments goes on, those with the best e-values.
     """
     work = work or Workspace(alignments.sparkSession, "run")
@@ -75,8 +78,10 @@ def resolve_alignments(
     resolved = resolve(surviving, iterations, scale, work)
     content = [c for c in filtered.columns if c not in ("queryId", ORDINAL)]
     keys = ["queryId", "hash_a", "hash_b"]
-    hashed = filtered.select("*", F.xxhash64(*content).alias("hash_a"), F.xxhash64(F.lit("b"), *content).alias("hash_b"))
-    rejoined = hashed.join(resolved.select(*keys).distinct(), keys, "left_semi").select(*[c for c in filtered.columns if c != ORDINAL])
+    hashed = filtered.select("*", *content_hash(content))
+    survivors = resolved.select(*keys)
+    near = may_be_among(hashed, survivors, work)
+    rejoined = near.join(survivors.distinct(), keys, "left_semi").select(*[c for c in filtered.columns if c != ORDINAL])
     return Resolved(filtered, first, surviving, resolved, work.save(rejoined), unique)
 
 

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import cli
 from ..operators import coverage, groups, stats
 from ..operators.filters import apply_filters, on_references, parse_filters
 from ..operators.ingest import analytic_columns, drop_duplicates, retain_by_evalue, threshold_filter, union_alignments
 from ..operators.resolve import initial_weights, resolve, step
-from ..schema import ORDINAL
-from ..sources import read_alignments, read_mapping, write_tsv
+from ..schema import ALIGNMENT, ORDINAL
+from ..sources import output_names, read_alignments, read_mapping, write_tsv
 from ..storage import Workspace
 from . import adapter, pipeline
 from .oracle import DOUBLES
@@ -101,6 +102,27 @@ def _written(df: DataFrame, single_file: bool) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).option("sep", "\t").option("header", True).csv(path)
 
 
+def _command_line(spark: SparkSession, sf_dir: str, output: str, schema: str) -> DataFrame:
+    """One of the outputs of a run from the command line, files in and files out.
+
+    Of equal alignments the first in the input stays; in order of reads, that is the one of the least read, as in the SQL.
+    """
+    work = Workspace(spark, "files")
+    hits = f"{work.root}/hits.m8.gz"
+    adapter.alignments(spark, sf_dir).orderBy("queryId").write.option("sep", "\t").option("quote", "").option("compression", "gzip").csv(hits)
+    groups_file = f"{work.root}/groups.tsv"
+    adapter.mapping(spark, sf_dir).write.option("sep", "\t").option("quote", "").csv(groups_file)
+    prefix = f"{work.root}/run"
+    filters = ",".join(f"{name}={value}" for name, value in FILTERS.items())
+    cli.main(["-i", hits, "-m", groups_file, "-p", prefix, "--filters", filters, "--anvio", "--annotation-source", "unknown", "--tmp-dir", work.root])
+    return spark.read.schema(schema).option("sep", "\t").option("header", True).csv(output_names(hits, prefix)[output])
+
+
+COV_SCHEMA = "depth_mean double, depth_std double, depth_evenness double, breadth double, n_alns long, avg_read_length double, stdev_read_length double, avg_alignment_length double, avg_identity double, stdev_identity double"
+AGGREGATED_SCHEMA = "grp string, coverage_mean double, coverage_stdev double, coverage_median double, coverage_sum double, n_genes long, avg_read_length double, stdev_read_length double, avg_identity double, stdev_identity double"
+ANVIO_SCHEMA = "gene_id string, enzyme_accession string, source string, coverage double, detection double"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "ingest_filter": _filtered,
@@ -136,6 +158,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "read_mapping_comma": lambda s, d: _mapping_back(s, d, ","),
         "write_parts": lambda s, d: _written(_run(s, d).cov_stats, single_file=False),
         "write_one_file": lambda s, d: _written(_run(s, d).cov_stats, single_file=True),
+        "command_line_cov_stats": lambda s, d: _command_line(s, d, "coverage", f"reference string, {COV_SCHEMA}"),
+        "command_line_no_multimap": lambda s, d: _command_line(s, d, "multimap", ALIGNMENT),
+        "command_line_genes": lambda s, d: _command_line(s, d, "group_abundances", f"reference string, grp string, {COV_SCHEMA}"),
+        "command_line_groups": lambda s, d: _command_line(s, d, "group_abundances_agg", AGGREGATED_SCHEMA),
+        "command_line_anvio": lambda s, d: _command_line(s, d, "group_abundances_anvio", ANVIO_SCHEMA),
         "filters_from_text": lambda s, d: apply_filters(stats.reference_stats(_narrow(s, d)), parse_filters("breadth=0.25, nAlns=2,depthEvenness=1.5")).select("subjectId"),
     }
     return {name: (lambda s, d, f=f: _rounded(f(s, d))) for name, f in found.items()}

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import gzip
+import logging
 import os
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..storage import Workspace
+
+log = logging.getLogger(__name__)
+#: What a file system says that it can do.
+CONCAT = "fs.capability.paths.concat"
 # Output suffixes.
 SUFFIXES = {
     "multimap": "_no-multimap.tsv.gz",
@@ -32,31 +39,87 @@ def write_tsv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """TSV with a header, gzipped if the path ends in .gz; missing values are empty.
 
     A folder of parts, each with the header. ``single_file``: one file of just this name, which is what
-    downstream tools read; all tasks write its parts, and these are put one after the other as they are
-    (gzip files are valid when joined).
+    downstream tools read.  Where the file system can join files (HDFS), all tasks write parts, which
+    are joined as they are (gzip files are valid when joined).  Elsewhere all tasks compute and save the rows, and one task then
+    writes them in order: large results are better left in parts.  No rows pass through the driver.  The
+    file gets its name at the end, so if anything fails an earlier one stays as it was.
     """
-    spark, packed = df.sparkSession, path.endswith(".gz")
-    writer = df.write.mode("overwrite").option("sep", "\t").option("header", not single_file)
-    writer = writer.option("nullValue", "").option("emptyValue", "").option("nanValue", "").option("quote", "")
-    writer = writer.option("compression", "gzip" if packed else "none")
     if not single_file:
-        writer.csv(path)
+        _writer(df, path, header=True).csv(path)
         return
-    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
-    target, folder = hadoop.fs.Path(path), hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.parts")
-    writer.csv(folder.toString())
-    fs = target.getFileSystem(conf)
-    parts = sorted((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    fs, target = _file_system(df.sparkSession, path)
+    mark = uuid.uuid4().hex
+    folder = target.suffix(f".{mark}.parts")
+    try:
+        whole = _joined(df, fs, path, folder) if fs.hasPathCapability(target.getParent() or target, CONCAT) else None
+        if whole is None:
+            log.info("%s: this file system can't join files, so one task writes all rows", path)
+            whole = _by_one_task(df, fs, path, folder)
+        _replace(fs, target, whole, target.suffix(f".{mark}.old"))
+    finally:
+        fs.delete(folder, True)
+
+
+def _writer(df: DataFrame, path: str, header: bool):
+    writer = df.write.mode("overwrite").option("sep", "\t").option("header", header)
+    writer = writer.option("nullValue", "").option("emptyValue", "").option("nanValue", "").option("quote", "")
+    return writer.option("compression", "gzip" if path.endswith(".gz") else "none")
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _parts(fs, folder) -> list:
+    """The parts that have any bytes, in order."""
+    found = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-") and s.getLen()]
+    return sorted(found, key=lambda p: p.getName())
+
+
+def _joined(df: DataFrame, fs, path: str, folder):
+    """The file, or None if it isn't the header and all parts: some file systems replace what they should add to."""
+    _writer(df, path, header=False).csv(folder.toString())
     header = ("\t".join(df.columns) + "\n").encode()
-    out = fs.create(target, True)
+    spark = df.sparkSession
+    whole = spark._jvm.org.apache.hadoop.fs.Path(folder, "whole")
+    parts = _parts(fs, folder)
+    out = fs.create(whole, True)
     try:
-        out.write(gzip.compress(header) if packed else header)
-        for part in parts:
-            stream = fs.open(part)
-            try:
-                hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
-            finally:
-                stream.close()
+        out.write(gzip.compress(header) if path.endswith(".gz") else header)
     finally:
         out.close()
-    fs.delete(folder, True)
+    size = sum(fs.getFileStatus(p).getLen() for p in [whole, *parts])
+    if parts:
+        listed = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(parts))
+        for i, part in enumerate(parts):
+            listed[i] = part
+        fs.concat(whole, listed)
+    return whole if fs.getFileStatus(whole).getLen() == size else None
+
+
+def _by_one_task(df: DataFrame, fs, path: str, folder):
+    work = Workspace(df.sparkSession, "output")
+    number = "_" * (1 + max(map(len, df.columns), default=0))  # a name that no column has
+    saved = work.save(df.withColumn(number, F.monotonically_increasing_id()))
+    in_order = saved.coalesce(1).sortWithinPartitions(number).drop(number)
+    _writer(in_order, path, header=True).csv(folder.toString())
+    work.drop(saved)
+    return _parts(fs, folder)[0]
+
+
+def _replace(fs, target, whole, aside) -> None:
+    """Give ``whole`` the name ``target``."""
+    earlier = fs.exists(target)
+    if earlier and not fs.rename(target, aside):
+        raise OSError(f"{target} can't be replaced")
+    done = False
+    try:
+        if not fs.rename(whole, target):
+            raise OSError(f"{target} can't be written")
+        done = True
+    finally:
+        if earlier and done:
+            fs.delete(aside, True)
+        elif earlier:
+            fs.rename(aside, target)

@@ -1,11 +1,13 @@
 import bz2
 import csv
 import gzip
+import pathlib
 
 import pytest
 
 from readsieve import cli, storage
 from readsieve.operators.ingest import drop_duplicates
+from readsieve.sources import writers
 from readsieve.sources import output_names, read_alignments, read_mapping, write_parquet, write_tsv
 from readsieve.storage import Workspace, shared_dir
 
@@ -74,6 +76,55 @@ def test_writers(spark, tmp_path):
     assert output_names("/x/run.m8.gz", "/y/p")["multimap"] == "/y/p_no-multimap.tsv.gz"
 
 
+class Joining:
+    """A local file system that adds files to another one, as HDFS does."""
+
+    def __init__(self, raw):
+        self.raw, self.joined = raw, 0
+
+    def __getattr__(self, name):
+        return getattr(self.raw, name)
+
+    def concat(self, whole, parts):
+        for part in parts:
+            source = pathlib.Path(part.toUri().getPath())
+            with open(whole.toUri().getPath(), "ab") as f:
+                f.write(source.read_bytes())
+            source.unlink()
+            self.joined += 1
+
+
+@pytest.mark.parametrize("name", ["o.tsv", "o.tsv.gz"])
+@pytest.mark.parametrize("joins", ["adds", "replaces", "no"])
+def test_single_file(spark, tmp_path, monkeypatch, name, joins):
+    """By joining parts, on a file system that can, and by one task; in the order of the rows."""
+    target = str(tmp_path / name)
+    if joins != "no":
+        raw = spark._jvm.org.apache.hadoop.fs.RawLocalFileSystem()
+        raw.initialize(spark._jvm.java.net.URI("file:///"), spark._jsc.hadoopConfiguration())
+        fs = Joining(raw) if joins == "adds" else raw  # the raw one replaces the file's content
+        monkeypatch.setattr(writers, "_file_system", lambda s, p: (fs, s._jvm.org.apache.hadoop.fs.Path(p)))
+    read = lambda: (gzip.open if name.endswith("gz") else open)(target, "rt").read()
+    df = spark.range(1000, numPartitions=7).selectExpr("id", "IF(id % 3 = 0, NULL, 'x' || id) AS x").where("id < 300 OR id > 600")
+    write_tsv(df, target, single_file=True)
+    rows = [f"{i}\t{'' if i % 3 == 0 else f'x{i}'}\n" for i in range(1000) if i < 300 or i > 600]
+    assert read() == "id\tx\n" + "".join(rows)
+    assert joins != "adds" or fs.joined > 1
+    write_tsv(df.limit(0), target, single_file=True)
+    assert read() == "id\tx\n"
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        write_tsv(df.selectExpr("id / 0 AS id"), target, single_file=True)
+    assert read() == "id\tx\n" and {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {name}
+
+
+def test_an_earlier_file_comes_back(spark, tmp_path):
+    (tmp_path / "o").write_text("old")
+    fs, target = writers._file_system(spark, str(tmp_path / "o"))
+    with pytest.raises(Exception):
+        writers._replace(fs, target, target.suffix(".missing"), target.suffix(".old"))
+    assert (tmp_path / "o").read_text() == "old"
+
+
 def test_gzip_is_dealt_out(spark, tmp_path):
     with gzip.open(tmp_path / "b.m8.gz", "wt") as f:
         f.write("\n".join(lines(100)) + "\n")

@@ -6,10 +6,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from readsieve.operators import coverage, groups, resolve, stats
+from readsieve.operators import coverage, groups, membership, resolve, stats
 from readsieve.operators.filters import FILTERS, apply_filters, parse_filters, validate_filters
 from readsieve.operators.ingest import drop_duplicates, threshold_filter
 from readsieve.plans import pipeline
+from readsieve.storage import Workspace
 from readsieve.schema import ALIGNMENT
 
 
@@ -186,6 +187,32 @@ def test_first_duplicate_stays(spark):
     assert sorted(r["queryId"] for r in drop_duplicates(df).collect()) == ["q1", "q3"]
 
 
+def test_bloom_filter(spark, monkeypatch):
+    """No row that is among the keys is lost, and few of the others stay."""
+    work = Workspace(spark, "bloom")
+    df = work.save(spark.range(60_000).selectExpr("'q' || id AS q", "id * 7 AS n", "repeat('w', 10) AS wide"))
+    keys = work.save(df.where("n % 10 = 0").select("q", "n"))
+    assert membership.may_be_among(df, keys, work) is df  # so few keys are broadcast anyway
+    monkeypatch.setattr(membership, "LEAST_KEYS", 0)
+    near = membership.may_be_among(df, keys, work)
+    assert near.columns == df.columns and near.join(keys, ["q", "n"], "left_semi").count() == keys.count() == 6000
+    assert near.count() < 6000 + 0.03 * 54_000
+    assert membership.may_be_among(df, keys.limit(0), work) is df and membership.may_be_among(keys, keys, work) is keys
+    built = membership.bloom_filter(keys, 5)
+    assert [(r["segment"], len(r["words"])) for r in built.orderBy("segment").collect()] == [(i, membership.SEGMENT_WORDS) for i in range(5)]
+    assert sum(bin(w & (1 << 64) - 1).count("1") for r in built.collect() for w in r["words"]) > 2.9 * 6000
+    null = spark.createDataFrame([(None, 1)], "q string, n long")
+    assert membership.may_be_among(df.select("q", "n").union(null), keys, work).where("q is null").count() <= 1
+
+
+def test_run_with_a_bloom_filter(spark, monkeypatch):
+    df = rows(spark, *random_hits(5))
+    once = sorted(map(repr, pipeline.run(df, trim=False, iterations=2).no_multimap.collect()))
+    monkeypatch.setattr(membership, "LEAST_KEYS", 0)
+    monkeypatch.setattr(membership, "MOST_SHARE", 1)
+    assert sorted(map(repr, pipeline.run(df, trim=False, iterations=2).no_multimap.collect())) == once and once
+
+
 def test_repeated_rows_come_back(spark):
     df = rows(spark, {"queryId": "q3"}, {"queryId": "q3"}, {"queryId": "q4", "subjectId": "t"})
     out = pipeline.run(df, trim=False)
