@@ -11,8 +11,9 @@ def ratio_or_zero(numerator: Column, denominator: Column) -> Column:
 
 
 def content_hash(columns: list[str]) -> list[Column]:
-    """128 bits by which equal rows are known, as two columns."""
-    return [F.xxhash64(*columns).alias("hash_a"), F.xxhash64(F.lit("b"), *columns).alias("hash_b")]
+    """128 bits by which equal rows are known, as two columns. Nulls leave a hash as it is, so where they are goes in as well."""
+    nulls = [F.col(c).isNull() for c in columns]
+    return [F.xxhash64(*columns, *nulls).alias("hash_a"), F.xxhash64(F.lit("b"), *columns, *nulls).alias("hash_b")]
 
 
 def breadth_expected(depth_mean: Column) -> Column:

@@ -27,13 +27,14 @@ def analytic_columns(alignments: DataFrame) -> DataFrame:
 def drop_duplicates(alignments: DataFrame) -> DataFrame:
     """Of rows that agree in all but queryId, the first by ``ordinal``; without that, the least queryId.
 
-    An aggregate, so equal rows are combined before the shuffle however many there are.
+    An aggregate, so equal rows are combined before the shuffle however many there are.  An ordinal is a number that
+    no other row has: its minimum needs no sorting, and tells the row whose queryId is fetched.
     """
     content = [c for c in alignments.columns if c not in ("queryId", ORDINAL)]
     if ORDINAL not in alignments.columns:
         return alignments.groupBy(*content).agg(F.min("queryId").alias("queryId")).select(*alignments.columns)
-    first = alignments.groupBy(*content).agg(F.min(F.struct(ORDINAL, "queryId")).alias("first"))
-    return first.select(*content, "first.*").select(*alignments.columns)
+    first = alignments.groupBy(*content).agg(F.min(ORDINAL).alias(ORDINAL))
+    return first.join(alignments.select(ORDINAL, "queryId"), ORDINAL).select(*alignments.columns)
 
 
 def retain_by_evalue(alignments: DataFrame, share: float, work: Workspace | None = None) -> DataFrame:

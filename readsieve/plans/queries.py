@@ -91,6 +91,12 @@ def _read_back(alignments: DataFrame, codec: str) -> DataFrame:
     return read_alignments(alignments.sparkSession, _tsv(alignments, codec)).drop(ORDINAL)
 
 
+def _first_in_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In order of reads, so that the first of equal alignments is the one of the least read."""
+    path = _tsv(threshold_filter(adapter.alignments(spark, sf_dir)).orderBy("queryId"), "gzip")
+    return drop_duplicates(read_alignments(spark, path)).drop(ORDINAL)
+
+
 def _mapping_back(spark: SparkSession, sf_dir: str, sep: str) -> DataFrame:
     return read_mapping(spark, _tsv(adapter.mapping(spark, sf_dir), "none", sep)).withColumnRenamed("group", "grp")
 
@@ -154,6 +160,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "read_plain": lambda s, d: _read_back(adapter.alignments(s, d), "none"),
         "read_gzip": lambda s, d: _read_back(adapter.alignments(s, d), "gzip"),
         "read_wide": lambda s, d: _read_back(_wide(adapter.alignments(s, d)), "gzip"),
+        "dedup_from_files": _first_in_file,
         "read_mapping_tab": lambda s, d: _mapping_back(s, d, "\t"),
         "read_mapping_comma": lambda s, d: _mapping_back(s, d, ","),
         "write_parts": lambda s, d: _written(_run(s, d).cov_stats, single_file=False),

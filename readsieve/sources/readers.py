@@ -5,6 +5,8 @@ Paths go to Spark's readers only, so any store that Spark reads will do.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ MAGIC = {"gz": b"\x1f\x8b\x08", "bz2": b"BZh", "zip": b"PK\x03\x04"}
 DELIMITERS = "\t,;| "
 #: Bytes of packed input for one partition.
 PACKED_PARTITION = 32_000_000
+#: A row's ordinal has its place in the file in so many bits, and above these the file's rank by name.
+PLACE_BITS = 43
 
 
 def compression(spark: SparkSession, path: str) -> str:
@@ -62,8 +66,8 @@ def read_alignments(spark: SparkSession, path: str, partitions: int | None = Non
 
     Malformed rows are errors.  A .gz file is read by one task, which deals its rows out to ``partitions``
     others; by default to as many as its size asks for, and to all cores at least.
-    The ordinal is by file name, then by position in the file, so it does not depend on the order
-    in which tasks run.  Empty input, and inputs of another arity, are errors.
+    The ordinal is a number, by file name, then by position in the file, so it does not depend on the order
+    in which tasks run.  Up to a million files of up to 8 TB have room in it.  Empty input, and inputs of another arity, are errors.
     """
     kind = compression(spark, path)
     if kind in ("bz2", "zip"):
@@ -74,9 +78,7 @@ def read_alignments(spark: SparkSession, path: str, partitions: int | None = Non
     if n not in BY_ARITY:
         raise ValueError(f"{path}: expected {' or '.join(map(str, BY_ARITY))} columns, found {n}")
     rows = spark.read.schema(BY_ARITY[n]).option("sep", "\t").option("mode", "FAILFAST").option("quote", "").csv(path)
-    # position: file, then the block's offset in it, then the row within the task's part
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.select("*", place.alias(ORDINAL))
+    rows = _with_ordinal(rows)
     if kind == "gz" and not partitions:
         sizes = [s.getLen() for s in _statuses(spark, path)]
         wanted = max(spark.sparkContext.defaultParallelism, -(-sum(sizes) // PACKED_PARTITION))
@@ -84,6 +86,23 @@ def read_alignments(spark: SparkSession, path: str, partitions: int | None = Non
     return rows.repartition(partitions) if partitions else rows
 
 
+def _with_ordinal(rows: DataFrame) -> DataFrame:
+    """Adds each row's place.
+
+    Within a file that is the offset of the row's block, and its number within the task's input: a block that another
+    one of the same file follows is as large as a task's whole input may be, and a row has some bytes, so numbers never reach the next block.
+    """
+    path, columns = "_path", rows.columns
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    plain = lambda p: F.regexp_replace(p, "^file:/+", "file:/")  # noqa: E731  Spark writes it in two ways
+    placed = rows.select("*", plain(F.col("_metadata.file_path")).alias(path), (F.col("_metadata.file_block_start") + number).alias(ORDINAL))
+    files = sorted(re.sub("^file:/+", "file:/", f) for f in rows.inputFiles())
+    if len(files) == 1:
+        return placed.select(*columns, ORDINAL)
+    ranks = rows.sparkSession.createDataFrame(list(enumerate(files)), f"_rank long, {path} string")
+    return placed.join(ranks, path).select(*columns, F.shiftleft("_rank", PLACE_BITS).bitwiseOR(F.col(ORDINAL)).alias(ORDINAL))
+
+
 def delimiter(spark: SparkSession, path: str) -> str:
     """What cuts the first line into two columns."""
     _statuses(spark, path)

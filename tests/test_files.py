@@ -40,6 +40,35 @@ def test_first_in_file_order(spark, tmp_path):
     assert [r["queryId"] for r in drop_duplicates(read_alignments(spark, str(tmp_path / "d.m8"))).collect()] == ["q9"]
 
 
+def test_ordinals_of_many_files(spark, tmp_path):
+    """Numbers in order of files and rows, by whatever tasks they are read; names of all kinds."""
+    names = ["b c.m8", "a%20é.m8", "d+e.m8", "a.m8"]
+    for k, name in enumerate(names):
+        (tmp_path / name).write_text("\n".join(LINE.format(q=1000 * k + i, s=1, a=20, b=60) for i in range(400)) + "\n")
+    size = (tmp_path / names[0]).stat().st_size
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    found = []
+    try:
+        for bytes_, cost in ((1 << 27, 1 << 22), (size // 3, 0), (size * 3 // 2, 0), (1000, 10)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_)
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            df = read_alignments(spark, str(tmp_path))
+            rows = df.select("ordinal", "queryId").collect()
+            assert len({r["ordinal"] for r in rows}) == len(rows) == 1600 and df.schema["ordinal"].dataType.simpleString() == "bigint"
+            found.append([r["queryId"] for r in sorted(rows)])
+            assert [r["queryId"] for r in drop_duplicates(df).collect()] == found[-1][:1]
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+    assert all(f == found[0] for f in found) and found[0][:400] == [f"q{1000 * (names.index('a%20é.m8')) + i}" for i in range(400)]
+
+
+def test_duplicates_are_hashed_not_sorted(spark, tmp_path):
+    (tmp_path / "d.m8").write_text("\n".join(lines(9)))
+    plan = drop_duplicates(read_alignments(spark, str(tmp_path / "d.m8")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") >= 2 and "SortAggregate" not in plan
+
+
 def test_faulty_inputs(spark, tmp_path):
     (tmp_path / "n.m8").write_text(lines()[0] + "\textra")
     with pytest.raises(ValueError, match="14 or 17"):
