@@ -11,9 +11,10 @@ floor((1 - SIMILARITY) * n) word edits away.
    on by a random bit that depends on t and the word's group.  A small edit distance becomes a small
    Hamming distance.
 3. Bit-sampling LSH.  Each repetition takes ``SAMPLED`` positions of the embedding as a key and
-   looks it up among the items' keys.  Repetitions are added until ``RECALL`` of randomly edited
-   items (at the largest distance allowed) are found in the windows that they really give.  Items of
-   lengths for which ``MOST_REPETITIONS`` don't do are compared with every window of their length.
+   looks it up among the items' keys.  For each length of items, repetitions are added until ``RECALL`` of
+   randomly edited items (at the largest distance allowed) are found in the windows that they really give, and
+   ``MARGIN`` times as many are made.  Items of lengths for which ``MOST_REPETITIONS`` don't do are compared
+   with every window that has one of their runs at its place.
 4. Candidates are confirmed by the exact edit distance of the item to the best passage around
    the window.
 
@@ -50,8 +51,9 @@ MOST_REPETITIONS = 512
 KEYS_PER_WALK = 32
 #: A step's random bits are drawn for so many groups of words.
 WORD_GROUPS = 4096
-#: Edited items by which the repetitions are set.
-TRIALS = 400
+#: Edited items of a length by which its repetitions are set, fewer of long items, and by how much these are then raised.
+MOST_TRIALS, LEAST_TRIALS, TRIAL_WORDS = 120, 50, 24_000
+MARGIN = 1.5
 BLOCK_BYTES = 4_000_000
 #: Cells of embeddings, and bytes of documents, at a time: bounds a worker's memory.
 CELLS_TOGETHER, BYTES_TOGETHER = 2_000_000, 8_000_000
@@ -119,12 +121,15 @@ class Lsh:
             key = key + _mixed(embedded[(x * STEPS_PER_WORD * lengths).astype(np.int64), column].astype(np.uint64) + np.uint64(1)) * f
         return key
 
-    def all_keys(self, windows: np.ndarray, lengths: np.ndarray, repetitions: int) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for number in range(-(-repetitions // KEYS_PER_WALK)):
-            embedded = self.walk(windows, lengths, number)
-            out += [self.keys(embedded, lengths, r) for r in range(number * KEYS_PER_WALK, min(repetitions, (number + 1) * KEYS_PER_WALK))]
-        return out
+    def all_keys(self, windows: np.ndarray, lengths: np.ndarray, repetitions: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(r, rows, keys) of each repetition r, for the rows that have more than r of them."""
+        for number in range(-(-int(repetitions.max(initial=0)) // KEYS_PER_WALK)):
+            rows = np.flatnonzero(repetitions > number * KEYS_PER_WALK)
+            own, most = lengths[rows], repetitions[rows]
+            embedded = self.walk(windows[rows], own, number)
+            for r in range(number * KEYS_PER_WALK, min(int(most.max()), (number + 1) * KEYS_PER_WALK)):
+                use = most > r
+                yield r, rows[use], self.keys(embedded, own, r)[use]
 
 
 def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,15 +165,25 @@ class Index:
             first = np.cumsum([0, *map(len, places)])
             self.runs[q] = codes, first, np.array([x for p in places for x in p], dtype=np.int64).reshape(-1, 2)
         self.lsh = Lsh(max(map(len, self.items), default=1))
-        #: by length of items: trials, and those found; lengths in ``exact`` are compared without keys
+        #: by length of items: trials, and those found; repetitions; and the runs of lengths that are compared without keys
         self.trials: dict[int, tuple[int, int]] = {}
-        self.exact: dict[int, np.ndarray] = {}
-        self.repetitions = self._enough()
-        self.tables = []
+        self.exact: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.repetitions: dict[int, int] = {}
+        by_length = defaultdict(list)
+        for k, item in enumerate(self.items):
+            by_length[len(item)].append(k)
+        for n, same in sorted(by_length.items()):
+            self._enough(n, same)
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
         if self.items:
-            for keys in self.lsh.all_keys(*_padded(self.items), self.repetitions):
+            padded, lengths = _padded(self.items)
+            for _, rows, keys in self.lsh.all_keys(padded, lengths, self._repetitions(lengths)):
                 order = np.argsort(keys, kind="stable")
-                self.tables.append((keys[order], order))
+                self.tables.append((keys[order], rows[order]))
+
+    def _repetitions(self, lengths: np.ndarray) -> np.ndarray:
+        distinct, at = np.unique(lengths, return_inverse=True)
+        return np.array([self.repetitions[n] for n in distinct.tolist()], dtype=np.int64)[at]
 
     def _runs(self, numbers: np.ndarray, q: int) -> np.ndarray:
         """Codes of the runs of q words; base**3 stays below 2**63 for two million words."""
@@ -177,46 +192,52 @@ class Index:
             code = code * self.base + numbers[j : j + len(code)]
         return code
 
-    def _enough(self) -> int:
-        """Repetitions by which RECALL of items edited as much as is allowed share a key with their original."""
-        rng = np.random.default_rng(7)
-        able = [k for k, item in enumerate(self.items) if most_edits(len(item))]
-        if not able:
-            return 1
-        chosen, changed = rng.choice(able, TRIALS).tolist(), []
-        for k in chosen:
+    def _enough(self, n: int, same: list[int]) -> None:
+        """Sets the repetitions of a length, so that RECALL of items edited as much as is allowed share a key with their original."""
+        if not most_edits(n):
+            self.repetitions[n] = 1
+            return
+        rng = np.random.default_rng([7, n])
+        trials = max(LEAST_TRIALS, min(MOST_TRIALS, TRIAL_WORDS // n))
+        together = max(1, min(trials, CELLS_TOGETHER // (STEPS_PER_WORD * n * (2 * most_edits(n) + 1))))
+        first = np.concatenate([self._first_hits(n, same, rng, together) for _ in range(-(-trials // together))])
+        last = int(np.sort(first)[int(np.ceil(RECALL * len(first))) - 1])
+        if last < MOST_REPETITIONS:
+            self.repetitions[n] = min(MOST_REPETITIONS, int(np.ceil(MARGIN * (last + 1))))
+        else:
+            self.repetitions[n] = 0
+            q = run_words(n)
+            codes = np.array([self._runs(self.items[k], q) for k in same])
+            orders = [np.argsort(column, kind="stable") for column in codes.T]
+            self.exact[n] = [(column[order], np.array(same)[order]) for column, order in zip(codes.T, orders)]
+        self.trials[n] = len(first), int((first < self.repetitions[n]).sum()) if self.repetitions[n] else len(first)
+
+    def _first_hits(self, n: int, same: list[int], rng: np.random.Generator, trials: int) -> np.ndarray:
+        """The first repetition that finds each of some edited items, in the windows that it gives among words of no item."""
+        chosen, owner, rows = rng.choice(same, trials), [], []
+        for t, k in enumerate(chosen.tolist()):
             edited = self.items[k].tolist()
-            n = len(edited)
             for _ in range(most_edits(n)):
                 where, kind = int(rng.integers(0, len(edited))), int(rng.integers(0, 3))
                 edited[where : where + (kind != 1)] = [] if kind == 2 else [0]
-            changed.append(np.array(edited, dtype=np.int64))
-        # the windows that the edited items give among words of no item
-        owner, rows = [], []
-        for t, (k, edited) in enumerate(zip(chosen, changed)):
-            n = len(self.items[k])
-            text = np.concatenate([np.zeros(n, np.int64), edited, np.zeros(n, np.int64)])
+            text = np.concatenate([np.zeros(n, np.int64), np.array(edited, np.int64), np.zeros(n, np.int64)])
             sizes, starts = self.windows(text)
             mine = starts[sizes == n]
             owner += [t] * len(mine)
-            rows.append(self._cut({0: text}, np.zeros(len(mine), np.int64), mine, np.full(len(mine), n))[:, :-1])
-        (a, lengths), (b, sizes) = _padded([self.items[k] for k in chosen]), _padded([r for part in rows for r in part])
-        owner, missed = np.array(owner, dtype=np.int64), np.ones(len(a), dtype=bool)
-        enough = MOST_REPETITIONS
+            rows.append(self._cut({0: text}, np.zeros(len(mine), np.int64), mine, np.full(len(mine), n)))
+        originals, (edited, owner) = _padded([self.items[k] for k in chosen.tolist()])[0], (np.concatenate(rows), np.array(owner, np.int64))
+        first = np.full(trials, MOST_REPETITIONS)
         for r in range(MOST_REPETITIONS):
             if r % KEYS_PER_WALK == 0:
-                x, y = (self.lsh.walk(*part, r // KEYS_PER_WALK) for part in ((a, lengths), (b, sizes)))
-            hit = self.lsh.keys(y, sizes, r) == self.lsh.keys(x, lengths, r)[owner]
-            missed[owner[hit]] = False
-            if missed.mean() <= 1 - RECALL:
-                enough = r + 1
-                break
-        for n in np.unique(lengths).tolist():
-            self.trials[n] = int((lengths == n).sum()), int((~missed[lengths == n]).sum())
-        if missed.mean() > 1 - RECALL:
-            for n in np.unique(lengths[missed]).tolist():
-                self.exact[n] = np.array([k for k, item in enumerate(self.items) if len(item) == n])
-        return enough
+                left = first[owner] == MOST_REPETITIONS
+                edited, owner = edited[left], owner[left]
+                if not len(owner):
+                    break
+                sizes = np.full(trials, n), np.full(len(owner), n)
+                x, y = (self.lsh.walk(part, size, r // KEYS_PER_WALK) for part, size in zip((originals, edited), sizes))
+            hit = owner[self.lsh.keys(y, sizes[1], r) == self.lsh.keys(x, sizes[0], r)[owner]]
+            first[hit] = np.minimum(first[hit], r)
+        return first
 
     def windows(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and starts of the windows that line up with a run of some item. A start may be negative."""
@@ -275,14 +296,26 @@ class Index:
 
     def _confirmed(self, numbers: dict[int, np.ndarray], length: np.ndarray, text: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         pairs = [np.zeros((0, 2), dtype=np.int64)]
-        for (keys, items), key in zip(self.tables, self.lsh.all_keys(self._cut(numbers, text, start, length), length, self.repetitions)):
+
+        def met(keys: np.ndarray, items: np.ndarray, key: np.ndarray, rows: np.ndarray) -> None:
             low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             while (more := np.flatnonzero(low < high)).size:
-                pairs.append(np.stack([items[low[more]], more], axis=1))
+                pairs.append(np.stack([items[low[more]], rows[more]], axis=1))
                 low[more] += 1
-        for n, same in self.exact.items():
+
+        windows = self._cut(numbers, text, start, length)
+        for r, rows, key in self.lsh.all_keys(windows, length, self._repetitions(length)):
+            met(*self.tables[r], key, rows)
+        for n, places in self.exact.items():
             at = np.flatnonzero(length == n)
-            pairs.append(np.stack([np.tile(same, len(at)), np.repeat(at, len(same))], axis=1))
+            q = run_words(n)
+            for j, (codes, items) in enumerate(places if len(at) else ()):
+                part = windows[at, j : j + q]
+                known = (part > PADDING).all(axis=1)
+                code = np.zeros(int(known.sum()), dtype=np.int64)
+                for column in part[known].T:
+                    code = code * self.base + column
+                met(codes, items, code, at[known])
         item, row = np.unique(np.concatenate(pairs), axis=0).T
         same = np.array([len(self.items[k]) for k in item.tolist()], dtype=np.int64) == length[row]  # else hashes met by chance
         item, row, out = item[same], row[same], []
