@@ -4,23 +4,24 @@ Features are the 1- to 3-grams of the lower-cased text, in which all but letters
 are hashed into ``FEATURES`` columns.  Term weights are log(1 + count) times the inverse document
 frequency, which comes from all training documents; rows have unit length.  The weights are fitted
 by follow-the-regularised-leader with an elastic-net penalty on a bounded sample of labelled rows
-(``SAMPLE_ROWS`` in all, the same bound for each language, chosen by a hash of doc_id); a fifth of
-the sample is left out to calibrate the temperature of the softmax.
+(``SAMPLE_ROWS`` in all, the same share for each label and one row at least: those with the least hashes of doc_id and text);
+a fifth of the sample is left out to calibrate the temperature of the softmax.
+
+Every label is learned, however many there are and however rare.  The model has a weight for each column and label:
+with more than ``MODEL_CELLS / FEATURES`` labels the columns are folded to fewer, ``LEAST_FEATURES`` at least.
 
 Edge cases: null, empty and letterless texts are `und` with score 0; null labels are not learned
 from; without any labelled row all is `und`; repeated rows give equal results; a null doc_id is
 never learned from and counts as held out; an empty table gives an empty result; texts are read
-whole; other columns are ignored by ``identify`` and kept as they are by ``keep_known``.  Only the
-``MOST_LABELS`` most frequent labels are learned (of equally frequent ones the first by name), and
-none of fewer than ``LEAST_ROWS`` rows unless these are ``LEAST_SHARE`` of all, so a noisy label column
-neither fails nor needs more memory; an id that very many rows share can't exceed four times the bound.
+whole; other columns are ignored by ``identify`` and kept as they are by ``keep_known``.  Rows of the same doc_id
+and text count once in the sample, however many there are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,12 +30,10 @@ from .common import LONG_ROWS, crc_mod, id_and_text, map_arrow, without_rows
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
-#: Labelled rows that the weights are fitted on; an expected bound, as rows are chosen by hash.
+#: Labelled rows that the weights are fitted on, or one of each label if these are more.
 SAMPLE_ROWS = 6000
-#: Labels that are learned: bounds the model, which has FEATURES weights for each.
-MOST_LABELS = 300
-#: A label of fewer rows is learned only if it has this share of all labelled rows.
-LEAST_ROWS, LEAST_SHARE = 5, 1e-3
+#: Weights of a model; only with more than MODEL_CELLS / LEAST_FEATURES labels there are more.
+MODEL_CELLS, LEAST_FEATURES = 1 << 24, 1 << 10
 #: One document in so many is left out of training.
 FOLDS = 5
 #: A pipeline keeps predictions from this calibrated score on with four languages, where chance is 0.25.
@@ -76,14 +75,33 @@ def counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     return at.astype(np.uint16), found[at].astype(np.uint32)
 
 
+def features_for(labels: int) -> int:
+    """Columns of a model with so many labels: a power of two."""
+    features = FEATURES
+    while features > LEAST_FEATURES and features * labels > MODEL_CELLS:
+        features //= 2
+    return features
+
+
 class Model:
     """Weights by label and feature, inverse document frequencies and the temperature."""
 
-    def __init__(self, labels: list[str], idf: np.ndarray):
-        self.labels, self.idf = labels, idf.astype(np.float32)
-        self.weights = np.zeros((FEATURES, len(labels)), dtype=np.float32)
+    def __init__(self, labels: list[str], seen: np.ndarray, docs: int):
+        """seen: in how many of so many documents each feature occurs."""
+        self.labels, self.features = labels, features_for(len(labels))
+        folded = np.minimum(docs, seen.reshape(-1, self.features).sum(axis=0))
+        self.idf = (np.log((1 + docs) / (1 + folded)) + 1).astype(np.float32)
+        self.weights = np.zeros((self.features, len(labels)), dtype=np.float32)
         self.temperature = 1.0
 
+    def folded(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features and counts, for a model with fewer columns than there are features."""
+        if self.features == FEATURES:
+            return at, n
+        sums = np.bincount(at % self.features, weights=n, minlength=self.features)
+        at = np.flatnonzero(sums)
+        return at, sums[at]
+
     def row(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         x = np.log1p(n) * self.idf[at]
         return x / max(1e-12, float(np.sqrt(x @ x)))
@@ -95,7 +113,7 @@ class Model:
         found = counts(text)
         if found is None or not self.labels:
             return "und", 0.0
-        p = _softmax(self.logits(*found) / self.temperature)
+        p = _softmax(self.logits(*self.folded(*found)) / self.temperature)
         best = int(p.argmax())
         return self.labels[best], float(p[best])
 
@@ -105,14 +123,16 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Model:
-    """rows: label, features, counts. Every fifth row is kept for the temperature."""
-    model = Model(sorted({label for label, _, _ in rows}), idf)
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seen: np.ndarray, docs: int) -> Model:
+    """rows: label, features, counts. Every fifth row is kept for the temperature, but for the first of its label."""
+    model = Model(sorted({label for label, _, _ in rows}), seen, docs)
     if len(model.labels) < 2:
         return model
     number = {label: i for i, label in enumerate(model.labels)}
-    train, rest = [r for i, r in enumerate(rows) if i % 5], [r for i, r in enumerate(rows) if not i % 5]
-    z, n = (np.zeros((FEATURES, len(model.labels))) for _ in range(2))
+    rows = [(label, *model.folded(at, n)) for label, at, n in rows]
+    firsts = set({label: i for i, (label, _, _) in reversed(list(enumerate(rows)))}.values())
+    train, rest = [r for i, r in enumerate(rows) if i % 5 or i in firsts], [r for i, r in enumerate(rows) if not i % 5 and i not in firsts]
+    z, n = (np.zeros((model.features, len(model.labels))) for _ in range(2))
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return -np.sign(z) * np.maximum(0, np.abs(z) - L1) / ((BETA + np.sqrt(n)) / ALPHA + L2)
@@ -145,35 +165,34 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Mode
     return model
 
 
-GATHERED = "label string, at binary, n binary, docs long, seen binary"
-_KINDS = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+GATHERED = "label string, hash long, at binary, n binary, docs long, seen binary"
+_KINDS = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
 
 
 def train(docs: DataFrame, work: Workspace, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits on rows with text and lang; only these are read."""
     labelled = docs.where("text is not null and lang is not null and doc_id is not null")
-    found = work.save(labelled.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")))
-    total = found.agg(F.sum("n").alias("n")).first()["n"] or 0
-    frequent = found.where(F.col("n") >= min(LEAST_ROWS, LEAST_SHARE * total)).orderBy(F.desc("n"), "lang").limit(MOST_LABELS)
-    sizes = {r["lang"]: r["n"] for r in frequent.collect()}
-    each = sample_rows / max(1, len(sizes))
-    shares = [F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))]
-    share = F.coalesce(F.try_element_at(F.create_map(*shares), F.col("lang").cast("string")), F.lit(0.0)) if shares else F.lit(0.0)
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)
-
+    labelled = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("hash"))
+    # different rows, so that one many times repeated takes no other's place
+    sizes = work.save(labelled.groupBy("lang").agg(F.approx_count_distinct("hash").alias("size")))
+    each = max(1, -(-sample_rows // max(1, sizes.count())))
+    # some more than needed, as a hash gives now more, now fewer; these alone are ranked
+    some = 1.2 * each + 6 * each**0.5 + 16
+    chosen = F.shiftrightunsigned("hash", 34) * F.col("size") < some * (1 << 30)
     def gather(batches):
         """The sample's rows, and at the end in how many texts of this task each feature occurs."""
-        docs_read, seen = 0, np.zeros(FEATURES, dtype=np.int64)
+        docs_read, seen, taken = 0, np.zeros(FEATURES, dtype=np.int64), set()
         for batch in batches:
             rows = []
-            for text, lang, take in zip(*(batch.column(k).to_pylist() for k in ("text", "lang", "chosen"))):
+            for text, lang, number, take in zip(*(batch.column(k).to_pylist() for k in ("text", "lang", "hash", "chosen"))):
                 if found := counts(text):
                     docs_read += 1
                     seen[found[0]] += 1
-                    if take:
-                        rows.append((lang, found[0].tobytes(), found[1].tobytes(), None, None))
+                    if take and (lang, number) not in taken:
+                        taken.add((lang, number))
+                        rows.append((lang, number, found[0].tobytes(), found[1].tobytes(), None, None))
             yield _gathered(rows)
-        yield _gathered([(None, None, None, docs_read, seen.tobytes())])
+        yield _gathered([(None, None, None, None, docs_read, seen.tobytes())])
 
     def added(batches):
         """Adds up the last rows of the tasks; passes the sample's rows on."""
@@ -181,29 +200,30 @@ def train(docs: DataFrame, work: Workspace, sample_rows: int = SAMPLE_ROWS) -> M
         for batch in batches:
             for n, data in zip(batch.column("docs").to_pylist(), batch.column("seen").to_pylist()):
                 docs_read, seen = docs_read + n, seen + np.frombuffer(data, np.int64)
-        yield _gathered([(None, None, None, docs_read, seen.tobytes())])
+        yield _gathered([(None, None, None, None, docs_read, seen.tobytes())])
 
-    gathered = work.save(map_arrow(labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), chosen.alias("chosen")), gather, GATHERED))
-    # chosen by a hash of doc_id: only an id that very many rows share can exceed the bound
-    sample = gathered.where("label is not null").select("label", "at", "n").limit(4 * sample_rows).toArrow().to_pylist()
+    gathered = work.save(map_arrow(labelled.join(sizes, "lang").select("text", "lang", "hash", chosen.alias("chosen")), gather, GATHERED))
+    least = Window.partitionBy("label").orderBy("hash")
+    once = gathered.where("label is not null").groupBy("label", "hash").agg(F.first("at").alias("at"), F.first("n").alias("n"))
+    ranked = once.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= each)
+    sample = ranked.select("label", "at", "n").toArrow().to_pylist()
     # however many tasks there were, sixteen vectors reach the driver
     sums = map_arrow(gathered.where("docs is not null").repartition(16), added, GATHERED).select("docs", "seen").collect()
     n_docs = sum(r["docs"] for r in sums)
     seen = sum((np.frombuffer(r["seen"], np.int64) for r in sums), np.zeros(FEATURES, np.int64))
-    idf = np.log((1 + n_docs) / (1 + seen)) + 1
     rows = sorted((r["label"], bytes(r["at"]), bytes(r["n"])) for r in sample)
     order = np.random.default_rng(0).permutation(len(rows))
-    return fit([(rows[i][0], np.frombuffer(rows[i][1], np.uint16), np.frombuffer(rows[i][2], np.uint32)) for i in order], idf)
+    return fit([(rows[i][0], np.frombuffer(rows[i][1], np.uint16), np.frombuffer(rows[i][2], np.uint32)) for i in order], seen, n_docs)
 
 
 def _gathered(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [[]] * len(_KINDS)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _KINDS)], names=["label", "at", "n", "docs", "seen"])
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _KINDS)], names=["label", "hash", "at", "n", "docs", "seen"])
 
 
 def apply(docs: DataFrame, model: Model, label: str = "lang_pred", score: str = "score") -> DataFrame:
     """Adds the predicted label and its score to a table with a text column; columns of these names are replaced."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x labels
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # about MODEL_CELLS weights
     docs = docs.drop(label, score)
     kept = docs.schema.fieldNames()
 

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from readsieve.llm import chat_tools, components, decontam, pii, queries, simhash, tiff, url_rules
+from readsieve.llm import chat_tools, components, decontam, langid, pii, queries, simhash, tiff, url_rules
 from readsieve.storage import Workspace
 
 from ..oracles import assert_same, connection
@@ -526,3 +526,19 @@ def test_recall_of_each_length(monkeypatch, most):
         found = {(t, k) for t, k, *_ in index.search(texts)}
         missed = sum((t, k) not in found for t, k in enumerate(truth))
         assert missed <= 0.01 * len(truth), n
+
+
+def test_every_label_is_learned(spark):
+    """Two thousand labels, the rarest of one row; one row many times repeated takes no other's place."""
+    rng = random.Random(4)
+    code = lambda k: "".join(chr(97 + k // 13**j % 13) for j in range(3))
+    said = lambda k: " ".join(code(k) + chr(110 + rng.randrange(3)) for _ in range(6))
+    ids = [i for i in range(1, 20_000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(ids.pop(), said(k), f"l{k:04}", None, None) for k in range(2000) for _ in range(1 + k % 3)]
+    rows += [(ids[0], said(7), "l0007", None, None)] * 3000
+    df = frame(spark, rows).repartition(4)
+    work = Workspace(spark, "langid", langid.LONG_ROWS)
+    model = langid.train(df.where(langid.learned_from()), work)
+    assert model.labels == sorted({r[2] for r in rows}) and model.features * len(model.labels) <= langid.MODEL_CELLS
+    out = [model.predict(t)[0] == lang for _, t, lang, *_ in rows[:4000:4]]
+    assert model.weights.any(axis=0).all() and sum(out) > 0.5 * len(out)
