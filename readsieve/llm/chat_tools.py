@@ -25,8 +25,8 @@ conversation that must come first).  ``results``: conv_id, call_id, turn, conten
 Status: ``linked``; ``no_result``; ``cycle``; for rows of results ``orphan_result`` (no call has the id)
 and ``extra_result`` (a later, different result of an id).
 
-Edge cases: a null conv_id or call_id links to nothing; null or malformed arguments, or such that
-are not an object, are the problem ``arguments`` and are written as null; an unknown tool is the
+Edge cases: a null conv_id or call_id links to nothing; null or malformed arguments, such with anything after
+their JSON, or such that are not an object, are the problem ``arguments`` and are written as null; an unknown tool is the
 problem ``tool``; a prerequisite that does not exist is the problem ``after``; repeated results of
 the same turn and content count once; empty tables give empty results; texts are kept whole;
 other columns are ignored.
@@ -99,6 +99,17 @@ def _exact(number: Column) -> Column:
     return F.when(digits == "", "0").otherwise(F.coalesce(F.concat(sign, value), F.concat(F.lit(_TOO_LONG), number, F.lit('"'))))
 
 
+def whole_json(text: Column) -> Column:
+    """The VARIANT of a text that is one JSON value and nothing else, or null.
+
+    The parser stops after the first value, so the text is parsed as the first element of a list of two, the other being a
+    number that the text can't foresee.
+    """
+    mark = F.xxhash64(text)
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+    return F.when(F.try_variant_get(both, "$[1]", "bigint") == mark, F.try_variant_get(both, "$[0]", "variant"))
+
+
 def exact_numbers(text: Column) -> Column:
     """JSON with its numbers by their digits, so that VARIANT holds all of them exactly, or as strings that begin with U+0001."""
     # an escaped backslash or quote is one character, so that a string ends at the next quote
@@ -238,7 +249,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas, work: Workspace
     first = F.min(F.struct("turn", "content")).alias("first")
     repeated = _repeated(calls.where(known), keyed, work)
     of_repeated = repeated.groupBy(*KEY).agg(first, F.count("*").alias("n_results"))
-    arguments = F.when(F.instr("arguments", _TOO_LONG) == 0, F.try_parse_json("arguments"))
+    arguments = F.when(F.instr("arguments", _TOO_LONG) == 0, whole_json(c("arguments")))
     linked = calls.withColumn("arguments", arguments).join(keyed.groupBy(*KEY).agg(first), KEY, "left")
     linked = linked.join(of_repeated.select(*KEY, "n_results"), KEY, "left")
     if waits:
@@ -284,24 +295,29 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas, work: Workspace
 def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a table conv_id, turn, role, text.
 
-    A text that is a JSON object may hold ``tool_calls``, a list of {id, name, arguments, after}, or
-    ``tool_call_id`` and ``content``.  Any other turn is dialogue: a user or system turn calls
+    A text that is one JSON object and nothing else may hold ``tool_calls``, a list of {id, name, arguments, after} or of
+    {id, function: {name, arguments}, after}, or ``tool_call_id`` and ``content``.  Arguments may be an object, or a string with
+    its JSON.  What a text with calls says besides in ``content`` is dialogue as if it stood alone, unless it is empty or
+    the result that ``tool_call_id`` names.  Any other turn is dialogue: a user or system turn calls
     ``reply`` or ``configure`` by the id ``turn-<turn>``, with its text and turn as arguments, and an
     assistant turn is the result of the turn before it.  So is a turn of any other role, or of none
     (null).  A text with an empty list ``tool_calls`` and no ``tool_call_id`` makes no call and is
     dialogue.  So every turn gives at least one call or result.
     """
     c = F.col
-    call = "array<struct<id:string,name:string,arguments:variant,after:array<string>>>"
-    data = F.when(F.substring(F.ltrim("text"), 1, 1) == "{", F.try_parse_json(exact_numbers(c("text"))))
+    call = "array<struct<id:string,name:string,arguments:variant,function:struct<name:string,arguments:variant>,after:array<string>>>"
+    data = F.when(F.substring(F.ltrim("text"), 1, 1) == "{", whole_json(exact_numbers(c("text"))))
     parsed = messages.select("conv_id", c("turn").cast("long").alias("turn"), "role", "text", data.alias("data")).select(
         "*",
         F.try_variant_get("data", "$.tool_calls", call).alias("tool_calls"),
         F.ltrim(F.try_variant_get("data", "$.tool_call_id", "string"), F.lit("\u0001")).alias("answers"),
+        F.ltrim(F.try_variant_get("data", "$.content", "string"), F.lit("\u0001")).alias("content"),
     )
     plain = (c("tool_calls").isNull() | (F.size("tool_calls") == 0)) & c("answers").isNull()
     asks = F.coalesce(c("role").isin("user", "system"), F.lit(False))
-    spoken = parsed.where(plain & asks)
+    besides = c("answers").isNull() & (F.size("tool_calls") > 0) & (c("content") != "")
+    dialogue = parsed.where(plain | besides).withColumn("text", F.when(plain, c("text")).otherwise(c("content")))
+    spoken = dialogue.where(asks)
     said = spoken.select(
         "conv_id",
         F.concat(F.lit("turn-"), c("turn").cast("string")).alias("call_id"),
@@ -311,10 +327,17 @@ def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.array().cast("array<string>").alias("after"),
     )
     made = parsed.where("tool_calls is not null").select("conv_id", "turn", F.explode("tool_calls").alias("t")).select(
-        "conv_id", c("t.id").alias("call_id"), "turn", c("t.name").alias("name"), F.to_json("t.arguments").alias("arguments"), c("t.after").alias("after")
+        "*", F.coalesce("t.arguments", "t.function.arguments").alias("given")
+    ).select(
+        "conv_id",
+        c("t.id").alias("call_id"),
+        "turn",
+        F.coalesce("t.name", "t.function.name").alias("name"),
+        F.when(F.schema_of_variant("given") == "STRING", F.try_variant_get("given", "$", "string")).otherwise(F.to_json("given")).alias("arguments"),
+        c("t.after").alias("after"),
     )
-    answered = parsed.where("answers is not null").select("conv_id", c("answers").alias("call_id"), "turn", F.ltrim(F.try_variant_get("data", "$.content", "string"), F.lit("\u0001")).alias("content"))
-    heard = parsed.where(plain & ~asks).select(
+    answered = parsed.where("answers is not null").select("conv_id", c("answers").alias("call_id"), "turn", "content")
+    heard = dialogue.where(~asks).select(
         "conv_id", F.concat(F.lit("turn-"), (c("turn") - 1).cast("string")).alias("call_id"), "turn", c("text").alias("content")
     )
     return said.unionByName(made), answered.unionByName(heard)

@@ -542,3 +542,28 @@ def test_every_label_is_learned(spark):
     assert model.labels == sorted({r[2] for r in rows}) and model.features * len(model.labels) <= langid.MODEL_CELLS
     out = [model.predict(t)[0] == lang for _, t, lang, *_ in rows[:4000:4]]
     assert model.weights.any(axis=0).all() and sum(out) > 0.5 * len(out)
+
+
+def test_calls_as_users_have_them(spark):
+    """Both call forms, arguments as objects and as strings; nothing follows JSON, and no text of a turn is lost."""
+    schemas = {"look": {"x": ("integer", True)}}
+    call = lambda i, arguments: {"id": i, "type": "function", "function": {"name": "look", "arguments": arguments}}
+    first = {"content": "let me look", "tool_calls": [call("a", '{"x": 1e2}'), call("b", {"x": 5}), {"id": "c", "name": "look", "arguments": '{"x":1} junk'}, {"id": "d", "name": "look", "arguments": {"x": 2.0}}]}
+    bad = ['{"x":1}] [', '{"x":1},{"x":2}', '"text"', "", "[1]", '{"x":1}{"x":2}', "null"]
+    turns = [
+        ("user", '{"x":1} and then prose'),
+        ("assistant", json.dumps(first)),
+        ("tool", json.dumps({"tool_call_id": "a", "content": "found"})),
+        ("user", json.dumps({"content": "please", "tool_calls": [call(f"bad{i}", text) for i, text in enumerate(bad)]})),
+        ("assistant", '{"x":1}] ['),
+        ("assistant", json.dumps({"content": "", "tool_calls": [call("e", None), {"id": "f", "name": "look"}]})),
+    ]
+    df = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    out = {r["call_id"]: r for r in chat_tools.format_conversations(df, schemas | chat_tools.DIALOGUE).collect()}
+    said = {k: json.loads(r["json"]) for k, r in out.items()}
+    assert [said[k]["arguments"] for k in "abcd"] == [{"x": 100}, {"x": 5}, None, {"x": 2}]
+    assert [out[k]["valid"] for k in "abcd"] == [True, True, False, True] and out["c"]["problems"] == "arguments"
+    assert all(out[k]["problems"] == "arguments" for k in [f"bad{i}" for i in range(len(bad))] + ["e", "f"])
+    assert said["turn-0"]["arguments"]["text"] == turns[0][1] and said["turn-0"]["result"] == "let me look"
+    assert said["turn-3"]["arguments"]["text"] == "please" and said["turn-3"]["result"] == turns[4][1]
+    assert said["a"]["result"] == "found" and len(out) == 4 + len(bad) + 2 + 2
