@@ -105,9 +105,9 @@ def whole_json(text: Column) -> Column:
     The parser stops after the first value, so the text is parsed as the first element of a list of two, the other being a
     number that the text can't foresee.
     """
-    mark = F.xxhash64(text)
-    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
-    return F.when(F.try_variant_get(both, "$[1]", "bigint") == mark, F.try_variant_get(both, "$[0]", "variant"))
+    parsed = lambda t: F.try_parse_json(F.concat(F.lit("["), t, F.lit(","), F.xxhash64(t).cast("string"), F.lit("]")))
+    whole = lambda t: lambda v: F.when(F.try_variant_get(v, "$[1]", "bigint") == F.xxhash64(t), F.try_variant_get(v, "$[0]", "variant"))
+    return let(text, lambda t: let(parsed(t), whole(t)))
 
 
 def exact_numbers(text: Column) -> Column:
