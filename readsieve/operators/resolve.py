@@ -6,14 +6,20 @@ alignments those below ``scale`` times the best go.  All stops at the first iter
 nothing anywhere.
 
 Within a read nothing depends on other reads but the time of that stop, and normalising does not
-change which alignments go.  With a = ln(weight) - ln(length) and b = ln(length), the logarithm of
-the weight after k iterations is 2^k a + b up to a constant of the read.  So each read is gathered
+change which alignments go.  With a = ln(weight / length) and b = ln(length), the logarithm of the
+weight after k iterations is 2^k a + b up to a constant of the read.  So each read is gathered
 once, and the iteration in which each alignment would go is found for it at once; the stop is the
 least iteration that no alignment of any read has.  Alignments that go after it stay.
 
-Reads of more than ``GATHERED`` alignments are not gathered; for them each iteration is an aggregate
-and a join.  Beyond iteration ``CLOSED_ITERATIONS`` 2^k swamps double precision: there the stepwise
-form takes over, which is also what tests compare with.
+What counts is an alignment's distance from the best, so a and b are taken relative to the best of the
+iteration before.  There the distances of all that are left are small, so 2^k swamps nothing, whatever k is.
+Two alignments whose weight / length agree up to ``TIE`` are tied: rounding can't tell them apart, and
+the order in which scores were added up must not decide.  All others are ``TIE`` apart at least, and as distances
+double, none can go after iteration ``LAST_REMOVAL``: there every run has stopped, so the number of
+jobs does not follow ``iterations``.
+
+Reads of more than ``GATHERED`` alignments are not gathered; for them each iteration up to the stop is an
+aggregate and a join over what is left of them.  The stepwise form is what tests compare with.
 """
 
 from __future__ import annotations
@@ -27,7 +33,10 @@ from ..storage import Workspace
 
 SCALE, ITERATIONS = 0.9, 25
 GATHERED = 10_000
-CLOSED_ITERATIONS = 40
+#: Relative difference of weight / length up to which two alignments are tied.
+TIE = 2.0**-50
+#: 2^k TIE is then beyond the logarithm of any scale and of any two lengths' ratio (745 and 44 at most).
+LAST_REMOVAL = 60
 
 
 def initial_weights(alignments: DataFrame) -> DataFrame:
@@ -70,53 +79,97 @@ def _without(p, scale: float):
     return F.lit(True) if scale > 0 else p.isNull()
 
 
-def _removal(rows, iterations: int, scale: float):
-    """rows: array of structs with a, b (null weights: a is null). Adds to each the iteration in which it goes; 0: never."""
-    marked = F.transform(rows, lambda x: x.withField("gone", F.lit(0)))
-    value = lambda x, k: F.pow(F.lit(2.0), k) * x.a + x.b
+def _known(p, slen):
+    """What distances are told by. a is null for an alignment without a weight."""
+    a = F.when((p > 0) & (slen > 0), F.log(p) - F.log(slen))
+    return F.struct(p.alias("p"), slen.cast("double").alias("slen"), a.alias("a"), F.log(slen).alias("b"))
 
-    def one(so_far, k):
-        live = F.filter(so_far, lambda x: x.gone == 0)
-        least = F.array_max(F.transform(live, lambda x: value(x, k))) + _log(scale)
-        goes = lambda x: (x.gone == 0) & F.coalesce(value(x, k) < least, _without(x.p, scale))
-        after = F.transform(so_far, lambda x: x.withField("gone", F.when(goes(x), k).otherwise(x.gone)))
-        return F.when(F.size(live) > 1, after).otherwise(so_far)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), marked, one)
+def _nothing():
+    """What distances are from before the first iteration."""
+    return _known(F.lit(1.0), F.lit(1.0))
 
 
-def removal_iterations(alignments: DataFrame, iterations: int, scale: float, work: Workspace) -> DataFrame:
-    """Adds ``gone``: the iteration in which an alignment would go if nothing stopped the loop; 0: never."""
-    weighted = initial_weights(alignments)
-    logs = weighted.withColumn("b", F.log("slen")).withColumn("a", F.when(F.col("p") > 0, F.log("p") - F.log("slen")))  # no weight: goes unless alone
-    sizes = alignments.groupBy("queryId").agg(F.count("*").alias("_n"))
+def _distance(x, best, k):
+    """By how much the logarithm of x's weight after k iterations is above that of ``best``; null if x has no weight."""
+    off = (x.p * best.slen - best.p * x.slen) / (best.p * x.slen)
+    near = F.when(F.abs(off) <= TIE, 0.0).otherwise(F.log1p(off))
+    a = x.a - best.a
+    return F.pow(F.lit(2.0), k) * F.when(F.abs(a) < 0.5, near).otherwise(a) + (x.b - best.b)
+
+
+def _goes(distance, greatest, p, scale: float):
+    """Whether one of several alignments goes, by its distance and the greatest."""
+    return F.coalesce(distance < greatest + _log(scale), _without(p, scale))
+
+
+def _removal(known, iterations: int, scale: float):
+    """known: an array. For each of it the iteration in which it goes; 0: never."""
+    one_of = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  value is computed once
+    start = F.struct(F.transform(known, lambda _: F.lit(0)).alias("gone"), _nothing().alias("best"))
+
+    def one(state, k):
+        distances = F.transform(state.gone, lambda gone, i: F.when(gone == 0, _distance(F.get(known, i), state.best, k)))
+
+        def after(d):
+            goes = lambda gone, i: (gone == 0) & _goes(F.get(d.all, i), d.greatest, F.get(known, i).p, scale)
+            gone = F.transform(state.gone, lambda gone, i: F.when(goes(gone, i), k).otherwise(gone))
+            # without a weight in the whole read there is nothing to be near to
+            best = F.coalesce(F.get(known, (F.array_position(d.all, d.greatest) - 1).cast("int")), state.best)
+            return F.struct(gone.alias("gone"), best.alias("best"))
+
+        found = one_of(distances, lambda all: F.struct(all.alias("all"), F.array_max(all).alias("greatest")))
+        several = F.size(F.filter(state.gone, lambda gone: gone == 0)) > 1
+        return F.when(several, one_of(found, after)).otherwise(state)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, one, lambda state: state.gone)
+
+
+def removal_iterations(weighted: DataFrame, iterations: int, scale: float) -> DataFrame:
+    """Adds ``gone``: the iteration in which an alignment would go if nothing stopped the loop; 0: never. Each read is gathered."""
+    columns = [x for x in weighted.columns if x != "queryId"]
+    row = F.struct(*columns)
+    rows = weighted.groupBy("queryId").agg(F.collect_list(F.struct(_known(F.col("p"), F.col("slen")).alias("known"), row.alias("row"))).alias("rows"))
+    marked = F.arrays_zip(F.col("rows.row").alias("row"), _removal(F.col("rows.known"), iterations, scale).alias("gone"))
+    return rows.select("queryId", F.inline(marked).alias("row", "gone")).select("queryId", "row.*", "gone")
+
+
+def _step_apart(live: DataFrame, k: int, scale: float) -> DataFrame:
+    """Iteration k over rows of any number for each read; ``before``: the read's best of the iteration before."""
     c = F.col
-    counted = work.save(logs.join(sizes, "queryId"))
-    usual = counted.where((c("_n") > 1) & (c("_n") <= GATHERED))
-    gathered = usual.groupBy("queryId").agg(F.collect_list(F.struct(*[x for x in usual.columns if x != "queryId"])).alias("rows"))
-    usual = gathered.select("queryId", F.explode(_removal(c("rows"), iterations, scale)).alias("r")).select("queryId", "r.*")
-    rows = usual.unionByName(counted.where("_n = 1").withColumn("gone", F.lit(0)))
-    many = counted.where(c("_n") > GATHERED).withColumn("gone", F.lit(0))
-    if many.limit(1).count():
-        for k in range(1, iterations + 1):
-            value = F.pow(F.lit(2.0), F.lit(k)) * c("a") + c("b")
-            live = many.where("gone = 0").groupBy("queryId").agg(F.max(value).alias("best"), F.count("*").alias("live"))
-            goes = (c("gone") == 0) & (c("live") > 1) & F.coalesce(value < c("best") + _log(scale), _without(c("p"), scale))
-            before = many
-            many = work.save(many.join(live, "queryId", "left").withColumn("gone", F.when(goes, k).otherwise(c("gone"))).drop("best", "live"))
-            if k > 1:
-                work.drop(before)
-        rows = rows.unionByName(many)
-    return rows.select(*alignments.columns, "gone")
+    scored = live.withColumn("known", _known(c("p"), c("slen"))).withColumn("distance", _distance(c("known"), c("before"), F.lit(k)))
+    best = scored.groupBy("queryId").agg(F.max(F.struct("distance", "known")).alias("best"), F.count("*").alias("live"))
+    goes = (c("live") > 1) & _goes(c("distance"), c("best.distance"), c("p"), scale)
+    kept = scored.join(best, "queryId").where(~goes)
+    before = F.when(c("best.distance").isNull(), c("before")).otherwise(c("best.known"))
+    return kept.withColumn("before", before).select(*live.columns)
 
 
 def resolve(alignments: DataFrame, iterations: int = ITERATIONS, scale: float = SCALE, work: Workspace | None = None) -> DataFrame:
     """The alignments that survive. Ties do, and so do those that only a later iteration would have removed."""
     work = work or Workspace(alignments.sparkSession, "resolve")
-    rows = work.save(removal_iterations(alignments, min(iterations, CLOSED_ITERATIONS), scale, work))
-    seen = {r["gone"] for r in rows.select("gone").distinct().collect()}  # at most CLOSED_ITERATIONS + 1
-    stop = next((k for k in range(1, min(iterations, CLOSED_ITERATIONS) + 1) if k not in seen), None)
-    if stop is None and iterations > CLOSED_ITERATIONS:
-        return resolve_stepwise(alignments, iterations, scale, work)
-    last = stop or iterations
-    return rows.where((F.col("gone") == 0) | (F.col("gone") > last)).drop("gone")
+    c = F.col
+    sizes = alignments.groupBy("queryId").agg(F.count("*").alias("_n"))
+    counted = work.save(initial_weights(alignments).join(sizes, "queryId"))
+    most = min(iterations, LAST_REMOVAL + 1)
+    usual = removal_iterations(counted.where((c("_n") > 1) & (c("_n") <= GATHERED)), most, scale)
+    rows = work.save(usual.unionByName(counted.where("_n = 1").withColumn("gone", F.lit(0))).select(*alignments.columns, "gone"))
+    seen = {r["gone"] for r in rows.select("gone").distinct().collect()}  # LAST_REMOVAL + 1 at most
+    many = counted.where(c("_n") > GATHERED)
+    left = many.count()
+    if left:
+        many = many.withColumn("before", _nothing())
+    last = most
+    for k in range(1, most + 1):
+        before = left
+        if left:
+            after = work.save(_step_apart(many, k, scale))
+            left = after.count()
+            if k > 1:
+                work.drop(many)
+            many = after
+        if left == before and k not in seen:
+            last = k
+            break
+    kept = rows.where((c("gone") == 0) | (c("gone") > last)).drop("gone")
+    return kept.unionByName(many.select(*alignments.columns)) if left else kept

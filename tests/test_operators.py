@@ -143,8 +143,43 @@ def test_resolver_forms_agree(spark, monkeypatch, seed):
     monkeypatch.setattr(resolve, "GATHERED", 3)  # reads with more alignments take the iterative way
     assert once == key(resolve.resolve(df))
     assert once == key(resolve.resolve(df.repartition(7)))
-    monkeypatch.setattr(resolve, "CLOSED_ITERATIONS", 1)
-    assert once == key(resolve.resolve(df))
+
+
+def slow_hits(pairs):
+    """Reads of two alignments each, the second of which goes in iteration 1, 2, ... and the last in ``pairs``."""
+    hits = []
+    for k in range(1, pairs + 1):
+        # after k iterations the ratio is (1 - d)^(2^k); each reference has a score of its own that makes up the total
+        d = 0.15 * 2.0**-k
+        for s, score in (("a", 0.5), ("b", 0.5 * (1 - d))):
+            hits += [{"queryId": f"r{k}", "subjectId": f"{s}{k}", "bitScore": score}, {"queryId": f"f{s}{k}", "subjectId": f"{s}{k}", "bitScore": 1 - score}]
+    return hits
+
+
+@pytest.mark.parametrize("gathered,n", [(10_000, 45), (1, 8)])
+def test_many_iterations(spark, monkeypatch, gathered, n):
+    df = rows(spark, *slow_hits(n))
+    key = lambda x: sorted((r["queryId"], r["subjectId"]) for r in x.collect())
+    steps = []
+    step = resolve._step_apart
+    monkeypatch.setattr(resolve, "_step_apart", lambda live, k, scale: steps.append(k) or step(live, k, scale))
+    monkeypatch.setattr(resolve, "GATHERED", gathered)
+    found = key(resolve.resolve(df, iterations=100_000))
+    assert found == sorted([(f"r{k}", f"a{k}") for k in range(1, n + 1)] + [(f"f{s}{k}", f"{s}{k}") for k in range(1, n + 1) for s in "ab"])
+    assert len(steps) == (n + 1 if gathered == 1 else 0)  # up to the stop
+    if gathered > 1:
+        stepwise = {k: key(resolve.resolve_stepwise(rows(spark, *slow_hits(4)), k)) for k in (2, 100_000)}
+        assert stepwise == {k: key(resolve.resolve(rows(spark, *slow_hits(4)), k)) for k in stepwise}
+
+
+def test_ties_up_to_rounding(spark):
+    """Weights in the ratio of lengths that are near each other: equal but for rounding, so neither ever goes."""
+    few = [{"queryId": f"r{i}", "subjectId": f"{s}{i}", "bitScore": 1.0 * n, "slen": n} for i in range(1, 40) for s, n in (("a", 100 + i), ("b", 101 + i))]
+    # the other reads of each reference make its total the same
+    fill = [{"queryId": f"f{s}{i}", "subjectId": f"{s}{i}", "bitScore": 1000.0 - n, "slen": n} for i in range(1, 40) for s, n in (("a", 100 + i), ("b", 101 + i))]
+    slow = [h | {"queryId": "s" + h["queryId"], "subjectId": "s" + h["subjectId"]} for h in slow_hits(48)]
+    kept = resolve.resolve(rows(spark, *few, *fill, *slow), iterations=1000)
+    assert kept.where("queryId rlike '^r'").count() == len(few)
 
 
 def test_resolver_zero_scores(spark):
