@@ -270,6 +270,7 @@ def oracle_sql() -> dict[str, str]:
         "breadth_expected": _stats_sql(with_expected, expected),
         "read_plain": _sql("ingest", COLUMNS, "alignments"),
         "read_gzip": _sql("ingest", COLUMNS, "alignments"),
+        "read_block_gzip": _sql("ingest", COLUMNS, "alignments"),
         "read_wide": _sql("ingest", f"{COLUMNS}, cigar, qaln, taln", "(SELECT *, alnLength || 'M' AS cigar, 'AC\"GT' AS qaln, '' || slen AS taln FROM alignments)"),
         "dedup_from_files": _sql("dedup", COLUMNS),
         "read_mapping_tab": MAPPING_SQL,

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from ..operators.filters import apply_filters, on_references, parse_filters
 from ..operators.ingest import analytic_columns, drop_duplicates, retain_by_evalue, threshold_filter, union_alignments
 from ..operators.resolve import initial_weights, resolve, step
 from ..schema import ALIGNMENT, ORDINAL
-from ..sources import output_names, read_alignments, read_mapping, write_tsv
+from ..sources import blocks, output_names, read_alignments, read_mapping, write_tsv
 from ..storage import Workspace
 from . import adapter, pipeline
 from .oracle import DOUBLES
@@ -91,6 +94,27 @@ def _read_back(alignments: DataFrame, codec: str) -> DataFrame:
     return read_alignments(alignments.sparkSession, _tsv(alignments, codec)).drop(ORDINAL)
 
 
+def _write_block_gzip(alignments: DataFrame) -> str:
+    """Headerless files of block gzip in the shared folder, one for each partition; their folder."""
+    folder = f"{Workspace(alignments.sparkSession, 'files').root}/input"
+
+    def write(batches):
+        system, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+        task = TaskContext.get()
+        name = f"part-{task.partitionId():05d}.m8.gz"
+        system.create_dir(path)
+        part = f"{path}/_{name}.{task.taskAttemptId()}"  # an attempt writes a file of its own, and the name is given at the end
+        with system.open_output_stream(part, compression=None) as out:
+            for packed in blocks.members(("\n".join(b.column(0).to_pylist()) + "\n").encode() for b in batches if b.num_rows):
+                out.write(packed)
+        system.move(part, f"{path}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    text = alignments.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in alignments.columns]))
+    text.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
 def _first_in_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In order of reads, so that the first of equal alignments is the one of the least read."""
     path = _tsv(threshold_filter(adapter.alignments(spark, sf_dir)).orderBy("queryId"), "gzip")
@@ -159,6 +183,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "read_plain": lambda s, d: _read_back(adapter.alignments(s, d), "none"),
         "read_gzip": lambda s, d: _read_back(adapter.alignments(s, d), "gzip"),
+        "read_block_gzip": lambda s, d: read_alignments(s, _write_block_gzip(adapter.alignments(s, d))).drop(ORDINAL),
         "read_wide": lambda s, d: _read_back(_wide(adapter.alignments(s, d)), "gzip"),
         "dedup_from_files": _first_in_file,
         "read_mapping_tab": lambda s, d: _mapping_back(s, d, "\t"),

@@ -1,6 +1,6 @@
 """Reading alignment and mapping files.
 
-Paths go to Spark's readers only, so any store that Spark reads will do.
+Paths go to Spark's readers, so any store that Spark reads will do; only block gzip is read in another way where it can be.
 """
 
 from __future__ import annotations
@@ -9,15 +9,19 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import BY_ARITY, MAPPING, ORDINAL
+from . import blocks
 
 # The first bytes of compressed files.
 MAGIC = {"gz": b"\x1f\x8b\x08", "bz2": b"BZh", "zip": b"PK\x03\x04"}
 #: Delimiters that a mapping may have.
 DELIMITERS = "\t,;| "
-#: Bytes of packed input for one partition.
-PACKED_PARTITION = 32_000_000
+#: Bytes of packed input for one partition, and the least of block gzip.
+PACKED_PARTITION, LEAST_PARTITION = 32_000_000, 1_000_000
+#: How alignment files are parsed.
+TSV_OPTIONS = {"sep": "\t", "mode": "FAILFAST", "quote": ""}
 #: A row's ordinal has its place in the file in so many bits, and above these the file's rank by name.
 PLACE_BITS = 43
 
@@ -64,8 +68,8 @@ def arity(spark: SparkSession, path: str) -> int:
 def read_alignments(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """A headerless TSV (plain or .gz) of 14 or 17 columns, with each row's place in ``ordinal``.
 
-    Malformed rows are errors.  A .gz file is read by one task, which deals its rows out to ``partitions``
-    others; by default to as many as its size asks for, and to all cores at least.
+    Malformed rows are errors.  Files of block gzip are read by ranges.  Any other .gz file is read by one task, which deals its
+    rows out to ``partitions`` others; by default to as many as its size asks for, and to all cores at least.
     The ordinal is a number, by file name, then by position in the file, so it does not depend on the order
     in which tasks run.  Up to a million files of up to 8 TB have room in it.  Empty input, and inputs of another arity, are errors.
     """
@@ -77,8 +81,11 @@ def read_alignments(spark: SparkSession, path: str, partitions: int | None = Non
     n = arity(spark, path)
     if n not in BY_ARITY:
         raise ValueError(f"{path}: expected {' or '.join(map(str, BY_ARITY))} columns, found {n}")
-    rows = spark.read.schema(BY_ARITY[n]).option("sep", "\t").option("mode", "FAILFAST").option("quote", "").csv(path)
-    rows = _with_ordinal(rows)
+    if kind == "gz":
+        rows = _by_ranges(spark, path, BY_ARITY[n])
+        if rows is not None:
+            return rows.repartition(partitions) if partitions else rows
+    rows = _with_ordinal(spark.read.schema(BY_ARITY[n]).options(**TSV_OPTIONS).csv(path))
     if kind == "gz" and not partitions:
         sizes = [s.getLen() for s in _statuses(spark, path)]
         wanted = max(spark.sparkContext.defaultParallelism, -(-sum(sizes) // PACKED_PARTITION))
@@ -86,6 +93,17 @@ def read_alignments(spark: SparkSession, path: str, partitions: int | None = Non
     return rows.repartition(partitions) if partitions else rows
 
 
+def _by_ranges(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """Rows of files of block gzip; null if they can't be read so."""
+    files = sorted((re.sub("^file:/+", "file:///", s.getPath().toString()), s.getLen()) for s in _statuses(spark, path) if s.getLen())
+    share = -(-sum(size for _, size in files) // spark.sparkContext.defaultParallelism)
+    lines = blocks.read_lines(spark, files, max(LEAST_PARTITION, min(PACKED_PARTITION, share)))
+    if lines is None:
+        return None
+    columns = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in schema)
+    return lines.select(F.from_csv("value", columns, TSV_OPTIONS).alias("row"), F.col("place").alias(ORDINAL)).select("row.*", ORDINAL)
+
+
 def _with_ordinal(rows: DataFrame) -> DataFrame:
     """Adds each row's place.
 
