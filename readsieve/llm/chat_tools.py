@@ -34,7 +34,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
@@ -52,7 +52,7 @@ VARIANT_TYPES = {
 Schemas = dict[str, dict[str, tuple[str, bool]]]
 KEY = ["conv_id", "call_id"]
 #: Prerequisites of one conversation whose order is found within a row.
-GATHERED = 2000
+GATHERED = 20_000
 #: Digits and places of the numbers that VARIANT holds exactly.
 MOST_DIGITS = 38
 #: How a number that it can't hold is written for the time between: as a string that begins so.
@@ -128,28 +128,37 @@ def exact_numbers(text: Column) -> Column:
 
 
 def _levels_in_rows(inner: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): the calls of a conversation, and what each waits for, meet in one row."""
-    waits = inner.groupBy(*KEY).agg(F.collect_list("before").alias("before"))
-    rows = waits.groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "before")).alias("calls"))
+    """(conv_id, call_id, level): the calls of a conversation, and what each waits for, meet in one row.
+
+    Calls that wait are numbered within their conversation before they meet, so a round looks levels up by number; it costs
+    as much as there are calls, and prerequisites of calls that are still to be freed.
+    """
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("call_id")) - 1
+    numbers = inner.select(*KEY).distinct().select("conv_id", F.col("call_id").alias("before"), number.alias("number"))
+    # one that doesn't wait itself has no number, and holds nothing up
+    waits = inner.join(numbers, ["conv_id", "before"], "left").groupBy(*KEY).agg(F.collect_list("number").alias("before"))
+    rows = waits.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("call_id", "before"))).alias("calls"))
 
     def rounds(before: Column) -> Column:
-        """before: of each call, the places of those it waits for, of calls that wait themselves."""
+        """before: of each call, the numbers of those it waits for."""
 
-        def one(so_far: Column, _: Column) -> Column:
-            level = lambda k: F.get(so_far.level, k)
+        def one(state: Column, _: Column) -> Column:
+            level = lambda k: F.get(state.level, k)
             freed = lambda own: F.when(~F.exists(own, lambda k: level(k).isNull()), F.coalesce(F.array_max(F.transform(own, level)), F.lit(0)) + 1)
             after = F.transform(before, lambda own, i: F.coalesce(level(i), freed(own)))
-            left = F.size(F.filter(so_far.level, lambda x: x.isNull()))
-            return F.when(so_far.left == left, so_far).otherwise(F.struct(after.alias("level"), left.alias("left")))
 
-        start = F.struct(F.transform(before, lambda _: F.lit(None).cast("int")).alias("level"), F.lit(-1).alias("left"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(before)), start, one, lambda x: x.level)
+            def counted(levels: Column) -> Column:
+                left = F.size(F.filter(levels, lambda x: x.isNull()))
+                return let(left, lambda left: F.struct(levels.alias("level"), left.alias("left"), ((left == 0) | (left == state.left)).alias("ended")))
+
+            return F.when(state.ended, state).otherwise(let(after, counted))
 
-    def places(calls: Column, ids: Column) -> Column:
-        return F.transform(calls, lambda c: F.filter(F.transform(c.before, lambda b: (F.array_position(ids, b) - 1).cast("int")), lambda k: k >= 0))
+        nothing = F.transform(before, lambda _: F.lit(None).cast("int"))
+        start = F.struct(nothing.alias("level"), F.size(before).alias("left"), F.lit(False).alias("ended"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(before)), start, one, lambda state: state.level)
 
-    level = let(let(F.transform("calls", lambda c: c.call_id), lambda ids: places(F.col("calls"), ids)), rounds)
-    both = F.arrays_zip(F.transform("calls", lambda c: c.call_id).alias("call_id"), level.alias("level"))
+    level = let(F.col("calls.before"), rounds)
+    both = F.arrays_zip(F.col("calls.call_id").alias("call_id"), level.alias("level"))
     return rows.select("conv_id", F.inline(both).alias("call_id", "level"))
 
 

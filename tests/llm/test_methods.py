@@ -323,6 +323,19 @@ def test_levels(spark, monkeypatch, gathered):
     assert all((r["status"] == "cycle") == (r["level"] is None) for r in out)
 
 
+def test_level_ladder(spark):
+    """Each call waits for the two before: as many rounds as calls."""
+    n = 1010
+    df = spark.createDataFrame([(1, f"c{i:04d}", 1, "x", "{}", [f"c{k:04d}" for k in (i - 1, i - 2) if k >= 0]) for i in range(n)], "conv_id long, call_id string, turn long, name string, arguments string, after array<string>")
+    assert 2 * n - 3 < chat_tools.GATHERED  # within its row
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    began = time.monotonic()
+    out = chat_tools.link(df, results, {"x": {}}).collect()
+    assert sorted((r["call_id"], r["level"]) for r in out) == [(f"c{i:04d}", i) for i in range(n)]
+    assert time.monotonic() - began < 60
+
+
+
 @pytest.mark.parametrize("gathered", [2000, 5])
 def test_long_chain_of_calls(spark, monkeypatch, gathered):
     monkeypatch.setattr(chat_tools, "GATHERED", gathered)
