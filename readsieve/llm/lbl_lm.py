@@ -30,8 +30,11 @@ What is still merged: an embedding of a word's own meets the class of its neighb
 itself, if that has no class of its own; two and three places back only groups of classes count; an
 unseen word has its class's.
 
-Parameters of the ``HEAD_WORDS`` most frequent words are broadcast.  Those of all others are never
-stored: the occurrences of a word are gathered, and its embeddings fitted where they are used.
+Parameters of the ``HEAD_WORDS`` most frequent words are broadcast.  Of all others the occurrences of
+a word are gathered, and its embeddings fitted where they are used, if there are at most ``GATHERED``
+(of learned texts, and of others).  Words with more are fitted from counts of the classes beside
+them, at most 2 x ``CLASSES`` a word, and the parameters joined to their occurrences, so that no row or
+task has all of these.  Words of over ``LONGEST_WORD`` bytes go by a 128-bit digest.
 
 Edge cases: null and empty texts consist of the end token; without training documents every count
 is 0 and classes are equally likely; repeated rows are scored each on its own; a null doc_id is
@@ -41,6 +44,7 @@ whole; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -57,7 +61,10 @@ from .common import LONG_ROWS, crc_mod, id_and_text, map_arrow, text_bytes
 
 #: Words whose counts are broadcast.
 HEAD_WORDS = 100_000
-LONGEST_HEAD = 100
+#: Bytes of a word that stands for itself.
+LONGEST_WORD = 100
+#: Occurrences of a word beyond the head that are gathered, of learned texts and of others.
+GATHERED = 20_000
 OWN_CLASSES, SUFFIX_CLASSES = 383, 128
 CLASSES = 1 + OWN_CLASSES + SUFFIX_CLASSES  # class 0: the end token
 DIMENSION, NOISE, STEPS, RATE = 32, 10, 150, 0.05
@@ -83,6 +90,11 @@ def tokens(data: bytes | None) -> list[bytes]:
     return data.lower().split() if data else []
 
 
+def stand_in(word: bytes) -> bytes:
+    """A long word's digest, after a space, which no word holds, and before the word's last two bytes, which tell its class."""
+    return b" " + hashlib.blake2b(word, digest_size=16).digest() + word[-2:] if len(word) > LONGEST_WORD else word
+
+
 def suffix_class(word: bytes) -> int:
     return 1 + OWN_CLASSES + zlib.crc32(word[-2:]) % SUFFIX_CLASSES
 
@@ -91,7 +103,7 @@ def _count_words(batches):
     found: Counter = Counter()
 
     def rows():
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(map(stand_in, found)), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
     held = 0
     for batch in batches:
@@ -156,6 +168,11 @@ class Encoded:
         self.at = np.fromiter(map(voc.words.get, words, repeat(-1)), np.int64, len(words))
         missing = self.at < 0
         missing[self.ends] = False
+        for i in np.flatnonzero(missing).tolist():
+            if len(words[i]) > LONGEST_WORD:
+                words[i] = stand_in(words[i])
+                self.at[i] = voc.words.get(words[i], -1)
+                missing[i] = self.at[i] < 0
         self.missing = np.flatnonzero(missing)
         self.rest = [words[i] for i in self.missing.tolist()]
         self.kind = voc.classes[self.at] if len(voc.classes) else np.zeros(len(words), np.int64)
@@ -187,8 +204,8 @@ def _suffix_column():
     return F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(SUFFIX_CLASSES))
 
 
-def learn_vocabulary(counts: DataFrame) -> Vocabulary:
-    """counts: word, c, of all training tokens."""
+def learn_vocabulary(counts: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """counts: word, c, of all training tokens. Gives the counts of words beyond the head as well."""
     bin_of = F.floor(F.log2("c") * BINS_PER_DOUBLING)
     bins = counts.groupBy(bin_of.alias("bin"), _suffix_column().alias("suffix"), (F.col("word") == F.lit(END)).alias("end"))
     bins = bins.agg(F.count("*").alias("words"), F.sum("c").alias("n")).collect()  # at most 64 x 8 x SUFFIX_CLASSES rows
@@ -198,15 +215,15 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
         if words > HEAD_WORDS:
             break
         least = b
-    short = F.length("word") <= LONGEST_HEAD  # longer ones are looked up by the join
-    head = counts.where((bin_of >= least) & short | (F.col("word") == F.lit(END))).select("word", "c").toArrow() if bins else None
+    in_head = (bin_of >= least) | (F.col("word") == F.lit(END))
+    head = counts.where(in_head).select("word", "c").toArrow() if bins else None
     pairs = [] if head is None else sorted(zip(map(bytes, head.column("word").to_pylist()), head.column("c").to_pylist()), key=lambda x: (-x[1], x[0]))
     by_suffix: dict[int, tuple[int, int]] = {}
     for r in bins:
         if not r["end"]:
             n, k = by_suffix.get(r["suffix"], (0, 0))
             by_suffix[r["suffix"]] = (n + r["n"], k + r["words"])
-    return Vocabulary(pairs, sum(r["n"] for r in bins), sum(r["words"] for r in bins), by_suffix)
+    return Vocabulary(pairs, sum(r["n"] for r in bins), sum(r["words"] for r in bins), by_suffix), counts.where(~in_head)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -364,6 +381,12 @@ class Model:
             log_z[some] = np.log((self.after.reference[kind[some]] * np.exp(score - top)) @ self.lifted) + top
         return own, log_z
 
+    def added(self, own_in: np.ndarray, own_out: np.ndarray, log_z: np.ndarray, around: np.ndarray) -> np.ndarray:
+        """What their own embeddings add to ln P of words and of those after them. log_z: less the class's; all by occurrence."""
+        near, dot = around % CLASSES**2, lambda a, b: np.einsum("ij,ij->i", a, b)
+        step = dot(own_out, self.before.features[near // CLASSES]).astype(np.float64)
+        return step + dot(own_in, self.after.features[near % CLASSES]) - log_z
+
     def add_outputs(self, z: np.ndarray, own: np.ndarray, kind: np.ndarray, c: np.ndarray) -> None:
         """Adds the words to Z(k, j); z has a row for each shared class."""
         order = np.argsort(kind, kind="stable")
@@ -501,6 +524,50 @@ def _rest_normaliser(model):
     return add
 
 
+#: A frequent word beyond the head: how often it was learned, and what _FITTED says of it.
+OFTEN = "word binary, c long, own_in binary, own_out binary, log_z binary, z binary"
+
+
+def _most_frequent(words: DataFrame) -> DataFrame:
+    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > GATHERED).select("word")
+
+
+def _beside(occurrences: DataFrame, often: DataFrame) -> DataFrame:
+    """(word, near): of each frequent word the classes before it, those after it from CLASSES on, and their counts."""
+    near = F.pmod("around", F.lit(CLASSES**2))
+    side = F.explode(F.array((near / CLASSES).cast("int"), F.lit(CLASSES) + F.pmod(near, F.lit(CLASSES))))
+    counts = occurrences.join(often, "word").select("word", side.alias("side")).groupBy("word", "side").agg(F.count("*").alias("n"))
+    return counts.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("side", "n"))).alias("near"))
+
+
+def _often_fitter(model):
+    """Rows word, near (list of side, n): embeddings of frequent words beyond the head, and their part of Z."""
+
+    def fit(batches):
+        m = model.value
+        z = np.zeros((SUFFIX_CLASSES, CLASSES))
+        names = [x.split()[0] for x in OFTEN.split(", ")]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, flat = _lists(batch.column("near"))
+            side, n = flat.field("side").to_numpy(), flat.field("n").to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.append(starts, len(side))))
+            sides = []
+            for which in (side < CLASSES, side >= CLASSES):
+                sides.append((np.searchsorted(owner[which], np.arange(batch.num_rows)), side[which] % CLASSES, n[which]))
+            kind = np.fromiter(map(suffix_class, batch.column("word").to_pylist()), np.int64, batch.num_rows)
+            c = np.add.reduceat(sides[0][2], sides[0][0])
+            out = m.before.fit(kind, *sides[0])
+            own, log_z = m.inputs(kind, *sides[1])
+            m.add_outputs(z, out, kind, c)
+            rows = [pa.array([x.tobytes() for x in part], pa.binary()) for part in (own, out, log_z - m.class_z[kind])]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c, pa.int64()), *rows, pa.nulls(len(c), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.binary(), pa.int64(), *[pa.binary()] * 3)), pa.array([z.tobytes()], pa.binary())], names=names)
+
+    return fit
+
+
 def _add_z(batches):
     z = np.zeros((SUFFIX_CLASSES, CLASSES))
     for batch in batches:
@@ -537,7 +604,7 @@ def _rest_scorer(model):
         for batch in batches:
             starts, flat = _lists(batch.column("seen"))
             row, around = flat.field("row").to_numpy(), flat.field("around").to_numpy()
-            groups, around = around // CLASSES**2, around % CLASSES**2
+            groups = around // CLASSES**2
             learned = ~flat.field("held_out").to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(np.append(starts, len(row))))
             c = np.bincount(owner[learned], minlength=batch.num_rows)
@@ -547,15 +614,33 @@ def _rest_scorer(model):
             place = np.cumsum(c > 0) - 1
             kind = np.array([suffix_class(w) for w, n in zip(batch.column("word").to_pylist(), c) if n], dtype=np.int64)
             first = np.concatenate([[0], np.cumsum(c[met])[:-1]])
-            near, one = around[learned], np.ones(int(c.sum()))
+            near, one = around[learned] % CLASSES**2, np.ones(int(c.sum()))
             out = m.before.fit(kind, first, near // CLASSES, one)
             own, log_z = m.inputs(kind, first, near % CLASSES, one)
             known = c[owner] > 0
             row, around, groups, owner = row[known], around[known], groups[known], owner[known]
-            logs, p = np.log10(c[owner] + 1), place[owner]
-            step = np.einsum("ij,ij->i", out[p], m.before.features[around // CLASSES]).astype(np.float64)
-            step += np.einsum("ij,ij->i", own[p], m.after.features[around % CLASSES]) - (log_z - m.class_z[kind])[p, groups]
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.ones(len(row), np.int64)), pa.array(logs), pa.array(logs + step / math.log(10))], names=[x.split()[0] for x in CONTRIBUTED.split(", ")])
+            p = place[owner]
+            yield _contributed(row, c[owner], m.added(own[p], out[p], (log_z - m.class_z[kind])[p, groups], around))
+
+    return score
+
+
+def _contributed(row: np.ndarray, c: np.ndarray, step: np.ndarray) -> pa.RecordBatch:
+    logs = np.log10(c + 1)
+    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.ones(len(row), np.int64)), pa.array(logs), pa.array(logs + step / math.log(10))], names=[x.split()[0] for x in CONTRIBUTED.split(", ")])
+
+
+def _often_scorer(model):
+    """Rows row, around, c, own_in, own_out, log_z: occurrences of frequent words beyond the head with these words' parameters."""
+
+    def score(batches):
+        m = model.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, out, log_z = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.float32).reshape(batch.num_rows, -1) for k in ("own_in", "own_out", "log_z"))
+            around = batch.column("around").to_numpy()
+            yield _contributed(batch.column("row").to_numpy(), batch.column("c").to_numpy(), m.added(own, out, log_z[np.arange(len(around)), around // CLASSES**2], around))
 
     return score
 
@@ -614,9 +699,15 @@ class Trained(NamedTuple):
 
 def learn(texts: DataFrame, work: Workspace) -> Trained:
     """The model of a table with a column ``text``."""
+    return _learn(texts, work)[0]
+
+
+def _learn(texts: DataFrame, work: Workspace) -> tuple[Trained, DataFrame]:
+    """The model, and the saved table of words beyond the head that were learned more than ``GATHERED`` times."""
     spark = texts.sparkSession
     counts = work.save(map_arrow(texts, _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
-    voc = learn_vocabulary(counts)
+    voc, beyond = learn_vocabulary(counts)
+    often = work.save(beyond.where(F.col("c") > GATHERED).select("word"))
     vocabulary = spark.sparkContext.broadcast(voc)
     seen = work.save(map_arrow(texts, _context_counter(vocabulary), SEEN))
     work.drop(counts)
@@ -628,9 +719,13 @@ def learn(texts: DataFrame, work: Workspace) -> Trained:
 
     near = seen.where("i is not null").groupBy("i").agg(F.collect_list(F.struct("side", "times")).alias("near"))
     fitted = work.save(map_arrow(near, _head_fitter(vocabulary, sent), FITTED))
-    others = seen.where("word is not null").groupBy("word").agg(F.collect_list("around").alias("around"))
-    rest = work.save(map_arrow(others, _rest_normaliser(sent), FITTED))
-    parts = rest.unionByName(fitted).where("z is not null").select("z")
+    others = seen.where("word is not null").select("word", "around")
+    parts = fitted.select("z")
+    if not often.isEmpty():
+        parts = parts.union(map_arrow(_beside(others, often), _often_fitter(sent), OFTEN).select("z"))
+        others = others.join(often, "word", "left_anti")
+    rest = work.save(map_arrow(others.groupBy("word").agg(F.collect_list("around").alias("around")), _rest_normaliser(sent), FITTED))
+    parts = rest.select("z").union(parts).where("z is not null")
     z = np.zeros((SUFFIX_CLASSES, CLASSES))
     for r in map_arrow(parts.repartition(8), _add_z, FITTED).select("z").collect():  # however many tasks there were
         z += np.frombuffer(r["z"]).reshape(z.shape)
@@ -639,7 +734,7 @@ def learn(texts: DataFrame, work: Workspace) -> Trained:
         work.drop(table)
     for broadcast in (vocabulary, sent):
         broadcast.destroy()
-    return Trained(voc, model, own)
+    return Trained(voc, model, own), often
 
 
 def score_texts(docs: DataFrame, folds: int = 7, left_out: int = 2, work: Workspace | None = None) -> DataFrame:
@@ -653,14 +748,22 @@ def score_texts(docs: DataFrame, folds: int = 7, left_out: int = 2, work: Worksp
     held_out = F.coalesce(crc_mod("doc_id", folds) == left_out, F.lit(True))
     rows = id_and_text(docs, held_out.alias("held_out"))
     learned = rows.where(~F.col("held_out")).select("text")
-    trained = learn(learned, work)
+    trained, often = _learn(learned, work)
     voc = trained.vocabulary
     vocabulary, model, own = (spark.sparkContext.broadcast(x) for x in trained)
 
     head = work.save(map_arrow(rows, _scorer(vocabulary, model, own), HEAD).withColumn("row", F.monotonically_increasing_id()))
-    each = head.select("row", "held_out", F.explode(F.arrays_zip("rest", "around")).alias("x")).groupBy(F.col("x.rest").alias("word"))
-    each = each.agg(F.collect_list(F.struct("row", F.col("x.around").alias("around"), "held_out")).alias("seen"))
-    rest = work.save(map_arrow(each, _rest_scorer(model), CONTRIBUTED).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("rest_known", "rest_logs", "rest_score"))))
+    found = head.select("row", "held_out", F.explode(F.arrays_zip("rest", "around")).alias("x")).select("row", "held_out", F.col("x.rest").alias("word"), F.col("x.around").alias("around"))
+    often = work.save(often.union(_most_frequent(found.where("held_out"))).distinct())
+    few, more = found, None
+    if not often.isEmpty():
+        fitted = work.save(map_arrow(_beside(found.where(~F.col("held_out")), often), _often_fitter(model), OFTEN)).where("word is not null").drop("z")
+        more = map_arrow(found.drop("held_out").join(fitted, "word").drop("word"), _often_scorer(model), CONTRIBUTED)
+        few = found.join(often, "word", "left_anti")
+    each = few.groupBy("word").agg(F.collect_list(F.struct("row", "around", "held_out")).alias("seen"))
+    rest = map_arrow(each, _rest_scorer(model), CONTRIBUTED)
+    rest = rest if more is None else rest.union(more)
+    rest = work.save(rest.groupBy("row").agg(*(F.sum(x).alias(x) for x in ("rest_known", "rest_logs", "rest_score"))))
     c, zero = F.col, lambda x: F.coalesce(F.col(x), F.lit(0))
     return head.drop("rest", "around").join(rest, "row", "left").select(
         "doc_id",

@@ -223,6 +223,41 @@ def test_lm_places_far_back_count(spark):
     assert score["red and wine"] > score["red and sea"] + 0.3 and score["blue so so sea"] > score["blue so so wine"] + 0.3
 
 
+def test_lm_frequent_words_beyond_the_head(spark, monkeypatch):
+    """Fitted from sums, they score as from their gathered occurrences; some never occur in what is learned."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"v{i}x{i % 9}" + "-" * (150 if i % 50 == 9 else 0) for i in range(700)]
+    texts = [" ".join(rng.choice(vocabulary, int(rng.integers(0, 60)), p=(p := 1 / np.arange(30, 730)) / p.sum())) for _ in range(400)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)] + [(None, "only here " * 40 + texts[0], None, None, None)] * 2
+    df = frame(spark, rows)
+    monkeypatch.setattr(lbl_lm, "HEAD_WORDS", lbl_lm.OWN_CLASSES + 60)
+    found = []
+    for gathered in (20_000, 6):
+        monkeypatch.setattr(lbl_lm, "GATHERED", gathered)
+        work = Workspace(spark, "test")
+        _, often = lbl_lm._learn(df.where("crc32(cast(doc_id as string)) % 7 <> 2").select("text"), work)
+        assert (often.count() >= 30) == (gathered < 20_000)
+        widest = lbl_lm._beside(spark.createDataFrame([("w", i % 9) for i in range(5000)], "word string, around int"), spark.createDataFrame([("w",)], "word string"))
+        assert len(widest.first()["near"]) == 10  # one entry for each class and side, however many occurrences
+        found.append(sorted((r["doc_id"] is None, r["doc_id"], r["n_known"], r["base_score"], r["score"]) for r in lbl_lm.score_texts(df).collect()))
+    for other in found[1:]:
+        assert [r[:3] for r in found[0]] == [r[:3] for r in other]
+        assert np.allclose([r[3:] for r in found[0]], [r[3:] for r in other], rtol=1e-5, atol=1e-3)
+
+
+def test_lm_long_words(spark):
+    """A long word is known as any other, in the head if it is frequent, and by its last bytes' class."""
+    line, other = b"-" * 120, b"-" * 119 + b"="
+    assert lbl_lm.stand_in(line) != lbl_lm.stand_in(b"-" * 121) and lbl_lm.stand_in(b"-" * 100) == b"-" * 100
+    assert all(lbl_lm.suffix_class(w) == lbl_lm.suffix_class(lbl_lm.stand_in(w)) for w in (line, other))
+    df = frame(spark, [(i, f"a {line.decode()} b {line.decode() if i % 2 else other.decode()}", None, None, None) for i in range(200)])
+    voc = lbl_lm.learn(df.select("text"), Workspace(spark, "test")).vocabulary
+    assert dict(zip(voc.words, voc.counts)) == {b"a": 200, b"b": 200, lbl_lm.stand_in(line): 300, lbl_lm.stand_in(other): 100}
+    x = next(voc.encode([line + b" " + other + b" " + b"?" * 200]))
+    assert x.at[:2].tolist() == [voc.words[lbl_lm.stand_in(w)] for w in (line, other)] and x.rest == [lbl_lm.stand_in(b"?" * 200)]
+    assert {r["n_known"] for r in lbl_lm.score_texts(df).collect()} == {5}
+
+
 def test_lm_equals_slow_evaluation(spark):
     """Scores are the probabilities of the definition, summed word by word, and those of all words add up to 1."""
     rng = np.random.default_rng(5)
