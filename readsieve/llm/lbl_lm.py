@@ -44,6 +44,7 @@ whole; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import zlib
@@ -95,15 +96,20 @@ def stand_in(word: bytes) -> bytes:
     return b" " + hashlib.blake2b(word, digest_size=16).digest() + word[-2:] if len(word) > LONGEST_WORD else word
 
 
+@functools.cache  # of two bytes at most
+def _suffix(end: bytes) -> int:
+    return zlib.crc32(end) % SUFFIX_CLASSES
+
+
 def suffix_class(word: bytes) -> int:
-    return 1 + OWN_CLASSES + zlib.crc32(word[-2:]) % SUFFIX_CLASSES
+    return 1 + OWN_CLASSES + _suffix(word[-2:])
 
 
 def _count_words(batches):
     found: Counter = Counter()
 
     def rows():
-        return pa.RecordBatch.from_arrays([pa.array(list(map(stand_in, found)), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([w if len(w) <= LONGEST_WORD else stand_in(w) for w in found], pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
     held = 0
     for batch in batches:
@@ -168,16 +174,16 @@ class Encoded:
         self.at = np.fromiter(map(voc.words.get, words, repeat(-1)), np.int64, len(words))
         missing = self.at < 0
         missing[self.ends] = False
-        for i in np.flatnonzero(missing).tolist():
-            if len(words[i]) > LONGEST_WORD:
-                words[i] = stand_in(words[i])
-                self.at[i] = voc.words.get(words[i], -1)
-                missing[i] = self.at[i] < 0
         self.missing = np.flatnonzero(missing)
         self.rest = [words[i] for i in self.missing.tolist()]
+        if max(map(len, self.rest), default=0) > LONGEST_WORD:
+            self.rest = list(map(stand_in, self.rest))
+            self.at[self.missing] = found = np.array([voc.words.get(w, -1) for w in self.rest])
+            self.rest = [w for w, i in zip(self.rest, found.tolist()) if i < 0]
+            self.missing = self.missing[found < 0]
         self.kind = voc.classes[self.at] if len(voc.classes) else np.zeros(len(words), np.int64)
         self.kind[self.ends] = 0
-        self.kind[self.missing] = [suffix_class(w) for w in self.rest]
+        self.kind[self.missing] = np.fromiter((_suffix(w[-2:]) for w in self.rest), np.int64, len(self.rest)) + 1 + OWN_CLASSES
         self.place = np.arange(len(words)) - np.repeat(self.starts, sizes)
 
     def before(self, places: int) -> np.ndarray:
@@ -412,12 +418,7 @@ def _context_counter(vocabulary):
     def count(batches):
         voc = vocabulary.value
         found = np.zeros((3, CLASSES * CLASSES), dtype=np.int64)
-        keys, counts, held = [], [], 0
-
-        def merged():
-            k, which = np.unique(np.concatenate(keys), return_inverse=True)
-            return [k], [np.bincount(which, np.concatenate(counts)).astype(np.int64)]
-
+        known, times, fresh, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
         for batch in batches:
             for x in voc.encode(text_bytes(batch.column("text"))):
                 for places in range(3):
@@ -425,19 +426,17 @@ def _context_counter(vocabulary):
                 before, after = x.before(1), x.after()
                 shared = np.flatnonzero(x.at >= OWN_CLASSES)
                 base = x.at[shared] * 2 * CLASSES
-                keys += [base + before[shared], base + CLASSES + after[shared]]
-                counts += [np.ones(len(base), np.int64)] * 2
+                fresh += [base + before[shared], base + CLASSES + after[shared]]
                 held += 2 * len(base)
                 if held > NEIGHBOURS_TOGETHER:
-                    keys, counts = merged()
-                    if len(keys[0]) > NEIGHBOURS_TOGETHER // 2:
-                        yield from _head_rows(keys[0], counts[0])
-                        keys, counts = [], []
-                    held = sum(map(len, keys))
+                    known, times = _with_more(known, times, fresh)
+                    if len(known) > NEIGHBOURS_TOGETHER // 2:
+                        yield from _head_rows(known, times)
+                        known, times = known[:0], times[:0]
+                    fresh, held = [], len(known)
                 if x.rest:
                     yield _seen(len(x.rest), word=x.rest, around=before[x.missing] * CLASSES + after[x.missing])
-        if keys:
-            yield from _head_rows(*(x[0] for x in merged()))
+        yield from _head_rows(*_with_more(known, times, fresh))
         found = found.ravel()
         at = np.flatnonzero(found)
         for i in range(0, len(at), 100_000):
@@ -447,6 +446,15 @@ def _context_counter(vocabulary):
     return count
 
 
+def _with_more(known: np.ndarray, times: np.ndarray, fresh: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each has been met: ``times`` if known before, and once for each fresh one."""
+    if not fresh:
+        return known, times
+    keys, n = np.unique(np.concatenate(fresh), return_counts=True)
+    keys, which = np.unique(np.concatenate([known, keys]), return_inverse=True)
+    return keys, np.bincount(which, np.concatenate([times, n])).astype(np.int64)
+
+
 def _head_rows(keys: np.ndarray, n: np.ndarray):
     """keys: in order. One row for each word of the head."""
     if not len(keys):
@@ -754,7 +762,7 @@ def score_texts(docs: DataFrame, folds: int = 7, left_out: int = 2, work: Worksp
 
     head = work.save(map_arrow(rows, _scorer(vocabulary, model, own), HEAD).withColumn("row", F.monotonically_increasing_id()))
     found = head.select("row", "held_out", F.explode(F.arrays_zip("rest", "around")).alias("x")).select("row", "held_out", F.col("x.rest").alias("word"), F.col("x.around").alias("around"))
-    often = work.save(often.union(_most_frequent(found.where("held_out"))).distinct())
+    often = work.save(often.union(_most_frequent(head.where("held_out").select(F.explode("rest").alias("word")))).distinct())
     few, more = found, None
     if not often.isEmpty():
         fitted = work.save(map_arrow(_beside(found.where(~F.col("held_out")), often), _often_fitter(model), OFTEN)).where("word is not null").drop("z")
