@@ -311,9 +311,16 @@ class Side:
     def steps(self, own: np.ndarray, observed: np.ndarray, noise: np.ndarray, bend: np.ndarray, n: int) -> np.ndarray:
         """n accelerated steps; rows of observed and of noise: counts of neighbours' classes."""
         u = ahead = own
+        both = observed + noise
         for step in range(1, n):
-            real = _logistic(ahead @ self.features.T - math.log(NOISE))
-            new = ahead + ((observed * (1 - real) - noise * real) @ self.features - PRIOR * ahead) / bend
+            x = ahead @ self.features.T
+            np.subtract(math.log(NOISE), x, out=x)
+            np.clip(x, -60, 60, out=x)
+            np.exp(x, out=x)
+            x += 1
+            np.divide(both, x, out=x)  # times the probability that a pair is data, not noise
+            np.subtract(observed, x, out=x)
+            new = ahead + (x @ self.features - PRIOR * ahead) / bend
             ahead = new + (step - 1) / (step + 2) * (new - u)
             u = new
         return u
