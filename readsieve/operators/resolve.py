@@ -46,11 +46,17 @@ def initial_weights(alignments: DataFrame) -> DataFrame:
 
 
 def step(live: DataFrame, scale: float = SCALE) -> DataFrame:
-    """One iteration over rows with p, n: new p, and n, the read's alignments before it; rows that go are left out."""
+    """One iteration over rows with p, n: new p, and n, the read's alignments before it; rows that go are left out.
+
+    Normalised weights are compared, as the method says: where one is exactly ``scale`` times the best (equal shares, lengths
+    as 9 to 10), rounding decides, and it falls otherwise for weights that are not normalised.
+    """
     raised = live.withColumn("x", F.try_divide(F.col("p") * F.col("p"), F.col("slen")))
     per_read = raised.groupBy("queryId").agg(F.sum("x").alias("sum_x"), F.max("x").alias("max_x"), F.count("*").alias("live"))
     rows = raised.join(per_read, "queryId").withColumn("p", F.try_divide("x", "sum_x"))
-    kept = (F.col("live") == 1) | (F.col("x") >= F.col("max_x") * scale) & (F.col("max_x") > 0)
+    # dividing keeps the order, so this is the greatest of the new p
+    best = F.try_divide("max_x", "sum_x")
+    kept = (F.col("live") == 1) | (F.col("p") >= best * scale) & (F.col("max_x") > 0)
     return rows.where(kept).select(*live.columns)
 
 

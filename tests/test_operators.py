@@ -1,6 +1,7 @@
 import math
 import random
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from readsieve.operators import coverage, groups, membership, resolve, stats
 from readsieve.operators.filters import FILTERS, apply_filters, parse_filters, validate_filters
 from readsieve.operators.ingest import drop_duplicates, threshold_filter
-from readsieve.plans import pipeline
+from readsieve.plans import oracle, pipeline
 from readsieve.storage import Workspace
 from readsieve.schema import ALIGNMENT
 
@@ -299,3 +300,18 @@ def test_groups(spark):
 def test_read_multiplicity(spark):
     df = rows(spark, {"queryId": "a"}, {"queryId": "a"}, {"queryId": "b"})
     assert tuple(stats.read_multiplicity(df).first()) == (2, 1, 1, 3)
+
+
+def test_a_weight_of_just_the_threshold(spark):
+    """Lengths as 9 to 10: rounding decides, so the step must do the SQL's arithmetic."""
+    pairs = [(share, length) for share in (1.0, 1 / 2, 1 / 3, 2 / 3, 3 / 4) for length in range(180, 541, 90)]
+    given = [{"queryId": f"q{i}", "subjectId": f"s{i}-{slen}", "slen": slen} for i, (_, n) in enumerate(pairs) for slen in (n, n // 9 * 10)]
+    shares = spark.createDataFrame([(f"q{i}", share) for i, (share, _) in enumerate(pairs)], "queryId string, p double")
+    before = rows(spark, *given).join(shares, "queryId").select(*ALIGNMENT.names, "p")
+    con = duckdb.connect()
+    i_0 = before.toArrow()  # noqa: F841
+    con.sql("CREATE TABLE i_0 AS SELECT * FROM i_0")
+    steps = oracle.Steps()
+    steps.iteration(1)
+    want = con.sql(steps.select("SELECT queryId, subjectId, p FROM i_1")).fetchall()
+    assert sorted(map(tuple, resolve.step(before).select("queryId", "subjectId", "p").collect())) == sorted(want)
