@@ -57,8 +57,9 @@ def _narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    unique = Workspace(spark, "query").save(_unique(spark, sf_dir))
-    return unique, apply_filters(stats.reference_stats(unique), FILTERS)
+    work = Workspace(spark, "query")
+    unique = work.save(_unique(spark, sf_dir))
+    return unique, work.save(apply_filters(stats.reference_stats(unique, work=work), FILTERS))
 
 
 def _surviving(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -315,3 +315,20 @@ def test_a_weight_of_just_the_threshold(spark):
     steps.iteration(1)
     want = con.sql(steps.select("SELECT queryId, subjectId, p FROM i_1")).fetchall()
     assert sorted(map(tuple, resolve.step(before).select("queryId", "subjectId", "p").collect())) == sorted(want)
+
+
+def test_the_sweep_is_in_parts_that_follow_the_rows(spark, monkeypatch):
+    """A task's share of the sweep stays as it is when there are more alignments; what is beyond a reference or missing counts at its end."""
+    rng = random.Random(5)
+    place = lambda: rng.choice([None, rng.randrange(1, 140)])
+    data = [{"queryId": f"q{i}", "subjectId": f"s{i % 40}", "subjectStart": place(), "subjectEnd": place(), "slen": rng.choice([None, 90, 100])} for i in range(400)]
+    df = rows(spark, *data, {"subjectId": None}, {"subjectId": "unknown", "slen": None, "subjectEnd": None})
+    own = stats.alignment_stats(df)
+    key = lambda x: sorted(map(repr, x.collect()))
+    whole = key(coverage.segments(df, own)), key(stats.reference_stats(df, False))
+    monkeypatch.setattr(coverage, "TASK_ROWS", 10)
+    parts = coverage.segments(df, own)
+    assert (key(parts), key(stats.reference_stats(df, False))) == whole
+    assert parts.rdd.getNumPartitions() == 41
+    monkeypatch.setattr(coverage, "BLOCK", 7)
+    assert (key(coverage.segments(df, own)), key(stats.reference_stats(df, False))) == whole
