@@ -24,6 +24,8 @@ PACKED_PARTITION, LEAST_PARTITION = 32_000_000, 1_000_000
 TSV_OPTIONS = {"sep": "\t", "mode": "FAILFAST", "quote": ""}
 #: A row's ordinal has its place in the file in so many bits, and above these the file's rank by name.
 PLACE_BITS = 43
+#: Files whose ranks are broadcast.
+MOST_BROADCAST = 100_000
 
 
 def compression(spark: SparkSession, path: str) -> str:
@@ -118,6 +120,8 @@ def _with_ordinal(rows: DataFrame) -> DataFrame:
     if len(files) == 1:
         return placed.select(*columns, ORDINAL)
     ranks = rows.sparkSession.createDataFrame(list(enumerate(files)), f"_rank long, {path} string")
+    # the planner doesn't know how small ranks are, and a join by path would give each file to one task
+    ranks = F.broadcast(ranks) if len(files) <= MOST_BROADCAST else ranks
     return placed.join(ranks, path).select(*columns, F.shiftleft("_rank", PLACE_BITS).bitwiseOR(F.col(ORDINAL)).alias(ORDINAL))
 
 

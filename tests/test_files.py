@@ -218,3 +218,13 @@ def test_cli(spark, tmp_path, capsys):
         with pytest.raises(SystemExit):
             cli.main(bad)
     assert cli.parser().parse_args(["-i", "x", "--max-memory", "4G", "-b", "60.7"]).bitscore == 60
+
+
+def test_files_are_not_dealt_by_path(spark, tmp_path):
+    """Files' ranks are not joined by a shuffle, which would give each file to one task."""
+    line = "\t".join(["{}", "s", "95.0", "10", "0", "0", "1", "30", "1", "10", "1e-20", "70.0", "30", "100"])
+    for name, reads in (("a.m8", "zy"), ("b.m8", "xw")):
+        (tmp_path / name).write_text("\n".join(map(line.format, reads)) + "\n")
+    read = read_alignments(spark, str(tmp_path))
+    assert "Exchange hashpartitioning" not in read._jdf.queryExecution().executedPlan().toString()
+    assert [r["queryId"] for r in drop_duplicates(read).collect()] == ["z"]
