@@ -39,9 +39,14 @@ TIE = 2.0**-50
 LAST_REMOVAL = 60
 
 
-def initial_weights(alignments: DataFrame) -> DataFrame:
-    """Adds ``p``: a score's share of all scores of its reference, null if these are all 0. Hot references are combined before the shuffle, and the join can be split."""
+def initial_weights(alignments: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """Adds ``p``: a score's share of all scores of its reference, null if these are all 0. Hot references are combined before the shuffle, and the join can be split.
+
+    ``references``: only alignments to these, found by the same join.
+    """
     totals = alignments.groupBy("subjectId").agg(F.sum("bitScore").alias("total"))
+    if references is not None:
+        totals = totals.join(references.select("subjectId"), "subjectId", "left_semi")
     return alignments.join(totals, "subjectId").withColumn("p", F.try_divide("bitScore", "total")).select(*alignments.columns, "p")
 
 
@@ -152,19 +157,28 @@ def _step_apart(live: DataFrame, k: int, scale: float) -> DataFrame:
 
 
 def resolve(alignments: DataFrame, iterations: int = ITERATIONS, scale: float = SCALE, work: Workspace | None = None) -> DataFrame:
-    """The alignments that survive. Ties do, and so do those that only a later iteration would have removed."""
+    """The alignments that survive. Ties do, and so do those that only a later iteration would have removed.
+
+    ``alignments`` are best a saved table; those with a column ``p`` have their weights already, and come back without it.
+    """
     work = work or Workspace(alignments.sparkSession, "resolve")
     c = F.col
-    sizes = alignments.groupBy("queryId").agg(F.count("*").alias("_n"))
-    counted = work.save(initial_weights(alignments).join(sizes, "queryId"))
-    most = min(iterations, LAST_REMOVAL + 1)
-    usual = removal_iterations(counted.where((c("_n") > 1) & (c("_n") <= GATHERED)), most, scale)
-    rows = work.save(usual.unionByName(counted.where("_n = 1").withColumn("gone", F.lit(0))).select(*alignments.columns, "gone"))
-    seen = {r["gone"] for r in rows.select("gone").distinct().collect()}  # LAST_REMOVAL + 1 at most
-    many = counted.where(c("_n") > GATHERED)
-    left = many.count()
+    columns = [x for x in alignments.columns if x != "p"]
+    weighted = alignments if "p" in alignments.columns else initial_weights(alignments)
+    weighted = weighted.where("queryId is not null")  # there is no read to be resolved
+    # reads of so many alignments are few, mostly none: only then are rows joined to them
+    large = work.save(alignments.groupBy("queryId").agg(F.count("*").alias("_n")).where((c("_n") > GATHERED) & c("queryId").isNotNull()).select(c("queryId").alias("_large")))
+    left = large.count()
+    many = None
     if left:
+        weighted = work.save(weighted.join(large, c("queryId") == c("_large"), "left"))
+        many = weighted.where("_large is not null").drop("_large")
+        weighted = weighted.where("_large is null").drop("_large")
+        left = many.count()
         many = many.withColumn("before", _nothing())
+    most = min(iterations, LAST_REMOVAL + 1)
+    rows = work.save(removal_iterations(weighted, most, scale).select(*columns, "gone"))
+    seen = {r["gone"] for r in rows.select("gone").distinct().collect()}  # LAST_REMOVAL + 1 at most
     last = most
     for k in range(1, most + 1):
         before = left
@@ -178,4 +192,4 @@ def resolve(alignments: DataFrame, iterations: int = ITERATIONS, scale: float =
             last = k
             break
     kept = rows.where((c("gone") == 0) | (c("gone") > last)).drop("gone")
-    return kept.unionByName(many.select(*alignments.columns)) if left else kept
+    return kept.unionByName(many.select(*columns)) if left else kept

@@ -12,7 +12,7 @@ from ..operators.filters import apply_filters, on_references, validate_filters
 from ..operators.groups import aggregate_groups, join_mapping, to_anvio
 from ..operators.ingest import BIT_SCORE, E_VALUE, analytic_columns, drop_duplicates, retain_by_evalue, threshold_filter
 from ..operators.membership import may_be_among
-from ..operators.resolve import ITERATIONS, SCALE, resolve
+from ..operators.resolve import ITERATIONS, SCALE, initial_weights, resolve
 from ..operators.stats import read_multiplicity, reference_stats
 from ..schema import COV_STATS, ORDINAL
 from ..storage import Workspace
@@ -74,15 +74,16 @@ def resolve_alignments(
     unique = work.save(unique)
     first = apply_filters(reference_stats(unique, trim, work), filters)
     first = work.save(first)
-    surviving = work.save(on_references(unique, first))
+    surviving = work.save(initial_weights(unique, first))
     resolved = resolve(surviving, iterations, scale, work)
     content = [c for c in filtered.columns if c not in ("queryId", ORDINAL)]
     keys = ["queryId", "hash_a", "hash_b"]
     hashed = filtered.select("*", *content_hash(content))
     survivors = resolved.select(*keys)
     near = may_be_among(hashed, survivors, work)
-    rejoined = near.join(survivors.distinct(), keys, "left_semi").select(*[c for c in filtered.columns if c != ORDINAL])
-    return Resolved(filtered, first, surviving, resolved, work.save(rejoined), unique)
+    # not a semi join, which the optimizer would move to before the filter
+    rejoined = near.join(survivors.distinct(), keys).select(*[c for c in filtered.columns if c != ORDINAL])
+    return Resolved(filtered, first, surviving.drop("p"), resolved, work.save(rejoined), unique)
 
 
 def run(

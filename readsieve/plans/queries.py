@@ -77,7 +77,8 @@ def _run(spark: SparkSession, sf_dir: str, mapped: bool = False) -> pipeline.Res
 
 
 def _step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return step(initial_weights(_surviving(spark, sf_dir))).select("queryId", "subjectId", "p")
+    weighted = Workspace(spark, "query").save(initial_weights(*_with_stats(spark, sf_dir)))
+    return step(weighted).select("queryId", "subjectId", "p")
 
 
 def _tsv(df: DataFrame, codec: str, sep: str = "\t") -> str:
@@ -164,7 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reference_stats": lambda s, d: stats.reference_stats(_narrow(s, d)),
         "reference_stats_filtered": lambda s, d: apply_filters(stats.reference_stats(_narrow(s, d)), FILTERS),
         "surviving_alignments": _surviving,
-        "resolver_init": lambda s, d: initial_weights(_surviving(s, d)).select("queryId", "subjectId", "p"),
+        "resolver_init": lambda s, d: initial_weights(*_with_stats(s, d)).select("queryId", "subjectId", "p"),
         "resolver_one_step": _step,
         "resolve_multimaps": lambda s, d: resolve(Workspace(s, "query").save(_surviving(s, d))),
         "rejoin_alignments": lambda s, d: pipeline.resolve_alignments(adapter.alignments(s, d), FILTERS).rejoined,

@@ -332,3 +332,30 @@ def test_the_sweep_is_in_parts_that_follow_the_rows(spark, monkeypatch):
     assert parts.rdd.getNumPartitions() == 41
     monkeypatch.setattr(coverage, "BLOCK", 7)
     assert (key(coverage.segments(df, own)), key(stats.reference_stats(df, False))) == whole
+
+
+def test_rows_are_moved_after_the_filter_of_survivors(spark, monkeypatch):
+    """The join with the survivors stands above the Bloom filter; the optimizer moves a semi join below it."""
+    monkeypatch.setattr(membership, "LEAST_KEYS", 0)
+    monkeypatch.setattr(membership, "MOST_SHARE", 1)
+    saved, save = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df, *a, **b: saved.append(df) or save(self, df, *a, **b))
+    data = [{"queryId": f"q{i // 2}", "subjectId": f"s{i % 3}", "subjectStart": 20 + i, "subjectEnd": 60 + i, "alnLength": 40} for i in range(30)]
+    found = pipeline.resolve_alignments(rows(spark, *data)).rejoined
+    plan = saved[-1]._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 2 and "hash_a" in joins[0] and "segment" in joins[1]
+    assert 0 < found.count() <= 30
+
+
+def test_only_reads_of_many_alignments_are_counted_apart(spark, monkeypatch):
+    """Without such reads no row is joined to a count: weights given, a read's rows are moved once."""
+    saved, save = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df, *a, **b: saved.append(df) or save(self, df, *a, **b))
+    data = [{"queryId": q, "subjectId": f"s{i}", "slen": 100 + i} for i, q in enumerate(["a", "a", "b", None])]
+    weighted = Workspace(spark, "test").save(resolve.initial_weights(rows(spark, *data)))
+    saved.clear()
+    found = resolve.resolve(weighted)
+    assert found.columns == ALIGNMENT.names and {r["queryId"] for r in found.collect()} == {"a", "b"}
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in saved]
+    assert plans and not any("Join" in p for p in plans)
