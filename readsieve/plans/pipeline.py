@@ -74,7 +74,8 @@ def resolve_alignments(
     unique = work.save(unique)
     first = apply_filters(reference_stats(unique, trim, work), filters)
     first = work.save(first)
-    surviving = work.save(initial_weights(unique, first))
+    # what the resolver reads, and the keys by which the survivors' rows are found again
+    surviving = work.save(initial_weights(unique.select("queryId", "subjectId", "bitScore", "slen", "hash_a", "hash_b"), first).drop("subjectId", "bitScore"))
     resolved = resolve(surviving, iterations, scale, work)
     content = [c for c in filtered.columns if c not in ("queryId", ORDINAL)]
     keys = ["queryId", "hash_a", "hash_b"]
