@@ -48,12 +48,11 @@ import functools
 import hashlib
 import math
 import zlib
-from collections import Counter
-from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +70,8 @@ CLASSES = 1 + OWN_CLASSES + SUFFIX_CLASSES  # class 0: the end token
 DIMENSION, NOISE, STEPS, RATE = 32, 10, 150, 0.05
 #: Groups of classes at the second and at the third place back, and the steps that fit these places.
 GROUPS, FAR_STEPS = 6, 100
-#: Bytes of text that are encoded together.
-ENCODED_TOGETHER = 1_000_000
+#: Bytes of text that are encoded together, and those whose words are looked up together.
+ENCODED_TOGETHER, SPLIT_TOGETHER = 1_000_000, 8_000_000
 #: Distinct words, and bytes of text, that a task counts before it hands them on.
 COUNTED_TOGETHER, BYTES_TOGETHER = 300_000, 128_000_000
 #: Precision of the prior of own embeddings, whose features have unit variance.
@@ -85,10 +84,42 @@ BINS_PER_DOUBLING = 8
 #: Neighbours of the head's words that a task holds before it adds them up.
 NEIGHBOURS_TOGETHER = 2_000_000
 END = b" "  # no word holds a space
+# Of each byte, whether words hold it.
+_IN_WORD = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def tokens(data: bytes | None) -> list[bytes]:
-    return data.lower().split() if data else []
+def split_words(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of texts one after the other, and how many each text has; no object is made for a word."""
+    data = np.frombuffer(b" ".join([text or b"" for text in texts]).lower(), np.uint8)
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    inside[1:-1] = _IN_WORD[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside[1:-1]])])
+    upto = np.cumsum([len(text or b"") + 1 for text in texts])
+    return words, np.diff(np.searchsorted(starts, upto), prepend=0)
+
+
+def _objects(column: pa.Array) -> list:
+    """As ``to_pylist``, which makes a scalar of each value first."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _floats(column: pa.Array) -> np.ndarray:
+    """The float32 values that the rows of a binary column hold, a row for each; as many in all."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float32).reshape(len(column), -1)
+
+
+def _together(texts: list[bytes | None], size: int):
+    """Bounds of stretches of texts, each of ``size`` bytes or the first that go beyond."""
+    first, held = 0, 0
+    for last, text in enumerate(texts, 1):
+        held += len(text or b"")
+        if held >= size or last == len(texts):
+            yield first, last
+            first, held = last, 0
 
 
 def stand_in(word: bytes) -> bytes:
@@ -105,18 +136,42 @@ def suffix_class(word: bytes) -> int:
     return 1 + OWN_CLASSES + _suffix(word[-2:])
 
 
+@functools.cache
+def _suffix_table() -> np.ndarray:
+    """By the byte before a word's last, 256 if there is none, and by its last byte."""
+    return np.array([[_suffix(bytes([a, b] if a < 256 else [b])) for b in range(256)] for a in range(257)])
+
+
+def suffixes(words: pa.Array) -> np.ndarray:
+    """Of each word what ``_suffix`` says of its last two bytes."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    words = words.cast(pa.large_binary())
+    _, offsets, letters = words.buffers()
+    offsets, letters = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1], np.frombuffer(letters, np.uint8).astype(np.int64)
+    ends = offsets[1:]
+    return _suffix_table()[np.where(np.diff(offsets) > 1, letters[np.maximum(ends - 2, 0)], 256), letters[ends - 1]]
+
+
+def suffix_classes(words: pa.Array) -> np.ndarray:
+    return suffixes(words) + 1 + OWN_CLASSES
+
+
 def _count_words(batches):
-    found: Counter = Counter()
+    found: dict[bytes, int] = {}
 
     def rows():
         return pa.RecordBatch.from_arrays([pa.array([w if len(w) <= LONGEST_WORD else stand_in(w) for w in found], pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
     held = 0
     for batch in batches:
-        for data in text_bytes(batch.column("text")):
-            found.update(tokens(data))
-            found[END] += 1
-            held += len(data or b"")
+        texts = text_bytes(batch.column("text"))
+        for first, last in _together(texts, SPLIT_TOGETHER):
+            counted = split_words(texts[first:last])[0].value_counts()
+            for word, n in zip(_objects(counted.field("values")), counted.field("counts").to_numpy().tolist()):
+                found[word] = found.get(word, 0) + n
+            found[END] = found.get(END, 0) + last - first
+            held += sum(len(text or b"") for text in texts[first:last])
             if len(found) > COUNTED_TOGETHER or held > BYTES_TOGETHER:
                 yield rows()
                 found.clear()
@@ -134,6 +189,7 @@ class Vocabulary:
         counts = dict(head)
         self.end_count = counts.pop(END, 0)
         self.words = {word: i for i, word in enumerate(counts)}
+        self.listed = pa.array(list(counts), pa.large_binary())
         self.counts = np.array(list(counts.values()), dtype=np.float64)
         of_word = [1 + i if i < OWN_CLASSES else suffix_class(word) for word, i in self.words.items()]
         self.classes = np.array(of_word, dtype=np.int64)
@@ -148,43 +204,47 @@ class Vocabulary:
 
     def encode(self, texts: list[bytes | None]):
         """Encoded tokens of some texts at a time."""
-        at = 0
-        while at < len(texts):
-            words, sizes, held = [], [], 0
-            while at < len(texts) and held < ENCODED_TOGETHER:
-                own = tokens(texts[at])
-                words += own
-                words.append(END)
-                sizes.append(len(own) + 1)
-                held += len(texts[at] or b"")
-                at += 1
-            yield Encoded(self, words, np.array(sizes))
+        for first, last in _together(texts, SPLIT_TOGETHER):
+            some = texts[first:last]
+            words, n = split_words(some)
+            at = pc.fill_null(pc.index_in(words, value_set=self.listed), -1).to_numpy()
+            before = np.concatenate([[0], np.cumsum(n)]).tolist()
+            for a, b in _together(some, ENCODED_TOGETHER):
+                yield Encoded(self, words[before[a] : before[b]], at[before[a] : before[b]], n[a:b])
 
 
 class Encoded:
     """Tokens of texts one after the other, each text with its end token.
 
     at: position in the head, -1 elsewhere. kind: class. ends, missing: places of end tokens, and of
-    words beyond the head, which are ``rest``. starts: where each text begins.
+    words beyond the head, which are ``others``. starts: where each text begins.
     """
 
-    def __init__(self, voc: Vocabulary, words: list[bytes], sizes: np.ndarray):
-        self.sizes, self.starts = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.ends = self.starts + sizes - 1
-        self.at = np.fromiter(map(voc.words.get, words, repeat(-1)), np.int64, len(words))
-        missing = self.at < 0
-        missing[self.ends] = False
-        self.missing = np.flatnonzero(missing)
-        self.rest = [words[i] for i in self.missing.tolist()]
-        if max(map(len, self.rest), default=0) > LONGEST_WORD:
-            self.rest = list(map(stand_in, self.rest))
-            self.at[self.missing] = found = np.array([voc.words.get(w, -1) for w in self.rest])
-            self.rest = [w for w, i in zip(self.rest, found.tolist()) if i < 0]
-            self.missing = self.missing[found < 0]
-        self.kind = voc.classes[self.at] if len(voc.classes) else np.zeros(len(words), np.int64)
+    def __init__(self, voc: Vocabulary, words: pa.Array, at: np.ndarray, n: np.ndarray):
+        """words: of all texts, with their positions in the head. n: how many each text has."""
+        self.sizes = n + 1
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.ends = self.starts + n
+        places = np.arange(len(words)) + np.repeat(np.arange(len(n)), n)
+        self.at = np.full(len(words) + len(n), -1, dtype=np.int64)
+        self.at[places] = at
+        missing = at < 0
+        self.missing = places[missing]
+        self.others = words.filter(pa.array(missing)).cast(pa.binary())
+        suffix = suffixes(self.others)
+        if (pc.max(pc.binary_length(self.others)).as_py() or 0) > LONGEST_WORD:
+            rest = list(map(stand_in, self.rest))
+            self.at[self.missing] = found = np.array([voc.words.get(w, -1) for w in rest])
+            self.others = pa.array([w for w, i in zip(rest, found.tolist()) if i < 0], pa.binary())
+            self.missing, suffix = self.missing[found < 0], suffix[found < 0]
+        self.kind = voc.classes[self.at] if len(voc.classes) else np.zeros(len(self.at), np.int64)
         self.kind[self.ends] = 0
-        self.kind[self.missing] = np.fromiter((_suffix(w[-2:]) for w in self.rest), np.int64, len(self.rest)) + 1 + OWN_CLASSES
-        self.place = np.arange(len(words)) - np.repeat(self.starts, sizes)
+        self.kind[self.missing] = suffix + 1 + OWN_CLASSES
+        self.place = np.arange(len(self.at)) - np.repeat(self.starts, self.sizes)
+
+    @property
+    def rest(self) -> list[bytes]:
+        return self.others.to_pylist()
 
     def before(self, places: int) -> np.ndarray:
         """The classes so many places back; 0 before a text."""
@@ -405,7 +465,8 @@ class Model:
         order = np.argsort(kind, kind="stable")
         for i in range(0, len(own), FITTED_TOGETHER):
             some = order[i : i + FITTED_TOGETHER]
-            weight = (c[some, None] + 1) * np.exp(own[some].astype(np.float64) @ self.before.features.T)
+            weight = np.exp(own[some] @ self.before.features.T)
+            weight *= (c[some, None] + 1).astype(np.float32)
             k, first = np.unique(kind[some] - 1 - OWN_CLASSES, return_index=True)
             z[k] += np.add.reduceat(weight, first)
 
@@ -416,7 +477,8 @@ _SEEN = {"pair": pa.int64(), "n": pa.int64(), "i": pa.int64(), "side": pa.binary
 
 
 def _seen(size: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in _SEEN.items()], names=list(_SEEN))
+    whole = lambda x, t: x if isinstance(x, pa.Array) else pa.array(x, t)
+    return pa.RecordBatch.from_arrays([whole(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in _SEEN.items()], names=list(_SEEN))
 
 
 def _context_counter(vocabulary):
@@ -441,8 +503,8 @@ def _context_counter(vocabulary):
                         yield from _head_rows(known, times)
                         known, times = known[:0], times[:0]
                     fresh, held = [], len(known)
-                if x.rest:
-                    yield _seen(len(x.rest), word=x.rest, around=before[x.missing] * CLASSES + after[x.missing])
+                if len(x.others):
+                    yield _seen(len(x.others), word=x.others, around=before[x.missing] * CLASSES + after[x.missing])
         yield from _head_rows(*_with_more(known, times, fresh))
         found = found.ravel()
         at = np.flatnonzero(found)
@@ -467,10 +529,16 @@ def _head_rows(keys: np.ndarray, n: np.ndarray):
     if not len(keys):
         return
     i, first = np.unique(keys // (2 * CLASSES), return_index=True)
-    side, first = (keys % (2 * CLASSES)).astype(np.int16), np.append(first, len(keys)).tolist()
+    side, first = (keys % (2 * CLASSES)).astype(np.int16), np.append(first, len(keys))
     for k in range(0, len(i), 10_000):
-        spans = list(zip(first[k : k + 10_000], first[k + 1 : k + 10_001]))
-        yield _seen(len(spans), i=i[k : k + 10_000], side=[side[a:b].tobytes() for a, b in spans], times=[n[a:b].tobytes() for a, b in spans])
+        bounds = first[k : k + 10_001]
+        yield _seen(len(bounds) - 1, i=i[k : k + 10_000], side=_stretches(side, bounds), times=_stretches(n, bounds))
+
+
+def _stretches(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of the values from each bound up to the next."""
+    offsets = ((bounds - bounds[0]) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values[bounds[0] : bounds[-1]])])
 
 
 def _lists(column) -> tuple[np.ndarray, pa.Array]:
@@ -502,7 +570,7 @@ def _head_fitter(vocabulary, model):
             starts, flat = _lists(batch.column("near"))
             owner = np.repeat(np.arange(len(i)), np.diff(np.append(starts, len(flat))))
             n = np.zeros((len(i), 2 * CLASSES), dtype=np.int64)
-            for word, side, times in zip(owner.tolist(), flat.field("side").to_pylist(), flat.field("times").to_pylist()):
+            for word, side, times in zip(owner.tolist(), _objects(flat.field("side")), _objects(flat.field("times"))):
                 n[word, np.frombuffer(side, np.int16)] += np.frombuffer(times, np.int64)
             owner, side = np.nonzero(n)
             n = n[owner, side]
@@ -531,7 +599,7 @@ def _rest_normaliser(model):
                 continue
             starts, around = _lists(batch.column("around"))
             around = around.to_numpy()
-            kind = np.fromiter(map(suffix_class, batch.column("word").to_pylist()), np.int64, batch.num_rows)
+            kind = suffix_classes(batch.column("word"))
             out = m.before.fit(kind, starts, around // CLASSES, np.ones(len(around)))
             m.add_outputs(z, out, kind, np.diff(np.append(starts, len(around))))
         yield _z_row(z)
@@ -571,7 +639,7 @@ def _often_fitter(model):
             sides = []
             for which in (side < CLASSES, side >= CLASSES):
                 sides.append((np.searchsorted(owner[which], np.arange(batch.num_rows)), side[which] % CLASSES, n[which]))
-            kind = np.fromiter(map(suffix_class, batch.column("word").to_pylist()), np.int64, batch.num_rows)
+            kind = suffix_classes(batch.column("word"))
             c = np.add.reduceat(sides[0][2], sides[0][0])
             out = m.before.fit(kind, *sides[0])
             own, log_z = m.inputs(kind, *sides[1])
@@ -627,7 +695,7 @@ def _rest_scorer(model):
             if not len(met):
                 continue
             place = np.cumsum(c > 0) - 1
-            kind = np.array([suffix_class(w) for w, n in zip(batch.column("word").to_pylist(), c) if n], dtype=np.int64)
+            kind = suffix_classes(batch.column("word"))[met]
             first = np.concatenate([[0], np.cumsum(c[met])[:-1]])
             near, one = around[learned] % CLASSES**2, np.ones(int(c.sum()))
             out = m.before.fit(kind, first, near // CLASSES, one)
@@ -653,7 +721,7 @@ def _often_scorer(model):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own, out, log_z = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.float32).reshape(batch.num_rows, -1) for k in ("own_in", "own_out", "log_z"))
+            own, out, log_z = (_floats(batch.column(k)) for k in ("own_in", "own_out", "log_z"))
             around = batch.column("around").to_numpy()
             yield _contributed(batch.column("row").to_numpy(), batch.column("c").to_numpy(), m.added(own, out, log_z[np.arange(len(around)), around // CLASSES**2], around))
 
@@ -695,7 +763,7 @@ def _scorer(vocabulary, model, own):
                         pa.array(x.by_text(logs, head) + end_log),
                         pa.array(within),
                         pa.array(x.by_text(step)),
-                        pa.ListArray.from_arrays(offsets, pa.array(x.rest, pa.binary())),
+                        pa.ListArray.from_arrays(offsets, x.others),
                         pa.ListArray.from_arrays(offsets, pa.array(around[x.missing], pa.int32())),
                     ]
                 )

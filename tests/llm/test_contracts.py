@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -258,6 +259,24 @@ def test_lm_long_words(spark):
     assert {r["n_known"] for r in lbl_lm.score_texts(df).collect()} == {5}
 
 
+def test_lm_words_are_split_together():
+    """Words, positions, classes and counts are those of a loop over the words; no text runs into the next, and no table is built for each of them."""
+    texts = [None, b"", b" \n", b"A\x0bB\x1cC \x85\xa0x" + "ÄöÉ z\x1f".encode(), b"-" * 200 + b" q", b"x" * 101, b"x", b"\t a b a ", b"one b"] * 3
+    split = [t.lower().split() if t else [] for t in texts]
+    words, n = lbl_lm.split_words(texts)
+    assert words.to_pylist() == list(itertools.chain(*split)) and n.tolist() == list(map(len, split))
+    assert lbl_lm.suffixes(words[2:]).tolist() == [zlib.crc32(w[-2:]) % lbl_lm.SUFFIX_CLASSES for w in words[2:].to_pylist()]
+    voc = lbl_lm.Vocabulary([(b"a", 9), (b"b", 5), (lbl_lm.stand_in(b"-" * 200), 3), (lbl_lm.END, 4)], 21, 4, {})
+    for x in voc.encode(texts):
+        expected = [voc.words.get(lbl_lm.stand_in(w), -1) for own in split for w in [*own, lbl_lm.END]]
+        assert x.at.tolist() == expected and x.sizes.tolist() == [len(own) + 1 for own in split]
+        assert x.rest == [lbl_lm.stand_in(w) for own in split for w in own if lbl_lm.stand_in(w) not in voc.words]
+        assert x.kind[x.missing].tolist() == [lbl_lm.suffix_class(w) for w in x.rest] and not x.kind[x.ends].any()
+    batch = pa.RecordBatch.from_arrays([pa.array([None if t is None else t.decode("latin-1") for t in texts[:3] + texts[7:9]])], names=["text"])
+    (counted,) = lbl_lm._count_words(iter([batch]))
+    assert dict(zip(counted.column("word").to_pylist(), counted.column("n").to_pylist())) == {b"a": 2, b"b": 2, b"one": 1, lbl_lm.END: 5}
+
+
 def test_lm_equals_slow_evaluation(spark):
     """Scores are the probabilities of the definition, summed word by word, and those of all words add up to 1."""
     rng = np.random.default_rng(5)
