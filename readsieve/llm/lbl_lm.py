@@ -71,7 +71,7 @@ DIMENSION, NOISE, STEPS, RATE = 32, 10, 150, 0.05
 #: Groups of classes at the second and at the third place back, and the steps that fit these places.
 GROUPS, FAR_STEPS = 6, 100
 #: Bytes of text that are encoded together, and those whose words are looked up together.
-ENCODED_TOGETHER, SPLIT_TOGETHER = 1_000_000, 8_000_000
+ENCODED_TOGETHER, SPLIT_TOGETHER = 500_000, 2_000_000
 #: Distinct words, and bytes of text, that a task counts before it hands them on.
 COUNTED_TOGETHER, BYTES_TOGETHER = 300_000, 128_000_000
 #: Precision of the prior of own embeddings, whose features have unit variance.
@@ -82,7 +82,7 @@ FITTED_TOGETHER = 500
 #: Counts are binned by eighths of a power of two to find the head.
 BINS_PER_DOUBLING = 8
 #: Neighbours of the head's words that a task holds before it adds them up.
-NEIGHBOURS_TOGETHER = 2_000_000
+NEIGHBOURS_TOGETHER = 1_000_000
 END = b" "  # no word holds a space
 # Of each byte, whether words hold it.
 _IN_WORD = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -516,12 +516,20 @@ def _context_counter(vocabulary):
 
 
 def _with_more(known: np.ndarray, times: np.ndarray, fresh: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and how often each has been met: ``times`` if known before, and once for each fresh one."""
+    """Distinct keys in order, and how often each has been met: ``times`` (changed in place) if known before, and once for each fresh one, of which none stay."""
     if not fresh:
         return known, times
-    keys, n = np.unique(np.concatenate(fresh), return_counts=True)
-    keys, which = np.unique(np.concatenate([known, keys]), return_inverse=True)
-    return keys, np.bincount(which, np.concatenate([times, n])).astype(np.int64)
+    keys = np.concatenate(fresh)
+    fresh.clear()
+    keys.sort()
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    n, keys = np.diff(first, append=len(keys)), keys[first]
+    at = np.searchsorted(known, keys)
+    met = at < len(known)
+    met[met] = known[at[met]] == keys[met]
+    times[at[met]] += n[met]
+    at, keys, n = at[~met], keys[~met], n[~met]
+    return np.insert(known, at, keys), np.insert(times, at, n)
 
 
 def _head_rows(keys: np.ndarray, n: np.ndarray):
@@ -847,6 +855,8 @@ def score_texts(docs: DataFrame, folds: int = 7, left_out: int = 2, work: Worksp
     rest = map_arrow(each, _rest_scorer(model), CONTRIBUTED)
     rest = rest if more is None else rest.union(more)
     rest = work.save(rest.groupBy("row").agg(*(F.sum(x).alias(x) for x in ("rest_known", "rest_logs", "rest_score"))))
+    for broadcast in (vocabulary, model, own):
+        broadcast.destroy()
     c, zero = F.col, lambda x: F.coalesce(F.col(x), F.lit(0))
     return head.drop("rest", "around").join(rest, "row", "left").select(
         "doc_id",

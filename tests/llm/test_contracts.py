@@ -5,6 +5,7 @@ import itertools
 import math
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -277,6 +278,25 @@ def test_lm_words_are_split_together():
     assert dict(zip(counted.column("word").to_pylist(), counted.column("n").to_pylist())) == {b"a": 2, b"b": 2, b"one": 1, lbl_lm.END: 5}
 
 
+def test_lm_neighbours_are_added_up_in_little_memory():
+    rng = np.random.default_rng(3)
+    known, times, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), Counter()
+    for k in range(6):
+        fresh = [rng.integers(0, 900, n) for n in (0, 50 * k, 7)]
+        seen.update(np.concatenate(fresh).tolist())
+        known, times = lbl_lm._with_more(known, times, fresh)
+        assert dict(zip(known.tolist(), times.tolist())) == seen and (np.diff(known) > 0).all() and times.dtype == np.int64
+    assert [x.tolist() for x in lbl_lm._with_more(known, times, [])] == [known.tolist(), times.tolist()]
+    # a task that holds as many neighbours as it may, half of them known: what it takes to add the others
+    held = lbl_lm.NEIGHBOURS_TOGETHER
+    known, times, fresh = np.arange(0, held, 2), np.ones(held // 2, np.int64), [np.arange(i, held, 20) for i in range(0, 20, 2)]
+    tracemalloc.start()
+    lbl_lm._with_more(known, times, fresh)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
 def test_lm_equals_slow_evaluation(spark):
     """Scores are the probabilities of the definition, summed word by word, and those of all words add up to 1."""
     rng = np.random.default_rng(5)
