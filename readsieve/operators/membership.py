@@ -26,6 +26,8 @@ MOST_KEYS = MOST_BYTES * 8 // BITS_PER_KEY
 LEAST_KEYS = 200_000
 #: If more rows than this share may stay, moving the rest matters little.
 MOST_SHARE = 0.5
+#: Tells whether a row's key may be among the keys.
+MET = "_met"
 
 
 def _hashes(columns: list[str]) -> tuple[Column, Column]:
@@ -62,10 +64,15 @@ def may_be_among(rows: DataFrame, keys: DataFrame, work: Workspace) -> DataFrame
     n = keys.count()
     if not LEAST_KEYS < n <= MOST_KEYS or n > MOST_SHARE * rows.count():
         return rows
-    segments = -(-n * BITS_PER_KEY // (SEGMENT_WORDS << _WORD_BITS))
+    return met(rows, keys, n, work).where(MET).drop(MET)
+
+
+def met(rows: DataFrame, keys: DataFrame, n: int, work: Workspace) -> DataFrame:
+    """Adds ``MET``: false where a row's key columns are not among the n ``keys``, true where they are and for a few of the others. No row is moved."""
+    segments = -(-n * BITS_PER_KEY // (SEGMENT_WORDS << _WORD_BITS)) or 1
     built = work.save(bloom_filter(keys, segments))  # at most MOST_BYTES
     a, b = _hashes(keys.columns)
     words = F.col("words")
     found = [F.get(words, F.shiftright(p, _WORD_BITS)).bitwiseAND(_mask(p)) != 0 for p in _places(b)]
-    met = rows.join(F.broadcast(built), F.pmod(a, F.lit(segments)) == built["segment"])
-    return met.where(found[0] & found[1] & found[2]).select(*(rows[c] for c in rows.columns))
+    joined = rows.join(F.broadcast(built), F.pmod(a, F.lit(segments)) == built["segment"])
+    return joined.select(*(rows[c] for c in rows.columns), (found[0] & found[1] & found[2]).alias(MET))

@@ -140,8 +140,10 @@ def removal_iterations(weighted: DataFrame, iterations: int, scale: float) -> Da
     """Adds ``gone``: the iteration in which an alignment would go if nothing stopped the loop; 0: never. Each read is gathered."""
     columns = [x for x in weighted.columns if x != "queryId"]
     row = F.struct(*columns)
-    rows = weighted.groupBy("queryId").agg(F.collect_list(F.struct(_known(F.col("p"), F.col("slen")).alias("known"), row.alias("row"))).alias("rows"))
-    marked = F.arrays_zip(F.col("rows.row").alias("row"), _removal(F.col("rows.known"), iterations, scale).alias("gone"))
+    rows = weighted.groupBy("queryId").agg(F.collect_list(row).alias("rows"))
+    # found after the rows are moved, as it follows from p and slen
+    rows = rows.withColumn("known", F.transform("rows", lambda x: _known(x.p, x.slen)))
+    marked = F.arrays_zip(F.col("rows").alias("row"), _removal(F.col("known"), iterations, scale).alias("gone"))
     return rows.select("queryId", F.inline(marked).alias("row", "gone")).select("queryId", "row.*", "gone")
 
 

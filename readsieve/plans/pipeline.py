@@ -57,7 +57,7 @@ def resolve_alignments(
 ) -> Resolved:
     """Everything up to the second pass of statistics.
 
-    Wide columns are hashed once and not moved until the survivors are joined back; that join is on
+    Wide columns are hashed and not moved until the survivors are joined back; that join is on
     (queryId, hash of all other columns), so exact repeats of a row come back.  A Bloom filter of the survivors
     stands before it, so wide rows that won't come back are not moved.  ``retain``: of each
     reference only this share of alignments goes on, those with the best e-values.
@@ -70,16 +70,17 @@ def resolve_alignments(
         every, filtered = filtered, work.save(retain_by_evalue(filtered, retain, work), codec="zstd")
         work.drop(every)
     narrow = analytic_columns(filtered)
-    unique = narrow.drop(ORDINAL) if keep_duplicates else drop_duplicates(narrow).drop(ORDINAL)
-    unique = work.save(unique)
+    unique = narrow if keep_duplicates else drop_duplicates(narrow, work)
+    # within a read 64 bits tell rows apart: 10,000 of them share a hash once in 3e11 reads
+    unique = work.save(unique.drop(ORDINAL, "hash_b"))
     first = apply_filters(reference_stats(unique, trim, work), filters)
     first = work.save(first)
     # what the resolver reads, and the keys by which the survivors' rows are found again
-    surviving = work.save(initial_weights(unique.select("queryId", "subjectId", "bitScore", "slen", "hash_a", "hash_b"), first).drop("subjectId", "bitScore"))
+    surviving = work.save(initial_weights(unique.select("queryId", "subjectId", "bitScore", "slen", "hash_a"), first).drop("subjectId", "bitScore"))
     resolved = resolve(surviving, iterations, scale, work)
     content = [c for c in filtered.columns if c not in ("queryId", ORDINAL)]
-    keys = ["queryId", "hash_a", "hash_b"]
-    hashed = filtered.select("*", *content_hash(content))
+    keys = ["queryId", "hash_a"]
+    hashed = filtered.select("*", content_hash(content)[0])
     survivors = resolved.select(*keys)
     near = may_be_among(hashed, survivors, work)
     # not a semi join, which the optimizer would move to before the filter

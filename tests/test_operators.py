@@ -1,3 +1,4 @@
+import collections
 import math
 import random
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from readsieve.operators import coverage, groups, membership, resolve, stats
 from readsieve.operators.filters import FILTERS, apply_filters, parse_filters, validate_filters
-from readsieve.operators.ingest import drop_duplicates, threshold_filter
+from readsieve.operators.ingest import _told_apart, analytic_columns, drop_duplicates, threshold_filter
 from readsieve.plans import oracle, pipeline
 from readsieve.storage import Workspace
 from readsieve.schema import ALIGNMENT
@@ -223,6 +224,40 @@ def test_first_duplicate_stays(spark):
     assert sorted(r["queryId"] for r in drop_duplicates(df).collect()) == ["q1", "q3"]
 
 
+@pytest.mark.parametrize("copies", [0, 25, 390])
+@pytest.mark.parametrize("placed", [True, False])
+def test_rows_without_copies_are_not_moved(spark, copies, placed):
+    """Only those go to the aggregate whose hash may occur twice; results are those of the aggregate of all."""
+    work = Workspace(spark, "unique")
+    data = [{"queryId": f"q{i * 7 % 400}", "subjectId": f"s{i if i >= copies else i % 5}", "slen": None if i % 3 == 0 else 100} for i in range(400)]
+    df = rows(spark, *data)
+    df = work.save(analytic_columns(df.withColumn("ordinal", F.monotonically_increasing_id()) if placed else df))
+    key = lambda x: sorted(map(repr, x.collect()))
+    found = drop_duplicates(df, work)
+    assert found.columns == df.columns and key(found) == key(drop_duplicates(df)) and (copies or len(key(found)) == 400)
+    alone, rest = _told_apart(df, [c for c in df.columns if c not in ("queryId", "ordinal")], work)
+    if copies == 390:
+        assert alone is None and rest.count() == 400
+    else:
+        seen = collections.Counter((d["subjectId"], d["slen"]) for d in data)
+        copied = sum(n for n in seen.values() if n > 1)
+        assert copied <= rest.count() <= copied + 10 and alone.count() + rest.count() == 400
+    # neither an exchange nor a sort of all rows: those stand above the filter
+    if alone is not None:
+        plan = alone._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "Sort" not in plan
+
+
+def test_the_resolver_moves_what_it_reads(spark):
+    """Logarithms are taken after a read is gathered, and of the hashes one goes along."""
+    weighted = resolve.initial_weights(rows(spark, *random_hits(3)))
+    plan = resolve.removal_iterations(weighted.select("queryId", "slen", "p"), 5, 0.9)._jdf.queryExecution().optimizedPlan().toString()
+    gathered = plan[plan.index("collect_list"):]
+    assert "ln(" not in gathered.lower() and "log(" not in gathered.lower() and "collect_list(struct(slen" in gathered
+    steps = pipeline.resolve_alignments(rows(spark, *random_hits(3)))
+    assert steps.surviving.columns == ["queryId", "slen", "hash_a"] and "hash_b" not in steps.unique.columns
+
+
 def test_bloom_filter(spark, monkeypatch):
     """No row that is among the keys is lost, and few of the others stay."""
     work = Workspace(spark, "bloom")
