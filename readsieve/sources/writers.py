@@ -6,6 +6,7 @@ import gzip
 import logging
 import os
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from ..storage import Workspace
 log = logging.getLogger(__name__)
 #: What a file system says that it can do.
 CONCAT = "fs.capability.paths.concat"
+#: Parts that one task reads in order without sorting; a plan names each of them.
+MOST_PARTS = 500
 # Output suffixes.
 SUFFIXES = {
     "multimap": "_no-multimap.tsv.gz",
@@ -99,11 +102,18 @@ def _joined(df: DataFrame, fs, path: str, folder):
 
 
 def _by_one_task(df: DataFrame, fs, path: str, folder):
-    work = Workspace(df.sparkSession, "output")
+    spark = df.sparkSession
+    work = Workspace(spark, "output")
     number = "_" * (1 + max(map(len, df.columns), default=0))  # a name that no column has
     saved = work.save(df.withColumn(number, F.monotonically_increasing_id()))
-    in_order = saved.coalesce(1).sortWithinPartitions(number).drop(number)
-    _writer(in_order, path, header=True).csv(folder.toString())
+    place = spark._jvm.org.apache.hadoop.fs.Path(saved._saved_at)
+    parts = _parts(place.getFileSystem(spark._jsc.hadoopConfiguration()), place)
+    if len(parts) <= MOST_PARTS:
+        # the parts as one task reads them, one after the other: it holds no more for more rows
+        in_order = reduce(DataFrame.union, (spark.read.schema(saved.schema).parquet(p.toString()) for p in parts)).coalesce(1)
+    else:
+        in_order = saved.coalesce(1).sortWithinPartitions(number)
+    _writer(in_order.drop(number), path, header=True).csv(folder.toString())
     work.drop(saved)
     return _parts(fs, folder)[0]
 

@@ -146,6 +146,18 @@ def test_single_file(spark, tmp_path, monkeypatch, name, joins):
     assert read() == "id\tx\n" and {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {name}
 
 
+@pytest.mark.parametrize("most", [0, writers.MOST_PARTS])
+def test_one_task_reads_parts_in_order(spark, tmp_path, monkeypatch, most):
+    """Without sorting, which would take memory for all rows; parts of any size stay in order."""
+    plans, writer = [], writers._writer
+    monkeypatch.setattr(writers, "_writer", lambda df, *a, **b: plans.append(df._jdf.queryExecution().executedPlan().toString()) or writer(df, *a, **b))
+    monkeypatch.setattr(writers, "MOST_PARTS", most)
+    df = spark.range(3000, numPartitions=11).where("id < 200 OR id > 900 AND id % 7 = 0 OR id > 2800")
+    write_tsv(df, str(tmp_path / "o.tsv"), single_file=True)
+    assert (tmp_path / "o.tsv").read_text().split()[1:] == [str(i) for i in range(3000) if i < 200 or i > 900 and i % 7 == 0 or i > 2800]
+    assert len(plans) == 1 and ("Sort" in plans[0]) == (most == 0)
+
+
 def test_an_earlier_file_comes_back(spark, tmp_path):
     (tmp_path / "o").write_text("old")
     fs, target = writers._file_system(spark, str(tmp_path / "o"))
