@@ -53,7 +53,9 @@ def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without duplicates, saved; only the columns that statistics read."""
-    return Workspace(spark, "query").save(drop_duplicates(analytic_columns(_filtered(spark, sf_dir))))
+    work = Workspace(spark, "query")
+    filtered = work.save(_filtered(spark, sf_dir), codec="zstd")
+    return work.save(drop_duplicates(analytic_columns(filtered), work))
 
 
 def _with_stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
