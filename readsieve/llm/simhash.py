@@ -164,14 +164,22 @@ def _extensions(key, start, fp):
     return F.array(*(1 + 256 * i + value(place) for i, place in enumerate((third, F.lit(5), F.lit(6)))))
 
 
+def _with_shared(filed: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key others have as well, with their number ``n``.
+
+    The planner sizes exploded rows as if there were one for each fingerprint, and would broadcast them; so the join is named.
+    """
+    return filed.join(filed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").hint("merge"), key)
+
+
 def link_fingerprints(prints: DataFrame, work: Workspace) -> DataFrame:
     """Links (u, v), u < v, that span the components of the distinct values of ``fp``; a saved table."""
     filed = prints.select("fp", F.explode(_ring_keys(F.col("fp"))).alias("k")).select("fp", "k.*")
-    filed = work.save(filed.join(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    filed = work.save(_with_shared(filed, ["key"]))
     usual = filed.where(F.col("n") <= BLOCK).select("key", F.lit(0).cast("long").alias("part"), "start", "fp")
     # the part of an extended key, above those of its blocks: which segment it has besides, and that one's value
     extended = filed.where(F.col("n") > BLOCK).select("key", F.explode(_extensions(F.col("key"), F.col("start"), F.col("fp"))).alias("more"), "start", "fp")
-    extended = extended.join(extended.groupBy("key", "more").agg(F.count("*").alias("n")).where("n > 1"), ["key", "more"])
+    extended = _with_shared(extended, ["key", "more"])
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     pair = F.transform(

@@ -635,6 +635,22 @@ def test_hot_key_is_extended(spark):
     assert all((((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3) for a, b in map(tuple, links))
 
 
+def test_filed_rows_are_not_broadcast(spark, monkeypatch):
+    """Each fingerprint becomes 24 rows and more, and the planner takes their table for as small as that of the fingerprints."""
+    monkeypatch.setattr(simhash, "BLOCK", 40)
+    work, plans, save = simhash.Workspace(spark, "test"), [], simhash.Workspace.save
+    prints = work.save(spark.createDataFrame([(x << 32,) for x in range(1, 300)], "fp long"))
+
+    def watched(self, df, *codec):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df, *codec)
+
+    monkeypatch.setattr(simhash.Workspace, "save", watched)
+    simhash.link_fingerprints(prints, work)
+    assert len(plans) == 2 and all("SortMergeJoin" in plan and "BroadcastHashJoin" not in plan for plan in plans)
+
+
 def test_chain_filter_is_complete():
     rng = np.random.default_rng(0)
     for _ in range(3000):
