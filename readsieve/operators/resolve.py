@@ -50,15 +50,24 @@ def initial_weights(alignments: DataFrame, references: DataFrame | None = None)
     return alignments.join(totals, "subjectId").withColumn("p", F.try_divide("bitScore", "total")).select(*alignments.columns, "p")
 
 
+def _sums_in_order(raised: DataFrame) -> DataFrame:
+    """(queryId, in_order): sums of x from the least on, for reads of three alignments and more; those of over ``GATHERED`` are not gathered."""
+    gathered = raised.where(F.col("live").between(3, GATHERED)).groupBy("queryId").agg(F.sort_array(F.collect_list("x")).alias("all"))
+    return gathered.select("queryId", F.aggregate("all", F.lit(0.0), lambda so_far, x: so_far + x).alias("in_order"))
+
+
 def step(live: DataFrame, scale: float = SCALE) -> DataFrame:
     """One iteration over rows with p, n: new p, and n, the read's alignments before it; rows that go are left out.
 
     Normalised weights are compared, as the method says: where one is exactly ``scale`` times the best (equal shares, lengths
-    as 9 to 10), rounding decides, and it falls otherwise for weights that are not normalised.
+    as 9 to 10), rounding decides, and it falls otherwise for weights that are not normalised.  There the order of adding may
+    decide as well, so weights are added from the least on: how rows are dealt out never tells which stay.
     """
     raised = live.withColumn("x", F.try_divide(F.col("p") * F.col("p"), F.col("slen")))
-    per_read = raised.groupBy("queryId").agg(F.sum("x").alias("sum_x"), F.max("x").alias("max_x"), F.count("*").alias("live"))
-    rows = raised.join(per_read, "queryId").withColumn("p", F.try_divide("x", "sum_x"))
+    per_read = raised.groupBy("queryId").agg(F.sum("x").alias("any_order"), F.max("x").alias("max_x"), F.count("*").alias("live"))
+    raised = raised.join(per_read, "queryId")
+    rows = raised.join(_sums_in_order(raised), "queryId", "left").withColumn("sum_x", F.coalesce("in_order", "any_order"))
+    rows = rows.withColumn("p", F.try_divide("x", "sum_x"))
     # dividing keeps the order, so this is the greatest of the new p
     best = F.try_divide("max_x", "sum_x")
     kept = (F.col("live") == 1) | (F.col("p") >= best * scale) & (F.col("max_x") > 0)
